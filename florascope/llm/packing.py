@@ -73,7 +73,7 @@ def piece_rows(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
                 while at < n:
                     size = (n - at) % capacity or capacity if k == 0 else capacity
                     crc = zlib.crc32(raw[at : at + size])
-                    for col, v in zip(out, (doc, k, at, size, crc, (crc ^ (at * 2654435761)) % salts), strict=True):
+                    for col, v in zip(out, (doc, k, at, size, crc, hash((doc, k, crc)) % salts), strict=True):
                         col.append(v)
                     at, k = at + size, k + 1
             yield pa.RecordBatch.from_arrays(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash
+from . import licenses, line_dedup, packing, secrets, simhash
 from .common import table
 
 
@@ -26,12 +26,89 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def op4_sql() -> str:
+    starts = [
+        f"list_transform(list_filter(range(len(w)), lambda i: {' and '.join(f'w[i + {k + 1}] = {_quoted(x)}' for k, x in enumerate(p.split()))}), lambda i: {{'ord': i, 'label': {_quoted(label)}}})"
+        for p, label in licenses.PHRASES.items()
+    ]
+    templates = ", ".join(f"({_quoted(label)}, [{', '.join(map(_quoted, licenses.template_words(w)))}])" for label, w in licenses.TEMPLATES)
+    return f"""
+with d as (select row_number() over () as rid, doc_id, lower(coalesce(text, '')) as s from documents),
+ b as (select rid, doc_id, s, list_filter(regexp_split_to_array(s, '{licenses.BETWEEN}'), lambda x: x <> '') as w from d),
+ p as (select rid, doc_id, len(w) as n_words, list_concat({', '.join(starts)}) as ord from b),
+ l as (select rid, list_distinct(regexp_split_to_array(unnest(string_split(s, chr(10))), '{licenses.BETWEEN}')) as t from d),
+ q as (select * from (values {templates}) v(label, need)),
+ m as (select rid, label, len(list_intersect(t, need)) * 1e0 / len(need) as c from l cross join q where len(list_intersect(t, need)) >= ceil({licenses.THRESHOLD}e0 * len(need) - 1e-9)),
+ f as (select rid, list(label) as found, max(c) as c from m group by rid)
+select doc_id, cast(n_words as bigint) as n_words, cast(len(ord) as bigint) as n_base,
+ cast(list_min(list_transform(ord, lambda x: x.ord)) as bigint) as first_word, cast(list_max(list_transform(ord, lambda x: x.ord)) as bigint) as last_word,
+ array_to_string(list_sort(list_distinct(list_transform(ord, lambda x: x.label))), ',') as base_labels,
+ array_to_string(list_sort(list_distinct(list_concat(list_transform(ord, lambda x: x.label), coalesce(found, [])))), ',') as labels,
+ case when len(ord) > 0 then 1e0 else coalesce(c, 0e0) end as score
+from p left join f using (rid)"""
+
+
+def op7_sql() -> str:
+    kinds = " union all ".join(
+        f"select rid, {k} as k, {_quoted(kind)} as kind, unnest(string_split_regex(s, {_quoted(p)})) as gap, unnest(regexp_extract_all(s, {_quoted(p)})) as m, "
+        f"unnest(regexp_extract_all(s, {_quoted(p)}, {int(kind == 'assign')})) as v, unnest(range(len(s) + 1)) as ord from d where regexp_matches(s, {_quoted(p)})"
+        for k, (kind, p) in enumerate(secrets.PATTERNS.items())
+    )
+    return f"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as s from documents),
+ r as ({kinds}),
+ e as (select rid, k, kind, m, v, sum(length(gap) + length(m)) over (partition by rid, k order by ord) as fin from r where m is not null),
+ a as (select rid, k, kind, cast(fin - length(m) as bigint) as beg, cast(fin as bigint) as fin from e where case kind when 'assign' then length(v) >= 8 when 'access' then length(m) >= 16
+  when 'secret' then regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]') and length(m) <= {secrets.MAX_TOKEN} else true end),
+ u as (select * from a where kind <> 'secret' or not exists (select 1 from a b where b.rid = a.rid and b.kind in ('assign', 'access', 'hex', 'endpoint') and b.beg < a.fin and b.fin > a.beg)),
+ n as (select rid, k, kind, beg, fin,
+  exists (select 1 from u b where b.rid = u.rid and b.kind in ('access', 'account') and abs(b.beg - u.beg) <= {secrets.SCOPE}) as near_id,
+  exists (select 1 from u b where b.rid = u.rid and b.kind in ('assign', 'hex', 'secret') and abs(b.beg - u.beg) <= {secrets.SCOPE}) as near_secret,
+  exists (select 1 from u b where b.rid = u.rid and b.kind = 'endpoint' and abs(b.beg - u.beg) <= {secrets.SCOPE}) as near_end from u),
+ g as (select rid, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+  string_agg(concat_ws(':', kind, beg, fin), ',' order by beg, k) filter (k < 3) as base, string_agg(concat_ws(':', kind, beg, fin), ',' order by beg, k) as spans
+  from n where k < 3 or case kind when 'secret' then near_id or near_end when 'endpoint' then near_id and near_secret else near_secret end group by rid)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join g using (rid)"""
+
+
+def op10_sql(keep: str = "doc_id, n_lines, n_dropped, text", docs: str = "documents") -> str:
+    return f"""
+with d as (select row_number() over () as rid, * from {docs}),
+ x as (select rid, source, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as ord from d where text is not null),
+ c as (select source, line, count(distinct rid) as n from x where trim(line) <> '' group by source, line),
+ p as (select source, count(*) as pages from d group by source),
+ b as (select c.source, c.line from c join p on c.source is not distinct from p.source where n >= {line_dedup.MIN_PAGES} and n > pages * {line_dedup.RATIO}e0),
+ m as (select x.rid, x.ord, x.line, b.line is not null as bad from x left join b on x.source is not distinct from b.source and x.line = b.line),
+ g as (select rid, cast(count(*) as int) as n_lines, cast(count(*) filter (bad) as int) as n_dropped, coalesce(string_agg(line, chr(10) order by ord) filter (not bad), '') as kept from m group by rid)
+select {keep} from (select d.* exclude (text), coalesce(n_lines, 0) as n_lines, coalesce(n_dropped, 0) as n_dropped, kept as text from d left join g using (rid)) z"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op4_license_scan": op4_license_scan,
+        "op7_secret_scan": op7_secret_scan,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_license_scan": op4_sql(), "op7_secret_scan": op7_sql(), "op10_line_dedup": op10_sql()}
