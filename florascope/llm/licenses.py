@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_key
+from .words import BETWEEN, normalised
 
 #: Phrases of words and their labels.
 PHRASES = {
@@ -46,14 +47,6 @@ TEMPLATES = [
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
 THRESHOLD = 0.9
-#: What stands between words: ASCII characters that are no letters or digits.
-BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
-
-def normalised(text: Column) -> Column:
-    """The text's words, lower-cased, each with a space before and one behind the last (no words: one space)."""
-    return F.regexp_replace(F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" ")), BETWEEN, " ")
-
 
 def template_words(wording: str) -> list[str]:
     import re

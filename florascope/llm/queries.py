@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, line_dedup, packing, secrets, simhash
+from . import decontam, licenses, line_dedup, packing, secrets, simhash
 from .common import table
 
 
@@ -34,6 +34,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", "window_start")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
@@ -100,15 +105,33 @@ with d as (select row_number() over () as rid, * from {docs}),
 select {keep} from (select d.* exclude (text), coalesce(n_lines, 0) as n_lines, coalesce(n_dropped, 0) as n_dropped, kept as text from d left join g using (rid)) z"""
 
 
+def op9_sql() -> str:
+    split = f"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{licenses.BETWEEN}'), lambda x: x <> '')"
+    grams = "unnest(list_transform(range({n} - {k} + 1), lambda i: array_to_string(w[i + 1 : i + {k}], ' ')))"
+    return f"""
+with i as (select item_id, w, len(w) as n, least(len(w), 5) as k from (select item_id, {split} as w from benchmark) z where len(w) > 0),
+ ig as (select item_id, k, n, g, count(*) as c from (select item_id, k, n, {grams.format(n="n", k="k")} as g from i) z group by all),
+ d as (select doc_id, {split} as w from documents),
+ ks as (select distinct k from i),
+ dg as (select doc_id, k, len(w) as nd, {grams.format(n="len(w)", k="k")} as g, unnest(range(len(w) - k + 1)) as pos from d cross join ks where len(w) >= k),
+ h as (select doc_id, item_id, dg.k, n, n - dg.k + 1 as m, nd, pos, g, c from dg join ig using (k, g)),
+ cand as (select doc_id, item_id, k, n, m, nd, unnest(range(greatest(0, pos - m + 1), least(pos, nd - n) + 1)) as s, pos, g, c from h),
+ o as (select doc_id, item_id, m, s, sum(least(cw, c)) as o from (select doc_id, item_id, m, s, g, c, count(*) as cw from cand group by all) z group by doc_id, item_id, m, s),
+ v as (select doc_id, item_id, s, cast(o as double) / cast(2 * m - o as double) as similarity from o),
+ r as (select *, row_number() over (partition by doc_id, item_id order by similarity desc, s) as rn from v where similarity >= {decontam.SIMILARITY}e0)
+select doc_id, item_id, similarity, cast(s as int) as window_start from r where rn = 1"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op4_license_scan": op4_license_scan,
         "op7_secret_scan": op7_secret_scan,
+        "op9_decontamination": op9_decontamination,
         "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": op4_sql(), "op7_secret_scan": op7_sql(), "op10_line_dedup": op10_sql()}
+    return {"op4_license_scan": op4_sql(), "op7_secret_scan": op7_sql(), "op9_decontamination": op9_sql(), "op10_line_dedup": op10_sql()}
