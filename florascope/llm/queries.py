@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, line_dedup, packing, quality, secrets, simhash, toxicity
+from . import ann, decontam, licenses, line_dedup, packing, quality, secrets, simhash, toxicity, warc
 from .common import table
 
 
@@ -26,6 +26,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -59,6 +68,16 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def op3_sql() -> str:
+    digit = "(instr('0123456789abcdef', substr(h, {}, 1)) - 1)"
+    pair = f"({digit.format('5 * i // 4 + 1')} * 16 + {digit.format('5 * i // 4 + 2')})"
+    return f"""
+with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as h from pages),
+ d as (select h, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((({pair} >> cast(3 - 5 * i % 4 as int)) & 31) + 1 as int), 1)), '') as payload_digest, max(page_id) as response_id from (select * from p) z group by h)
+select page_id, payload_bytes, payload_digest, case when page_id = response_id then 'response' else 'revisit' end as record_type, case when page_id <> response_id then response_id end as refers_to
+from p join d using (h)"""
+
+
 def op4_sql() -> str:
     starts = [
         f"list_transform(list_filter(range(len(w)), lambda i: {' and '.join(f'w[i + {k + 1}] = {_quoted(x)}' for k, x in enumerate(p.split()))}), lambda i: {{'ord': i, 'label': {_quoted(label)}}})"
@@ -138,8 +157,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_warc": op3_warc,
         "op4_license_scan": op4_license_scan,
         "op5_toxicity": op5_toxicity,
+        "op6_ann": op6_ann,
         "op7_secret_scan": op7_secret_scan,
         "op8_quality": op8_quality,
         "op9_decontamination": op9_decontamination,
@@ -148,4 +169,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": op4_sql(), "op7_secret_scan": op7_sql(), "op9_decontamination": op9_sql(), "op10_line_dedup": op10_sql()}
+    return {"op3_warc": op3_sql(), "op4_license_scan": op4_sql(), "op7_secret_scan": op7_sql(), "op9_decontamination": op9_sql(), "op10_line_dedup": op10_sql()}
