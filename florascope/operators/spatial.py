@@ -105,8 +105,8 @@ def within_degrees(points: DataFrame, refs: DataFrame, radius: float, how: str =
     """Points within a planar distance in degrees of a reference (inclusive)."""
     by, bx = F.floor(F.col(XY[1]) / radius).cast("int"), F.floor(F.col(XY[0]) / radius).cast("int")
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    right = refs.select(F.col(XY[0]).alias("_lon"), F.col(XY[1]).alias("_lat"), by.alias("y0"), bx.alias("x0")).withColumn("_by", F.col("y0") + F.explode(around))
-    right = right.withColumn("_bx", F.col("x0") + F.explode(around))
+    right = refs.select(F.col(XY[0]).alias("_lon"), F.col(XY[1]).alias("_lat"), by.alias("y0"), bx.alias("x0"), F.explode(around).alias("dy"))
+    right = right.select("_lon", "_lat", "x0", (F.col("y0") + F.col("dy")).alias("_by"), F.explode(around).alias("dx")).withColumn("_bx", F.col("x0") + F.col("dx"))
     left = points.withColumns({"by": by, "bx": bx})
     dx, dy = left[XY[0]] - right["_lon"], left[XY[1]] - right["_lat"]
     return left.join(right, (left["by"] == right["_by"]) & (left["bx"] == right["_bx"]) & (dx * dx + dy * dy <= radius * radius), how).drop("by", "bx")
