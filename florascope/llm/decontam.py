@@ -30,35 +30,26 @@ SIMILARITY = 0.8
 RADIUS = 15
 
 
-def _word_hashes(df: DataFrame, text_col: str) -> DataFrame:
-    """Adds ``n`` words and ``h1``, a hash for each word."""
-    d = df.withColumn("w", F.split(F.trim(normalised(F.col(text_col))), " "))
-    d = d.withColumn("n", F.when(F.element_at("w", 1) == "", 0).otherwise(F.size("w")))
-    return d.withColumn("h1", F.transform("w", lambda x: F.xxhash64(x))).drop("w", text_col)
-
-
-def _shingles(df: DataFrame, k: int) -> DataFrame:
-    """Adds ``h``: a hash for each run of ``k`` words, in order (the last ``k - 1`` entries are void)."""
-    shift = lambda c, by: F.slice(F.col(c), F.lit(by + 1), F.greatest(F.size(c) - by, F.lit(0)))
-    both = lambda a, b: F.xxhash64(a, b)
-    if k == 1:
-        return df.withColumn("h", F.col("h1")).drop("h1")
-    d = df.withColumn("h2", F.zip_with("h1", shift("h1", 1), both))
-    if k == 2:
-        return d.withColumn("h", F.col("h2")).drop("h1", "h2")
-    if k == 3:
-        return d.withColumn("h", F.zip_with("h2", shift("h1", 2), both)).drop("h1", "h2")
-    d = d.withColumn("h4", F.zip_with("h2", shift("h2", 2), both))
-    if k == 4:
-        return d.withColumn("h", F.col("h4")).drop("h1", "h2", "h4")
-    return d.withColumn("h", F.zip_with("h4", shift("h1", 4), both)).drop("h1", "h2", "h4")
+def _words(df: DataFrame, text_col: str) -> DataFrame:
+    """Adds the array of words ``w`` and their number ``n``."""
+    d = df.withColumn("w", F.split(F.trim(normalised(F.col(text_col))), " ")).drop(text_col)
+    return d.withColumn("n", F.when(F.element_at("w", 1) == "", 0).otherwise(F.size("w")))
+
+
+def _shingle(at: str, k: int) -> str:
+    """SQL for the hash of the ``k`` words from index ``at``."""
+    return f"xxhash64({', '.join(f'w[{at} + {j}]' for j in range(k))})"
 
 
 def _simhash(hashes: str) -> Column:
-    """SimHash of an array of 64-bit hashes: a bit is set if over half of them set it."""
-    return F.expr(
-        f"aggregate(sequence(0, 63), 0L, (acc, b) -> acc | if(2 * aggregate({hashes}, 0, (c, h) -> c + cast(shiftright(h, b) & 1L as int)) > size({hashes}), shiftleft(1L, b), 0L))"
-    )
+    """SimHash of an array of 64-bit hashes: a bit is set if over half of them set it.
+
+    Four bits are counted at once, in 16-bit lanes of one long; arrays beyond a lane's range are counted bit by bit.
+    """
+    lanes = f"transform(sequence(0, 15), j -> aggregate({hashes}, 0L, (c, h) -> c + (shiftrightunsigned(h, j) & 281479271743489L)))"
+    fast = f"transform(array({lanes}), c -> aggregate(sequence(0, 63), 0L, (acc, b) -> acc | if(2 * (shiftrightunsigned(c[b % 16], 16 * cast(b div 16 as int)) & 65535L) > size({hashes}), shiftleft(1L, b), 0L)))[0]"
+    slow = f"aggregate(sequence(0, 63), 0L, (acc, b) -> acc | if(2 * aggregate({hashes}, 0, (c, h) -> c + cast(shiftright(h, b) & 1L as int)) > size({hashes}), shiftleft(1L, b), 0L))"
+    return F.expr(f"if(size({hashes}) <= 65535, {fast}, {slow})")
 
 
 def _tagged(hashes: str) -> Column:
@@ -69,28 +60,38 @@ def _tagged(hashes: str) -> Column:
     )
 
 
+def _edges(radius: int) -> list[tuple[int, int]]:
+    """First bit and mask of each of ``radius + 1`` blocks of the 64 bits."""
+    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
+    return [(a, (1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _block(fp: Column, a: int, mask: int) -> Column:
+    return F.shiftrightunsigned(fp, a).bitwiseAND(F.lit(mask).cast("long"))
+
+
 def _blocks(fp: str, radius: int) -> Column:
-    """``(block number, bits of it)`` for ``radius + 1`` blocks of the 64 bits."""
-    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
-    bits = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-    return F.explode(F.array(*bits))
+    """``(block number, bits of it)`` for each block."""
+    return F.explode(F.array(*[F.struct(F.lit(i).alias("block"), _block(F.col(fp), a, mask).alias("bits")) for i, (a, mask) in enumerate(_edges(radius))]))
 
 
 def _links(docs: DataFrame, items: DataFrame, k: int, similarity: float, radius: int) -> DataFrame:
     """Links of the items whose shingles have ``k`` words."""
-    items = _shingles(items, k)
-    items = items.select("item_id", F.col("n").alias("len"), F.slice("h", F.lit(1), F.col("n") - (k - 1)).alias("hs"))
+    items = items.select("item_id", F.col("n").alias("len"), F.expr(f"transform(sequence(0, n - {k}), i -> {_shingle('i', k)})").alias("hs"))
     items = items.select("item_id", "len", "hs", _simhash("hs").alias("ifp"), _tagged("hs").alias("it"))
     items = materialize(items, "bench-items")
     known = materialize(items.select(F.explode("hs").alias("h"), "len").distinct(), "bench-shingles")
     n_known, n_items = known.count(), items.count()
 
-    at = _shingles(docs, k).select("doc_id", "_text", "n", F.posexplode("h").alias("pos", "h")).where(F.col("pos") <= F.col("n") - k)
-    hits = at.join(broadcast_if_small(known, n_known), "h")
+    # places are exploded, not shingles: each is hashed and looked up inside one generated loop
+    at = docs.where(F.col("n") >= k).select("doc_id", "_text", "n", "w", F.explode(F.expr(f"sequence(0, n - {k})")).alias("pos"))
+    hits = at.select("doc_id", "_text", "n", "pos", F.expr(_shingle("pos", k)).alias("h")).join(broadcast_if_small(known, n_known), "h")
     m = F.col("len") - (k - 1)
     need = F.ceil(m * (2 * similarity / (1 + similarity)) - 1e-9).cast("int")
     by_doc = hits.groupBy("doc_id", "_text", "n", "len").agg(F.array_sort(F.collect_set(F.struct("pos", "h"))).alias("a"))
     by_doc = by_doc.withColumns({"m": m, "need": need}).where(F.size("a") >= F.col("need"))
+    # little data, much work: as many tasks as the session shuffles to
+    by_doc = by_doc.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "_text", "len")
     # a window's first known shingle is a[i]: it starts behind a[i - 1], and not so early that too few known ones fit
     windows = by_doc.withColumn(
         "i", F.explode(F.expr("filter(sequence(0, size(a) - need), i -> a[i + need - 1].pos - a[i].pos <= m - 1)"))
@@ -102,10 +103,12 @@ def _links(docs: DataFrame, items: DataFrame, k: int, similarity: float, radius:
     probe = windows.select("*", _blocks("wfp", radius).alias("key")).select("*", "key.*").drop("key")
     index = items.select("*", _blocks("ifp", radius).alias("key")).select("item_id", "len", "it", "ifp", "key.*")
     pairs = probe.join(broadcast_if_small(index, n_items * (radius + 1), 50_000), ["len", "block", "bits"])
-    pairs = pairs.withColumn("hamming", F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp"))).cast("int")).where(F.col("hamming") <= radius)
+    x = F.col("wfp").bitwiseXOR(F.col("ifp"))
+    first = F.coalesce(*[F.when(_block(x, a, mask) == 0, F.lit(i)) for i, (a, mask) in enumerate(_edges(radius))])
+    # a pair that agrees on several blocks is verified once
+    pairs = pairs.withColumn("hamming", F.bit_count(x).cast("int")).where((F.col("hamming") <= radius) & (F.col("block") == first))
     same = F.size(F.array_intersect(_tagged("ws"), F.col("it")))
     pairs = pairs.withColumn("o", same).withColumn("similarity", F.col("o") / (2 * F.col("m") - F.col("o"))).where(F.col("similarity") >= similarity)
-    # several blocks may agree for one pair of a window and an item: the best is taken of them, so repeats don't matter
     return pairs.groupBy("doc_id", "_text", "item_id").agg(
         F.max("similarity").alias("similarity"), F.max_by(F.struct("s", "hamming"), F.struct("similarity", -F.col("s"))).alias("w")
     )
@@ -121,8 +124,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows with a null id are reported with a null id, told apart by their texts.
     Extra columns are not read.
     """
-    d = _word_hashes(docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("_text"), F.col(text_col).alias("text")), "text")
-    items = _word_hashes(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).distinct(), "text").where("n > 0")
+    d = _words(docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("_text"), F.col(text_col).alias("text")), "text")
+    items = _words(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).distinct(), "text").where("n > 0")
     sizes = sorted(r["k"] for r in items.select(F.least("n", F.lit(WORDS)).alias("k")).distinct().collect())  # 1 to 5
     out = None
     for k in sizes:
