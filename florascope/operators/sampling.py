@@ -165,3 +165,14 @@ def environmental_outliers(df: DataFrame, columns: list[str], least: int = 30, r
     chi = lambda z: p * (1 - 2 / (9 * p) + z * (2 / (9 * p)) ** 0.5) ** 3
     scale = df.select(distance(mean, cov).alias("d")).agg(F.expr("percentile(d, 0.5)")).first()[0] / chi(0.0)
     return df.withColumn("outlier", F.coalesce(distance(mean, cov) / float(scale or 1.0) > chi(3.0902), F.lit(False)))
+
+
+def best_thinning(df: DataFrame, id_col: str, km: float, repetitions: int) -> DataFrame:
+    """The repetition of distance thinning that keeps most rows (the first of equal ones), with its rows' ids."""
+    best = None
+    for rep in range(repetitions):
+        kept = cut(distance_thin(df, id_col, km, seed=rep).select(id_col))
+        n = kept.count()
+        if best is None or n > best[0]:
+            best = (n, rep, kept)
+    return best[2].withColumn("repetition", F.lit(best[1]))

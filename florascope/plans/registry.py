@@ -1,6 +1,6 @@
 """All registered queries of the library (the training-data operators register their own)."""
 
-from . import spatial, store  # noqa: F401
+from . import grid, spatial, stats, store  # noqa: F401
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
