@@ -292,3 +292,79 @@ def presence_weights(df: DataFrame, tier: Column, density: Column) -> DataFrame:
 def likelihood_ratio_p(statistic: float) -> float:
     """Upper tail of the chi-square distribution with one degree of freedom."""
     return math.erfc(math.sqrt(max(statistic, 0.0) / 2))
+
+
+def poisson_log_likelihood(df: DataFrame, model: dict, offset: str | None = None) -> float:
+    """Log likelihood of a point process at presences less its integral over the quadrature cells."""
+    eta = _linear(features(model["columns"], model["scale"], model["kinds"]), np.array(model["beta"])) + (F.col(offset) if offset else F.lit(0.0))
+    q = F.count_if(F.col("y") == 0)
+    r = df.agg(F.sum(F.when(F.col("y") == 1, eta)), F.sum(F.when(F.col("y") == 0, F.exp(F.least(eta, F.lit(30.0))))), q).first()
+    return float((r[0] or 0.0) - (r[1] or 0.0) / max(r[2], 1))
+
+
+def offset_test(df: DataFrame, columns: list[str], bias: str) -> DataFrame:
+    """Does effort act as a plain offset? Likelihood ratio of a free bias coefficient against the offset."""
+    fixed = fit_ppm(df, columns, offset=bias, kinds="lq", rounds=15)
+    free = fit_ppm(df, [*columns, bias], kinds="lq", rounds=15)
+    a, b = poisson_log_likelihood(df, fixed, bias), poisson_log_likelihood(df, free)
+    lr = max(0.0, 2 * (b - a))
+    return df.sparkSession.createDataFrame([(a, b, lr, likelihood_ratio_p(lr))], "offset_ll double, free_ll double, statistic double, p_value double")
+
+
+def shared_bias(df: DataFrame, species: str, columns: list[str], bias: str, rounds: int = 12) -> DataFrame:
+    """``species, coefficient``: bias coefficient of all species together (species null) and of each alone.
+
+    The joint fit has one intercept and climate response for each species and a
+    common bias term; species are few, so their dummies are columns.
+    """
+    names = sorted(r[0] for r in df.select(species).distinct().collect())  # the peers of one target group
+    wide, cols = df, []
+    for s in names:
+        on = (F.col(species) == s).cast("double")
+        wide = wide.withColumn(f"_s{s}", on)
+        cols.append(f"_s{s}")
+        for c in columns:
+            wide = wide.withColumn(f"_s{s}_{c}", on * F.col(c))
+            cols.append(f"_s{s}_{c}")
+    m = fit_ppm(wide, [*cols, bias], kinds="l", rounds=rounds)
+    rows = [(None, m["beta"][-1] / m["scale"][bias][1])]
+    for s in names:
+        one = fit_ppm(df.where(F.col(species) == s), [*columns, bias], kinds="l", rounds=rounds)
+        rows.append((str(s), one["beta"][-1] / one["scale"][bias][1]))
+    return df.sparkSession.createDataFrame(rows, "species string, coefficient double")
+
+
+def fit_integrated(presence_only: DataFrame, survey: DataFrame, columns: list[str], rounds: int = 20, ridge: float = 1e-3) -> dict:
+    """Presence-only point process and survey presence/absence with one response: Fisher scoring on the summed likelihoods.
+
+    Surveys follow a complementary log-log link with their own intercept, so
+    both parts share the slopes.
+    """
+    scale = standardiser(presence_only, columns)
+    feats = features(columns, scale, "lq")
+    p = len(feats) + 2  # two intercepts
+    q = presence_only.where("y = 0").count() or 1
+    make = lambda d, first: d.select(F.col("y").cast("double").alias("_y"), F.lit(1.0 - first).alias("_f0"), F.lit(float(first)).alias("_f1"), *[f.alias(f"_f{i + 2}") for i, f in enumerate(feats.values())])
+    po, pa = make(presence_only, 0), make(survey, 1)
+    both = cut(po.withColumn("_po", F.lit(True)).unionByName(pa.withColumn("_po", F.lit(False))))
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    beta = np.zeros(p)
+    for step in range(rounds):
+        eta = F.greatest(F.least(sum((F.col(f"_f{i}") * float(b) for i, b in enumerate(beta)), F.lit(0.0)), F.lit(20.0)), F.lit(-20.0))
+        lam = F.exp(eta)
+        hit = F.greatest(1.0 - F.exp(-lam), F.lit(1e-12))
+        g = F.when(F.col("_po"), F.when(F.col("_y") == 1, 1.0).otherwise(-lam / float(q))).otherwise(F.when(F.col("_y") == 1, lam * F.exp(-lam) / hit).otherwise(-lam))
+        v = F.when(F.col("_po"), F.when(F.col("_y") == 1, 0.0).otherwise(lam / float(q))).otherwise(lam * lam * F.exp(-lam) / hit)
+        d = both.withColumns({"_g": g, "_v": v})
+        r = d.agg(*[F.sum(F.col(f"_f{i}") * F.col("_g")) for i in range(p)], *[F.sum(F.col(f"_f{i}") * F.col(f"_f{j}") * F.col("_v")) for i, j in pairs]).first()
+        h = np.diag(np.r_[1e-6, 1e-6, np.full(p - 2, ridge)])
+        for (i, j), x in zip(pairs, r[p:], strict=True):
+            h[i, j] += x or 0.0
+            if i != j:
+                h[j, i] += x or 0.0
+        move = np.linalg.lstsq(h, np.array([x or 0.0 for x in r[:p]]) - ridge * np.r_[0, 0, beta[2:]], rcond=None)[0]
+        size = float(np.abs(move).max())
+        beta = beta + move * min(1.0, 3.0 / max(size, 1e-12))
+        if size < 1e-6:
+            break
+    return {"kind": "integrated", "columns": columns, "scale": scale, "kinds": "lq", "names": list(feats), "beta": [beta[1], *beta[2:].tolist()], "rounds": step + 1}
