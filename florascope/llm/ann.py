@@ -6,7 +6,9 @@ on a bounded sample; every vector is then put into its leaf. A query walks the
 tree best bin first: a priority queue holds the nodes seen so far by their
 distance, the nearest is opened next, and leaves are visited until the number
 calibrated for the wanted recall is reached. Leaves are cut into tiles of bounded
-size on both sides, and each tile is one block of exact scores.
+size on both sides, and each tile is one block of exact scores. What the sample's
+vectors in a query's visited leaves score bounds its k-th score from below, so a
+tile returns only rows that can still be among the nearest.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ EVERY = 20
 SAMPLE = 20_000
 BRANCH = 8
 #: Vectors of the whole table a leaf should hold, as far as the sample allows.
-LEAF_ROWS = 400
+LEAF_ROWS = 1000
 LEAST_SAMPLE_PER_LEAF = 8
 #: Recall on the sample that calibration asks for, and its number of queries.
-RECALL = 0.97
+RECALL = 0.95
 CALIBRATION_QUERIES = 200
 #: Largest tile: vectors and queries.
 TILE_VECTORS = 20_000
@@ -158,12 +160,13 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, every: int = EVERY, recall:
     base = materialize(v.withColumn("nth", F.row_number().over(small)).where(F.col("nth") <= k + 1).select("vec_id", "v", "d1", "nth"), "ann-base")
     queries = v.where(F.col("vec_id") % every == 0).select("vec_id", "v")
 
-    sample = base.where("nth = 1").orderBy("d1", "vec_id").limit(SAMPLE).select("v").toPandas()["v"]
-    x = widened(np.array(sample.tolist(), dtype=np.float64), most)
+    sample = base.where("nth = 1").orderBy("d1", "vec_id").limit(SAMPLE).select("vec_id", "v").toPandas()
+    x = widened(np.array(sample["v"].tolist(), dtype=np.float64), most)
     leaf_rows = max(LEAST_SAMPLE_PER_LEAF, int(LEAF_ROWS * min(1.0, len(x) / n)))
     tree = build_tree(x, leaf_rows)
     visits = calibrate(tree, x, k, recall)
-    sent = spark.sparkContext.broadcast((tree, visits))  # at most SAMPLE / 4 nodes
+    # at most SAMPLE vectors and their tree
+    sent = spark.sparkContext.broadcast((tree, visits, sample["vec_id"].to_numpy(), x[:, :-1], leaf_of(tree, x)))
 
     def to_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,32 +174,38 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, every: int = EVERY, recall:
             yield b.append_column("leaf", pa.array(leaf.astype(np.int32)))
 
     def to_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, visits, ids, known, at = sent.value
         for b in batches:
             m = _matrix(b.column(1)) if len(b) else np.empty((0, dim))
-            walks = [leaves_by_distance(sent.value[0], q, sent.value[1]) for q in np.append(m, np.zeros((len(m), 1)), axis=1)]
-            yield b.append_column("leaves", pa.array(walks, pa.list_(pa.int32())))
+            walks, floors = [], []
+            for own, q in zip(b.column(0).to_numpy(), m, strict=True):
+                walks.append(leaves_by_distance(tree, np.append(q, 0.0), visits))
+                s = (known @ q)[np.isin(at, walks[-1]) & (ids != own)]
+                floors.append(float(np.partition(s, len(s) - k)[len(s) - k]) if len(s) >= k else -np.inf)
+            yield b.append_column("leaves", pa.array(walks, pa.list_(pa.int32()))).append_column("least", pa.array(floors, pa.float64()))
 
     placed = materialize(base.select("vec_id", "v").mapInArrow(to_leaf, "vec_id long, v array<float>, leaf int"), "ann-leaves")
-    asked = materialize(queries.mapInArrow(to_leaves, "vec_id long, v array<float>, leaves array<int>"), "ann-queries")
+    asked = materialize(queries.mapInArrow(to_leaves, "vec_id long, v array<float>, leaves array<int>, least double"), "ann-queries")
     per_leaf = placed.groupBy("leaf").agg(F.ceil(F.count("*") / TILE_VECTORS).cast("int").alias("vparts"))
     per_query = asked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / TILE_QUERIES).cast("int").alias("qparts"))
     tiles = F.broadcast(per_leaf.join(per_query, "leaf"))  # a row for each leaf: at most SAMPLE / LEAST_SAMPLE_PER_LEAF times BRANCH
     to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     tile = lambda own, n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int").alias(own)
     left = placed.join(tiles, "leaf").select("leaf", tile("vt", "vparts"), to("qparts").alias("qt"), "vec_id", "v")
-    right = asked.select("vec_id", "v", F.explode("leaves").alias("leaf")).join(tiles, "leaf").select("leaf", to("vparts").alias("vt"), tile("qt", "qparts"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    right = asked.select("vec_id", "v", "least", F.explode("leaves").alias("leaf")).join(tiles, "leaf").select("leaf", to("vparts").alias("vt"), tile("qt", "qparts"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "least")
 
     def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
         ids, m = a["vec_id"].to_numpy(), np.stack(a["v"].to_numpy()).astype(np.float64)
-        qids, qm = b["query_id"].to_numpy(), np.stack(b["q"].to_numpy()).astype(np.float64)
+        qids, qm, least = b["query_id"].to_numpy(), np.stack(b["q"].to_numpy()).astype(np.float64), b["least"].to_numpy()
         out = []
         for at in range(0, len(qids), 128):
             s = qm[at : at + 128] @ m.T
             s[qids[at : at + 128, None] == ids] = -np.inf
             floor = np.partition(s, max(0, len(ids) - k - 1), axis=1)[:, max(0, len(ids) - k - 1)] if len(ids) > k else np.full(len(s), -np.inf)
-            qi, vi = np.nonzero((s >= (floor - 1e-9 * np.maximum(1, np.abs(floor)))[:, None]) & (s > -np.inf))
+            floor = np.maximum(floor, least[at : at + 128])
+            qi, vi = np.nonzero((s >= np.where(np.isfinite(floor), floor - 1e-9 * np.maximum(1, np.abs(floor)), -np.inf)[:, None]) & (s > -np.inf))
             exact = (qm[at + qi] * m[vi]).sum(axis=1)  # summed in one order everywhere, so that copies tie
             order = np.lexsort((ids[vi], -exact, qi))
             qi, vi, exact = qi[order], vi[order], exact[order]
