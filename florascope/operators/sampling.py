@@ -65,6 +65,11 @@ def weighted_with_replacement(df: DataFrame, id_col: str, weight: str, n: int, s
     return hit.join(d, "_b").where((F.col("_at") > F.col("_lo")) & (F.col("_at") <= F.col("_hi"))).drop("_b", "_at", "_lo", "_hi")
 
 
+def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
+    """The first ``n`` rows in seeded order."""
+    return df.orderBy(seeded(F.col(id_col), seed), id_col).limit(n)
+
+
 def pair_distances(df: DataFrame, id_col: str, value: str | None = None) -> DataFrame:
     """Distances of all pairs of a small sample (the caller bounds it)."""
     cols = [id_col, *XY, *([value] if value else [])]
@@ -73,9 +78,9 @@ def pair_distances(df: DataFrame, id_col: str, value: str | None = None) -> Data
     return pairs.withColumn("km", hav_km(F.col(f"a_{XY[0]}"), F.col(f"a_{XY[1]}"), F.col(f"b_{XY[0]}"), F.col(f"b_{XY[1]}")))
 
 
-def variogram(df: DataFrame, id_col: str, value: str, bins: int = 20) -> DataFrame:
-    """``bin, n, km, gamma``: half squared differences by distance, up to half the largest distance."""
-    d = pair_distances(df, id_col, value).withColumn("g", 0.5 * (F.col(f"a_{value}") - F.col(f"b_{value}")) * (F.col(f"a_{value}") - F.col(f"b_{value}")))
+def variogram(df: DataFrame, id_col: str, value: str, bins: int = 20, sample: int = 1000, seed: int = 9) -> DataFrame:
+    """``bin, n, km, gamma``: half squared differences by distance, up to half the largest distance, of the pairs of a seeded sample."""
+    d = pair_distances(seeded_sample(df, id_col, sample, seed), id_col, value).withColumn("g", 0.5 * (F.col(f"a_{value}") - F.col(f"b_{value}")) * (F.col(f"a_{value}") - F.col(f"b_{value}")))
     half = d.agg((F.max("km") / 2.0).alias("half"))
     d = d.crossJoin(F.broadcast(half)).where(F.col("km") <= F.col("half"))  # one row
     return d.groupBy(F.least(F.floor(F.col("km") / (F.col("half") / float(bins))), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.avg("km").alias("km"), F.avg("g").alias("gamma"))

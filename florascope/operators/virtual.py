@@ -15,7 +15,7 @@ def benchmark(cells: DataFrame, effort: DataFrame, n: int = 800, seed: int = 5)
         "id": (F.col("row") * 360 + F.col("col")).cast("long"),
         "truth": F.exp(-0.5 * F.pow((F.col("bio1") - 16.0) / 5.0, F.lit(2.0)) - 0.5 * F.pow((F.col("bio12") - 1100.0) / 500.0, F.lit(2.0))),
     })
-    background = truth.where("id % 9 = 0").select(F.lit(0).alias("y"), "bio1", "bio12", F.log1p("effort").alias("o"))
+    background = truth.select(F.lit(0).alias("y"), "bio1", "bio12", F.log1p("effort").alias("o"))
     out = None
     for variant, weight, offset in (("unbiased", F.col("truth"), None), ("biased", F.col("truth") * (F.col("effort") + 0.2), None), ("biased with offset", F.col("truth") * (F.col("effort") + 0.2), "o")):
         drawn = sampling.weighted_with_replacement(truth.withColumn("w", weight), "id", "w", n, seed).select(F.lit(1).alias("y"), "bio1", "bio12", F.log1p("effort").alias("o"))

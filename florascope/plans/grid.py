@@ -21,7 +21,7 @@ def zoned(v):
     cells = v.cells
     points = cells.select("row", "col", F.col("lon").alias("longitude"), F.col("lat").alias("latitude"))
     native = spatial.in_polygons(points, v.edges.where("poly = 0"), ["row", "col"]).select("row", "col").distinct().withColumn("_n", F.lit(True))
-    occupied = spatial.within_degrees(points, v.occ.where("record_id % 30 = 0 AND range_label = 'native'"), 1.5).select("row", "col").withColumn("_o", F.lit(True))
+    occupied = spatial.within_degrees(points, v.occ.where("range_label = 'native'"), 1.5).select("row", "col").withColumn("_o", F.lit(True))
     d = cells.join(native, ["row", "col"], "left").join(occupied, ["row", "col"], "left")
     d = d.withColumns({"native": F.coalesce("_n", F.lit(False)), "occupied": F.coalesce("_o", F.lit(False)), "suitable": F.col("suitability") >= 0.3, "area": grid.area()}).drop("_n", "_o")
     return d.withColumn("zone", grid.zones(F.col("suitable"), F.col("native"), F.col("occupied")))
@@ -38,11 +38,11 @@ def _mess_sql(c: str) -> str:
  f_{c} as (select v, (sum(m) over (order by v) - m) * 100e0 / n as f, mn, mx from u_{c} cross join n_{c}), s_{c} as (select v, case when f = 0 then (v - mn) / (mx - mn) * 100e0 when f <= 50 then 2e0 * f when f < 100 then 2e0 * (100e0 - f) else (mx - v) / (mx - mn) * 100e0 end as sim from f_{c})"""
 
 
-_MESS = f"with tgt as (select row, col, lat, bio1, bio12, suitability from cells where (row * 360 + col) % 11 = 3), {_mess_sql('bio1')}, {_mess_sql('bio12')}, m as (select t.row, t.col, t.lat, t.suitability, least(a.sim, b.sim) as mess, case when a.sim <= b.sim then 'bio1' else 'bio12' end as most_dissimilar from tgt t join s_bio1 a on a.v = t.bio1 join s_bio12 b on b.v = t.bio12)"
+_MESS = f"with tgt as (select row, col, lat, bio1, bio12, suitability from cells), {_mess_sql('bio1')}, {_mess_sql('bio12')}, m as (select t.row, t.col, t.lat, t.suitability, least(a.sim, b.sim) as mess, case when a.sim <= b.sim then 'bio1' else 'bio12' end as most_dissimilar from tgt t join s_bio1 a on a.v = t.bio1 join s_bio12 b on b.v = t.bio12)"
 
 
 def _mess(v):
-    return grid.mess(v.pred.select("bio1", "bio12"), v.cells.where("(row * 360 + col) % 11 = 3"), ["bio1", "bio12"])
+    return grid.mess(v.pred.select("bio1", "bio12"), v.cells, ["bio1", "bio12"])
 
 
 @query("GRD2_mess", _MESS + " select row, col, round(mess, 4) as mess, most_dissimilar from m")
@@ -64,18 +64,18 @@ def grd3(v):
     return d.select("row", "col", F.round("nt1", 6).alias("nt1"), F.col("nt1_most").alias("most"))
 
 
-@query("GRD3_exdet_nt2", "with m as (select avg(bio1) as m1, avg(bio12) as m2, var_samp(bio1) as v1, var_samp(bio12) as v2, covar_samp(bio1, bio12) as c from pred), q as (select m1, m2, v2 / (v1 * v2 - c * c) as i11, v1 / (v1 * v2 - c * c) as i22, -c / (v1 * v2 - c * c) as i12 from m), d as (select max((bio1 - m1) * (bio1 - m1) * i11 + (bio12 - m2) * (bio12 - m2) * i22 + 2e0 * (bio1 - m1) * (bio12 - m2) * i12) as top from pred cross join q) select row, col, round(((bio1 - m1) * (bio1 - m1) * i11 + (bio12 - m2) * (bio12 - m2) * i22 + 2e0 * (bio1 - m1) * (bio12 - m2) * i12) / top, 5) as nt2 from cells cross join q cross join d where row % 3 = 0")
+@query("GRD3_exdet_nt2", "with m as (select avg(bio1) as m1, avg(bio12) as m2, var_samp(bio1) as v1, var_samp(bio12) as v2, covar_samp(bio1, bio12) as c from pred), q as (select m1, m2, v2 / (v1 * v2 - c * c) as i11, v1 / (v1 * v2 - c * c) as i22, -c / (v1 * v2 - c * c) as i12 from m), d as (select max((bio1 - m1) * (bio1 - m1) * i11 + (bio12 - m2) * (bio12 - m2) * i22 + 2e0 * (bio1 - m1) * (bio12 - m2) * i12) as top from pred cross join q) select row, col, round(((bio1 - m1) * (bio1 - m1) * i11 + (bio12 - m2) * (bio12 - m2) * i22 + 2e0 * (bio1 - m1) * (bio12 - m2) * i12) / top, 5) as nt2 from cells cross join q cross join d")
 def grd3b(v):
-    d = diagnostics.nt2(v.cells.where("row % 3 = 0"), v.pred, ["bio1", "bio12"])
+    d = diagnostics.nt2(v.cells, v.pred, ["bio1", "bio12"])
     return d.select("row", "col", F.round("nt2", 5).alias("nt2"))
 
 
 _KNN = "select a.vec_id, round(min(sqrt(list_sum(list_transform(list_zip(cast(a.embedding as double[]), cast(b.embedding as double[])), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))), 5) as distance from embeddings a join embeddings b on {} group by 1"
 
 
-@query("JOIN9_nearest_in_feature_space", _KNN.format("b.vec_id % 2 = 0 and a.vec_id % 2 = 1"))
+@query("JOIN9_nearest_in_feature_space", _KNN.format("b.label = 0 and a.label <> 0"))
 def join9(v):
-    d = diagnostics.nearest_distance(v.embeddings.where("vec_id % 2 = 1"), v.embeddings.where("vec_id % 2 = 0"), "vec_id", "embedding")
+    d = diagnostics.nearest_distance(v.embeddings.where("label <> 0"), v.embeddings.where("label = 0"), "vec_id", "embedding")
     return d.select("vec_id", F.round("distance", 5).alias("distance"))
 
 
@@ -88,8 +88,8 @@ def join9b(v):
 @query("GRD4_mop_shape_aoa")
 def grd4(v):
     cols = ["bio1", "bio4", "bio12"]
-    ref = v.cells.where("suitability > 0.5 AND (row + col) % 5 = 0").select(*cols, (F.col("row") % 4).alias("fold"))
-    return diagnostics.distances(v.cells.where("(row * 360 + col) % 11 = 3"), ref, cols, "fold").select("row", "col", "mop", "shape", "aoa", "mop_out", "shape_out", "aoa_out")
+    ref = v.cells.where("suitability > 0.5").select(*cols, (F.col("row") % 4).alias("fold"))
+    return diagnostics.distances(v.cells, ref, cols, "fold").select("row", "col", "mop", "shape", "aoa", "mop_out", "shape_out", "aoa_out")
 
 
 _FLAGS = "select row, col, cast(bio1 < 0 as int) + cast(bio1 > 25 as int) + cast(bio12 < 600 as int) + cast(bio4 > 900 as int) + cast(suitability < 0.1e0 as int) as consensus"
@@ -296,8 +296,8 @@ def agg46(v):
     return v.cells.groupBy(F.floor(F.col("row") / 2.0).cast("int").alias("trow"), F.floor(F.col("col") / 2.0).cast("int").alias("tcol")).agg(F.round(F.avg(F.col("bio1") * 10.0 * 0.1 - 273.15), 5).alias("value"))
 
 
-@query("MOD_expr_cloglog", "select row, col, round(1e0 - exp(-exp(greatest(least((bio1 - 20e0) / 4e0, 30e0), -30e0))), 6) as p from cells where row % 4 = 0")
+@query("MOD_expr_cloglog", "select row, col, round(1e0 - exp(-exp(greatest(least((bio1 - 20e0) / 4e0, 30e0), -30e0))), 6) as p from cells")
 def mod_expr(v):
     from florascope.functions.scalars import cloglog
 
-    return v.cells.where("row % 4 = 0").select("row", "col", F.round(cloglog((F.col("bio1") - 20.0) / 4.0), 6).alias("p"))
+    return v.cells.select("row", "col", F.round(cloglog((F.col("bio1") - 20.0) / 4.0), 6).alias("p"))

@@ -79,7 +79,7 @@ def mod5b(v):
 @query("MOD6_shared_bias")
 def mod6(v):
     d = v.occ_cells.join(v.cells, ["row", "col"]).where("taxon_key IN (5000001, 5000002)").select(F.col("taxon_key").alias("species"), F.lit(1).alias("y"), "bio1", F.log1p("bio12").alias("effort"))
-    background = v.cells.where("(row * 360 + col) % 7 = 0").select(F.explode(F.array(F.lit(5000001), F.lit(5000002))).alias("species"), F.lit(0).alias("y"), "bio1", F.log1p("bio12").alias("effort"))
+    background = v.cells.select(F.explode(F.array(F.lit(5000001), F.lit(5000002))).alias("species"), F.lit(0).alias("y"), "bio1", F.log1p("bio12").alias("effort"))
     return models.shared_bias(d.unionByName(background), "species", ["bio1"], "effort")
 
 
@@ -111,7 +111,12 @@ def mod10(v):
 
 @query("MOD11_native_range")
 def mod11(v):
-    return models.native_range(v.occ.where("taxon_key = 5000001 AND range_label <> 'native' AND record_id % 8 = 1"), "record_id")
+    return models.native_range(v.occ.where("taxon_key = 5000001"), "record_id")
+
+
+@query("MOD11_largest_cluster")
+def mod11b(v):
+    return models.native_range(v.occ.where("taxon_key = 5000001 AND range_label <> 'native'"), "record_id")
 
 
 @query("MOD12_climate_crosscheck", "with r as (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2e0 as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2e0 as rb from (select c.suitability as a, s.suitability as b from cells c join scen s on s.row = c.row and s.col = c.col where s.name = 'g1_ssp245_p1') t) select round(corr(ra, rb), 5) as rho, case when corr(ra, rb) >= 0.9e0 then 'consistent' when corr(ra, rb) >= 0.7e0 then 'partly consistent' else 'inconsistent' end as verdict from r")
@@ -131,15 +136,15 @@ def mod13(v):
     return out
 
 
-@query("MOD14_inferred_absences", "select count(*) as n, round(avg(suitability), 6) as mean from cells where suitability < 0.1e0 and (row * 7919 + col) % 10 = 0")
+@query("MOD14_inferred_absences", "select count(*) as n, round(avg(suitability), 6) as mean from cells where suitability < 0.1e0")
 def mod14(v):
-    return v.cells.where((F.col("suitability") < 0.1) & ((F.col("row") * 7919 + F.col("col")) % 10 == 0)).agg(F.count("*").alias("n"), F.round(F.avg("suitability"), 6).alias("mean"))
+    return v.cells.where(F.col("suitability") < 0.1).agg(F.count("*").alias("n"), F.round(F.avg("suitability"), 6).alias("mean"))
 
 
 @query("MOD15_transferability")
 def mod15(v):
     d = v.occ_cells.join(v.cells, ["row", "col"])
-    background = v.cells.where("(row * 360 + col) % 7 = 0").select(F.lit(0).alias("y"), *COLS)
+    background = v.cells.select(F.lit(0).alias("y"), *COLS)
     train = d.where("range_label = 'native'").select(F.lit(1).alias("y"), *COLS).unionByName(background)
     test = d.where("range_label = 'introduced'").select(F.lit(1).alias("y"), *COLS).unionByName(background)
     return stats.auc(test.select("y", models.predict(models.fit_glm(train, COLS, rounds=8)).alias("s")))
@@ -156,4 +161,4 @@ def smp5c(v):
     cells = v.cells.join(e, ["row", "col"]).select((F.col("row") * 360 + F.col("col")).cast("long").alias("id"), F.col("lon").alias("longitude"), F.col("lat").alias("latitude"))
     from florascope.operators.spatial import within
 
-    return sampling.distance_thin(within(cells, v.occ.where("record_id % 30 = 0"), 100.0, how="left_anti"), "id", 300.0, seed=2).select("id")
+    return sampling.distance_thin(within(cells, v.occ, 100.0, how="left_anti"), "id", 300.0, seed=2).select("id")

@@ -44,9 +44,9 @@ def sca5(v):
     return v.nation.select("n_nationkey", sc.xml_escape(F.concat(F.lit("<"), "n_name", F.lit(' & "co">'))).alias("title"))
 
 
-@query("SCA6_alert_sentence", "select taxon_key, concat(cast(count(*) as varchar), ' new record', case when count(*) = 1 then '' else 's' end, ' of taxon ', cast(taxon_key as varchar), ' outside the known range') as sentence from occ where record_id % 500 = 0 group by 1")
+@query("SCA6_alert_sentence", "select taxon_key, concat(cast(count(*) as varchar), ' new record', case when count(*) = 1 then '' else 's' end, ' of taxon ', cast(taxon_key as varchar), ' outside the known range') as sentence from occ group by 1")
 def sca6(v):
-    n = v.occ.where("record_id % 500 = 0").groupBy("taxon_key").agg(F.count("*").alias("n"))
+    n = v.occ.groupBy("taxon_key").agg(F.count("*").alias("n"))
     return n.select("taxon_key", F.concat(F.col("n").cast("string"), F.lit(" new record"), F.when(F.col("n") == 1, "").otherwise("s"), F.lit(" of taxon "), F.col("taxon_key").cast("string"), F.lit(" outside the known range")).alias("sentence"))
 
 
@@ -107,10 +107,10 @@ def jsn1(v):
     return v.events.select("event_id", (F.from_json("props", "k long")["k"] + 1).alias("next"))
 
 
-@query("JSN3_finite_json", "select row, col, concat('{\"v\":', case when bio1 > 20 then 'null' else cast(cast(floor(bio1) as bigint) as varchar) end, '}') as j from cells where row % 10 = 0")
+@query("JSN3_finite_json", "select row, col, concat('{\"v\":', case when bio1 > 20 then 'null' else cast(cast(floor(bio1) as bigint) as varchar) end, '}') as j from cells")
 def jsn3(v):
     x = sc.finite(F.when(F.col("bio1") > 20, F.lit(float("nan"))).otherwise(F.floor("bio1").cast("double"))).cast("long")
-    return v.cells.where("row % 10 = 0").select("row", "col", F.to_json(F.struct(x.alias("v")), {"ignoreNullFields": "false"}).alias("j"))
+    return v.cells.select("row", "col", F.to_json(F.struct(x.alias("v")), {"ignoreNullFields": "false"}).alias("j"))
 
 
 @query("HSH1_sha256", "select doc_id, sha256(coalesce(text, '')) as digest from documents")
@@ -145,13 +145,13 @@ def _scratch(v, name: str) -> str:
     return f"{v.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
-@query("SRC3_zipped_table")
+@query("SRC3_zipped_table", "select cast(n_nationkey as bigint) as n_nationkey, cast(n_regionkey as bigint) as n_regionkey, n_name from nation")
 def src3(v):
-    """A zipped tab-separated table, written here from the store and read back by the reader."""
-    rows = v.occ.where("record_id % 100 = 0").select("record_id", "longitude", "locality").orderBy("record_id").limit(500).collect()
+    """A zipped tab-separated table, written here and read back by the reader."""
+    rows = v.nation.select("n_nationkey", "n_regionkey", "n_name").collect()  # 25 rows
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("0001.csv", "gbifID\tdecimalLongitude\tlocality\n" + "".join(f"{r[0]}\t{r[1]}\t{r[2] or ''}\n" for r in rows))
+        z.writestr("0001.csv", "n_nationkey\tn_regionkey\tn_name\n" + "".join(f"{r[0]}\t{r[1]}\t{r[2] or ''}\n" for r in rows))
     path = _scratch(v, "zip")
     local = path.removeprefix("file:")
     import os
@@ -160,15 +160,15 @@ def src3(v):
     with open(f"{local}/records.zip", "wb") as f:
         f.write(buffer.getvalue())
     d = readers.zipped_table(v.spark, path)
-    return d.select(F.col("fields")["gbifID"].cast("long").alias("record_id"), F.col("fields")["decimalLongitude"].cast("double").alias("longitude"), F.col("fields")["locality"].alias("locality"))
+    return d.select(F.col("fields")["n_nationkey"].cast("long").alias("n_nationkey"), F.col("fields")["n_regionkey"].cast("long").alias("n_regionkey"), F.col("fields")["n_name"].alias("n_name"))
 
 
-@query("SRC10_upload_reader")
+@query("SRC10_upload_reader", "select longitude, latitude, case when record_id % 2 = 1 then 'present' else 'absent' end as status from occ")
 def src10(v):
     """A semicolon-separated survey with decimal commas, written here and read back by the reader."""
     path = _scratch(v, "upload")
     comma = lambda c: F.replace(F.col(c).cast("string"), F.lit("."), F.lit(","))
-    v.occ.where("record_id % 50 = 0").select(comma("longitude").alias("Decimal Longitude"), comma("latitude").alias("Decimal Latitude"), (F.col("record_id") % 2).cast("string").alias("presence")).write.csv(path, sep=";", header=True)
+    v.occ.select(comma("longitude").alias("Decimal Longitude"), comma("latitude").alias("Decimal Latitude"), (F.col("record_id") % 2).cast("string").alias("presence")).write.csv(path, sep=";", header=True)
     up = readers.read_upload(v.spark, path)
     c = readers.detect_columns(up)
     return up.select(readers.decimal(F.col(f"`{c['longitude']}`")).alias("longitude"), readers.decimal(F.col(f"`{c['latitude']}`")).alias("latitude"), readers.upload_status(F.col(f"`{c['status']}`")).alias("status"))
@@ -204,30 +204,30 @@ def tile_bytes(points: list[tuple[int, int, int]], layer: str = "occurrence", ex
     return field(3, body)
 
 
-@query("SRC8_vector_tiles")
+@query("SRC8_vector_tiles", "select cast(floor(px_col / 128e0) as int) as tx, cast(floor(px_row / 128e0) as int) as ty, px_col % 128 as x, px_row % 128 as y, cnt as total from eff")
 def src8(v):
-    """Vector tiles of effort pixels, encoded here and decoded by the table function."""
-    pixels = v.eff.where("px_row < 60").orderBy("px_row", "px_col").limit(200).collect()
-    by_tile: dict[int, list] = {}
-    for r in pixels:
-        by_tile.setdefault(r["px_row"] % 4, []).append((r["px_col"] % 512, r["px_row"], r["cnt"]))
-    t = v.spark.createDataFrame([(k, 0, bytearray(tile_bytes(p))) for k, p in by_tile.items()], "tx int, ty int, data binary")
-    d = tiles.decode(t, "occurrence")
-    lon, lat = tiles.pixel_centre(F.lit(2), F.col("tx"), F.col("ty"), F.col("x"), F.col("y"), F.col("extent"))
-    return d.select("tx", "x", "y", F.round(lon, 6).alias("longitude"), F.round(lat, 6).alias("latitude"), F.col("properties")["total"].cast("long").alias("total"))
-
-
-@query("SRC4_paged_search")
+    """Effort pixels encoded as vector tiles, one tile to a group, and decoded by the table function."""
+    import pandas as pd
+
+    def encode(g: pd.DataFrame) -> pd.DataFrame:  # at most 128 x 128 pixels
+        return pd.DataFrame({"tx": [g["tx"].iloc[0]], "ty": [g["ty"].iloc[0]], "data": [tile_bytes(list(zip(g["x"], g["y"], g["cnt"], strict=True)), extent=128)]})
+
+    p = v.eff.select(F.floor(F.col("px_col") / 128.0).cast("int").alias("tx"), F.floor(F.col("px_row") / 128.0).cast("int").alias("ty"), (F.col("px_col") % 128).alias("x"), (F.col("px_row") % 128).alias("y"), "cnt")
+    t = p.groupBy("tx", "ty").applyInPandas(encode, "tx int, ty int, data binary")
+    return tiles.decode(t, "occurrence").select("tx", "ty", "x", "y", F.col("properties")["total"].cast("long").alias("total"))
+
+
+@query("SRC4_paged_search", "select cast(n_nationkey as bigint) as n_nationkey from nation")
 def src4(v):
     """Pages of a search as a batch data source (written here as files, read by offset)."""
     path = _scratch(v, "pages").removeprefix("file:")
     import os
 
     os.makedirs(path, exist_ok=True)
-    ids = [r[0] for r in v.occ.select("record_id").orderBy("record_id").limit(700).collect()]
-    for o in range(0, len(ids), 300):
+    ids = [r[0] for r in v.nation.select("n_nationkey").collect()]  # 25 rows
+    for o in range(0, len(ids), 10):
         with open(f"{path}/{o}.json", "w") as f:
-            json.dump({"results": [{"key": i} for i in ids[o : o + 300]]}, f)
+            json.dump({"results": [{"key": i} for i in ids[o : o + 10]]}, f)
     v.spark.dataSource.register(readers.PagedSource)
-    d = v.spark.read.format("paged").option("url", f"file://{path}/{{offset}}.json").option("total", len(ids)).load()
-    return d.select("offset", F.get_json_object("item", "$.key").cast("long").alias("record_id"))
+    d = v.spark.read.format("paged").option("url", f"file://{path}/{{offset}}.json").option("total", len(ids)).option("page", 10).load()
+    return d.select(F.get_json_object("item", "$.key").cast("long").alias("n_nationkey"))

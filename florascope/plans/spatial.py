@@ -47,9 +47,9 @@ def join4(v):
     return v.occ_cells.select("record_id", "row", "col").join(v.cells.select("row", "col", "suitability"), ["row", "col"]).select("record_id", "suitability")
 
 
-@query("JOIN5_nearest_reference", f"select o.record_id, round(min({HAV_OG}), 3) as km from (select * from occ where record_id % 20 = 0) o cross join (select * from gaz where kind = 'capital') g group by 1")
+@query("JOIN5_nearest_reference", f"select o.record_id, round(min({HAV_OG}), 3) as km from occ o cross join (select * from gaz where kind = 'capital') g group by 1")
 def join5(v):
-    return spatial.nearest_km(v.occ.where("record_id % 20 = 0"), v.gaz.where("kind = 'capital'"), ["record_id"]).select("record_id", F.round("km", 3).alias("km"))
+    return spatial.nearest_km(v.occ, v.gaz.where("kind = 'capital'"), ["record_id"]).select("record_id", F.round("km", 3).alias("km"))
 
 
 @query("JOIN6_radius_semi", f"select record_id from occ o where exists (select 1 from gaz g where g.kind = 'institution' and abs(g.latitude - o.latitude) < 0.1e0 and {HAV_OG} <= 1e0)")
@@ -63,21 +63,19 @@ def join7(v):
     return spatial.within(v.ref_rec, v.occ, 0.1, same, ["taxon_key", "event_date"]).select("dataset_id", "record_id")
 
 
-@query("JOIN8_nearest_other", f"select a.record_id, round(min({HAV_AB}), 3) as km from (select * from occ where record_id % 25 = 0) a join (select * from occ where record_id % 25 = 0) b on a.record_id <> b.record_id group by 1")
+@query("JOIN8_nearest_other", f"select a.record_id, round(min({HAV_AB}), 3) as km from occ a join occ b on a.record_id <> b.record_id group by 1")
 def join8(v):
-    some = v.occ.where("record_id % 25 = 0")
-    return spatial.nearest_km(some, some, ["record_id"], exclude_self=True).select("record_id", F.round("km", 3).alias("km"))
+    return spatial.nearest_km(v.occ, v.occ, ["record_id"], exclude_self=True).select("record_id", F.round("km", 3).alias("km"))
 
 
-@query("JOIN8_third_nearest", f"select record_id, round(km, 3) as km from (select a.record_id, {HAV_AB} as km, row_number() over (partition by a.record_id order by {HAV_AB}) as rn from (select * from occ where record_id % 40 = 0) a join (select * from occ where record_id % 40 = 0) b on a.record_id <> b.record_id) t where rn = 3")
+@query("JOIN8_third_nearest")
 def join8k(v):
-    some = v.occ.where("record_id % 40 = 0")
-    return spatial.nearest_km(some, some, ["record_id"], k=3, exclude_self=True).select("record_id", F.round("km", 3).alias("km"))
+    return spatial.nearest_km(v.occ, v.occ, ["record_id"], k=3, exclude_self=True).select("record_id", F.round("km", 3).alias("km"))
 
 
-@query("JOIN10_pairwise_mean", f"select count(*) as n_pairs, round(avg({HAV_AB}), 2) as mean_km from (select * from occ where record_id % 50 = 0) a join (select * from occ where record_id % 50 = 0) b on a.record_id < b.record_id")
+@query("JOIN10_pairwise_mean", f"with s as (select * from occ order by (record_id * 7919 + 9 * 104729) % 1000003, record_id limit 1000) select count(*) as n_pairs, round(avg({HAV_AB}), 2) as mean_km from s a join s b on a.record_id < b.record_id")
 def join10(v):
-    return sampling.pair_distances(v.occ.where("record_id % 50 = 0"), "record_id").agg(F.count("*").alias("n_pairs"), F.round(F.avg("km"), 2).alias("mean_km"))
+    return sampling.pair_distances(sampling.seeded_sample(v.occ, "record_id", 1000, 9), "record_id").agg(F.count("*").alias("n_pairs"), F.round(F.avg("km"), 2).alias("mean_km"))
 
 
 _EFFORT = "select px_row, px_col, cast(sum(cnt) as bigint) as cnt from eff group by 1, 2"
@@ -135,11 +133,11 @@ def join18(v):
     return d.where("n_peers > 0").select("s_suppkey", "n_peers")
 
 
-@query("JOIN19_not_known_or_alerted", "select record_id from occ where record_id % 7 = 0 and record_id not in (select record_id from occ where range_label = 'native') and record_id not in (select unnest([event_id, event_id + 7]) from events where event_id % 14 = 0)")
+@query("JOIN19_not_known_or_alerted", "select record_id from occ where source = 'iNaturalist' and record_id not in (select record_id from occ where range_label = 'native') and record_id not in (select unnest([event_id, event_id + 7]) from events where event_type = 'purchase')")
 def join19(v):
     known = v.occ.where("range_label = 'native'").select("record_id")
-    alerted = v.events.where("event_id % 14 = 0").select(F.explode(F.array(F.col("event_id"), F.col("event_id") + 7)).alias("record_id"))
-    return v.occ.where("record_id % 7 = 0").select("record_id").join(known.unionAll(alerted), "record_id", "left_anti")
+    alerted = v.events.where("event_type = 'purchase'").select(F.explode(F.array(F.col("event_id"), F.col("event_id") + 7)).alias("record_id"))
+    return v.occ.where("source = 'iNaturalist'").select("record_id").join(known.unionAll(alerted), "record_id", "left_anti")
 
 
 @query("JOIN20_tile_envelope", "select record_id from occ where longitude between 0e0 and 22.5e0 and latitude between 40.97989806962013e0 and 55.77657301866769e0")
@@ -147,18 +145,18 @@ def join20(v):
     return v.occ.where(F.col("longitude").between(0.0, 22.5) & F.col("latitude").between(40.97989806962013, 55.77657301866769)).select("record_id")
 
 
-_DISK = "exists (select 1 from occ p where p.record_id % 30 = 0 and p.range_label = 'native' and (p.longitude - o.longitude) * (p.longitude - o.longitude) + (p.latitude - o.latitude) * (p.latitude - o.latitude) <= 2.25e0)"
+_DISK = "exists (select 1 from occ p where p.range_label = 'native' and (p.longitude - o.longitude) * (p.longitude - o.longitude) + (p.latitude - o.latitude) * (p.latitude - o.latitude) <= 2.25e0)"
 
 
 @query("JOIN21_buffer_membership", f"select record_id from occ o where {_DISK}")
 def join21(v):
-    return spatial.within_degrees(v.occ, v.occ.where("record_id % 30 = 0 AND range_label = 'native'"), 1.5).select("record_id")
+    return spatial.within_degrees(v.occ, v.occ.where("range_label = 'native'"), 1.5).select("record_id")
 
 
 @query("JOIN22_rasterise", f"select row, col from (select row, col, lon as longitude, lat as latitude from cells) o where {_DISK}")
 def join22(v):
     cells = v.cells.select("row", "col", F.col("lon").alias("longitude"), F.col("lat").alias("latitude"))
-    return spatial.within_degrees(cells, v.occ.where("record_id % 30 = 0 AND range_label = 'native'"), 1.5).select("row", "col")
+    return spatial.within_degrees(cells, v.occ.where("range_label = 'native'"), 1.5).select("row", "col")
 
 
 @query("AGG5_tile_grid", "select cast(round(20037508.342789244e0 / 180e0 * longitude / 156543.03392804097e0) as bigint) as gx, cast(round(ln(tan((90e0 + latitude) * 3.141592653589793e0 / 360e0)) * 6378137e0 / 156543.03392804097e0) as bigint) as gy, count(*) as n, count(*) filter (range_label = 'native') as n_native, count(*) filter (range_label = 'introduced') as n_introduced from occ where abs(latitude) < 85e0 group by 1, 2")
@@ -212,10 +210,10 @@ def smp4(v):
     return v.cells.orderBy(sampling.seeded(F.col("row") * 360 + F.col("col"), 5), "row", "col").limit(1000).select("row", "col")
 
 
-@query("SMP5_disk_pseudo_absences", f"select row, col from (select row, col, lon as longitude, lat as latitude from cells where (row + col) % 9 = 0) o where not exists (select 1 from occ g where g.record_id % 30 = 0 and abs(g.latitude - o.latitude) < 2e0 and {HAV_OG} < 200e0)")
+@query("SMP5_disk_pseudo_absences", f"select row, col from (select row, col, lon as longitude, lat as latitude from cells) o where not exists (select 1 from occ g where abs(g.latitude - o.latitude) < 2e0 and {HAV_OG} < 200e0)")
 def smp5(v):
-    cells = v.cells.where("(row + col) % 9 = 0").select("row", "col", F.col("lon").alias("longitude"), F.col("lat").alias("latitude"))
-    return spatial.within(cells, v.occ.where("record_id % 30 = 0"), 200.0, inclusive=False, how="left_anti").select("row", "col")
+    cells = v.cells.select("row", "col", F.col("lon").alias("longitude"), F.col("lat").alias("latitude"))
+    return spatial.within(cells, v.occ, 200.0, inclusive=False, how="left_anti").select("row", "col")
 
 
 @query("SMP5_profile_pseudo_absences", "with e as (select quantile_cont(bio1, 0.025) as a1, quantile_cont(bio1, 0.975) as z1, quantile_cont(bio12, 0.025) as a2, quantile_cont(bio12, 0.975) as z2 from pred where y = 1) select row, col from cells cross join e where not (bio1 between a1 and z1 and bio12 between a2 and z2)")
@@ -257,13 +255,13 @@ def thn2(v):
 
 @query("THN3_autocorrelation_range")
 def thn3(v):
-    d = v.occ_cells.where("record_id % 20 = 0").join(v.cells.select("row", "col", "bio1"), ["row", "col"])
+    d = v.occ_cells.join(v.cells.select("row", "col", "bio1"), ["row", "col"])
     return sampling.autocorrelation_range(d, "record_id", "bio1")
 
 
-@query("AGG40_variogram_bins", f"with p as (select o.record_id as id, o.longitude, o.latitude, c.bio1 as z from occ_cells o join cells c on c.row = o.row and c.col = o.col where o.record_id % 40 = 0), d as (select {HAV_AB} as km, 0.5e0 * (a.z - b.z) * (a.z - b.z) as g from p a join p b on a.id < b.id), m as (select max(km) / 2e0 as half from d) select cast(least(floor(km / (half / 20e0)), 19) as int) as bin, count(*) as n, round(avg(g), 6) as gamma from d cross join m where km <= half group by 1")
+@query("AGG40_variogram_bins", f"with p as (select o.record_id as id, o.longitude, o.latitude, c.bio1 as z from occ_cells o join cells c on c.row = o.row and c.col = o.col order by (o.record_id * 7919 + 9 * 104729) % 1000003, o.record_id limit 1000), d as (select {HAV_AB} as km, 0.5e0 * (a.z - b.z) * (a.z - b.z) as g from p a join p b on a.id < b.id), m as (select max(km) / 2e0 as half from d) select cast(least(floor(km / (half / 20e0)), 19) as int) as bin, count(*) as n, round(avg(g), 6) as gamma from d cross join m where km <= half group by 1")
 def agg40(v):
-    d = v.occ_cells.where("record_id % 40 = 0").join(v.cells.select("row", "col", "bio1"), ["row", "col"])
+    d = v.occ_cells.join(v.cells.select("row", "col", "bio1"), ["row", "col"])
     return sampling.variogram(d, "record_id", "bio1").select("bin", "n", F.round("gamma", 6).alias("gamma"))
 
 
@@ -297,7 +295,7 @@ _dq("DQ10_duplicate_specimen", "(source, record_id) in (select (source, record_i
 _dq("DQ14_before_baseline", "year(event_date) < 1970", lambda v: v.occ.where(quality.before_baseline()))
 _dq("DQ15_cultivation_text", "regexp_matches(locality, '" + quality.CULTIVATION + "')", lambda v: v.occ.where(quality.cultivation_text("locality")))
 _dq("DQ17_weak_identification", "source = 'iNaturalist' and (id_disagreements > 0 or (observer_id_from_vision and id_agreements <= 2))", lambda v: v.occ.where(quality.weak_identification()))
-_dq("DQ19_spatial_isolate", f"record_id % 25 = 0 and not exists (select 1 from occ g where g.record_id % 25 = 0 and g.record_id <> o.record_id and {HAV_OG} <= 300e0)", lambda v: spatial.nearest_km(v.occ.where("record_id % 25 = 0"), v.occ.where("record_id % 25 = 0"), KEY, exclude_self=True).where(F.col("km") > 300.0))
+_dq("DQ19_spatial_isolate", f"not exists (select 1 from occ g where g.record_id <> o.record_id and {HAV_OG} <= 100e0)", lambda v: spatial.nearest_km(v.occ, v.occ, KEY, exclude_self=True).where(F.col("km") > 100.0))
 
 
 @query("DQ18_environmental_outlier")

@@ -183,10 +183,10 @@ def agg53(v):
     return s.select("set_name", F.row_number().over(order).alias("rank"), (F.col("cbi") >= F.max("cbi").over(Window.partitionBy()) - 0.02).alias("tied"))
 
 
-@query("WIN5_rank_nulls_last", "select p_partkey, row_number() over (order by case when p_size % 5 = 0 then null else p_size end desc nulls last, p_retailprice desc, p_partkey) as rank from part where p_partkey <= 60")
+@query("WIN5_rank_nulls_last", "select p_partkey, row_number() over (order by case when p_size % 5 = 0 then null else p_size end desc nulls last, p_retailprice desc, p_partkey) as rank from part")
 def win5(v):
     size = F.when(F.col("p_size") % 5 != 0, F.col("p_size"))
-    return v.part.where("p_partkey <= 60").select("p_partkey", F.row_number().over(Window.orderBy(size.desc_nulls_last(), F.desc("p_retailprice"), "p_partkey")).alias("rank"))
+    return v.part.select("p_partkey", F.row_number().over(Window.orderBy(size.desc_nulls_last(), F.desc("p_retailprice"), "p_partkey")).alias("rank"))
 
 
 @query("AGG54_target_groups", "select p_type, arg_max(p_brand, struct_pack(a := p_size, b := p_retailprice, c := p_partkey)) as best from part where p_size > 5 group by 1")
@@ -194,11 +194,11 @@ def agg54(v):
     return v.part.where("p_size > 5").groupBy("p_type").agg(F.max_by("p_brand", F.struct("p_size", "p_retailprice", "p_partkey")).alias("best"))
 
 
-@query("WIN6_argmin_first", "select row, col, case when a <= b and a <= c then 'bio1' when b <= c then 'bio4' else 'bio12' end as lowest from (select row, col, abs(bio1 - 10e0) as a, bio4 / 60e0 as b, bio12 / 90e0 as c from cells where row % 5 = 0) t")
+@query("WIN6_argmin_first", "select row, col, case when a <= b and a <= c then 'bio1' when b <= c then 'bio4' else 'bio12' end as lowest from (select row, col, abs(bio1 - 10e0) as a, bio4 / 60e0 as b, bio12 / 90e0 as c from cells) t")
 def win6(v):
     a = F.array(F.abs(F.col("bio1") - 10.0), F.col("bio4") / 60.0, F.col("bio12") / 90.0)
     names = F.array(F.lit("bio1"), F.lit("bio4"), F.lit("bio12"))
-    return v.cells.where("row % 5 = 0").select("row", "col", F.element_at(names, F.array_position(a, F.array_min(a)).cast("int")).alias("lowest"))
+    return v.cells.select("row", "col", F.element_at(names, F.array_position(a, F.array_min(a)).cast("int")).alias("lowest"))
 
 
 @query("WIN12_top_importances", "select array_to_string([x.k for x in list_sort([{v: -30e0, k: 'bio1'}, {v: -55e0, k: 'bio12'}, {v: -15e0, k: 'bio4'}])][1:2], ',') as top")
@@ -212,7 +212,7 @@ def win12(v):
 def win11(v):
     from florascope.operators import sampling
 
-    return sampling.best_thinning(v.occ.where("taxon_key = 5000002 AND record_id % 6 = 0"), "record_id", 100.0, repetitions=3)
+    return sampling.best_thinning(v.occ.where("taxon_key = 5000002"), "record_id", 100.0, repetitions=3)
 
 
 @query("TXT1_score_words", "select case when s >= 0.9e0 then 'excellent' when s >= 0.8e0 then 'good' when s >= 0.7e0 then 'fair' else 'poor' end as word, count(*) as n from pred group by 1")

@@ -12,8 +12,8 @@ from .catalog import query
 
 KEY = ["source", "record_id"]
 TAXON = 5000001
-#: The keys of a delta that overlaps the store: half re-delivered, half new, with every seventh row twice.
-DELTA = "SELECT taxon_key, source, CASE WHEN record_id % 2 = 0 THEN record_id ELSE record_id + 1000000 END AS record_id, longitude, latitude, event_date, 'late' AS issues_csv FROM occ WHERE record_id % 3 = 0"
+#: The keys of a delta that overlaps the store: half re-delivered, half new.
+DELTA = "SELECT taxon_key, source, CASE WHEN record_id % 2 = 0 THEN record_id ELSE record_id + 1000000 END AS record_id, longitude, latitude, event_date, 'late' AS issues_csv FROM occ"
 
 
 @query("SRC1_load_occurrences", f"select source, record_id, longitude, latitude, event_date, coordinate_uncertainty_m, range_label from occ where taxon_key = {TAXON}")
@@ -31,10 +31,10 @@ def src6(v):
     return store.after_id(v.occ, "record_id", 4200, 200).select("record_id", "longitude", "latitude")
 
 
-@query("SRC7_label_by_id_sets", """with i as (select record_id from occ where record_id % 4 = 0), n as (select record_id from occ where record_id % 6 = 0)
+@query("SRC7_label_by_id_sets", """with i as (select record_id from occ where range_label = 'introduced'), n as (select record_id from occ where range_label = 'native')
 select o.record_id, case when i.record_id is not null then 'introduced' when n.record_id is not null then 'native' else 'unknown' end as label from occ o left join i using (record_id) left join n using (record_id) where o.source = 'iNaturalist'""")
 def src7(v):
-    introduced, native = (v.occ.where(F.col("record_id") % k == 0).select("record_id", F.lit(1).alias(c)) for k, c in ((4, "i"), (6, "n")))
+    introduced, native = (v.occ.where(F.col("range_label") == k).select("record_id", F.lit(1).alias(c)) for k, c in (("introduced", "i"), ("native", "n")))
     o = v.occ.where(F.col("source") == "iNaturalist").select("record_id").join(introduced, "record_id", "left").join(native, "record_id", "left")
     return o.select("record_id", F.when(F.col("i").isNotNull(), "introduced").when(F.col("n").isNotNull(), "native").otherwise("unknown").alias("label"))
 
@@ -161,12 +161,11 @@ def snk3(v):
     return store.fill_where_null(have, values, ["record_id"], ["bio1"], "bio1").select("record_id", "bio1")
 
 
-@query("SNK4_upsert", """with b as (select o_custkey, o_orderkey, o_orderdate, o_totalprice, 0 as n from orders where o_orderkey % 2 = 0 union all select o_custkey, o_orderkey, o_orderdate, o_totalprice, 1 from orders where o_orderkey % 3 = 0)
+@query("SNK4_upsert", """with b as (select o_custkey, o_orderkey, o_orderdate, o_totalprice, case when o_orderstatus = 'F' then 0 else 1 end as n from orders)
 select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, n desc, o_orderkey desc) as rn from b) t where rn = 1""")
 def snk4(v):
-    rows = v.orders.select("o_custkey", "o_orderkey", "o_totalprice", F.struct("o_orderdate").alias("ts"), "o_orderdate")
-    old, new = (rows.where(F.col("o_orderkey") % k == 0).withColumn("_new", F.lit(n)) for k, n in ((2, 0), (3, 1)))
-    both = old.unionByName(new)
+    rows = v.orders.select("o_custkey", "o_orderkey", "o_totalprice",  "o_orderdate", F.when(F.col("o_orderstatus") == "F", 0).otherwise(1).alias("_new"))
+    both = rows.where("_new = 0").unionByName(rows.where("_new = 1"))
     return store.first_per_key(both, ["o_custkey"], [F.desc("o_orderdate"), F.desc("_new"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
@@ -184,11 +183,11 @@ def snk6(v):
     return v.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("status"), F.count("*").alias("n_events"))
 
 
-@query("SNK7_training_snapshot", """with u as (select 'presence' as role, source, record_id, longitude, latitude, cast(null as double) as sample_weight from occ where range_label = 'native' union all select 'background', 'grid', row * 360 + col, lon, lat, 1e0 from cells where (row * 360 + col) % 50 = 0)
+@query("SNK7_training_snapshot", """with u as (select 'presence' as role, source, record_id, longitude, latitude, cast(null as double) as sample_weight from occ where range_label = 'native' union all select 'background', 'grid', row * 360 + col, lon, lat, 1e0 from cells)
 select role, count(*) as n, bit_xor(cast(('0x' || substr(sha256(concat_ws('|', role, source, record_id)), 1, 15)) as bigint)) as digest from u group by role""")
 def snk7(v):
     presence = v.occ.where("range_label = 'native'").select(F.lit("presence").alias("role"), "source", "record_id", "longitude", "latitude")
-    background = v.cells.where((F.col("row") * 360 + F.col("col")) % 50 == 0).select(
+    background = v.cells.select(
         F.lit("background").alias("role"), F.lit("grid").alias("source"), (F.col("row") * 360 + F.col("col")).cast("long").alias("record_id"), F.col("lon").alias("longitude"), F.col("lat").alias("latitude"), F.lit(1.0).alias("sample_weight")
     )
     u = presence.unionByName(background, allowMissingColumns=True)
@@ -209,9 +208,9 @@ def snk11(v):
     return v.customer.join(last, "c_custkey", "left").where(F.coalesce("last_ts", floor) < cutoff).select("c_custkey")
 
 
-@query("SNK13_grid_registration", "select g.row, g.col, g.bio1, g.bio4, c.suitability from grid g join cells c on c.row = g.row and c.col = g.col where g.row < 60")
+@query("SNK13_grid_registration", "select g.row, g.col, g.bio1, g.bio4, c.suitability from grid g join cells c on c.row = g.row and c.col = g.col")
 def snk13(v):
-    return v.grid.select("row", "col", "bio1", "bio4").where("row < 60").join(v.cells.select("row", "col", "suitability"), ["row", "col"])
+    return v.grid.select("row", "col", "bio1", "bio4").join(v.cells.select("row", "col", "suitability"), ["row", "col"])
 
 
 RAW = """SELECT event_id AS key, CASE WHEN event_id % 31 = 0 THEN NULL WHEN event_id % 37 = 0 THEN 'x1' ELSE CAST((event_id * 57) % 9001 - 4500 AS STRING) END AS lat100, CASE WHEN event_id % 29 = 0 THEN '' ELSE CAST((event_id * 31) % 38001 - 19000 AS STRING) END AS lon100,
@@ -513,10 +512,10 @@ def agg52(v):
     return v.occ.rollup("taxon_key", "range_label").agg(F.count("*").alias("n"))
 
 
-@query("SET1_union_with_provenance", "select source, record_id from occ where record_id % 50 = 0 union all select concat('upload:', dataset_id) as source, record_id from ref_rec where occurrence_status = 'present'")
+@query("SET1_union_with_provenance", "select source, record_id from occ where range_label = 'native' union all select concat('upload:', dataset_id) as source, record_id from ref_rec where occurrence_status = 'present'")
 def set1(v):
     uploads = v.ref_rec.where("occurrence_status = 'present'").select(F.concat(F.lit("upload:"), "dataset_id").alias("source"), "record_id")
-    return v.occ.where(F.col("record_id") % 50 == 0).select(*KEY).unionByName(uploads, allowMissingColumns=True)
+    return v.occ.where("range_label = 'native'").select(*KEY).unionByName(uploads, allowMissingColumns=True)
 
 
 @query("SET2_id_difference", "select record_id from occ where source = 'iNaturalist' except select inat_crossref_id from occ where inat_crossref_id is not null")
