@@ -159,8 +159,11 @@ def train_dictionary(pages: DataFrame) -> bytes | None:
     """A Zstandard dictionary from a bounded sample of pages; none if they are too few."""
     import zstandard
 
-    html = pages.select("page_id", "html").where(F.length("html").between(1, DICT_PAGE_CHARS))
-    rows = html.orderBy(F.xxhash64("html", "page_id")).limit(DICT_PAGES).collect()
+    html = pages.select("page_id", "html").where(F.length("html").between(1, DICT_PAGE_CHARS)).withColumn("o", F.xxhash64("html", "page_id"))
+    # the order's limit first, so that tasks send numbers and no pages
+    last = html.select("o").orderBy("o").limit(DICT_PAGES).agg(F.max("o")).first()[0]
+    rows = html.where(F.col("o") <= F.lit(last)).limit(DICT_PAGES).collect() if last is not None else []
+    rows.sort(key=lambda r: r["o"])
     samples = [record_bytes(r["page_id"], None, r["html"].encode(), None, True) for r in rows]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes() if len(samples) >= 8 else None
