@@ -158,7 +158,8 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, every: int = EVERY, recall:
     # copies of a vector tie, so beyond the k + 1 smallest ids none can be among the k nearest; Spark limits each task's groups before it shuffles
     small = Window.partitionBy("d1", "d2").orderBy("vec_id")
     base = materialize(v.withColumn("nth", F.row_number().over(small)).where(F.col("nth") <= k + 1).select("vec_id", "v", "d1", "nth"), "ann-base")
-    queries = v.where(F.col("vec_id") % every == 0).select("vec_id", "v")
+    # a walk is much work for few bytes: as many tasks as the session shuffles to
+    queries = v.where(F.col("vec_id") % every == 0).select("vec_id", "v").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id")
 
     sample = base.where("nth = 1").orderBy("d1", "vec_id").limit(SAMPLE).select("vec_id", "v").toPandas()
     x = widened(np.array(sample["v"].tolist(), dtype=np.float64), most)
