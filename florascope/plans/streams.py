@@ -11,15 +11,19 @@ from florascope.streaming import ingest
 
 from .catalog import query
 
-#: The delta since the last watermark.
-FRESH = F.col("ingested_ts") >= F.lit("2024-01-27 00:00:00").cast("timestamp")
+
+def fresh():
+    """Whether a row belongs to the delta since the last watermark."""
+    return F.col("ingested_ts") >= F.lit("2024-01-27 00:00:00").cast("timestamp")
+
+
 _ENV = "bio1 < 5e0 or bio1 > 26e0"
 
 
 @query("STR4_retrain_decision", f"with d as (select o.taxon_key, o.ingested_ts >= timestamp '2024-01-27 00:00:00' as fresh, coalesce({_ENV}, false) as outside from occ_cells o left join cells c on c.row = o.row and c.col = o.col), n as (select taxon_key, count(*) filter (not fresh) as previous, count(*) filter (fresh) as new, count(*) filter (fresh and outside) as outside from d group by 1) select taxon_key, previous, new, outside, case when previous = 0 then 'full' when taxon_key % 5 = 3 then 'awaiting_review' when new = 0 then 'cached' when new * 1e0 / previous > 0.05e0 or outside >= 10 then 'retrain' else 'minor_update' end as decision from n")
 def str4(v):
     out = F.coalesce((F.col("bio1") < 5.0) | (F.col("bio1") > 26.0), F.lit(False))
-    d = v.occ_cells.join(v.cells.select("row", "col", "bio1"), ["row", "col"], "left").select("taxon_key", FRESH.alias("fresh"), out.alias("o"))
+    d = v.occ_cells.join(v.cells.select("row", "col", "bio1"), ["row", "col"], "left").select("taxon_key", fresh().alias("fresh"), out.alias("o"))
     n = d.groupBy("taxon_key").agg(F.count_if(~F.col("fresh")).alias("previous"), F.count_if("fresh").alias("new"), F.count_if(F.col("fresh") & F.col("o")).alias("outside"))
     return n.withColumn("decision", ingest.decision(F.col("previous"), F.col("new"), F.col("outside"), F.col("taxon_key") % 5 != 3))
 
@@ -27,7 +31,7 @@ def str4(v):
 @query("STR5_effort_aware_trigger", f"select o.taxon_key, count(*) as outside from occ_cells o join cells c on c.row = o.row and c.col = o.col join (select distinct cast(floor(px_row / 2e0) as int) as row, cast(floor(px_col / 2e0) as int) as col from eff where cnt >= 20) e on e.row = o.row and e.col = o.col where o.ingested_ts >= timestamp '2024-01-27 00:00:00' and ({_ENV}) group by 1")
 def str5(v):
     surveyed = v.eff.where("cnt >= 20").select(F.floor(F.col("px_row") / 2.0).cast("int").alias("row"), F.floor(F.col("px_col") / 2.0).cast("int").alias("col"))
-    d = v.occ_cells.where(FRESH).join(v.cells.select("row", "col", "bio1"), ["row", "col"]).where((F.col("bio1") < 5.0) | (F.col("bio1") > 26.0))
+    d = v.occ_cells.where(fresh()).join(v.cells.select("row", "col", "bio1"), ["row", "col"]).where((F.col("bio1") < 5.0) | (F.col("bio1") > 26.0))
     return d.join(surveyed, ["row", "col"], "left_semi").groupBy("taxon_key").agg(F.count("*").alias("outside"))
 
 
@@ -37,14 +41,14 @@ _HAV = "2e0 * 6371.0088e0 * asin(sqrt(pow(sin(radians(g.latitude - o.latitude) /
 @query("STR6_early_detections", f"""with n as (select o.*, c.bio1 from occ_cells o left join cells c on c.row = o.row and c.col = o.col where o.ingested_ts >= timestamp '2024-01-27 00:00:00'), k as (select * from occ where ingested_ts < timestamp '2024-01-27 00:00:00')
  select record_id, 'outside_envelope' as kind from n where {_ENV} union all select record_id, 'outside_known_range' from n o where range_label <> 'native' and not exists (select 1 from k g where abs(g.latitude - o.latitude) < 1.5e0 and {_HAV} <= 100e0)""")
 def str6(v):
-    new = v.occ_cells.where(FRESH).join(v.cells.select("row", "col", "bio1"), ["row", "col"], "left")
-    return ingest.early_detections(new, v.occ.where(~FRESH), F.col("range_label") == "native", F.coalesce((F.col("bio1") < 5.0) | (F.col("bio1") > 26.0), F.lit(False)))
+    new = v.occ_cells.where(fresh()).join(v.cells.select("row", "col", "bio1"), ["row", "col"], "left")
+    return ingest.early_detections(new, v.occ.where(~fresh()), F.col("range_label") == "native", F.coalesce((F.col("bio1") < 5.0) | (F.col("bio1") > 26.0), F.lit(False)))
 
 
 @query("STR6_alerts", f"""with n as (select o.record_id, c.bio1 from occ_cells o join cells c on c.row = o.row and c.col = o.col where o.ingested_ts >= timestamp '2024-01-27 00:00:00'), d as (select record_id, case when bio1 < 5e0 then 'cold' else 'hot' end as kind from n where {_ENV}), r as (select *, row_number() over (partition by kind order by record_id) as rn from d)
  select kind, count(*) as n, string_agg(record_id, ',' order by record_id) filter (rn <= 20) as records from r group by kind""")
 def str6b(v):
-    d = v.occ_cells.where(FRESH).join(v.cells.select("row", "col", "bio1"), ["row", "col"]).where((F.col("bio1") < 5.0) | (F.col("bio1") > 26.0))
+    d = v.occ_cells.where(fresh()).join(v.cells.select("row", "col", "bio1"), ["row", "col"]).where((F.col("bio1") < 5.0) | (F.col("bio1") > 26.0))
     a = ingest.alerts(d.select("record_id", F.when(F.col("bio1") < 5.0, "cold").otherwise("hot").alias("kind")), 20)
     return a.select("kind", "n", F.array_join("records", ",").alias("records"))
 
