@@ -41,6 +41,13 @@ def test_nearest_other_equals_brute_force(points):
         assert got[a[0]] == pytest.approx(min(hav(a[1:], b[1:]) for b in rows if b[0] != a[0]), abs=1e-6)
 
 
+def test_third_nearest_equals_brute_force(points):
+    df, rows = points
+    got = {r["record_id"]: r["km"] for r in spatial.nearest_km(df, df, ["record_id"], k=3, exclude_self=True).collect()}
+    for a in rows:
+        assert got[a[0]] == pytest.approx(sorted(hav(a[1:], b[1:]) for b in rows if b[0] != a[0])[2], abs=1e-6)
+
+
 def test_thinning_keeps_distance_and_is_the_greedy_set(points):
     df, rows = points
     kept = {r[0] for r in sampling.distance_thin(df, "record_id", 1500.0, seed=4).select("record_id").collect()}
