@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import near
 from .common import materialize
 from .components import connected_components
 
@@ -216,9 +217,11 @@ def hex16(fp):
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of every near-duplicate group: the one with the smallest id.
 
+    Groups link texts whose five-word shingles have a Jaccard similarity of 0.8
+    or more (see ``near``), not fingerprints within the radius of the query.
     Rows with a null id cannot be named and stay; of repeated rows one stays.
     """
-    groups = near_duplicates(docs, id_col, text_col)
+    groups = near.groups(docs, id_col, text_col)
     keepers = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
     kept = docs.join(keepers, id_col, "left_semi")
     first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))

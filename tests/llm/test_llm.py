@@ -359,3 +359,30 @@ def test_pipeline_stages_take_effect(spark, sf_dir):
     assert set(packed["doc_id"]) == {r["doc_id"] for r in docs.collect()} <= set(seen)
     fps = [simhash_of(r["text"]) for r in docs.collect()]
     assert len(set(fps)) == len(fps)
+
+
+def jaccard(a, b, k=5):
+    grams = lambda t: {tuple(w[i : i + k]) for w in [t.lower().split()] for i in range(max(1, len(w) - k + 1))}
+    return len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+
+
+def test_keep_one_links_by_five_word_similarity(spark):
+    rng = random.Random(11)
+    rows = []
+    for g in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 400))]
+        rows.append((10 * g, " ".join(base), "s"))
+        for v in range(1, 6):  # some versions close to the base, some to each other, some too far
+            w = list(base if v < 4 else rows[-1][1].split())
+            for _ in range(rng.randint(1, max(1, len(w) // 30))):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            rows.append((10 * g + v, " ".join(w), "s"))
+    root = {i: i for i, _, _ in rows}
+    for i, a, _ in rows:
+        for j, b, _ in rows:
+            if i < j and i // 10 == j // 10 and jaccard(a, b) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = {x: low if r == high else r for x, r in root.items()}
+    want = {i for i, r in root.items() if i == r}
+    assert 40 < len(want) < 200
+    assert {r["doc_id"] for r in simhash.keep_one(docs_of(spark, rows)).collect()} == want
