@@ -1,14 +1,15 @@
 """Benchmark decontamination by SimHash of item-sized windows (DataFrame operations only).
 
 A benchmark item of L words is compared with windows of L words of every
-document by the weighted Jaccard similarity of their five-word shingles
+document, or with the whole of a shorter one, by the weighted Jaccard similarity of their five-word shingles
 (repeats count). Two windows with ``m`` shingles each reach a similarity of
 ``t`` only with ``2t/(1+t) * m`` shingles in common, so places are first
 narrowed, without loss, to windows with that many shingles known to some item of
 the same length. Each such window gets a SimHash fingerprint over its known
 shingles. A multi-index of ``radius + 1`` bit blocks per length finds the items:
 two fingerprints within the radius agree on a whole block. Every candidate is
-then verified by its exact weighted similarity.
+then verified by its exact weighted similarity. Shorter documents are verified with
+every item that shares a shingle.
 
 The corpus side is never shuffled but for its known shingles; the benchmark side
 is broadcast while its counted size allows, and joined by shuffle beyond.
@@ -87,11 +88,17 @@ def _links(docs: DataFrame, items: DataFrame, k: int, similarity: float, radius:
     at = docs.where(F.col("n") >= k).select("doc_id", "_text", "n", "w", F.explode(F.expr(f"sequence(0, n - {k})")).alias("pos"))
     hits = at.select("doc_id", "_text", "n", "pos", F.expr(_shingle("pos", k)).alias("h")).join(broadcast_if_small(known, n_known), "h")
     m = F.col("len") - (k - 1)
-    need = F.ceil(m * (2 * similarity / (1 + similarity)) - 1e-9).cast("int")
+    # the one window of a document shorter than the items is the document
+    md = F.least("n", "len") - (k - 1)
+    need = F.ceil((m + md) * (similarity / (1 + similarity)) - 1e-9).cast("int")
     by_doc = hits.groupBy("doc_id", "_text", "n", "len").agg(F.array_sort(F.collect_set(F.struct("pos", "h"))).alias("a"))
-    by_doc = by_doc.withColumns({"m": m, "need": need}).where(F.size("a") >= F.col("need"))
+    by_doc = by_doc.withColumns({"m": m, "md": md, "need": need}).where(F.size("a") >= F.col("need"))
     # little data, much work: as many tasks as the session shuffles to
     by_doc = by_doc.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "_text", "len")
+    # both kinds of documents are read from it
+    by_doc = materialize(by_doc, "bench-hits")
+    short = _short_links(by_doc.where("n < len"), items, n_items, similarity)
+    by_doc = by_doc.where("n >= len")
     # a window's first known shingle is a[i]: it starts behind a[i - 1], and not so early that too few known ones fit
     windows = by_doc.withColumn(
         "i", F.explode(F.expr("filter(sequence(0, size(a) - need), i -> a[i + need - 1].pos - a[i].pos <= m - 1)"))
@@ -109,15 +116,32 @@ def _links(docs: DataFrame, items: DataFrame, k: int, similarity: float, radius:
     pairs = pairs.withColumn("hamming", F.bit_count(x).cast("int")).where((F.col("hamming") <= radius) & (F.col("block") == first))
     same = F.size(F.array_intersect(_tagged("ws"), F.col("it")))
     pairs = pairs.withColumn("o", same).withColumn("similarity", F.col("o") / (2 * F.col("m") - F.col("o"))).where(F.col("similarity") >= similarity)
-    return pairs.groupBy("doc_id", "_text", "item_id").agg(
+    best = pairs.groupBy("doc_id", "_text", "item_id").agg(
         F.max("similarity").alias("similarity"), F.max_by(F.struct("s", "hamming"), F.struct("similarity", -F.col("s"))).alias("w")
     )
+    return best.unionAll(short)
+
+
+def _short_links(by_doc: DataFrame, items: DataFrame, n_items: int, similarity: float) -> DataFrame:
+    """Links of documents shorter than the item, as a whole; every item that shares a shingle is verified.
+
+    Their own number of shingles differs from the item's, and fingerprints of
+    few and uneven numbers of shingles are too far apart for the radius.
+    """
+    index = items.select("item_id", "len", "it", "ifp", F.explode(F.array_distinct("hs")).alias("h"))
+    whole = by_doc.withColumn("ws", F.expr("transform(a, x -> x.h)"))
+    probe = whole.withColumn("h", F.explode(F.array_distinct("ws")))
+    pairs = probe.join(broadcast_if_small(index, n_items, 5_000), ["len", "h"]).groupBy("doc_id", "_text", "item_id").agg(*[F.first(c).alias(c) for c in ("m", "md", "ws", "it", "ifp")])
+    pairs = pairs.withColumn("o", F.size(F.array_intersect(_tagged("ws"), F.col("it")))).withColumn("similarity", F.col("o") / (F.col("m") + F.col("md") - F.col("o"))).where(F.col("similarity") >= similarity)
+    hamming = F.bit_count(_simhash("ws").bitwiseXOR(F.col("ifp"))).cast("int")
+    return pairs.select("doc_id", "_text", "item_id", "similarity", F.struct(F.lit(0).alias("s"), hamming.alias("hamming")).alias("w"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """``doc_id, item_id, similarity, window_start, hamming``: one row per document and item it contains.
 
-    The best window counts, the earliest of equal ones. Words are runs of
+    The best window counts, the earliest of equal ones; a document shorter than
+    an item is its one window, compared by both sides' own numbers of shingles. Words are runs of
     letters and digits, lower-cased. Items of fewer than five words are one
     shingle of all their words; items and documents without words, null texts
     and empty tables give no rows. Repeated documents give one row per item;

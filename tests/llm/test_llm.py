@@ -386,3 +386,24 @@ def test_keep_one_links_by_five_word_similarity(spark):
     want = {i for i, r in root.items() if i == r}
     assert 40 < len(want) < 200
     assert {r["doc_id"] for r in simhash.keep_one(docs_of(spark, rows)).collect()} == want
+
+
+def test_documents_shorter_than_an_item_are_found(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(400)}"
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([40, 40, 30, 12, 9, 9, 9, 9, 5, 3])]
+    rows, want = [(1, "w1 w2", "s"), (2, None, "s")], {}
+    for k, (j, q) in enumerate(items):
+        w = q.split()
+        for cut in (1, 2, 6):
+            for v, part in enumerate((w[cut:], w[:-cut])):
+                if part:
+                    rows.append((100 * k + 10 * cut + v + 1000, " ".join(part), "s"))
+                    m = len(w) - min(5, len(w)) + 1
+                    o = max(0, m - cut)
+                    if o / m >= 0.8:
+                        want[(rows[-1][0], j)] = o / m
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["window_start"]) for r in decontam.contamination(docs_of(spark, rows), bench).collect()}
+    assert got == {k: (s, 0) for k, s in want.items()} and len(want) >= 18
+    assert {r["doc_id"] for r in decontam.decontaminate(docs_of(spark, rows), bench).collect()} == {i for i, _, _ in rows} - {i for i, _ in want}
