@@ -4,6 +4,11 @@ A line is boilerplate on a host if the share of the host's pages that contain
 it exceeds ``ratio``. Only 128-bit line digests are counted, a page counts a
 line once, and counts are summed on the map side first, so a line on a third of
 all pages is one row per task in the shuffle.
+
+With ``by_text`` whole copies of a text on a host are one page, in the line's
+count and in the host's, or a group of copies would lose its own text. A line's
+texts are then made distinct by their digests before they are counted, in a
+shuffle that spreads a common line over its texts.
 """
 
 from __future__ import annotations
@@ -22,23 +27,25 @@ def _digest(host: str, line: Column) -> list[Column]:
     return [F.xxhash64(F.col(host), line).alias("h1"), F.xxhash64(F.lit("line"), line, F.col(host)).alias("h2")]
 
 
-def boilerplate_lines(docs: DataFrame, host_col: str, text_col: str, ratio: float, min_pages: int) -> DataFrame:
+def boilerplate_lines(docs: DataFrame, host_col: str, text_col: str, ratio: float, min_pages: int, by_text: bool = False) -> DataFrame:
     """``h1, h2`` digests of the lines whose page share on their host exceeds ``ratio``."""
-    lines = docs.select(F.col(host_col).alias("host"), F.explode(F.array_distinct(F.split(F.col(text_col), "\n"))).alias("line")).where(F.trim("line") != "")
-    counts = lines.select("host", *_digest("host", F.col("line"))).groupBy("host", "h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    pages = docs.groupBy(F.col(host_col).alias("site")).agg(F.count("*").alias("pages"))
+    lines = docs.select(F.col(host_col).alias("host"), text_key(F.col(text_col)).alias("t"), F.explode(F.array_distinct(F.split(F.col(text_col), "\n"))).alias("line")).where(F.trim("line") != "")
+    lines = lines.select("host", *_digest("host", F.col("line")), *(["t"] if by_text else []))
+    counts = (lines.distinct() if by_text else lines).groupBy("host", "h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    sites = docs.select(F.col(host_col).alias("site"), *([text_key(F.col(text_col)).alias("t")] if by_text else []))
+    pages = (sites.distinct() if by_text else sites).groupBy("site").agg(F.count("*").alias("pages"))
     return counts.join(pages, F.col("host").eqNullSafe(F.col("site"))).where(F.col("n") > F.col("pages") * F.lit(ratio)).select("h1", "h2")
 
 
-def dedup_lines(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def dedup_lines(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, by_text: bool = False) -> DataFrame:
     """``docs`` without boilerplate lines, with ``n_lines`` and ``n_dropped`` added.
 
     Lines end at a line feed. Blank lines are never dropped or counted as
     boilerplate. A null text stays null with zero lines; a text whose lines all
     go becomes empty. A null host is a host of its own; repeated rows are pages
-    of their own. No rows give no rows. Other columns pass through unchanged.
+    of their own, unless ``by_text`` takes the rows of one text on a host as one. No rows give no rows. Other columns pass through unchanged.
     """
-    found = materialize(boilerplate_lines(docs, host_col, text_col, ratio, min_pages), "boilerplate")
+    found = materialize(boilerplate_lines(docs, host_col, text_col, ratio, min_pages, by_text), "boilerplate")
     bad = broadcast_if_small(found, found.count())
     key = [F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("_text"), F.xxhash64(F.col(host_col)).alias("_host")]
     at = docs.select(*key, F.col(host_col).alias("host"), F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "line"))

@@ -407,3 +407,11 @@ def test_documents_shorter_than_an_item_are_found(spark):
     got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["window_start"]) for r in decontam.contamination(docs_of(spark, rows), bench).collect()}
     assert got == {k: (s, 0) for k, s in want.items()} and len(want) >= 18
     assert {r["doc_id"] for r in decontam.decontaminate(docs_of(spark, rows), bench).collect()} == {i for i, _, _ in rows} - {i for i, _ in want}
+
+
+def test_whole_copies_do_not_lose_their_text(spark):
+    import corpus_pipeline
+
+    rows = [(k, f"Menu\nown line {k}", "a") for k in range(200)] + [(500 + k, "first copied line\nsecond copied line", "a") for k in range(6)]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_boilerplate(spark, docs_of(spark, rows), "").collect()}
+    assert {got[500 + k] for k in range(6)} == {"first copied line\nsecond copied line"} and got[7] == "own line 7" and len(got) == 206
