@@ -415,3 +415,15 @@ def test_whole_copies_do_not_lose_their_text(spark):
     rows = [(k, f"Menu\nown line {k}", "a") for k in range(200)] + [(500 + k, "first copied line\nsecond copied line", "a") for k in range(6)]
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_boilerplate(spark, docs_of(spark, rows), "").collect()}
     assert {got[500 + k] for k in range(6)} == {"first copied line\nsecond copied line"} and got[7] == "own line 7" and len(got) == 206
+
+
+def test_added_tokens_get_the_ids_of_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n y \t", "<|endoftext <|endoftext|>'s 12 é\n", "plain  text ", ""]
+    t = Tokenizer.from_file(llm.tokenizer_path())
+    want = {k: zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes()) for k, x in enumerate(texts)}
+    docs = docs_of(spark, [(k, x, "s") for k, x in enumerate(texts)])
+    assert {r["doc_id"]: r["ids_crc32"] for r in corpus_pipeline.pack(spark, docs, "").collect()} == want
