@@ -2,8 +2,8 @@
 
 Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and
 reread as the next one's ``docs``. All but the last return the columns of
-``documents``. Documents without an id are kept by every filtering stage unless
-their own text is rejected.
+``documents``. A row goes by its own text in every filtering stage, also where
+its id is null or shared; of near duplicates the row with the smallest id stays.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from florascope.llm import decontam, line_dedup, packing, simhash, toxicity
+from florascope.llm import decontam, line_dedup, near, packing, toxicity
 from florascope.llm.common import materialize, table
 from florascope.llm.queries import tokenizer_path
 
@@ -25,13 +25,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that stand on too many pages of their source; n_chars follows."""
-    clean = line_dedup.dedup_lines(docs, by_text=True)
-    return clean.select(*[F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    clean = line_dedup.dedup_lines(docs, by_text=True, counts=False)
+    return clean.select(*[F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return simhash.keep_one(docs)
+    return near.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in packed sequences."""
-    return packing.pack(docs, tokenizer_path(), specials=True)
+    return packing.pack(docs, tokenizer_path())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_path, materialize, new_path
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -19,9 +19,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Nodes without an edge are not returned. Every round is two aggregations and
     joins on the node; the edge list never grows and is written to the shared
     folder each round, so lineage stays short. Only two numbers a round reach
-    the driver.
+    the driver. A round's table is deleted once the next one is written.
     """
-    e = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    spark = edges.sparkSession
+    path = new_path(spark, "edges")
+    e = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", path)
     state = _state(e)
     for _ in range(max_rounds):
         if state[0] == 0:
@@ -31,11 +33,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
+        last, path = path, new_path(spark, "edges")
         e = materialize(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(low.select("u", F.col("m").alias("v"))).distinct(),
             "edges",
+            path,
         )
         new = _state(e)
+        drop_path(spark, last)
         if new == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         state = new

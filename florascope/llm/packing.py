@@ -37,12 +37,12 @@ ROWS_PER_BUCKET = 500_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length int, ids_crc32 long, salt int"
 
 
-def load_encoder(json_path: str, specials: bool = False):
+def load_encoder(json_path: str):
     """``text -> list of ids`` for the byte-level BPE vocabulary file of ``tokenizers``.
 
-    The vocabulary is read from the given file; ids are the file's own. Special
-    tokens' strings in a text count as ordinary text, or with ``specials`` become
-    the file's added tokens, as ``tokenizers`` encodes by default.
+    The vocabulary is read from the given file; ids are the file's own. The strings
+    of the file's added tokens get their ids wherever they stand in a text, as
+    ``tokenizers`` encodes by default.
     """
     import json
 
@@ -58,16 +58,16 @@ def load_encoder(json_path: str, specials: bool = False):
         chars[b] = chr(256 + n)
     back = {c: b for b, c in chars.items()}
     ranks = {bytes(back[c] for c in tok): i for tok, i in model["vocab"].items() if all(c in back for c in tok) and i < 50256}
-    added = {t["content"]: t["id"] for t in file["added_tokens"]} if specials else {}
+    added = {t["content"]: t["id"] for t in file["added_tokens"]}
     if added and any(t[flag] for t in file["added_tokens"] for flag in ("single_word", "lstrip", "rstrip")):
         raise ValueError("added tokens that take blanks or whole words are not supported")
     encoding = tiktoken.Encoding("bpe", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens=added)
     return lambda text: encoding.encode(text, allowed_special="all") if any(t in text for t in added) else encoding.encode_ordinary(text)
 
 
-def piece_rows(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, salts: int, id_col: str, text_col: str, specials: bool = False) -> DataFrame:
+def piece_rows(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, salts: int, id_col: str, text_col: str) -> DataFrame:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load_encoder(tokenizer_path, specials)
+        encode = load_encoder(tokenizer_path)
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -177,19 +177,19 @@ def slots(patterns: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, tuple[
     return {k: tuple(np.array(c, dtype=np.int64) for c in zip(*v, strict=True)) for k, v in runs.items()}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", specials: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise, cut and pack ``docs``; one row per piece with its place.
 
     Null or empty texts are one piece holding the end id alone. A document longer
     than ``capacity`` tokens is cut so that only its first piece is shorter.
     Repeated rows and null ids are packed like any other row; pieces of equal
-    length are interchangeable, so ties don't matter. With ``specials`` the
-    strings of added tokens get their ids, else they are ordinary text. No rows give no rows. Extra
+    length are interchangeable, so ties don't matter. Very long texts are encoded
+    whole. The strings of added tokens get their ids. No rows give no rows. Extra
     columns are not read.
     """
     spark = docs.sparkSession
     salts = 4096
-    pieces = materialize(piece_rows(docs, tokenizer_path, capacity, end_id, salts, id_col, text_col, specials), "pieces")
+    pieces = materialize(piece_rows(docs, tokenizer_path, capacity, end_id, salts, id_col, text_col), "pieces")
     hist = pieces.groupBy("length").count().collect()  # at most `capacity` rows
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for r in hist:

@@ -4,7 +4,8 @@ Statistics are computed from a whole text with numpy; trees are grown level by
 level from histograms of quantile bins, and stored as flat arrays of split
 features and thresholds, so that a batch of rows walks all trees at once. The
 model is fitted in one task on a sample of labelled rows bounded by ``MAX_TRAIN``
-for each class; every text is scored whole, where it lies.
+rows and ``toxicity.MAX_BYTES`` for each class; every text is scored whole, where
+it lies.
 """
 
 from __future__ import annotations
@@ -145,8 +146,8 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     """``doc_id, score`` for every row: the probability of label 1.
 
     Labels, language, source and ids are never features. Null and empty texts
-    have all statistics zero. Labels that are null or neither 0 nor 1 are
-    ignored; without labels of both classes every score is the share of label 1
+    have all statistics zero; very long texts are scored whole. Labels that are
+    null or neither 0 nor 1 are ignored, as are ids labelled both ways; without labels of both classes every score is the share of label 1
     (0 if there are none). Repeated rows are scored alike; no rows give no rows.
     Extra columns are not read.
     """

@@ -2,13 +2,15 @@
 
 Fingerprints that differ in at most ``budget`` bits are linked. Distinct
 fingerprints only are joined (copies share one), so a group of copies costs one
-node. The trie is dealt out over tasks by its top: the 64 bits fall into four
-blocks, and two fingerprints within two bits agree on at least two whole
-blocks. For each of the six block pairs the fingerprints are rotated so that
-those 32 bits come first; the subtree below a common 32-bit root is one unit of
-work. Inside it, node pairs are traversed together from the root, differing
-bits are accumulated, and a pair is pruned once its error exceeds the budget.
-A pair is reported only for the first of the six roots that both share.
+node. Two steps make the join. Above 32 bits it is a repartition, not a walk:
+the 64 bits fall into four blocks, two fingerprints within two bits agree on at
+least two whole blocks, and for each of the six block pairs the fingerprints are
+rotated so that those 32 bits come first and dealt out by them. Below, in the
+subtree of a common 32-bit root, the binary trie is walked: node pairs are
+traversed together, differing bits are accumulated, and a pair is pruned once
+its error exceeds the budget. A walk from bit 0 would send every fingerprint to
+the tasks of all prefixes within two bits, 79 for 12-bit prefixes instead of
+six. A pair is reported only for the first of the six roots that both share.
 """
 
 from __future__ import annotations
@@ -18,10 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import near
 from .common import materialize
 from .components import connected_components
 
@@ -34,26 +35,33 @@ SUBTREE_ROWS = 20_000
 _PAIRS = list(itertools.combinations(range(BLOCKS), BLOCKS - BUDGET))
 
 
-def fingerprint_bytes(text: bytes, words: int = SHINGLE) -> int:
-    """64-bit SimHash of one UTF-8 text: a bit is set if over half of the shingle hashes set it."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """Hash of every shingle of a UTF-8 text, repeats included; a shorter text is one shingle of all its words."""
     import xxhash
 
     toks = text.lower().split()
-    if not toks:
-        return 0
     joined = b" ".join(toks)
     if len(toks) <= words:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if toks else [], dtype=">u8")
     ends = np.cumsum(np.fromiter(map(len, toks), np.int64, len(toks)) + 1)
     starts = np.concatenate(([0], ends[:-words]))
     f = xxhash.xxh64_intdigest
-    h = np.array([f(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends[words - 1 :] - 1).tolist(), strict=True)], dtype=">u8")
+    return np.array([f(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends[words - 1 :] - 1).tolist(), strict=True)], dtype=">u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """64-bit SimHash of big-endian shingle hashes: a bit is set if over half of them set it."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 4096):  # bounded memory for very long texts
         ones += np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
+def fingerprint_bytes(text: bytes, words: int = SHINGLE) -> int:
+    """64-bit SimHash of one UTF-8 text; 0 without words."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
     """``doc_id, fp`` (signed 64 bits) for every row; null texts count as empty (fingerprint 0)."""
 
@@ -213,17 +221,3 @@ def hex16(fp):
     """16 lowercase hex digits of a signed 64-bit column."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of every near-duplicate group: the one with the smallest id.
-
-    Groups link texts whose five-word shingles have a Jaccard similarity of 0.8
-    or more (see ``near``), not fingerprints within the radius of the query.
-    Rows with a null id cannot be named and stay; of repeated rows one stays.
-    """
-    groups = near.groups(docs, id_col, text_col)
-    keepers = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(keepers, id_col, "left_semi")
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    one = kept.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
-    return one.unionAll(docs.where(F.col(id_col).isNull()))

@@ -4,8 +4,8 @@ Features are the distinct character n-grams of a text (UTF-8 bytes, ASCII
 lower-cased), hashed to ``2**BITS`` buckets. Each is scaled by the log ratio of
 its smoothed document frequencies in the two classes, and a logistic regression
 is fitted on the scaled features. The model is fitted in one task on a sample of
-labelled rows that is bounded by ``MAX_TRAIN`` for each class; every text is
-scored whole, where it lies.
+labelled rows that is bounded by ``MAX_TRAIN`` rows and ``MAX_BYTES`` for each
+class; every text is scored whole, where it lies.
 """
 
 from __future__ import annotations
@@ -15,16 +15,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize
+from .common import fresh, materialize, text_key
 
 ORDERS = (3, 4, 5)
 BITS = 20
 #: Labelled rows of each class that a model is fitted on at most, chosen by a hash of their ids.
 MAX_TRAIN = {1: 1500, 0: 2500}
-#: N-grams that the model keeps: those whose frequency differs most between the classes.
+#: Bytes of UTF-8 text of each class that a model is fitted on at most.
+MAX_BYTES = 32 << 20
+#: N-grams that the model keeps: those whose frequency differs most between the classes (the README gives the cost in AUC).
 FEATURES = 4_000
 THRESHOLD = 0.7
 RIDGE = 1.0
@@ -120,17 +123,32 @@ def minimise(loss, x: np.ndarray, rounds: int = 40, memory: int = 8) -> np.ndarr
     return x
 
 
-def train_sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, most: dict[int, int], id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, float]:
-    """``text, y`` of a bounded sample of the labelled rows that ``learn`` admits, and the share of label 1 in all of them."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & learn).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y"))
+def train_sample(
+    docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, most: dict[int, int], id_col: str = "doc_id", text_col: str = "text", most_bytes: int = MAX_BYTES
+) -> tuple[DataFrame, float]:
+    """``text, y, _id`` of a bounded sample of the labelled rows that ``learn`` admits, and the share of label 1 in all of them.
+
+    An id gives one row: ids labelled both ways teach nothing, and of several
+    texts under one id the one with the smallest digest is taken. Within a class
+    rows are taken in the order of a hash of their ids, at most ``most`` and at
+    most ``most_bytes`` of text in all; a text that no longer fits is left out.
+    """
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & learn).groupBy(F.col(id_col).alias("_id"))
+    known = known.agg(F.min(label_col).cast("int").alias("y"), F.max(label_col).cast("int").alias("y2")).where("y = y2").select("_id", "y")
     share = known.agg(F.avg("y")).first()[0]
     picked = None
     for c, n in most.items():
         part = known.where(F.col("y") == c).orderBy(F.xxhash64("_id"), "_id").limit(n)
         picked = part if picked is None else picked.unionAll(part)
-    picked = materialize(picked.dropDuplicates(["_id"]), "train-ids")
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "_id")  # at most sum(most) ids
-    return texts.select("text", "y", "_id"), float(share if share is not None else 0.0)
+    picked = F.broadcast(materialize(picked, "train-ids"))  # at most sum(most) ids
+    given = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    # one text for each id, known by its digest, before any text is moved
+    keyed = given.select("_id", text_key(F.col("text")).alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).join(picked, "_id")
+    keyed = keyed.groupBy("_id", "y").agg(F.min(F.struct("key", "size")).alias("k")).select("_id", "y", "k.*")
+    so_far = Window.partitionBy("y").orderBy(F.xxhash64("_id"), "_id")  # over at most sum(most) rows
+    fits = materialize(keyed.withColumn("bytes", F.sum("size").over(so_far)).where(F.col("bytes") <= most_bytes).select(F.col("_id").alias("_id2"), "y", F.col("key").alias("key2")), "train-rows")
+    texts = given.join(F.broadcast(fits), (F.col("_id") == F.col("_id2")) & (text_key(F.col("text")) == F.col("key2")))
+    return texts.groupBy("_id", "y").agg(F.first("text").alias("text")).select("text", "y", "_id"), float(share if share is not None else 0.0)
 
 
 def model_of(sample: DataFrame, prior: float) -> list[tuple[np.ndarray, np.ndarray, float]]:
@@ -158,18 +176,23 @@ def text_score(raw: bytes, table: np.ndarray, c: float) -> float:
     return float(1 / (1 + np.exp(-min(max(z, -500.0), 500.0))))
 
 
-def score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """``doc_id, score`` for every row, or all columns of ``docs`` and ``score`` with ``keep``.
+def score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
+    """``doc_id, score`` for every row, or all columns of ``docs`` and the score under the name ``keep``.
 
     Labels, language, source and ids are never features. Null and empty texts
-    get the intercept's score. Labels that are null or neither 0 nor 1 are
-    ignored; without labels of both classes every score is the share of label 1
-    (0 if there are none). Repeated rows are scored alike; no rows give no rows.
+    get the intercept's score; very long texts are scored whole. Labels that are
+    null or neither 0 nor 1 are ignored, as are ids labelled both ways; without
+    labels of both classes every score is the share of label 1 (0 if there are
+    none). Repeated rows are scored alike; no rows give no rows. Other columns,
+    whatever their names, are not read, and with ``keep`` pass through unchanged.
     """
     spark = docs.sparkSession
     sample, prior = train_sample(docs, labels, "toxic", learn, MAX_TRAIN, id_col, text_col)
     fitted = model_of(sample, prior)
     sent = spark.sparkContext.broadcast(fitted[0] if fitted else None)  # at most FEATURES buckets
+    given = docs if keep else docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    at = given.columns.index(text_col if keep else "text")
+    names = [*given.columns, keep] if keep else ["doc_id", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -177,18 +200,12 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
         if model is not None:
             table[model[0]] = model[1]
         for b in batches:
-            texts = b.column(b.schema.get_field_index("_text")).cast(pa.binary())
+            texts = b.column(at).cast(pa.binary())
             s = [prior if model is None else text_score(t.as_buffer().to_pybytes() if t.is_valid else b"", table, model[2]) for t in texts]
-            out = b.drop_columns(["_text"]) if not keep else b.rename_columns([text_col if n == "_text" else n for n in b.schema.names])
-            yield out.append_column("score", pa.array(s, pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(b.columns if keep else b.columns[:1]), pa.array(s, pa.float64())], names)
 
-    if keep:
-        given = docs.withColumnRenamed(text_col, "_text")
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    else:
-        given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-        schema = "doc_id long"
-    return given.mapInArrow(run, f"{schema}, score double")
+    kept = T.StructType([*(given.schema if keep else given.select("doc_id").schema), T.StructField(names[-1], T.DoubleType())])
+    return given.mapInArrow(run, kept)
 
 
 def held_out(id_col: str, divisor: int, remainder: int) -> Column:
@@ -196,6 +213,14 @@ def held_out(id_col: str, divisor: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % divisor == remainder
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
-    """``docs`` without the rows predicted toxic."""
-    return score(docs, labels, learn, keep=True).where(F.col("score") < THRESHOLD).drop("score")
+def drop_toxic(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows predicted toxic.
+
+    A row goes by its own text alone, so rows that share an id or have none may
+    differ; repeated rows share their fate. Null, empty and very long texts are
+    scored like any other (see ``score``); without labels nothing can be told, and
+    no row goes unless the share of label 1 reaches the threshold. No rows give no
+    rows. Other columns, whatever their names, pass through unchanged.
+    """
+    name = fresh(docs.columns, "score")
+    return score(docs, labels, learn, id_col, text_col, keep=name).where(F.col(name) < THRESHOLD).drop(name)

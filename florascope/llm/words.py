@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,13 @@ from pyspark.sql import functions as F
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def lowered(text: Column) -> Column:
+    """A-Z in lower case, all else as it is; null is empty."""
+    t = F.coalesce(text, F.lit(""))
+    # of a text with nothing but ASCII these are the same, and the first is faster
+    return F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(t, string.ascii_uppercase, string.ascii_lowercase))
+
+
 def normalised(text: Column) -> Column:
-    """The text's words, lower-cased, each with a space before and one behind the last (no words: one space)."""
-    return F.regexp_replace(F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" ")), BETWEEN, " ")
+    """The words of a lower-cased text, each with a space before and one behind the last (no words: one space)."""
+    return F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), BETWEEN, " ")
