@@ -2,14 +2,18 @@
 
 Base kinds (assign, access, hex) are reported wherever they stand. Weak
 candidates (key-like tokens, endpoints, account names) are reported only when
-complementary parts stand in the same scope: a join of each part's interval
-``[start - SCOPE, start + SCOPE]`` with the other parts of its document, done as
-range frames over parts ordered by place. Parts of one kind don't overlap, so a
-frame holds a bounded number of them and no pairs are listed.
+complementary parts stand in the same scope. That is a semi-join of intervals
+within a document: ``[start - SCOPE, end + SCOPE]`` of a part meets
+``[start, end]`` of another, or at most ``SCOPE`` characters lie between them. In
+the order of starts a complement met before a part is the one that ends last,
+and one met behind it is the one that starts first; so two running values decide
+every part, whatever its length, and no pairs are listed.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +31,15 @@ PATTERNS = {
 BASE = ["assign", "access", "hex"]
 #: Code points on either side within which parts belong together.
 SCOPE = 256
-#: A key-like token has a digit, a letter and at most this many characters.
-MAX_TOKEN = 200
+#: The same matches for these kinds: a run is tried at its first character only.
+AT_RUNS = {"hex": "(?<![0-9a-f])" + PATTERNS["hex"], "secret": "(?<![A-Za-z0-9+/_-])" + PATTERNS["secret"]}
+#: Without one of these substrings (of the lower-cased text; access: as it is) no match is possible.
+NEEDLES = {
+    "assign": ["passw", "secret", "token", "apikey", "api_key"],
+    "access": ["AKIA"],
+    "endpoint": ["://"],
+    "account": ["user", "login", "clientid", "client_id", "key"],
+}
 
 
 def _holds(kind: str, match: Column, value: Column) -> Column:
@@ -38,7 +49,7 @@ def _holds(kind: str, match: Column, value: Column) -> Column:
     if kind == "access":
         return F.length(match) >= 16
     if kind == "secret":
-        return match.rlike("[0-9]") & match.rlike("[A-Za-z]") & (F.length(match) <= MAX_TOKEN)
+        return match.rlike("[0-9]") & match.rlike("[A-Za-z]")
     return F.lit(True)
 
 
@@ -50,13 +61,22 @@ def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """``doc_id, _text, kind, k, start, end`` of all parts, base and weak, in code points."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("_text"), text.alias("text"))
-    d = d.select("*", *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(k) for k, p in PATTERNS.items()])
+    d = d.withColumn("low", F.lower("text"))
+
+    def matches(kind: str) -> Column:
+        all_of = F.regexp_extract_all("text", F.lit(AT_RUNS.get(kind, PATTERNS[kind])), F.lit(0))
+        if kind not in NEEDLES:
+            return all_of
+        possible = [F.contains(F.col("text" if kind == "access" else "low"), F.lit(x)) for x in NEEDLES[kind]]
+        return F.when(reduce(Column.__or__, possible), all_of).otherwise(F.array().cast("array<string>"))
+
+    d = d.select("doc_id", "_text", "text", *[matches(k).alias(k) for k in PATTERNS])
     d = d.withColumn("secret", F.when(F.exists("secret", lambda m: _holds("secret", m, m)), F.col("secret")).otherwise(F.array().cast("array<string>")))
     d = d.where(sum((F.size(k) for k in PATTERNS), F.lit(0)) > 0)
     each = []
     for n, (kind, p) in enumerate(PATTERNS.items()):
         value = F.regexp_extract_all("text", F.lit(p), F.lit(1)) if kind == "assign" else F.col(kind)
-        rows = F.arrays_zip(F.split("text", p, -1).alias("gap"), F.col(kind).alias("match"), value.alias("value"))
+        rows = F.arrays_zip(F.split("text", AT_RUNS.get(kind, p), -1).alias("gap"), F.col(kind).alias("match"), value.alias("value"))
         rows = F.transform(rows, _measure(kind))
         each.append(F.when(F.size(kind) > 0, F.struct(F.lit(n).alias("k"), F.slice(rows, F.lit(1), F.size(kind)).alias("rows"))))
     d = d.select("doc_id", "_text", F.explode(F.array_compact(F.array(*each))).alias("kind")).select("doc_id", "_text", "kind.k", F.posexplode("kind.rows").alias("at", "m"))
@@ -76,14 +96,19 @@ def linked(found: DataFrame) -> DataFrame:
     account needs a secret; an endpoint needs both.
     """
     doc = Window.partitionBy("doc_id", "_text").orderBy("start")
-    solid = F.col("kind").isin(*BASE, "endpoint")
-    # ordered by start alone, a running range frame includes all parts that start here
-    so_far = doc.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = doc.rangeBetween(Window.currentRow, SCOPE)
-    scope = doc.rangeBetween(-SCOPE, SCOPE)
-    covered = (F.max(F.when(solid, F.col("end"))).over(so_far) > F.col("start")) | (F.min(F.when(solid, F.col("start"))).over(ahead) < F.col("end"))
-    d = found.withColumn("covered", (F.col("kind") == "secret") & F.coalesce(covered, F.lit(False))).where(~F.col("covered"))
-    near = lambda *kinds: F.max(F.col("kind").isin(*kinds)).over(scope)
+    # ordered by start alone, both range frames include all parts that start here
+    so_far, ahead = doc.rangeBetween(Window.unboundedPreceding, Window.currentRow), doc.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+
+    def meets(which: Column, scope: int) -> Column:
+        """Whether a part of ``which`` lies within ``scope`` characters (0: shares one)."""
+        reach = scope + 1 if scope else 0
+        before = F.max(F.when(which, F.col("end"))).over(so_far) > F.col("start") - reach
+        behind = F.min(F.when(which, F.col("start"))).over(ahead) < F.col("end") + reach
+        return F.coalesce(before, F.lit(False)) | F.coalesce(behind, F.lit(False))
+
+    covered = meets(F.col("kind").isin(*BASE, "endpoint"), 0)
+    d = found.withColumn("covered", (F.col("kind") == "secret") & covered).where(~F.col("covered"))
+    near = lambda *kinds: meets(F.col("kind").isin(*kinds), SCOPE)
     d = d.withColumns({"near_id": near("access", "account"), "near_secret": near("assign", "hex", "secret"), "near_end": near("endpoint")})
     weak = (
         F.when(F.col("kind") == "secret", F.col("near_id") | F.col("near_end"))
@@ -98,7 +123,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Null texts are empty: no parts. Rows are matched by id and text digest, so
     null and repeated ids keep their own result; repeated rows are returned as
-    often as they come. Spans that start together are in the order of their
+    often as they come. Very long texts and tokens are searched whole. Spans that start together are in the order of their
     kinds. No rows give no rows; extra columns are not read.
     """
     spans = linked(parts(docs, id_col, text_col)).where("report")
