@@ -5,7 +5,8 @@ Inner product search becomes distance search by one more coordinate,
 on a bounded sample; every vector is then put into its leaf. A query walks the
 tree best bin first: a priority queue holds the nodes seen so far by their
 distance, the nearest is opened next, and leaves are visited until the number
-calibrated for the wanted recall is reached. Leaves are cut into tiles of bounded
+calibrated for the wanted recall is reached: that with which some sampled queries
+find their exact neighbours in the whole table. Leaves are cut into tiles of bounded
 size on both sides, and each tile is one block of exact scores. What the sample's
 vectors in a query's visited leaves score bounds its k-th score from below, so a
 tile returns only rows that can still be among the nearest.
@@ -30,10 +31,10 @@ EVERY = 20
 SAMPLE = 20_000
 BRANCH = 8
 #: Vectors of the whole table a leaf should hold, as far as the sample allows.
-LEAF_ROWS = 1000
+LEAF_ROWS = 250
 LEAST_SAMPLE_PER_LEAF = 8
-#: Recall on the sample that calibration asks for, and its number of queries.
-RECALL = 0.95
+#: Recall that calibration asks for, and the number of sampled queries that are compared with the whole table for it.
+RECALL = 0.94
 CALIBRATION_QUERIES = 200
 #: Largest tile: vectors and queries.
 TILE_VECTORS = 20_000
@@ -42,7 +43,7 @@ TILE_QUERIES = 4_000
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``vec_id, v, d1, d2``: finite nonzero vectors with an id, and a digest of them; repeated rows once."""
-    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col), lambda x: x.cast("float")).alias("v"))
+    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     v = v.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0))
     return v.withColumns({"d1": F.xxhash64("v"), "d2": F.xxhash64(F.lit(1), "v")}).dropDuplicates(["vec_id", "d1", "d2"])
@@ -107,24 +108,42 @@ def leaves_by_distance(tree: dict[str, np.ndarray], q: np.ndarray, visits: int)
     return out
 
 
-def calibrate(tree: dict[str, np.ndarray], x: np.ndarray, k: int, recall: float) -> int:
-    """Leaf visits after which the sample's own queries have found ``recall`` of their exact neighbours."""
+def visits_for(tree: dict[str, np.ndarray], queries: np.ndarray, near: list[np.ndarray], recall: float) -> int:
+    """Leaf visits after which ``queries`` have found ``recall`` of their exact neighbours, given the leaves these lie in."""
     n_leaves = int(tree["leaf"].max()) + 1
-    if n_leaves == 1 or len(x) < 2:
-        return n_leaves
-    own = leaf_of(tree, x)
-    picked = np.arange(0, len(x), max(1, len(x) // CALIBRATION_QUERIES))
-    found = np.zeros(n_leaves)
-    for i in picked:
-        q = x[i].copy()
-        q[-1] = 0
-        s = x[:, :-1] @ q[:-1]
-        s[i] = -np.inf
-        near = np.argsort(-s)[: min(k, len(x) - 1)]
-        order = np.empty(n_leaves, np.int64)
-        order[leaves_by_distance(tree, q, n_leaves)] = np.arange(n_leaves)
-        found += np.bincount(order[own[near]], minlength=n_leaves) / len(near)
-    return int(np.searchsorted(found.cumsum() / len(picked), recall - 1e-12) + 1)
+    found, n = np.zeros(n_leaves), 0
+    for q, leaves in zip(queries, near, strict=True):
+        if len(leaves):
+            order = np.empty(n_leaves, np.int64)
+            order[leaves_by_distance(tree, np.append(q, 0.0), n_leaves)] = np.arange(n_leaves)
+            found += np.bincount(order[leaves], minlength=n_leaves) / len(leaves)
+            n += 1
+    return min(n_leaves, int(np.searchsorted(found.cumsum() / max(n, 1), recall - 1e-12) + 1)) if n else n_leaves
+
+
+def exact_leaves(placed: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each of a few queries the leaves of its exact ``k`` nearest in the whole table, of which every task returns its own ``k``."""
+    sent = placed.sparkSession.sparkContext.broadcast((ids, queries))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries = sent.value
+        best = np.full((len(ids), k), -np.inf)
+        leaf = np.full((len(ids), k), -1, np.int32)
+        for b in batches:
+            if len(b):
+                s = queries @ _matrix(b.column(1)).T
+                s[ids[:, None] == b.column(0).to_numpy()] = -np.inf
+                s, at = np.append(best, s, axis=1), np.append(leaf, np.broadcast_to(b.column(2).to_numpy(), s.shape), axis=1)
+                top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                best, leaf = np.take_along_axis(s, top, axis=1), np.take_along_axis(at, top, axis=1)
+        i, j = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(best[i, j]), pa.array(leaf[i, j])], ["q", "score", "leaf"])
+
+    found = placed.select("vec_id", "v", "leaf").mapInArrow(run, "q int, score double, leaf int")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "leaf"))
+    rows = found.withColumn("r", rank).where(F.col("r") <= k).groupBy("q").agg(F.collect_list("leaf").alias("leaves")).collect()  # a row for each query
+    by_q = {r["q"]: np.array(r["leaves"]) for r in rows}
+    return [by_q.get(i, np.empty(0, np.int64)) for i in range(len(ids))]
 
 
 def widened(v: np.ndarray, most: float) -> np.ndarray:
@@ -149,7 +168,7 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, every: int = EVERY, recall:
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     v = usable(vectors, id_col, vector_col)
-    sizes = v.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("most"))
+    sizes = v.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("most"))
     top = sizes.orderBy(F.desc("n"), "dim").first()
     if top is None:
         return empty
@@ -165,15 +184,21 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, every: int = EVERY, recall:
     x = widened(np.array(sample["v"].tolist(), dtype=np.float64), most)
     leaf_rows = max(LEAST_SAMPLE_PER_LEAF, int(LEAF_ROWS * min(1.0, len(x) / n)))
     tree = build_tree(x, leaf_rows)
-    visits = calibrate(tree, x, k, recall)
-    # at most SAMPLE vectors and their tree
-    sent = spark.sparkContext.broadcast((tree, visits, sample["vec_id"].to_numpy(), x[:, :-1], leaf_of(tree, x)))
+    planted = spark.sparkContext.broadcast(tree)  # a few nodes for each of its leaves
 
     def to_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            leaf = leaf_of(sent.value[0], widened(_matrix(b.column(1)), most)) if len(b) else np.empty(0, np.int64)
+            leaf = leaf_of(planted.value, widened(_matrix(b.column(1)), most)) if len(b) else np.empty(0, np.int64)
             yield b.append_column("leaf", pa.array(leaf.astype(np.int32)))
 
+    placed = materialize(base.select("vec_id", "v").mapInArrow(to_leaf, "vec_id long, v array<double>, leaf int"), "ann-leaves")
+    # the visits that the whole table needs: sampled neighbours lie farther off than its own, so the sample would ask for more
+    picked = np.unique(np.linspace(0, len(x) - 1, min(len(x), CALIBRATION_QUERIES)).astype(int))
+    ids, known_vectors = sample["vec_id"].to_numpy(), x[:, :-1]
+    visits = visits_for(tree, known_vectors[picked], exact_leaves(placed, ids[picked], known_vectors[picked], k), recall)
+    # at most SAMPLE vectors and their tree
+    sent = spark.sparkContext.broadcast((tree, visits, ids, known_vectors, leaf_of(tree, x)))
+
     def to_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, visits, ids, known, at = sent.value
         for b in batches:
@@ -185,8 +210,7 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, every: int = EVERY, recall:
                 floors.append(float(np.partition(s, len(s) - k)[len(s) - k]) if len(s) >= k else -np.inf)
             yield b.append_column("leaves", pa.array(walks, pa.list_(pa.int32()))).append_column("least", pa.array(floors, pa.float64()))
 
-    placed = materialize(base.select("vec_id", "v").mapInArrow(to_leaf, "vec_id long, v array<float>, leaf int"), "ann-leaves")
-    asked = materialize(queries.mapInArrow(to_leaves, "vec_id long, v array<float>, leaves array<int>, least double"), "ann-queries")
+    asked = materialize(queries.mapInArrow(to_leaves, "vec_id long, v array<double>, leaves array<int>, least double"), "ann-queries")
     per_leaf = placed.groupBy("leaf").agg(F.ceil(F.count("*") / TILE_VECTORS).cast("int").alias("vparts"))
     per_query = asked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / TILE_QUERIES).cast("int").alias("qparts"))
     tiles = F.broadcast(per_leaf.join(per_query, "leaf"))  # a row for each leaf: at most SAMPLE / LEAST_SAMPLE_PER_LEAF times BRANCH

@@ -197,7 +197,9 @@ def write_warc(pages: DataFrame, directory: str, min_bytes: int = 0) -> DataFram
     ``min_bytes`` bytes or its page_id is the largest of those with an equal
     payload (rows that repeat that id are all responses); others are revisits of
     it. Among equal payloads null ids count as smallest; if all are null all are
-    responses. No rows write no archive. Extra columns are not read.
+    responses. Very long pages are one record each. No rows write no archive.
+    Extra columns are not read. An archive counts once its task has ended: read
+    with the manifest, as a task that died may have left files behind.
     """
     raw_dict = train_dictionary(pages)
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
@@ -237,11 +239,21 @@ def write_warc(pages: DataFrame, directory: str, min_bytes: int = 0) -> DataFram
     return materialize(typed.select("page_id", "url", "html", "response_id", "is_response").mapInArrow(run, "file string, records long, bytes long"), "warc-manifest")
 
 
-def read_warc(spark: SparkSession, directory: str, payload: bool = True) -> DataFrame:
-    """The records of all archives in a folder (RECORD_SCHEMA; payloads on demand; null for revisits).
+def _listed(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The files of ``manifest``: a writing task numbers its archives from 0, and one that died before may have left more."""
+    name = F.regexp_extract("path", r"part-(\d+)-(\d+)\.warc\.zst$", 1).alias("part")
+    nth = F.regexp_extract("path", r"part-(\d+)-(\d+)\.warc\.zst$", 2).cast("long").alias("nth")
+    of_task = manifest.select(F.col("file").alias("path")).select(name).groupBy("part").agg(F.count("*").alias("n"))  # a row for each writing task
+    return files.select("*", name, nth).join(broadcast_if_small(of_task, of_task.count()), "part").where("nth < n").select("content")
 
-    A record that is cut short, lacks a mandatory header or does not match its
-    lengths or digests fails the query. An archive without records gives no rows.
+
+def read_warc(spark: SparkSession, directory: str, payload: bool = True, manifest: DataFrame | None = None) -> DataFrame:
+    """The records of the archives in a folder (RECORD_SCHEMA; payloads on demand; null for revisits).
+
+    With the ``manifest`` that ``write_warc`` returned only its archives are read,
+    else all in the folder. A record that is cut short, lacks a mandatory header or
+    does not match its lengths or digests fails the query. An archive without
+    records gives no rows.
     """
     schema = RECORD_SCHEMA if payload else RECORD_SCHEMA.rpartition(", ")[0]
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
@@ -264,7 +276,8 @@ def read_warc(spark: SparkSession, directory: str, payload: bool = True) -> Data
                 if some:
                     yield rows(some)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(directory).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(directory).select("path", "content")
+    files = _listed(files, manifest) if manifest is not None else files.select("content")
     return files.mapInArrow(run, schema)
 
 
@@ -272,6 +285,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` to archives in the shared folder and read them back (without payloads)."""
     spark = pages.sparkSession
     directory = new_path(spark, "warc")
-    if not write_warc(pages, directory).agg(F.sum("records")).first()[0]:
+    manifest = write_warc(pages, directory)
+    if not manifest.agg(F.sum("records")).first()[0]:
         return spark.createDataFrame([], RECORD_SCHEMA.rpartition(", ")[0])
-    return read_warc(spark, directory, payload=False)
+    return read_warc(spark, directory, payload=False, manifest=manifest)
