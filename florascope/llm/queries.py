@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), specials=True)
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +65,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def _lowered(s: str) -> str:
+    return f"translate(coalesce({s}, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+
+
 def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -83,15 +88,20 @@ def op4_sql() -> str:
         f"list_transform(list_filter(range(len(w)), lambda i: {' and '.join(f'w[i + {k + 1}] = {_quoted(x)}' for k, x in enumerate(p.split()))}), lambda i: {{'ord': i, 'label': {_quoted(label)}}})"
         for p, label in licenses.PHRASES.items()
     ]
-    templates = ", ".join(f"({_quoted(label)}, [{', '.join(map(_quoted, licenses.template_words(w)))}])" for label, w in licenses.TEMPLATES)
+    templates = ", ".join(
+        f"({_quoted(label)}, {len(t)}, {licenses.need(w, licenses.THRESHOLD)}, {licenses.block_size(w)}, [{', '.join(map(_quoted, t))}])" for label, w in licenses.TEMPLATES for t in [licenses.template_words(w)]
+    )
     return f"""
-with d as (select row_number() over () as rid, doc_id, lower(coalesce(text, '')) as s from documents),
- b as (select rid, doc_id, s, list_filter(regexp_split_to_array(s, '{licenses.BETWEEN}'), lambda x: x <> '') as w from d),
+with d as (select row_number() over () as rid, doc_id, {_lowered('text')} as s from documents),
+ b as (select rid, doc_id, list_filter(regexp_split_to_array(s, '{licenses.BETWEEN}'), lambda x: x <> '') as w from d),
  p as (select rid, doc_id, len(w) as n_words, list_concat({', '.join(starts)}) as ord from b),
- l as (select rid, list_distinct(regexp_split_to_array(unnest(string_split(s, chr(10))), '{licenses.BETWEEN}')) as t from d),
- q as (select * from (values {templates}) v(label, need)),
- m as (select rid, label, len(list_intersect(t, need)) * 1e0 / len(need) as c from l cross join q where len(list_intersect(t, need)) >= ceil({licenses.THRESHOLD}e0 * len(need) - 1e-9)),
- f as (select rid, list(label) as found, max(c) as c from m group by rid)
+ q as (select label, nt, need, size, unnest(words) as word from (values {templates}) v(label, nt, need, size, words)),
+ x as (select rid, unnest(w) as word, unnest(range(len(w))) as pos from b),
+ h as (select rid, label, nt, need, size, word, pos from x join q using (word)),
+ e as (select rid, label from h group by rid, label, need having count(distinct word) >= need),
+ m as (select u.rid, u.label, u.pos, count(distinct v.word) as n, any_value(u.nt) as nt, any_value(u.need) as need from h u join e using (rid, label) join h v
+  on v.rid = u.rid and v.label = u.label and v.pos >= u.pos and v.pos < u.pos + u.size group by u.rid, u.label, u.pos),
+ f as (select rid, list(distinct label) as found, max(n * 1e0 / nt) as c from m where n >= need group by rid)
 select doc_id, cast(n_words as bigint) as n_words, cast(len(ord) as bigint) as n_base,
  cast(list_min(list_transform(ord, lambda x: x.ord)) as bigint) as first_word, cast(list_max(list_transform(ord, lambda x: x.ord)) as bigint) as last_word,
  array_to_string(list_sort(list_distinct(list_transform(ord, lambda x: x.label))), ',') as base_labels,
@@ -111,12 +121,12 @@ with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as s f
  r as ({kinds}),
  e as (select rid, k, kind, m, v, sum(length(gap) + length(m)) over (partition by rid, k order by ord) as fin from r where m is not null),
  a as (select rid, k, kind, cast(fin - length(m) as bigint) as beg, cast(fin as bigint) as fin from e where case kind when 'assign' then length(v) >= 8 when 'access' then length(m) >= 16
-  when 'secret' then regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]') and length(m) <= {secrets.MAX_TOKEN} else true end),
+  when 'secret' then regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]') else true end),
  u as (select * from a where kind <> 'secret' or not exists (select 1 from a b where b.rid = a.rid and b.kind in ('assign', 'access', 'hex', 'endpoint') and b.beg < a.fin and b.fin > a.beg)),
  n as (select rid, k, kind, beg, fin,
-  exists (select 1 from u b where b.rid = u.rid and b.kind in ('access', 'account') and abs(b.beg - u.beg) <= {secrets.SCOPE}) as near_id,
-  exists (select 1 from u b where b.rid = u.rid and b.kind in ('assign', 'hex', 'secret') and abs(b.beg - u.beg) <= {secrets.SCOPE}) as near_secret,
-  exists (select 1 from u b where b.rid = u.rid and b.kind = 'endpoint' and abs(b.beg - u.beg) <= {secrets.SCOPE}) as near_end from u),
+  exists (select 1 from u b where b.rid = u.rid and b.kind in ('access', 'account') and b.beg <= u.fin + {secrets.SCOPE} and b.fin >= u.beg - {secrets.SCOPE}) as near_id,
+  exists (select 1 from u b where b.rid = u.rid and b.kind in ('assign', 'hex', 'secret') and b.beg <= u.fin + {secrets.SCOPE} and b.fin >= u.beg - {secrets.SCOPE}) as near_secret,
+  exists (select 1 from u b where b.rid = u.rid and b.kind = 'endpoint' and b.beg <= u.fin + {secrets.SCOPE} and b.fin >= u.beg - {secrets.SCOPE}) as near_end from u),
  g as (select rid, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
   string_agg(concat_ws(':', kind, beg, fin), ',' order by beg, k) filter (k < 3) as base, string_agg(concat_ws(':', kind, beg, fin), ',' order by beg, k) as spans
   from n where k < 3 or case kind when 'secret' then near_id or near_end when 'endpoint' then near_id and near_secret else near_secret end group by rid)
@@ -125,10 +135,11 @@ from d left join g using (rid)"""
 
 
 def op10_sql(keep: str = "doc_id, n_lines, n_dropped, text", docs: str = "documents") -> str:
+    blank = "' ' || " + " || ".join(f"chr({ord(c)})" for c in line_dedup.BLANK.strip(" "))
     return f"""
 with d as (select row_number() over () as rid, * from {docs}),
  x as (select rid, source, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as ord from d where text is not null),
- c as (select source, line, count(distinct rid) as n from x where trim(line) <> '' group by source, line),
+ c as (select source, line, count(distinct rid) as n from x where trim(line, {blank}) <> '' group by source, line),
  p as (select source, count(*) as pages from d group by source),
  b as (select c.source, c.line from c join p on c.source is not distinct from p.source where n >= {line_dedup.MIN_PAGES} and n > pages * {line_dedup.RATIO}e0),
  m as (select x.rid, x.ord, x.line, b.line is not null as bad from x left join b on x.source is not distinct from b.source and x.line = b.line),
@@ -145,10 +156,10 @@ with i as (select item_id, w, len(w) as n, least(len(w), 5) as k from (select it
  d as (select doc_id, {split} as w from documents),
  ks as (select distinct k from i),
  dg as (select doc_id, k, len(w) as nd, {grams.format(n="len(w)", k="k")} as g, unnest(range(len(w) - k + 1)) as pos from d cross join ks where len(w) >= k),
- h as (select doc_id, item_id, dg.k, n, n - dg.k + 1 as m, nd, pos, g, c from dg join ig using (k, g)),
- cand as (select doc_id, item_id, k, n, m, nd, unnest(range(greatest(0, pos - m + 1), least(pos, nd - n) + 1)) as s, pos, g, c from h),
- o as (select doc_id, item_id, m, s, sum(least(cw, c)) as o from (select doc_id, item_id, m, s, g, c, count(*) as cw from cand group by all) z group by doc_id, item_id, m, s),
- v as (select doc_id, item_id, s, cast(o as double) / cast(2 * m - o as double) as similarity from o),
+ h as (select doc_id, item_id, dg.k, n, n - dg.k + 1 as m, least(n, nd) - dg.k + 1 as mw, nd, pos, g, c from dg join ig using (k, g)),
+ cand as (select doc_id, item_id, k, n, m, mw, nd, unnest(range(greatest(0, pos - mw + 1), least(pos, nd - least(n, nd)) + 1)) as s, pos, g, c from h),
+ o as (select doc_id, item_id, m, mw, s, sum(least(cw, c)) as o from (select doc_id, item_id, m, mw, s, g, c, count(*) as cw from cand group by all) z group by doc_id, item_id, m, mw, s),
+ v as (select doc_id, item_id, s, cast(o as double) / cast(m + mw - o as double) as similarity from o),
  r as (select *, row_number() over (partition by doc_id, item_id order by similarity desc, s) as rn from v where similarity >= {decontam.SIMILARITY}e0)
 select doc_id, item_id, similarity, cast(s as int) as window_start from r where rn = 1"""
 
