@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import seeded
+from .session import cut
 from .stats import covariance, trimmed_max
 
-#: Reference rows that distance diagnostics compare with at most: the reference set of a model is a bounded training sample.
+#: Reference rows that go to every task whole; larger references are cut into blocks of about so many.
 REFERENCE_ROWS = 20_000
 
 
@@ -45,42 +46,93 @@ def nt2(target: DataFrame, reference: DataFrame, columns: list[str]) -> DataFram
     return target.withColumns({"nt2": full / float(top), "nt2_most": F.element_at(names, F.array_position(F.array(*gains), F.array_max(F.array(*gains))).cast("int"))})
 
 
+def _vector(column: str | list[str]) -> Column:
+    return F.transform(F.col(column), lambda x: x.cast("double")) if isinstance(column, str) else F.array(*[F.col(c).cast("double") for c in column])
+
+
+def _nearest(x: np.ndarray, m: np.ndarray, k: int, fx: np.ndarray | None, fm: np.ndarray | None) -> np.ndarray:
+    """Distances from each row of ``x`` to its ``k`` nearest rows of ``m`` in other folds (infinite where there are fewer)."""
+    square, n, out = (m**2).sum(axis=1), min(k, len(m)), []
+    for at in range(0, len(x), 512):
+        part = x[at : at + 512]
+        d = (part**2).sum(axis=1)[:, None] - 2 * part @ m.T + square
+        if fx is not None:
+            d[fx[at : at + 512, None] == fm] = np.inf
+        near = np.argpartition(d, n - 1, axis=1)[:, :n]
+        exact = np.sqrt(((part[:, None, :] - m[near]) ** 2).sum(axis=2))
+        exact[np.isinf(np.take_along_axis(d, near, axis=1))] = np.inf
+        out.append(exact)
+    return np.concatenate(out) if out else np.empty((0, n))
+
+
+def _in_blocks(target: DataFrame, reference: DataFrame, n: int, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``fn`` of each block of targets with each block of the ``n`` references, both dealt by a hash of their rows."""
+    blocks = -(-n // REFERENCE_ROWS)
+    parts = max(1, -(-target.count() // (4 * REFERENCE_ROWS)))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    own = lambda m: F.pmod(F.xxhash64("v", "_nth"), F.lit(m)).cast("int")
+    # equal vectors are spread by a number of their own, kept so that a repeated task deals them alike
+    t = target.withColumn("_nth", F.xxhash64("id")).withColumn("_t", own(parts)).withColumn("_r", every(blocks))
+    r = cut(reference.withColumn("_nth", F.monotonically_increasing_id())).withColumn("_r", own(blocks)).withColumn("_t", every(parts))
+    return t.groupBy("_t", "_r").cogroup(r.groupBy("_t", "_r")).applyInPandas(fn, schema)
+
+
 def nearest_distance(target: DataFrame, reference: DataFrame, id_col: str, vector: str | list[str], fold: str | None = None, k: int = 1) -> DataFrame:
     """``id, distance``: mean Euclidean distance to the ``k`` nearest reference rows; with ``fold``, to those of other folds.
 
-    The reference is a model's bounded training sample (REFERENCE_ROWS) and goes
-    to every task once; targets of any number stream past it in blocks.
+    A counted reference of at most REFERENCE_ROWS rows goes to every task once
+    and targets stream past it; a larger one is cut into blocks that meet blocks
+    of targets, each pair of blocks returning the ``k`` smallest distances.
     """
-    spark = target.sparkSession
-    cols = [vector] if isinstance(vector, str) else vector
-    pack = F.transform(F.col(vector), lambda x: x.cast("double")) if isinstance(vector, str) else F.array(*[F.col(c).cast("double") for c in cols])
-    ref = reference.select(pack.alias("v"), *([F.col(fold).cast("long").alias("f")] if fold else [])).limit(REFERENCE_ROWS + 1).toPandas()
-    if len(ref) > REFERENCE_ROWS:
-        raise ValueError(f"the reference has more than {REFERENCE_ROWS} rows; thin it first")
-    if not len(ref):
+    spark, kind = target.sparkSession, target.schema[id_col].dataType.simpleString()
+    folds = [F.col(fold).cast("long").alias("f")] if fold else []
+    ref = reference.select(_vector(vector).alias("v"), *folds)
+    given = target.select(F.col(id_col).alias("id"), _vector(vector).alias("v"), *folds)
+    n = ref.count()
+    if not n:
         return target.select(id_col, F.lit(None).cast("double").alias("distance"))
-    sent = spark.sparkContext.broadcast((np.array(ref["v"].tolist()), ref["f"].to_numpy() if fold else None))
+    if n > REFERENCE_ROWS:
+
+        def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return pd.DataFrame({"id": a["id"].iloc[:0], "d": []})
+            d = _nearest(np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy()), k, *((a["f"].to_numpy(), b["f"].to_numpy()) if fold else (None, None)))
+            return pd.DataFrame({"id": a["id"].to_numpy(), "d": list(d)})
+
+        found = _in_blocks(given, ref, n, block, f"id {kind}, d array<double>")
+        best = found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, k).alias("d"))
+        return best.select(F.col("id").alias(id_col), (F.aggregate("d", F.lit(0.0), lambda s, x: s + x) / F.size("d")).alias("distance"))
+    rows = ref.toPandas()  # at most REFERENCE_ROWS
+    sent = spark.sparkContext.broadcast((np.array(rows["v"].tolist()), rows["f"].to_numpy() if fold else None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, folds = sent.value
-        square = (m**2).sum(axis=1)
+        m, fm = sent.value
         for b in batches:
             x = np.array(b.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(len(b), -1)
-            out = np.empty(len(b))
-            for at in range(0, len(b), 512):
+            d = _nearest(x, m, k, b.column(2).to_numpy() if fold else None, fm)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d.mean(axis=1) if len(b) else np.empty(0))], [id_col, "distance"])
+
+    return given.mapInArrow(run, f"{id_col} {kind}, distance double")
+
+
+def mean_pair_distance(df: DataFrame, vector: str) -> float:
+    """Mean Euclidean distance of all pairs of rows, from the sums of pairs of blocks."""
+    rows = df.select(F.monotonically_increasing_id().alias("id"), _vector(vector).alias("v"))
+    rows = cut(rows)
+    n = rows.count()
+    if n < 2:
+        return float("nan")
+
+    def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        total = 0.0
+        if len(a) and len(b):
+            x, m = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
+            for at in range(0, len(x), 512):
                 part = x[at : at + 512]
-                d = (part**2).sum(axis=1)[:, None] - 2 * part @ m.T + square
-                if folds is not None:
-                    d[b.column(2).to_numpy()[at : at + 512, None] == folds] = np.inf
-                n = min(k, d.shape[1])
-                near = np.argpartition(d, n - 1, axis=1)[:, :n]
-                exact = np.sqrt(((part[:, None, :] - m[near]) ** 2).sum(axis=2))
-                exact[np.isinf(np.take_along_axis(d, near, axis=1))] = np.inf
-                out[at : at + 512] = exact.mean(axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], [id_col, "distance"])
+                total += float(np.sqrt(np.maximum((part**2).sum(axis=1)[:, None] - 2 * part @ m.T + (m**2).sum(axis=1), 0)).sum())
+        return pd.DataFrame({"total": [total]})
 
-    given = target.select(id_col, pack.alias("v"), *([F.col(fold).cast("long").alias("f")] if fold else []))
-    return given.mapInArrow(run, f"{id_col} {target.schema[id_col].dataType.simpleString()}, distance double")
+    return float(_in_blocks(rows, rows.select("v"), n, block, "total double").agg(F.sum("total")).first()[0]) / (n * (n - 1.0))
 
 
 def _threshold(reference: DataFrame, vector: str, fold: str, k: int, divide: float) -> float:
@@ -103,11 +155,9 @@ def distances(target: DataFrame, reference: DataFrame, columns: list[str], fold:
         "mop": F.array(*z), "aoa": F.array(*[a * float(b) for a, b in zip(z, w, strict=True)]),
         "shape": F.array(*[sum((F.col(col) * float(whiten[i, j]) for i, col in enumerate(columns)), F.lit(0.0)) for j in range(whiten.shape[1])]),
     }
-    ref = reference.select(F.monotonically_increasing_id().alias("_id"), fold, *[e.alias(f"_{k}") for k, e in spaces.items()], *columns)
+    ref = cut(reference).select(F.monotonically_increasing_id().alias("_id"), fold, *[e.alias(f"_{k}") for k, e in spaces.items()], *columns)
     base = ref.agg(F.avg(F.sqrt(_squared(columns, mean, np.linalg.pinv(c))))).first()[0] or float("nan")
-    sample = np.array(ref.orderBy(seeded(F.col("_id"), 3)).limit(2000).select("_aoa").toPandas()["_aoa"].tolist())
-    d2 = np.maximum((sample**2).sum(axis=1)[:, None] - 2 * sample @ sample.T + (sample**2).sum(axis=1), 0)
-    mean_pair = float(np.sqrt(d2).sum() / max(1, len(sample) * (len(sample) - 1))) or float("nan")
+    mean_pair = mean_pair_distance(ref, "_aoa") or float("nan")
     k = {"mop": max(1, round(n * percentage / 100)), "shape": 1, "aoa": 1}
     unit = {"mop": 1.0, "shape": base / 100.0, "aoa": mean_pair}
     out = target.withColumn("_id", F.struct("row", "col"))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from florascope.functions.geo import cell_area_km2
 
+from .order import running
+
+#: Distinct reference values of a predictor that are sent to the cells at most.
+LOOK_UP = 200_000
+
 #: Zone and change codes.
 ZONES = {0: "not suitable", 1: "native range (suitable)", 2: "established outside native range", 3: "candidate invasion / expansion zone"}
 CHANGES = {0: "stable unsuitable", 1: "gain", 2: "loss", 3: "stable suitable"}
@@ -25,30 +32,52 @@ def similarity(f: Column, t: Column, lo: Column, hi: Column) -> Column:
 
 
 def mess_one(reference: DataFrame, target: DataFrame, column: str) -> DataFrame:
-    """``target`` with ``sim_<column>``: exact counts strictly below, from one ordered union of distinct values.
-
-    Values are summed within range partitions first, so no single ordered
-    window runs over all rows: a value's count below is its partition's offset
-    plus a running count inside the partition.
-    """
+    """``target`` with ``sim_<column>``: exact counts strictly below, from the ordered union of distinct values in range buckets."""
     ref = reference.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("m"))
     n = ref.agg(F.sum("m").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
     both = ref.select("v", "m").unionAll(target.where(F.col(column).isNotNull()).select(F.col(column).alias("v"), F.lit(0).cast("long").alias("m"))).groupBy("v").agg(F.sum("m").alias("m"))
-    width = (F.col("mx") - F.col("mn")) / 1024.0
-    both = both.crossJoin(F.broadcast(n)).withColumn("b", F.when(width > 0, F.greatest(F.least(F.floor((F.col("v") - F.col("mn")) / width), F.lit(1024)), F.lit(-1))).otherwise(F.lit(0)))  # one row
-    sums = both.groupBy("b").agg(F.sum("m").alias("s"))  # at most 1026 rows
-    sums = sums.withColumn("before", F.sum("s").over(Window.orderBy("b")) - F.col("s"))
-    inside = F.sum("m").over(Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    f = both.withColumn("le", inside).join(F.broadcast(sums.select("b", "before")), "b")
-    f = f.select("v", similarity((F.col("before") + F.col("le") - F.col("m")) * 100.0 / F.col("n"), F.col("v"), F.col("mn"), F.col("mx")).alias(f"sim_{column}"))
+    f = running(both, "v", {"below": F.col("m")}).crossJoin(F.broadcast(n))  # one row
+    f = f.select("v", similarity(F.col("below") * 100.0 / F.col("n"), F.col("v"), F.col("mn"), F.col("mx")).alias(f"sim_{column}"))
     return target.join(f, target[column] == f["v"], "left").drop("v")
 
 
+def _mess_looked_up(target: DataFrame, tables: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``target`` with ``sim_<column>`` for each table of distinct reference values and their counts; cells are not moved."""
+    sent = target.sparkSession.sparkContext.broadcast(tables)
+
+    def look_up(column: str) -> Column:
+        @F.pandas_udf("double")
+        def sim(v: pd.Series) -> pd.Series:
+            values, counts = sent.value[column]
+            below = np.append(0, counts.cumsum())
+            t = v.to_numpy(dtype=float)
+            f = below[np.searchsorted(values, t, side="left")] * 100.0 / below[-1]
+            lo, hi = values[0], values[-1]
+            span = hi - lo if hi > lo else 1e-12
+            out = np.where(f == 0, (t - lo) / span * 100.0, np.where(f <= 50, f * 2.0, np.where(f < 100, (100.0 - f) * 2.0, (hi - t) / span * 100.0)))
+            return pd.Series(out).where(~np.isnan(t), None)
+
+        return sim(F.col(column).cast("double"))
+
+    return target.withColumns({f"sim_{c}": look_up(c) for c in tables})
+
+
 def mess(reference: DataFrame, target: DataFrame, columns: list[str]) -> DataFrame:
-    """``target`` with ``mess`` and ``most_dissimilar``, the first predictor of the smallest similarity; null if any predictor is null."""
-    d = target
+    """``target`` with ``mess`` and ``most_dissimilar``, the first predictor of the smallest similarity; null if any predictor is null.
+
+    A predictor whose distinct reference values are counted and few goes to the
+    cells as a sorted table; for others the cells are ordered against it.
+    """
+    d, tables = target, {}
     for c in columns:
-        d = mess_one(reference, d, c)
+        values = reference.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))).groupBy(F.col(c).cast("double").alias("v")).agg(F.count("*").alias("m"))
+        few = values.limit(LOOK_UP + 1).toPandas()
+        if 0 < len(few) <= LOOK_UP:
+            few = few.sort_values("v")
+            tables[c] = (few["v"].to_numpy(), few["m"].to_numpy())
+        else:
+            d = mess_one(reference, d, c)
+    d = _mess_looked_up(d, tables) if tables else d
     sims = F.array(*[f"sim_{c}" for c in columns])
     complete = F.forall(sims, lambda x: x.isNotNull())
     names = F.array(*[F.lit(c) for c in columns])

@@ -19,9 +19,10 @@ from florascope.functions.geo import hav_km
 from florascope.functions.scalars import cloglog
 
 from . import stats
+from .order import quantiles
 from .sampling import seeded
 from .session import cut
-from .spatial import XY, _sides
+from .spatial import XY, _sides, nearest_km
 
 
 def standardiser(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
@@ -176,12 +177,12 @@ def _held(model: dict, hold: dict[str, float]) -> dict[str, Column]:
     return out
 
 
-def spatial_blocks(df: DataFrame, k: int, seed: int, rounds: int = 12) -> DataFrame:
-    """``df`` with ``fold``: nearest of ``k`` centres on the unit sphere, found by Lloyd rounds (k rows reach the driver)."""
+def spatial_blocks(df: DataFrame, k: int, seed: int, rounds: int = 12, anchors: DataFrame | None = None) -> DataFrame:
+    """``df`` with ``fold``: nearest of ``k`` centres of ``anchors`` (``df`` itself) on the unit sphere, found by Lloyd rounds (k rows reach the driver)."""
     lon, lat = F.radians(XY[0]), F.radians(XY[1])
     xyz = {"_x": F.cos(lat) * F.cos(lon), "_y3": F.cos(lat) * F.sin(lon), "_z": F.sin(lat)}
-    d = df.withColumns(xyz)
-    start = d.orderBy(F.xxhash64("_x", "_y3", F.lit(seed)), "_x", "_y3").limit(k).select("_x", "_y3", "_z").collect()
+    a = (df if anchors is None else anchors).withColumns(xyz)
+    start = a.orderBy(F.xxhash64("_x", "_y3", F.lit(seed)), "_x", "_y3").limit(k).select("_x", "_y3", "_z").collect()
     centres = [tuple(r) for r in start]
 
     def nearest(centres: list[tuple]) -> Column:
@@ -189,7 +190,7 @@ def spatial_blocks(df: DataFrame, k: int, seed: int, rounds: int = 12) -> DataFr
         return (F.array_position(dots, F.array_max(dots)) - 1).cast("int")
 
     for _ in range(rounds):
-        sums = d.groupBy(nearest(centres).alias("fold")).agg(F.sum("_x"), F.sum("_y3"), F.sum("_z")).collect()
+        sums = a.groupBy(nearest(centres).alias("fold")).agg(F.sum("_x"), F.sum("_y3"), F.sum("_z")).collect()
         new = list(centres)
         for r in sums:
             n = math.sqrt(sum(v * v for v in r[1:])) or 1.0
@@ -197,7 +198,25 @@ def spatial_blocks(df: DataFrame, k: int, seed: int, rounds: int = 12) -> DataFr
         if max(abs(a - b) for x, y in zip(new, centres, strict=True) for a, b in zip(x, y, strict=True)) < 1e-9:
             break
         centres = new
-    return d.withColumn("fold", nearest(centres)).drop(*xyz)
+    return df.withColumns(xyz).withColumn("fold", nearest(centres)).drop(*xyz)
+
+
+def tune_maxent(df: DataFrame, columns: list[str], grid: list[tuple[str, float]], folds: int, rounds: int) -> tuple[dict, list[tuple]]:
+    """The model of the setting with the best mean (CBI, AUC) over ``fold``, and every setting with its means.
+
+    Settings are feature kinds and a regularisation multiplier; the first of equal ones wins.
+    """
+    table = []
+    for kinds, multiplier in grid:
+        scores = []
+        for f in range(folds):
+            model = fit_maxent(df.where(F.col("fold") != f), columns, kinds=kinds, multiplier=multiplier, rounds=rounds)
+            s = cut(df.where(F.col("fold") == f).select("y", predict(model).alias("s")))
+            scores.append((stats.boyce(s).first()[0], stats.auc(s).first()[0]))
+        means = [float(np.mean([x for x in column if x is not None] or [-math.inf])) for column in zip(*scores, strict=True)]
+        table.append((kinds, multiplier, *means))
+    best = max(table, key=lambda r: (r[2], r[3]))
+    return fit_maxent(df, columns, kinds=best[0], multiplier=best[1], rounds=rounds), table
 
 
 def cross_validate(df: DataFrame, fit: Callable[[DataFrame], dict], folds: int) -> DataFrame:
@@ -211,18 +230,28 @@ def cross_validate(df: DataFrame, fit: Callable[[DataFrame], dict], folds: int)
     return out
 
 
+def numbered(df: DataFrame, order: Column, name: str) -> DataFrame:
+    """``df`` with row numbers from 1 in ``order``: sorted in range partitions, each of which begins where the one before ends."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = cut(df.withColumn("_order", order).repartitionByRange(parts, "_order").withColumn("_part", F.spark_partition_id()))
+    sizes = d.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    d = d.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy("_order"))
+    return d.withColumn(name, (F.col("_before") + nth).cast("long")).select(*df.columns, name)
+
+
 def permutation_importance(df: DataFrame, columns: list[str], score: Callable[[dict[str, Column]], Column], repeats: int = 3) -> DataFrame:
     """``predictor, importance``: mean loss of AUC when a column is permuted, in percent of all losses.
 
     A permutation pairs rows by two seeded orders; all (column, repeat) runs share one pass of AUC.
     """
-    ranked = df.withColumn("_i", F.row_number().over(Window.orderBy("id", "y")))  # positions in a training sample
-    ranked = cut(ranked)
+    ranked = cut(numbered(df, F.struct("id", "y"), "_i"))
     runs = None
     base = ranked.select(F.lit("").alias("predictor"), F.lit(-1).alias("repeat"), "y", score({c: F.col(c) for c in columns}).alias("s"))
     for k, c in enumerate(columns):
         for r in range(repeats):
-            shuffled = ranked.select(F.row_number().over(Window.orderBy(seeded(F.col("_i"), 31 * k + r + 1), "_i")).alias("_i"), F.col(c).alias("_p"))
+            shuffled = numbered(ranked.select("_i", F.col(c).alias("_p")), F.struct(seeded(F.col("_i"), 31 * k + r + 1), "_i"), "_j").select(F.col("_j").alias("_i"), "_p")
             run = ranked.join(shuffled, "_i").select(F.lit(c).alias("predictor"), F.lit(r).alias("repeat"), "y", score({n: (F.col("_p") if n == c else F.col(n)) for n in columns}).alias("s"))
             runs = run if runs is None else runs.unionAll(run)
     a = stats.auc(base.unionAll(runs), ["predictor", "repeat"])
@@ -246,8 +275,11 @@ def response_curves(df: DataFrame, model: dict, points: int = 40, rows: int = 40
     return out
 
 
-def clusters(df: DataFrame, id_col: str, km: float, least: int = 3, rounds: int = 50) -> DataFrame:
-    """``id, cluster``: density clusters of points (cores have ``least`` points within ``km``, themselves included); noise is left out."""
+def clusters(df: DataFrame, id_col: str, km: float, least: int = 3) -> DataFrame:
+    """``id, cluster``: density clusters of points (cores have ``least`` points within ``km``, themselves included); noise is left out.
+
+    Labels only fall, and rounds go on until none changes.
+    """
     points = df.select(F.col(id_col).alias("id"), *XY)
     left, right = _sides(points, points, km, ["id"])
     near = left.join(right, (left["by"] == right["by"]) & (left["bx"] == right["bx"])).where(hav_km(F.col(XY[0]), F.col(XY[1]), F.col("_lon"), F.col("_lat")) <= km)
@@ -255,7 +287,7 @@ def clusters(df: DataFrame, id_col: str, km: float, least: int = 3, rounds: int
     cores = cut(near.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("id"))
     edges = cut(near.join(cores, "id", "left_semi").join(cores.select(F.col("id").alias("other")), "other", "left_semi"))
     label = cut(cores.withColumn("cluster", F.col("id")))
-    for _ in range(rounds):
+    while True:
         low = edges.join(label.select(F.col("id").alias("other"), "cluster"), "other").groupBy("id").agg(F.min("cluster").alias("cluster"))
         # jump: a label is itself a core, whose own label may be smaller
         jump = low.select("id", F.col("cluster").alias("c")).join(label.select(F.col("id").alias("c"), F.col("cluster").alias("root")), "c").select("id", F.least("c", "root").alias("cluster"))
@@ -281,6 +313,15 @@ def native_range(df: DataFrame, id_col: str, eps_km: float = 750.0, least_labell
     return cells.join(first.join(members, id_col, "left_semi").select("_r", "_c"), ["_r", "_c"], "left_semi").select(id_col)
 
 
+def density_factor(df: DataFrame, key: list[str], k: int = 5) -> DataFrame:
+    """``df`` with ``density``: mean distance to the ``k`` nearest other points by its median, within 0.1 and 10; 1 if it cannot be told."""
+    near = cut(nearest_km(df, df, key, k=k, exclude_self=True, mean=True))
+    middle = quantiles(near, "km", {"_middle": 0.5})
+    ratio = F.when(F.col("_middle") > 0, F.greatest(F.least(F.col("km") / F.col("_middle"), F.lit(10.0)), F.lit(0.1)))
+    near = near.crossJoin(F.broadcast(middle)).select(*key, F.coalesce(ratio, F.lit(1.0)).alias("density"))  # one row
+    return df.join(near, key)
+
+
 def presence_weights(df: DataFrame, tier: Column, density: Column) -> DataFrame:
     """``df`` with ``weight``: tier weight times density factor, rescaled to mean 1."""
     w = F.when(tier == "A", 1.0).when(tier == "B", 0.75).otherwise(0.5) * density

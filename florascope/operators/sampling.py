@@ -8,16 +8,15 @@ from pyspark.sql import functions as F
 
 from florascope.functions.geo import hav_km
 
+from .order import quantiles
 from .session import cut
 from .spatial import XY, _sides
 from .stats import covariance
 
-MODULUS = 1_000_003
-
 
 def seeded(id_: Column, seed: int) -> Column:
-    """A number that orders ids in a way of the seed's own; the same in any partitioning."""
-    return (id_ * 7919 + seed * 104729) % MODULUS
+    """A digest that orders ids in a way of the seed's own; the same in any partitioning, and in any SQL engine that has MD5."""
+    return F.md5(F.concat(id_.cast("string"), F.lit(f":{seed}")).cast("binary"))
 
 
 def uniform(id_: Column, seed: int) -> Column:
@@ -54,15 +53,20 @@ def weighted_with_replacement(df: DataFrame, id_col: str, weight: str, n: int, s
     spark = df.sparkSession
     d = df.where(F.col(weight) > 0).withColumn("_b", F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int"))
     within = Window.partitionBy("_b").orderBy(id_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("_hi", F.sum(weight).over(within)).withColumn("_lo", F.col("_hi") - F.col(weight))
+    d = d.withColumn("_hi", F.sum(weight).over(within))
     sums = d.groupBy("_b").agg(F.max("_hi").alias("_w"))  # a row for each bucket
     order = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sums.withColumn("_end", F.sum("_w").over(order)).withColumn("_all", F.sum("_w").over(Window.partitionBy()))
     draws = spark.range(n).withColumnRenamed("id", "draw").withColumn("_u", uniform(F.col("draw"), seed))
-    hit = draws.join(F.broadcast(sums), (F.col("_u") * F.col("_all") <= F.col("_end")) & (F.col("_u") * F.col("_all") > F.col("_end") - F.col("_w")))
-    hit = hit.select("draw", "_b", (F.col("_u") * F.col("_all") - F.col("_end") + F.col("_w")).alias("_at"))
+    # intervals end where the next begins, so rounding loses no draw: (start, end], the last one open to the right
+    sums = sums.withColumns({"_start": F.lag("_end", 1, 0.0).over(Window.orderBy("_b")), "_last": F.lead("_b").over(Window.orderBy("_b")).isNull()})  # a row for each bucket
+    x = F.col("_u") * F.col("_all")
+    hit = draws.join(F.broadcast(sums), (x > F.col("_start")) & ((x <= F.col("_end")) | F.col("_last")))
+    hit = hit.select("draw", "_b", (x - F.col("_start")).alias("_at"))
+    bounds = Window.partitionBy("_b").orderBy(id_col)
+    d = d.withColumns({"_lo": F.lag("_hi", 1, -1.0).over(bounds), "_end_row": F.lead("_hi").over(bounds).isNull()})
     # within a bucket draws meet rows by range; both sides are a bucket's share
-    return hit.join(d, "_b").where((F.col("_at") > F.col("_lo")) & (F.col("_at") <= F.col("_hi"))).drop("_b", "_at", "_lo", "_hi")
+    return hit.join(d, "_b").where((F.col("_at") > F.col("_lo")) & ((F.col("_at") <= F.col("_hi")) | F.col("_end_row"))).drop("_b", "_at", "_lo", "_hi", "_end_row")
 
 
 def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
@@ -98,12 +102,13 @@ def autocorrelation_range(df: DataFrame, id_col: str, value: str, lo: float = 1.
     return df.sparkSession.createDataFrame([(float(min(max(3 * best[1], lo), hi)),)], "range_km double")
 
 
-def distance_thin(df: DataFrame, id_col: str, km: float, seed: int, most: int = 100) -> DataFrame:
+def distance_thin(df: DataFrame, id_col: str, km: float, seed: int) -> DataFrame:
     """Rows such that no two kept ones are under ``km`` apart: greedy in seeded order.
 
     In parallel: keep every undecided point that comes before all its undecided
-    neighbours, drop the neighbours of kept points, repeat. The neighbour list is
-    made once; each round is joins on ids, cut by a checkpoint.
+    neighbours, drop the neighbours of kept points, repeat until none is left: the
+    first of the undecided ones is always decided. The neighbour list is made once;
+    each round is joins on ids, cut by a checkpoint.
     """
     points = df.withColumn("_o", seeded(F.col(id_col), seed)).select(F.col(id_col).alias("id"), "_o", *XY)
     left, right = _sides(points, points, km, ["id", "_o"])
@@ -112,16 +117,15 @@ def distance_thin(df: DataFrame, id_col: str, km: float, seed: int, most: int =
     before = (F.col("__o") < F.col("_o")) | ((F.col("__o") == F.col("_o")) & (F.col("_id") < F.col("id")))
     edges = near.select("id", F.col("_id").alias("other"), before.alias("after_other"))
     edges = cut(edges)
-    todo, kept = cut(points.select("id")), None
-    for _ in range(most):
+    todo, kept = cut(points.select("id").distinct()), None
+    while not todo.isEmpty():
         waits = edges.where("after_other").join(todo.withColumnRenamed("id", "other"), "other", "left_semi").select("id").distinct()
-        keep = todo.join(waits, "id", "left_anti")
+        keep = cut(todo.join(waits, "id", "left_anti"))
         gone = edges.join(keep, "id", "left_semi").select(F.col("other").alias("id")).distinct()
         kept = keep if kept is None else kept.unionAll(keep)
-        kept = cut(kept)
         todo = cut(todo.join(keep, "id", "left_anti").join(gone, "id", "left_anti"))
-        if todo.isEmpty():
-            break
+    if kept is None:
+        return df.limit(0)
     return df.join(kept.select(F.col("id").alias(id_col)), id_col, "left_semi")
 
 
@@ -162,13 +166,13 @@ def environmental_outliers(df: DataFrame, columns: list[str], least: int = 30, r
     last = None
     for _ in range(rounds):
         d = distance(mean, cov)
-        cut = df.select(d.alias("d")).agg(F.expr("percentile(d, 0.5)")).first()[0]
-        if last is not None and abs(cut - last) <= 1e-6 * max(1.0, abs(last)):
+        half = quantiles(df.select(d.alias("d")), "d", {"m": 0.5}).first()[0]
+        if last is not None and abs(half - last) <= 1e-6 * max(1.0, abs(last)):
             break
-        last = cut
-        mean, cov, _ = covariance(df.where(d <= cut), columns)
+        last = half
+        mean, cov, _ = covariance(df.where(d <= half), columns)
     chi = lambda z: p * (1 - 2 / (9 * p) + z * (2 / (9 * p)) ** 0.5) ** 3
-    scale = df.select(distance(mean, cov).alias("d")).agg(F.expr("percentile(d, 0.5)")).first()[0] / chi(0.0)
+    scale = quantiles(df.select(distance(mean, cov).alias("d")), "d", {"m": 0.5}).first()[0] / chi(0.0)
     return df.withColumn("outlier", F.coalesce(distance(mean, cov) / float(scale or 1.0) > chi(3.0902), F.lit(False)))
 
 

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names; a local one only if none is set (tests)."""
+    """Use the folder that the cluster names; a local one only if none is set and everything runs in one process (tests)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

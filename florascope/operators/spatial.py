@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from florascope.functions.geo import EARTH_KM, hav_km
 
+from .session import cut
+
 XY = ("longitude", "latitude")
 
 
@@ -57,16 +59,26 @@ def within(points: DataFrame, refs: DataFrame, km: float, extra: Column | None =
     return left.join(right, near if extra is None else near & extra, how).drop("by", "bx")
 
 
-def nearest_km(points: DataFrame, refs: DataFrame, key: list[str], k: int = 1, exclude_self: bool = False, radii: tuple[float, ...] = (100.0, 800.0, 5000.0, 20100.0)) -> DataFrame:
-    """``key, km``: the distance to the ``k``-th nearest reference, null if there are not that many.
+def _first_radius(refs: DataFrame, most: float, crowd: int) -> float:
+    """A circle of which the fullest one-degree bucket would give about ``crowd`` references, at least a kilometre."""
+    by, bx = _own_bucket(1.0, F.col(XY[0]), F.col(XY[1]))
+    fullest = refs.groupBy(by.alias("by"), bx.alias("bx")).count().agg(F.max("count")).first()[0] or 1
+    return max(1.0, min(most, most * math.sqrt(crowd / fullest)))
+
+
+def nearest_km(points: DataFrame, refs: DataFrame, key: list[str], k: int = 1, exclude_self: bool = False, mean: bool = False, widest: float = 20100.0, start: float = 100.0, crowd: int = 500) -> DataFrame:
+    """``key, km``: the distance to the ``k``-th nearest reference, or the mean of the ``k``; null if there are not that many.
 
     Circles are widened: points that have not found ``k`` references within a
-    radius go on to the next. With ``exclude_self`` a reference with the point's
-    own key is left out. Keys must be unique.
+    radius go on to the next, eight times as wide. The first is so small that the
+    densest part of the references gives a bounded crowd; what is left for a wide
+    circle has few references around. Each round is cut by a checkpoint. With
+    ``exclude_self`` a reference with the point's own key is left out. Keys must
+    be unique.
     """
     spark_refs = refs.select(*XY, *(key if exclude_self else []))
-    todo, done = points.select(*key, *XY), None
-    for radius in radii:
+    todo, done, radius = points.select(*key, *XY), None, _first_radius(refs, start, crowd)
+    while True:
         left, right = _sides(todo, spark_refs, radius, key if exclude_self else [])
         on = (left["by"] == right["by"]) & (left["bx"] == right["bx"])
         if exclude_self:
@@ -80,25 +92,34 @@ def nearest_km(points: DataFrame, refs: DataFrame, key: list[str], k: int = 1, e
             found = pairs.groupBy(*key).agg(F.min("km").alias("km"))
         else:
             nth = F.row_number().over(Window.partitionBy(*key).orderBy("km"))
-            found = pairs.withColumn("nth", nth).where(F.col("nth") <= k).groupBy(*key).agg(F.max("km").alias("km"), F.count("*").alias("n")).where(F.col("n") == k).drop("n")
+            found = pairs.withColumn("nth", nth).where(F.col("nth") <= k).groupBy(*key).agg((F.avg if mean else F.max)("km").alias("km"), F.count("*").alias("n")).where(F.col("n") == k).drop("n")
+        found = cut(found)
         done = found if done is None else done.unionAll(found)
-        todo = todo.join(found.select(*key), key, "left_anti")
-    return done.unionAll(todo.select(*key, F.lit(None).cast("double").alias("km")))
+        todo = cut(todo.join(found.select(*key), key, "left_anti"))
+        if radius >= widest or todo.isEmpty():
+            return done.unionAll(todo.select(*key, F.lit(None).cast("double").alias("km")))
+        radius = min(widest, radius * 8)
 
 
-def in_polygons(points: DataFrame, edges: DataFrame, key: list[str], band: float = 1.0) -> DataFrame:
+def in_polygons(points: DataFrame, edges: DataFrame, key: list[str], band: float = 1.0, cell: float = 10.0) -> DataFrame:
     """``key, poly`` for each polygon that holds the point (even-odd rule).
 
     ``edges(poly, x1, y1, x2, y2)`` are spread over the latitude bands they
-    cross, so a point meets only edges of its own band.
+    cross, and within a band over the longitude cells that the polygon's edges
+    there span: outside of that span a point of the band is outside the polygon.
+    So a point meets only the edges of polygons around its own cell.
     """
     lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
     banded = edges.where(F.col("y1") != F.col("y2")).withColumn("band", F.explode(F.sequence(F.floor(lo / band).cast("int"), F.floor(hi / band).cast("int"))))
-    p = points.select(*key, *XY).withColumn("band", F.floor(F.col(XY[1]) / band).cast("int"))
+    span = banded.groupBy("poly", "band").agg(F.min(F.least("x1", "x2")).alias("west"), F.max(F.greatest("x1", "x2")).alias("east"))
+    cells = F.explode(F.sequence(F.floor(F.col("west") / cell).cast("int"), F.floor(F.col("east") / cell).cast("int"))).alias("cell")
+    banded = banded.join(span.select("poly", "band", "west", "east", cells), ["poly", "band"])
+    p = points.select(*key, *XY, F.floor(F.col(XY[1]) / band).cast("int").alias("band"), F.floor(F.col(XY[0]) / cell).cast("int").alias("cell"))
     crosses = ((F.col("y1") > F.col(XY[1])) != (F.col("y2") > F.col(XY[1]))) & (
         F.col(XY[0]) < (F.col("x2") - F.col("x1")) * (F.col(XY[1]) - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
     )
-    return p.join(banded, "band").where(crosses).groupBy(*key, "poly").agg(F.count("*").alias("n")).where(F.col("n") % 2 == 1).select(*key, "poly")
+    met = p.join(banded, ["band", "cell"]).where(F.col(XY[0]).between(F.col("west"), F.col("east")) & crosses)
+    return met.groupBy(*key, "poly").agg(F.count("*").alias("n")).where(F.col("n") % 2 == 1).select(*key, "poly")
 
 
 def within_degrees(points: DataFrame, refs: DataFrame, radius: float, how: str = "left_semi") -> DataFrame:

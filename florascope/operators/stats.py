@@ -1,7 +1,7 @@
 """Evaluation statistics as aggregations and windows over distinct scores.
 
-Rows are first counted per distinct value, so that the ordered windows run over
-the values and not over the rows.
+Rows are first counted per distinct value; ordered sums then run over range
+buckets of the values (see ``order``), never over all of them in one task.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import quantile_points, quantiles, running
+
 
 def _score_counts(pred: DataFrame, by: list[str]) -> DataFrame:
     return pred.groupBy(*by, "s").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
@@ -17,9 +19,8 @@ def _score_counts(pred: DataFrame, by: list[str]) -> DataFrame:
 def auc(pred: DataFrame, by: list[str] = ()) -> DataFrame:
     """Mann-Whitney AUC of ``y`` (1, 0) over ``s``; ties count half. Null without both classes."""
     by = list(by)
-    t = _score_counts(pred, by)
-    below = F.coalesce(F.sum(F.col("n1") + F.col("n0")).over(Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = t.withColumn("rank", below + (F.col("n1") + F.col("n0") + 1) / 2.0)
+    t = running(_score_counts(pred, by), "s", {"below": F.col("n1") + F.col("n0")}, by)
+    r = t.withColumn("rank", F.col("below") + (F.col("n1") + F.col("n0") + 1) / 2.0)
     g = r.groupBy(*by).agg(F.sum(F.col("n1") * F.col("rank")).alias("r1"), F.sum("n1").alias("p"), F.sum("n0").alias("q"))
     return g.select(*by, F.try_divide(F.col("r1") - F.col("p") * (F.col("p") + 1) / 2.0, F.col("p") * F.col("q") * 1.0).alias("auc"))
 
@@ -27,17 +28,21 @@ def auc(pred: DataFrame, by: list[str] = ()) -> DataFrame:
 def tss(pred: DataFrame, by: list[str] = ()) -> DataFrame:
     """Largest true positive rate less false positive rate and its threshold: the highest score that reaches it, at most 1."""
     by = list(by)
-    down = Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    k = _score_counts(pred, by).withColumn("j", F.sum("n1").over(down) * 1.0 / F.sum("n1").over(whole) - F.sum("n0").over(down) * 1.0 / F.sum("n0").over(whole))
+    counts = _score_counts(pred, by)
+    whole = counts.groupBy(*[F.col(c).alias(f"_t_{c}") for c in by]).agg(F.sum("n1").alias("p"), F.sum("n0").alias("q"))
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
+    t = running(counts, "s", {"b1": F.col("n1"), "b0": F.col("n0")}, by).join(F.broadcast(whole), on)  # a row for each group
+    k = t.withColumn("j", (F.col("p") - F.col("b1")) * 1.0 / F.col("p") - (F.col("q") - F.col("b0")) * 1.0 / F.col("q"))
     return k.groupBy(*by).agg(F.max("j").alias("tss"), F.least(F.max_by("s", F.struct("j", "s")), F.lit(1.0)).alias("threshold"))
 
 
-def average_rank(df: DataFrame, value: str, name: str, by: list[str] = ()) -> DataFrame:
-    """``df`` with the average rank of ``value``."""
-    w = Window.partitionBy(*by).orderBy(value)
-    ties = Window.partitionBy(*by, value)
-    return df.withColumn(name, F.rank().over(w) + (F.count("*").over(ties) - 1) / 2.0)
+def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
+    """``df`` with the average rank of ``value``; null for nulls."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_rv")).agg(F.count("*").alias("_rn"))
+    ranks = running(counts, "_rv", {"_less": F.col("_rn")}).select("_rv", (F.col("_less") + (F.col("_rn") + 1) / 2.0).alias(name))
+    return df.join(ranks, F.col(value) == F.col("_rv"), "left").drop("_rv")
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -70,7 +75,9 @@ def boyce(pred: DataFrame, windows: int = 101, width: float = 0.1) -> DataFrame:
     order = Window.orderBy("k")  # at most ``windows`` rows
     prev = F.lag("f").over(order)
     kept = f.withColumn("prev", prev).where(F.col("prev").isNull() | (F.col("f") != F.col("prev")))
-    ranked = average_rank(kept, "f", "r1").withColumn("r2", F.row_number().over(order).cast("double"))
+    ties = Window.partitionBy("f")
+    rank = F.rank().over(Window.orderBy("f")) + (F.count("*").over(ties) - 1) / 2.0
+    ranked = kept.withColumns({"r1": rank, "r2": F.row_number().over(order).cast("double")})
     return ranked.agg(F.when(F.count("*") >= 3, F.corr("r1", "r2")).alias("cbi"))
 
 
@@ -106,29 +113,29 @@ def rates(pred: DataFrame, threshold: Column) -> tuple[Column, Column]:
     return sens, spec
 
 
-def equal_rates_threshold(pred: DataFrame, quantiles: int = 201) -> DataFrame:
+def equal_rates_threshold(pred: DataFrame, points: int = 201) -> DataFrame:
     """The threshold among presence scores and background quantiles where sensitivity and specificity are closest (lowest of equal ones)."""
-    points = ", ".join(str(i / (quantiles - 1)) for i in range(quantiles))
-    grid = pred.where("y = 0").agg(F.explode(F.expr(f"percentile(s, array({points}))")).alias("s")).unionAll(pred.where("y = 1").select("s")).distinct()
-    # counts at or above / below each grid point from one ordered pass over the distinct scores
+    background = quantile_points(pred.where("y = 0"), "s", [i / (points - 1) for i in range(points)])
+    grid = background.select(F.col("v").alias("s")).unionAll(pred.where("y = 1").select("s")).distinct()
+    # counts below each grid point
     t = _score_counts(pred, []).withColumn("g", F.lit(0)).unionByName(grid.select("s", F.lit(0).cast("long").alias("n1"), F.lit(0).cast("long").alias("n0"), F.lit(1).alias("g")))
     t = t.groupBy("s").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.max("g").alias("g"))
-    before = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumns({"b1": F.coalesce(F.sum("n1").over(before), F.lit(0)), "b0": F.coalesce(F.sum("n0").over(before), F.lit(0)), "p": F.sum("n1").over(Window.partitionBy()), "q": F.sum("n0").over(Window.partitionBy())})
+    whole = pred.agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
+    t = running(t, "s", {"b1": F.col("n1"), "b0": F.col("n0")}).crossJoin(F.broadcast(whole))  # one row
     gap = F.abs((F.col("p") - F.col("b1")) / F.col("p") - F.col("b0") / F.col("q"))
     return t.where("g = 1").agg(F.min_by("s", F.struct(gap, F.col("s"))).alias("threshold"))
 
 
 def percentiles(df: DataFrame, column: str, at: dict[str, float]) -> DataFrame:
     """Exact percentiles by linear interpolation."""
-    return df.agg(*[F.expr(f"percentile({column}, {p})").alias(name) for name, p in at.items()])
+    return quantiles(df, column, at)
 
 
 def trimmed_max(df: DataFrame, column: str) -> DataFrame:
     """The third quartile plus 1.5 interquartile ranges, at most the largest finite value."""
     inf = float("inf")
     d = df.where(~F.isnan(column) & (F.abs(column) < inf))
-    q = d.agg(F.expr(f"percentile({column}, 0.25)").alias("q1"), F.expr(f"percentile({column}, 0.75)").alias("q3"), F.max(column).alias("m"))
+    q = quantiles(d, column, {"q1": 0.25, "q3": 0.75, "m": 1.0})
     return q.select(F.least(F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")), F.col("m")).alias("trimmed_max"))
 
 

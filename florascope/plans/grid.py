@@ -183,7 +183,7 @@ def agg31(v):
     return _change(v).groupBy("code").agg(F.count("*").alias("n"), F.round(F.sum(grid.area()), 1).alias("km2"))
 
 
-@query("JOIN15_grid_overlay", "select a.row, a.col, round(a.suitability, 6) as g1, round(b.suitability, 6) as g2 from scen a join scen b on a.row = b.row and a.col = b.col where a.name = 'g1_ssp245_p1' and b.name = 'g2_ssp245_p1'")
+@query("JOIN15_grid_overlay", "with a as materialized (select row, col, suitability from scen where name = 'g1_ssp245_p1'), b as materialized (select row, col, suitability from scen where name = 'g2_ssp245_p1') select row, col, round(a.suitability, 6) as g1, round(b.suitability, 6) as g2 from a join b using (row, col)")
 def join15(v):
     o = grid.overlay({"g1": v.scen.where("name = 'g1_ssp245_p1'"), "g2": v.scen.where("name = 'g2_ssp245_p1'")}, "suitability")
     return o.select("row", "col", F.round("g1", 6).alias("g1"), F.round("g2", 6).alias("g2"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from florascope.operators import models, sampling, stats, virtual
+from florascope.operators import models, quality, sampling, severity, spatial, stats, virtual
+from florascope.operators.session import cut
 
 from .catalog import query
+from .spatial import _ASSESSED_SQL, HAV_AB, HAV_OG
 
 COLS = ["bio1", "bio12"]
 
@@ -15,9 +17,31 @@ def _predictions(v, model, name):
     return v.cells.select("row", "col", F.lit(name).alias("model"), F.round(models.predict(model), 6).alias("suitability"))
 
 
+def _effort_cells(v):
+    """Cells with the survey records of their target group (``records``) and ``effort``, their logarithm."""
+    e = v.eff.groupBy(F.floor(F.col("px_row") / 2.0).cast("int").alias("row"), F.floor(F.col("px_col") / 2.0).cast("int").alias("col")).agg(F.sum("cnt").alias("records"))
+    return v.cells.join(e, ["row", "col"], "left").withColumn("records", F.coalesce("records", F.lit(0))).withColumn("effort", F.log1p("records"))
+
+
+def _training(v, where="range_label = 'native'", extra=()):
+    """Presences of the records ``where`` and all cells as background, with places, predictors and effort."""
+    keep = ["longitude", "latitude", "effort", *COLS]
+    cells = cut(_effort_cells(v).withColumnsRenamed({"lon": "longitude", "lat": "latitude"}))
+    seen = v.occ_cells.where(where).select("row", "col", *extra).join(cells, ["row", "col"])
+    return seen.select(F.lit(1).alias("y"), *extra, *keep), cells.select(F.lit(0).alias("y"), *keep)
+
+
+def _folds(v, k):
+    """Presences and background with their spatial block."""
+    seen, cells = _training(v)
+    return cut(models.spatial_blocks(seen.unionByName(cells), k, seed=3, anchors=seen))
+
+
 @query("MOD1_maxent")
 def mod1(v):
-    return _predictions(v, models.fit_maxent(v.pred, COLS, kinds="lq", rounds=40), "maxent")
+    """The setting with the best Boyce index and AUC over spatial blocks."""
+    model, _ = models.tune_maxent(_folds(v, 2), COLS, [("l", 1.0), ("lq", 1.0), ("lq", 2.0)], folds=2, rounds=20)
+    return _predictions(v, model, "maxent")
 
 
 @query("MOD2_glm")
@@ -31,9 +55,22 @@ def mod2b(v):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
+    # as many absences as presences for each of the repeats, whose predictions are averaged
     make = VectorAssembler(inputCols=COLS, outputCol="features")
-    m = RandomForestClassifier(labelCol="y", numTrees=20, maxDepth=6, seed=1).fit(make.transform(v.pred))
-    return m.transform(make.transform(v.cells)).select("row", "col", F.lit("rf").alias("model"), F.round(vector_to_array("probability")[1], 6).alias("suitability"))
+    seen, rest = v.pred.where("y = 1"), v.pred.where("y = 0")
+    n, out = seen.count(), None
+    for r in range(3):
+        d = make.transform(seen.unionAll(rest.orderBy(sampling.seeded(F.col("id"), r), "id").limit(n)))
+        m = RandomForestClassifier(labelCol="y", numTrees=20, maxDepth=6, seed=1 + r).fit(d)
+        part = m.transform(make.transform(v.cells)).select("row", "col", vector_to_array("probability")[1].alias("p"))
+        out = part if out is None else out.unionAll(part)
+    return out.groupBy("row", "col").agg(F.lit("rf").alias("model"), F.round(F.avg("p"), 6).alias("suitability"))
+
+
+@query("MOD2_gam")
+def mod2d(v):
+    """Logistic regression on piecewise linear splines of the predictors."""
+    return _predictions(v, models.fit_glm(v.pred, COLS, kinds="lh", ridge=2.0), "gam")
 
 
 @query("MOD2_boosted_trees")
@@ -47,11 +84,18 @@ def mod2c(v):
     return m.transform(make.transform(v.cells)).select("row", "col", F.lit("brt").alias("model"), F.round(vector_to_array("probability")[1], 6).alias("suitability"))
 
 
-@query("MOD3_weighted_ensemble", "select row, col, round(0.6e0 * suitability + 0.4e0 * (1e0 - exp(-exp(greatest(least((bio1 - 20e0) / 4e0, 30e0), -30e0)))), 6) as suitability from cells")
+@query("MOD3_weighted_ensemble")
 def mod3(v):
-    from florascope.functions.scalars import cloglog
-
-    return v.cells.select("row", "col", F.round(F.col("suitability") * 0.6 + cloglog((F.col("bio1") - 20.0) / 4.0) * 0.4, 6).alias("suitability"))
+    """Members weighed by their AUC over spatial blocks."""
+    d = _folds(v, 2)
+    fits = {
+        "glm": lambda x: models.fit_glm(x, COLS, rounds=8), "gam": lambda x: models.fit_glm(x, COLS, kinds="lh", ridge=2.0, rounds=8),
+        "ppm": lambda x: models.fit_ppm(x, COLS, area=1000.0, rounds=10),
+    }
+    scored = [(name, models.cross_validate(d, fit, 2).agg(F.avg("auc")).first()[0]) for name, fit in fits.items()]
+    weights = severity.ensemble_weights(v.spark.createDataFrame(scored, "member string, auc double"), 0.7).select("member", "weight").collect()  # a row for each member
+    total = sum((models.predict(fits[r["member"]](d)) * r["weight"] for r in weights), F.lit(0.0))
+    return v.cells.select("row", "col", F.round(total, 6).alias("suitability"))
 
 
 @query("MOD4_spatial_blocks")
@@ -61,8 +105,7 @@ def mod4(v):
 
 @query("MOD4_cross_validation")
 def mod4b(v):
-    d = v.pred.withColumn("fold", F.floor(F.col("id") / 6.0) % 3)
-    return models.cross_validate(d, lambda x: models.fit_glm(x, COLS, rounds=6), 3)
+    return models.cross_validate(_folds(v, 3), lambda x: models.fit_glm(x, COLS, rounds=6), 3)
 
 
 @query("MOD5_point_process")
@@ -72,15 +115,16 @@ def mod5(v):
 
 @query("MOD5_offset_test")
 def mod5b(v):
-    d = v.pred.withColumn("_effort", F.log1p(F.col("bio12")))
-    return models.offset_test(d, ["bio1"], "_effort")
+    seen, cells = _training(v)
+    return models.offset_test(cut(seen.unionByName(cells)), ["bio1"], "effort")
 
 
 @query("MOD6_shared_bias")
 def mod6(v):
-    d = v.occ_cells.join(v.cells, ["row", "col"]).where("taxon_key IN (5000001, 5000002)").select(F.col("taxon_key").alias("species"), F.lit(1).alias("y"), "bio1", F.log1p("bio12").alias("effort"))
-    background = v.cells.select(F.explode(F.array(F.lit(5000001), F.lit(5000002))).alias("species"), F.lit(0).alias("y"), "bio1", F.log1p("bio12").alias("effort"))
-    return models.shared_bias(d.unionByName(background), "species", ["bio1"], "effort")
+    seen, cells = _training(v, "taxon_key IN (5000001, 5000002)", ["taxon_key"])
+    d = seen.select(F.col("taxon_key").alias("species"), "y", "bio1", "effort")
+    background = cells.select(F.explode(F.array(F.lit(5000001), F.lit(5000002))).alias("species"), "y", "bio1", "effort")
+    return models.shared_bias(cut(d.unionByName(background)), "species", ["bio1"], "effort")
 
 
 @query("MOD7_integrated_model")
@@ -92,9 +136,11 @@ def mod7(v):
 
 @query("MOD8_bias_conditioned")
 def mod8(v):
-    model = models.fit_glm(v.pred, COLS, rounds=8)
-    top = v.pred.agg(F.expr("percentile(bio12, 0.95)")).first()[0]
-    return v.cells.select("row", "col", F.round(models.predict(model, hold={"bio12": top}), 6).alias("suitability"))
+    """Survey effort is a covariate of the fit; predictions hold it at its 95th percentile."""
+    seen, cells = _training(v)
+    model = models.fit_glm(cut(seen.unionByName(cells)), [*COLS, "effort"], rounds=8)
+    top = stats.percentiles(cells, "effort", {"p95": 0.95}).first()[0]
+    return _effort_cells(v).select("row", "col", F.round(models.predict(model, hold={"effort": top}), 6).alias("suitability"))
 
 
 @query("MOD9_response_curves")
@@ -102,11 +148,18 @@ def mod9(v):
     return models.response_curves(v.pred, models.fit_glm(v.pred, COLS, rounds=8)).select("predictor", F.round("x", 6).alias("x"), F.round("mean", 6).alias("mean"))
 
 
-@query("MOD10_presence_weights", "with w as (select record_id, case record_id % 3 when 0 then 1e0 when 1 then 0.75e0 else 0.5e0 end * (1e0 + record_id % 4) as w from occ where taxon_key = 5000001) select record_id, round(w / avg(w) over (), 6) as weight from w")
+_WEIGHTS = f"""{_ASSESSED_SQL}, t as (select record_id, longitude, latitude, tier from a where taxon_key = 5000001 and tier <> 'excluded'),
+ k as (select a.record_id, {HAV_AB} as km from t a join t b on a.record_id <> b.record_id qualify row_number() over (partition by a.record_id order by km) <= 5),
+ m as (select record_id, avg(km) as km from k group by 1), q as (select quantile_cont(km, 0.5) as middle from m),
+ w as (select record_id, case tier when 'A' then 1e0 when 'B' then 0.75e0 else 0.5e0 end * greatest(least(km / middle, 10e0), 0.1e0) as w from t join m using (record_id) cross join q)
+select record_id, round(w / avg(w) over (), 5) as weight from w"""
+
+
+@query("MOD10_presence_weights", _WEIGHTS)
 def mod10(v):
-    k = F.col("record_id") % 3
-    tier = F.when(k == 0, "A").when(k == 1, "B").otherwise("C")
-    return models.presence_weights(v.occ.where("taxon_key = 5000001"), tier, 1.0 + F.col("record_id") % 4).select("record_id", F.round("weight", 6).alias("weight"))
+    """Weights by quality tier and by distance to the nearest other records."""
+    t = cut(quality.assess(v.occ).where("taxon_key = 5000001 AND tier <> 'excluded'").select("record_id", "longitude", "latitude", "tier"))
+    return models.presence_weights(models.density_factor(t, ["record_id"]), F.col("tier"), F.col("density")).select("record_id", F.round("weight", 5).alias("weight"))
 
 
 @query("MOD11_native_range")
@@ -136,9 +189,22 @@ def mod13(v):
     return out
 
 
-@query("MOD14_inferred_absences", "select count(*) as n, round(avg(suitability), 6) as mean from cells where suitability < 0.1e0")
+_ABSENT = f"""with e as (select cast(floor(px_row / 2e0) as int) as row, cast(floor(px_col / 2e0) as int) as col from eff group by 1, 2 having sum(cnt) >= 30),
+ g as (select c.row, c.col, c.lon as longitude, c.lat as latitude, c.suitability from cells c join e using (row, col) where (select count(*) from edges p where p.poly = 0 and ((p.y1 > c.lat) <> (p.y2 > c.lat)) and c.lon < (p.x2 - p.x1) * (c.lat - p.y1) / (p.y2 - p.y1) + p.x1) % 2 = 1),
+ n as (select g.suitability as s, 0 as y from g where not exists (select 1 from occ o where abs(o.latitude - g.latitude) < 1e0 and {HAV_OG} <= 100e0)),
+ b as (select * from n union all select c.suitability, 1 from occ_cells o join cells c on c.row = o.row and c.col = o.col where o.range_label = 'native'),
+ r as (select y, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2e0 as rank from b), u as (select sum(rank) filter (y = 1) as r1, count(*) filter (y = 1) as p, count(*) filter (y = 0) as q from r)
+select (select count(*) from n) as n, round((select avg(s) from n), 6) as mean, round((r1 - p * (p + 1) / 2e0) / (p * 1e0 * q), 6) as auc from u"""
+
+
+@query("MOD14_inferred_absences", _ABSENT)
 def mod14(v):
-    return v.cells.where(F.col("suitability") < 0.1).agg(F.count("*").alias("n"), F.round(F.avg("suitability"), 6).alias("mean"))
+    """Well-surveyed cells of the native range without a record within 100 km, scored against the presences."""
+    cells = _effort_cells(v).where("records >= 30").select("row", "col", F.col("lon").alias("longitude"), F.col("lat").alias("latitude"), "suitability")
+    native = cells.join(spatial.in_polygons(cells, v.edges.where("poly = 0"), ["row", "col"]), ["row", "col"], "left_semi")
+    absent = cut(spatial.within(native, v.occ, 100.0, how="left_anti").select(F.lit(0).alias("y"), F.col("suitability").alias("s")))
+    scored = absent.unionAll(v.pred.where("y = 1").select("y", "s"))
+    return absent.agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("mean")).crossJoin(stats.auc(scored).select(F.round("auc", 6).alias("auc")))  # one row each
 
 
 @query("MOD15_transferability")
@@ -147,7 +213,8 @@ def mod15(v):
     background = v.cells.select(F.lit(0).alias("y"), *COLS)
     train = d.where("range_label = 'native'").select(F.lit(1).alias("y"), *COLS).unionByName(background)
     test = d.where("range_label = 'introduced'").select(F.lit(1).alias("y"), *COLS).unionByName(background)
-    return stats.auc(test.select("y", models.predict(models.fit_glm(train, COLS, rounds=8)).alias("s")))
+    scored = cut(test.select("y", models.predict(models.fit_glm(train, COLS, rounds=8)).alias("s")))
+    return stats.auc(scored).crossJoin(stats.boyce(scored))  # one row each
 
 
 @query("GRD19_virtual_species")

@@ -130,10 +130,11 @@ def src9(v):
     return tiles.tile_cover(b).select("id", "z", "x", "y")
 
 
-@query("SRC5_quadrants", """with l as (select unnest(range(31)) as level), w as (select level, 360e0 / pow(2e0, ceil(level / 2e0)) as dx, 180e0 / pow(2e0, floor(level / 2e0)) as dy from l),
- c as (select level, dx, dy, floor((longitude + 180e0) / dx) as bx, floor((latitude + 90e0) / dy) as b_y, count(*) as n from occ cross join w group by all)
+@query("SRC5_quadrants", """with l as (select unnest(range(31)) as level), w as materialized (select level, 360e0 / pow(2e0, ceil(level / 2e0)) as dx, 180e0 / pow(2e0, floor(level / 2e0)) as dy from l),
+ f as materialized (select floor((longitude + 180e0) / (360e0 / 32768e0)) as fx, floor((latitude + 90e0) / (180e0 / 32768e0)) as fy, count(*) as m from occ group by all),
+ c as materialized (select level, dx, dy, floor(fx * (360e0 / 32768e0) / dx) as bx, floor(fy * (180e0 / 32768e0) / dy) as b_y, cast(sum(m) as bigint) as n from f cross join w group by all)
  select round(c.bx * c.dx - 180e0, 6) as west, round(c.b_y * c.dy - 90e0, 6) as south, round((c.bx + 1) * c.dx - 180e0, 6) as east, round((c.b_y + 1) * c.dy - 90e0, 6) as north, c.n from c
- left join c p on p.level = c.level - 1 and p.bx = floor((c.bx + 0.5e0) * c.dx / p.dx) and p.b_y = floor((c.b_y + 0.5e0) * c.dy / p.dy) where (c.n <= 500 or c.level = 30) and (p.n is null or p.n > 500)""")
+ left join c p on p.level + 1 = c.level and p.bx = floor((c.bx + 0.5e0) * c.dx / p.dx) and p.b_y = floor((c.b_y + 0.5e0) * c.dy / p.dy) where (c.n <= 500 or c.level = 30) and (p.n is null or p.n > 500)""")
 def src5(v):
     return readers.quadrants(v.occ, 500).select(*[F.round(c, 6).alias(c) for c in ("west", "south", "east", "north")], "n")
 

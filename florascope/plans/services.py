@@ -46,11 +46,47 @@ def snk12(v):
     return runs.groupBy("taxon_key").agg(F.count("*").alias("n_runs"), F.max("metrics.score").alias("best"))
 
 
-@query("FLT19_webhook_targets", "select url, regexp_extract(url, '^([a-z]+)://', 1) = 'https' and not regexp_matches(regexp_extract(url, '^[a-z]+://([^/:]+)', 1), '^(localhost|127\\.|10\\.|192\\.168\\.|169\\.254\\.)') as allowed from (values ('https://hooks.example.org/a'), ('http://hooks.example.org/a'), ('https://10.0.0.7/x'), ('https://localhost:8080/'), ('https://192.168.1.4/x')) t(url)")
+#: Address ranges that are not public, as first and last address of IPv4, and prefixes of IPv6.
+CLOSED_V4 = [
+    ("0.0.0.0", "0.255.255.255"), ("10.0.0.0", "10.255.255.255"), ("100.64.0.0", "100.127.255.255"), ("127.0.0.0", "127.255.255.255"), ("169.254.0.0", "169.254.255.255"), ("172.16.0.0", "172.31.255.255"),
+    ("192.0.0.0", "192.0.0.255"), ("192.0.2.0", "192.0.2.255"), ("192.168.0.0", "192.168.255.255"), ("198.18.0.0", "198.19.255.255"), ("198.51.100.0", "198.51.100.255"), ("203.0.113.0", "203.0.113.255"),
+    ("224.0.0.0", "255.255.255.255"),
+]
+CLOSED_V6 = "^(::|f[cdef]|2001:db8:|2002:|64:ff9b:|100:)"
+_URLS = [
+    "https://hooks.example.org/a", "http://hooks.example.org/a", "https://10.0.0.7/x", "https://localhost:8080/", "https://192.168.1.4/x", "https://172.16.0.1/", "https://172.32.0.1/", "https://0.0.0.0/", "https://[::1]/x",
+    "https://[2606:4700::1111]/", "https://224.0.0.5/", "https://250.1.1.1/", "https://8.8.8.8/hook", "https://1.2.3/", "https://app.localhost/", "ftp://example.org/", "https://169.254.169.254/latest", "https://[fe80::1]:443/",
+]
+
+
+def _number(a: str) -> int:
+    return sum(int(x) << (24 - 8 * i) for i, x in enumerate(a.split(".")))
+
+
+_FLT19 = f"""with u as (select url, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) as scheme, lower(regexp_extract(url, '^[a-zA-Z]+://(\\[[^\\]]*\\]|[^/:?#]*)', 1)) as host from (values {', '.join(f"('{u}')" for u in _URLS)}) t(url)),
+ p as (select *, case when regexp_matches(host, '^([0-9]+\\.){{3}}[0-9]+$') then list_transform(string_split(host, '.'), lambda x: cast(x as bigint)) end as q from u),
+ n as (select *, q[1] * 16777216 + q[2] * 65536 + q[3] * 256 + q[4] as a from p)
+select url, scheme = 'https' and case when host like '[%' then not regexp_matches(host[2:-2], '{CLOSED_V6}') when q is not null then list_max(q) <= 255 and not ({' or '.join(f'a between {_number(x)} and {_number(y)}' for x, y in CLOSED_V4)})
+ else regexp_matches(host, '[a-z]') and not regexp_matches(host, '(^|\\.)localhost\\.?$') end as allowed from n"""
+
+
+@query("FLT19_webhook_targets", _FLT19.replace("\\\\", "\\"))
 def flt19(v):
-    urls = v.spark.createDataFrame([(u,) for u in ("https://hooks.example.org/a", "http://hooks.example.org/a", "https://10.0.0.7/x", "https://localhost:8080/", "https://192.168.1.4/x")], "url string")
-    host = F.parse_url("url", F.lit("HOST"))
-    return urls.select("url", ((F.parse_url("url", F.lit("PROTOCOL")) == "https") & ~host.rlike(r"^(localhost|127\.|10\.|192\.168\.|169\.254\.)")).alias("allowed"))
+    """Only https to a name or a public address: loopback, private, link-local, reserved and multicast ones are closed."""
+    u = v.spark.createDataFrame([(x,) for x in _URLS], "url string")
+    host = F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://(\[[^\]]*\]|[^/:?#]*)", 1))
+    u = u.select("url", F.lower(F.regexp_extract("url", r"^([a-zA-Z]+)://", 1)).alias("scheme"), host.alias("host"))
+    u = u.withColumn("q", F.when(F.col("host").rlike(r"^([0-9]+\.){3}[0-9]+$"), F.transform(F.split("host", r"\."), lambda x: x.cast("long"))))
+    a = F.col("q")[0] * 16777216 + F.col("q")[1] * 65536 + F.col("q")[2] * 256 + F.col("q")[3]
+    closed = F.lit(False)
+    for x, y in CLOSED_V4:
+        closed = closed | a.between(_number(x), _number(y))
+    open_host = (
+        F.when(F.col("host").startswith("["), ~F.expr("substring(host, 2, length(host) - 2)").rlike(CLOSED_V6))
+        .when(F.col("q").isNotNull(), (F.array_max("q") <= 255) & ~closed)
+        .otherwise(F.col("host").rlike("[a-z]") & ~F.col("host").rlike(r"(^|\.)localhost\.?$"))
+    )
+    return u.select("url", ((F.col("scheme") == "https") & open_host).alias("allowed"))
 
 
 @query("STR10_change_stream", "select o_custkey, o_orderkey, o_orderstatus from (select *, lag(concat(o_orderstatus, '|', o_orderpriority)) over (partition by o_custkey order by o_orderdate, o_orderkey) as prev from orders) t where prev is distinct from concat(o_orderstatus, '|', o_orderpriority)")

@@ -73,7 +73,7 @@ def join8k(v):
     return spatial.nearest_km(v.occ, v.occ, ["record_id"], k=3, exclude_self=True).select("record_id", F.round("km", 3).alias("km"))
 
 
-@query("JOIN10_pairwise_mean", f"with s as (select * from occ order by (record_id * 7919 + 9 * 104729) % 1000003, record_id limit 1000) select count(*) as n_pairs, round(avg({HAV_AB}), 2) as mean_km from s a join s b on a.record_id < b.record_id")
+@query("JOIN10_pairwise_mean", f"with s as (select * from occ order by md5(concat(record_id, ':9')), record_id limit 1000) select count(*) as n_pairs, round(avg({HAV_AB}), 2) as mean_km from s a join s b on a.record_id < b.record_id")
 def join10(v):
     return sampling.pair_distances(sampling.seeded_sample(v.occ, "record_id", 1000, 9), "record_id").agg(F.count("*").alias("n_pairs"), F.round(F.avg("km"), 2).alias("mean_km"))
 
@@ -195,17 +195,17 @@ def win1(v):
     return quality.duplicate_specimens(v.occ).where("duplicate_specimen").select(*KEY)
 
 
-@query("WIN10_seeded_order", "select record_id from occ order by (record_id * 7919 + 17 * 104729) % 1000003, record_id limit 100")
+@query("WIN10_seeded_order", "select record_id from occ order by md5(concat(record_id, ':17')), record_id limit 100")
 def win10(v):
     return v.occ.orderBy(sampling.seeded(F.col("record_id"), 17), "record_id").limit(100).select("record_id")
 
 
-@query("SMP3_proportional_quota", "with s as (select country_code, record_id, row_number() over (partition by country_code order by (record_id * 7919 + 3 * 104729) % 1000003, record_id) as rn, count(*) over (partition by country_code) as c, count(*) over () as t from occ) select country_code, record_id from s where rn <= ceil(500 * (c * 1e0 / t))")
+@query("SMP3_proportional_quota", "with s as (select country_code, record_id, row_number() over (partition by country_code order by md5(concat(record_id, ':3')), record_id) as rn, count(*) over (partition by country_code) as c, count(*) over () as t from occ) select country_code, record_id from s where rn <= ceil(500 * (c * 1e0 / t))")
 def smp3(v):
     return sampling.quota(v.occ, ["country_code"], "record_id", 500, seed=3).select("country_code", "record_id")
 
 
-@query("SMP4_random_cells", "select row, col from cells order by ((row * 360 + col) * 7919 + 5 * 104729) % 1000003, row, col limit 1000")
+@query("SMP4_random_cells", "select row, col from cells order by md5(concat(row * 360 + col, ':5')), row, col limit 1000")
 def smp4(v):
     return v.cells.orderBy(sampling.seeded(F.col("row") * 360 + F.col("col"), 5), "row", "col").limit(1000).select("row", "col")
 
@@ -259,7 +259,7 @@ def thn3(v):
     return sampling.autocorrelation_range(d, "record_id", "bio1")
 
 
-@query("AGG40_variogram_bins", f"with p as (select o.record_id as id, o.longitude, o.latitude, c.bio1 as z from occ_cells o join cells c on c.row = o.row and c.col = o.col order by (o.record_id * 7919 + 9 * 104729) % 1000003, o.record_id limit 1000), d as (select {HAV_AB} as km, 0.5e0 * (a.z - b.z) * (a.z - b.z) as g from p a join p b on a.id < b.id), m as (select max(km) / 2e0 as half from d) select cast(least(floor(km / (half / 20e0)), 19) as int) as bin, count(*) as n, round(avg(g), 6) as gamma from d cross join m where km <= half group by 1")
+@query("AGG40_variogram_bins", f"with p as (select o.record_id as id, o.longitude, o.latitude, c.bio1 as z from occ_cells o join cells c on c.row = o.row and c.col = o.col order by md5(concat(o.record_id, ':9')), o.record_id limit 1000), d as (select {HAV_AB} as km, 0.5e0 * (a.z - b.z) * (a.z - b.z) as g from p a join p b on a.id < b.id), m as (select max(km) / 2e0 as half from d) select cast(least(floor(km / (half / 20e0)), 19) as int) as bin, count(*) as n, round(avg(g), 6) as gamma from d cross join m where km <= half group by 1")
 def agg40(v):
     d = v.occ_cells.join(v.cells.select("row", "col", "bio1"), ["row", "col"])
     return sampling.variogram(d, "record_id", "bio1").select("bin", "n", F.round("gamma", 6).alias("gamma"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -34,7 +34,9 @@ def ingest(stream: DataFrame, store: str, state: str, checkpoint: str):
             raise
 
     def write(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates(KEY)
+        # of a batch's rows with one key the earliest stays, the smallest digest of equally early ones
+        nth = F.row_number().over(Window.partitionBy(*KEY).orderBy("ingested_ts", F.xxhash64(*sorted(batch.columns))))
+        fresh = batch.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
         old = known()
         if old is not None:
             fresh = fresh.join(old.where(F.col("batch") != number).select(*KEY), KEY, "left_anti")

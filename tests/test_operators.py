@@ -1,5 +1,6 @@
 """Operators without an SQL twin against brute force, and their invariants."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -52,7 +53,7 @@ def test_thinning_keeps_distance_and_is_the_greedy_set(points):
     df, rows = points
     kept = {r[0] for r in sampling.distance_thin(df, "record_id", 1500.0, seed=4).select("record_id").collect()}
     greedy = []
-    for a in sorted(rows, key=lambda r: ((r[0] * 7919 + 4 * 104729) % 1_000_003, r[0])):
+    for a in sorted(rows, key=lambda r: (hashlib.md5(f"{r[0]}:4".encode()).hexdigest(), r[0])):
         if all(hav(a[1:], b[1:]) >= 1500 for b in greedy):
             greedy.append(a)
     assert kept == {a[0] for a in greedy}

@@ -5,17 +5,16 @@ import pytest
 from florascope.plans import registry
 from tests.compare import same
 
-SLOW = {"MOD6_shared_bias", "MOD7_integrated_model", "MOD13_predictor_sets", "GRD19_virtual_species", "MOD1_maxent", "MOD2_boosted_trees"}
-
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_matches_sql(name, spark, duck, sf_dir):
     assert same(registry.QUERIES[name](spark, sf_dir).toPandas(), duck.execute(registry.ORACLES[name]).fetchdf())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs(name, spark, sf_dir):
-    assert registry.QUERIES[name](spark, sf_dir).columns
+    df = registry.QUERIES[name](spark, sf_dir)
+    assert df.columns and df.toPandas().notna().any().any()
 
 
 def test_entry_runs(spark):
