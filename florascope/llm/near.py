@@ -87,15 +87,17 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
     return given.mapInArrow(run, "doc_id long, node long, n int, fp long, bands array<long>")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, text_col: str, words: int) -> DataFrame:
-    """``node, s``: the shingle set of each of ``nodes``."""
+def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """``node, s``: the shingle set of each of ``nodes(node, first_id)``; of a text's copies the one of that id is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [_set(simhash.shingle_hashes(_bytes(t), words)) for t in b.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(sets)], ["node", "s"])
 
-    texts = docs.select(text_key(F.col(text_col)).alias("node"), F.col(text_col).alias("text")).join(nodes, "node", "left_semi")
+    wanted = materialize(nodes.select(F.col("node").alias("node2"), "first_id"), "near-members")
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("node"), F.col(text_col).alias("text"))
+    texts = given.join(broadcast_if_small(wanted, wanted.count()), (F.col("node") == F.col("node2")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
     return texts.groupBy("node").agg(F.first("text", ignorenulls=True).alias("text")).mapInArrow(run, "node long, s array<long>")
 
 
@@ -142,7 +144,7 @@ def prefix_pairs(texts: DataFrame, similarity: float) -> DataFrame:
     return a.join(b, "t").where(on).select(*_ordered("node", "node2")).distinct()
 
 
-def links(docs: DataFrame, nodes: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
     """``(node, root)`` of the components over pairs of the similarity (nodes without a link are left out)."""
     close = F.least("n", "m") >= F.greatest("n", "m") * F.lit(similarity) - 1e-9
     spread = nodes.select("node", "n", F.explode("bands").alias("key"))
@@ -151,7 +153,7 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, words: int, similari
     shared = materialize(spread.join(held, "key"), "near-buckets")
     tried = materialize(_simhash_pairs(nodes), "near-pairs")
     members = shared.select("node").unionAll(tried.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
-    sets = materialize(_sets(docs, members, text_col, words), "near-sets")
+    sets = materialize(_sets(docs, members.join(nodes.select("node", "first_id"), "node"), id_col, text_col, words), "near-sets")
     found = materialize(_verified(tried, sets, similarity), "near-links")
     roots = connected_components(found)
     for turn in range(STARS + 1):
@@ -183,8 +185,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     non-blanks; null texts count as empty, and texts without words are alike.
     """
     rows = materialize(signatures(docs, id_col, text_col, words), "near-rows")
-    nodes = materialize(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "near-nodes")
-    roots = links(docs, nodes, text_col, words, similarity)
+    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "near-nodes")
+    roots = links(docs, nodes, id_col, text_col, words, similarity)
     return rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 
