@@ -115,7 +115,7 @@ def _links(docs: DataFrame, items: DataFrame, k: int, similarity: float, radius:
     same_block = (F.col("len") == F.col("len2")) & (F.col("block") == F.col("block2")) & (F.col("bits") == F.col("bits2"))
     pairs = probe.join(index, same_block & (F.bit_count(x) <= radius) & (F.col("block") == first))
     pairs = materialize(pairs.select("len", "wfp", "item_id", F.bit_count(x).cast("int").alias("hamming")), "bench-pairs")
-    found = windows.join(broadcast_if_small(pairs, pairs.count()), ["len", "wfp"]).join(broadcast_if_small(items.select("item_id", "it"), n_items, 5_000), "item_id")
+    found = windows.join(broadcast_if_small(pairs, pairs.count(), 100_000), ["len", "wfp"]).join(broadcast_if_small(items.select("item_id", "it"), n_items, 5_000), "item_id")
     found = found.withColumn("o", F.size(F.array_intersect(_tagged("ws"), F.col("it"))))
     found = found.withColumn("similarity", F.col("o") / (2 * F.col("m") - F.col("o"))).where(F.col("similarity") >= similarity)
     best = found.groupBy("doc_id", "_text", "item_id").agg(
