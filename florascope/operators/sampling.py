@@ -20,8 +20,8 @@ def seeded(id_: Column, seed: int) -> Column:
 
 
 def uniform(id_: Column, seed: int) -> Column:
-    """A number in (0, 1) for an id and a seed."""
-    return (F.pmod(F.xxhash64(id_, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    """A number in (0, 1) for an id and a seed: 52 bits of their digest."""
+    return (F.conv(F.substring(seeded(id_, seed), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def quota(df: DataFrame, strata: list[str], id_col: str, n: int, seed: int) -> DataFrame:
@@ -102,6 +102,14 @@ def autocorrelation_range(df: DataFrame, id_col: str, value: str, lo: float = 1.
     return df.sparkSession.createDataFrame([(float(min(max(3 * best[1], lo), hi)),)], "range_km double")
 
 
+def autocorrelation_ranges(df: DataFrame, id_col: str, values: list[str], least: int = 30) -> DataFrame:
+    """``predictor, range_km`` for each predictor (scale does not matter to it), and their median under a null name; ``least`` points are needed."""
+    if df.limit(least).count() < least:
+        raise ValueError(f"a variogram needs {least} points")
+    found = [(v, autocorrelation_range(df, id_col, v).first()[0]) for v in values]
+    return df.sparkSession.createDataFrame([*found, (None, float(np.median([r for _, r in found])))], "predictor string, range_km double")
+
+
 def distance_thin(df: DataFrame, id_col: str, km: float, seed: int) -> DataFrame:
     """Rows such that no two kept ones are under ``km`` apart: greedy in seeded order.
 

@@ -162,11 +162,20 @@ def mod10(v):
     return models.presence_weights(models.density_factor(t, ["record_id"]), F.col("tier"), F.col("density")).select("record_id", F.round("weight", 5).alias("weight"))
 
 
-@query("MOD11_native_range")
+@query("MOD11_native_range", "select record_id from occ where taxon_key = 5000001 and range_label = 'native'")
 def mod11(v):
     return models.native_range(v.occ.where("taxon_key = 5000001"), "record_id")
 
 
+@query("MOD11_native_range_cells", f"select row, col from (select row, col, lon as longitude, lat as latitude from cells) o where exists (select 1 from occ g where g.taxon_key = 5000001 and g.range_label = 'native' and abs(g.latitude - o.latitude) < 2e0 and {HAV_OG} <= 150e0)")
+def mod11c(v):
+    """The draft's area: cells within 150 km of its records."""
+    occ = v.occ.where("taxon_key = 5000001")
+    members = occ.join(models.native_range(occ, "record_id"), "record_id", "left_semi")
+    cells = v.cells.select("row", "col", F.col("lon").alias("longitude"), F.col("lat").alias("latitude"))
+    return spatial.within(cells, members, 150.0).select("row", "col")
+
+
 @query("MOD11_largest_cluster")
 def mod11b(v):
     return models.native_range(v.occ.where("taxon_key = 5000001 AND range_label <> 'native'"), "record_id")

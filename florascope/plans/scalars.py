@@ -175,7 +175,7 @@ def src10(v):
     return up.select(readers.decimal(F.col(f"`{c['longitude']}`")).alias("longitude"), readers.decimal(F.col(f"`{c['latitude']}`")).alias("latitude"), readers.upload_status(F.col(f"`{c['status']}`")).alias("status"))
 
 
-@query("SRC26_polygon_file")
+@query("SRC26_polygon_file", "select poly, status, 0 as ring, seq, x1, y1, x2, y2 from (values (0, 'confirmed'), (1, 'draft')) p(poly, status) cross join (values (0, -2e0, 30e0, 45e0, 30e0), (1, 45e0, 30e0, 45e0, 60e0), (2, 45e0, 60e0, -2e0, 60e0), (3, -2e0, 60e0, -2e0, 30e0)) e(seq, x1, y1, x2, y2)")
 def src26(v):
     """A native range as GeoJSON, written here and read back as edges."""
     ring = [[-2.0, 30.0], [45.0, 30.0], [45.0, 60.0], [-2.0, 60.0], [-2.0, 30.0]]

@@ -230,7 +230,7 @@ def smp6(v):
     return v.cells.select("row", "col").join(e, ["row", "col"])
 
 
-@query("SMP1_area_weighted_background")
+@query("SMP1_area_weighted_background", "select row, col from cells order by -ln((cast('0x' || substr(md5(concat(row * 360 + col, ':11')), 1, 13) as bigint) + 0.5e0) / 4503599627370496e0) / cos(radians(lat)), row * 360 + col limit 2000")
 def smp1(v):
     c = v.cells.withColumns({"id": F.col("row") * 360 + F.col("col"), "w": F.cos(F.radians("lat"))})
     return sampling.weighted_without_replacement(c, "id", "w", 2000, seed=11).select("row", "col")
@@ -255,8 +255,8 @@ def thn2(v):
 
 @query("THN3_autocorrelation_range")
 def thn3(v):
-    d = v.occ_cells.join(v.cells.select("row", "col", "bio1"), ["row", "col"])
-    return sampling.autocorrelation_range(d, "record_id", "bio1")
+    d = v.occ_cells.join(v.cells.select("row", "col", "bio1", "bio4", "bio12"), ["row", "col"])
+    return sampling.autocorrelation_ranges(d, "record_id", ["bio1", "bio4", "bio12"])
 
 
 @query("AGG40_variogram_bins", f"with p as (select o.record_id as id, o.longitude, o.latitude, c.bio1 as z from occ_cells o join cells c on c.row = o.row and c.col = o.col order by md5(concat(o.record_id, ':9')), o.record_id limit 1000), d as (select {HAV_AB} as km, 0.5e0 * (a.z - b.z) * (a.z - b.z) as g from p a join p b on a.id < b.id), m as (select max(km) / 2e0 as half from d) select cast(least(floor(km / (half / 20e0)), 19) as int) as bin, count(*) as n, round(avg(g), 6) as gamma from d cross join m where km <= half group by 1")

@@ -134,11 +134,14 @@ def agg37(v):
     return v.pred.where("y = 1").crossJoin(F.broadcast(t)).select("id", "y", _r(z).alias("z"))  # t is one row
 
 
-@query("AGG38_covariance")
+_PREDICTORS = ("bio1", "bio4", "bio12")
+
+
+@query("AGG38_covariance", " union all ".join(f"select '{a}' as a, '{b}' as b, round(covar_samp({a}, {b}), 3) as covariance from cells" for a in _PREDICTORS for b in _PREDICTORS))
 def agg38(v):
     mean, cov, n = stats.covariance(v.cells, ["bio1", "bio4", "bio12"])
     names = ["bio1", "bio4", "bio12"]
-    return v.spark.createDataFrame([(a, b, float(cov[i][j])) for i, a in enumerate(names) for j, b in enumerate(names)], "a string, b string, covariance double")
+    return v.spark.createDataFrame([(a, b, round(float(cov[i][j]), 3)) for i, a in enumerate(names) for j, b in enumerate(names)], "a string, b string, covariance double")
 
 
 @query("AGG39_permutation_importance")

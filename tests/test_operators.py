@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from florascope.operators import models, sampling, spatial, stats
+from florascope.operators import diagnostics, grid, models, order, sampling, spatial, stats
 from florascope.plans.catalog import Views
 from florascope.plans.scalars import tile_bytes
 from florascope.sources import readers, tiles
@@ -67,6 +67,56 @@ def test_quota_and_weighted_draws(spark):
     assert abs(drawn["w"].mean() - 285 / 45) < 0.2
 
 
+def test_draws_near_the_ends_are_not_lost(spark):
+    df = spark.createDataFrame([(i, 0.1 if i % 2 else 1e-17) for i in range(50)], "id long, w double")
+    drawn = sampling.weighted_with_replacement(df, "id", "w", 3000, 4, buckets=7).toPandas()
+    assert sorted(drawn["draw"]) == list(range(3000))
+
+
+def test_percentiles_and_ranks_over_buckets_equal_numpy(spark):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.lognormal(size=3000), 2)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)] + [(9999, None)], "id long, s double")
+    at = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.975, "e": 1.0}
+    assert list(stats.percentiles(df, "s", at).first()) == pytest.approx([np.quantile(x, p) for p in at.values()])
+    points = {r["p"]: r["v"] for r in order.quantile_points(df, "s", [i / 50 for i in range(51)]).collect()}
+    assert points == pytest.approx({i / 50: np.quantile(x, i / 50) for i in range(51)})
+    ranks = {r["id"]: r["r"] for r in stats.average_rank(df, "s", "r").collect()}
+    assert all(ranks[i] == (x < v).sum() + ((x == v).sum() + 1) / 2 for i, v in enumerate(x)) and ranks[9999] is None
+
+
+def test_distances_in_blocks_equal_whole_ones(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x, m = rng.normal(size=(90, 4)), rng.normal(size=(70, 4))
+    target = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "id long, v array<double>, f int")
+    ref = spark.createDataFrame([(v.tolist(), i % 3) for i, v in enumerate(m)], "v array<double>, f int")
+    d = np.sqrt(((x[:, None] - m[None]) ** 2).sum(axis=2))
+    d[np.arange(90)[:, None] % 3 == np.arange(70)[None] % 3] = np.inf
+    want = np.sort(d, axis=1)[:, :5].mean(axis=1)
+    pairs = np.sqrt(((m[:, None] - m[None]) ** 2).sum(axis=2)).sum() / (70 * 69)
+    for rows in (20_000, 16):
+        monkeypatch.setattr(diagnostics, "REFERENCE_ROWS", rows)
+        got = {r["id"]: r["distance"] for r in diagnostics.nearest_distance(target, ref, "id", "v", fold="f", k=5).collect()}
+        assert got == pytest.approx(dict(enumerate(want)))
+        assert diagnostics.mean_pair_distance(ref, "v") == pytest.approx(pairs)
+
+
+def test_mess_looked_up_equals_ordered(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    ref = spark.createDataFrame([(float(a), float(b)) for a, b in rng.normal(size=(200, 2)).round(1)], "a double, b double")
+    target = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(150, 2)).round(1) * 2)] + [(900, None, 1.0)], "id long, a double, b double")
+    first = {r["id"]: (r["mess"], r["most_dissimilar"]) for r in grid.mess(ref, target, ["a", "b"]).collect()}
+    monkeypatch.setattr(grid, "LOOK_UP", 1)
+    second = {r["id"]: (r["mess"], r["most_dissimilar"]) for r in grid.mess(ref, target, ["a", "b"]).collect()}
+    assert first[900] == second[900] == (None, None)
+    assert {k: v[1] for k, v in first.items()} == {k: v[1] for k, v in second.items()} and {k: v[0] for k, v in first.items() if k != 900} == pytest.approx({k: v[0] for k, v in second.items() if k != 900})
+
+
+def test_rows_are_numbered_across_partitions(spark):
+    df = spark.range(500).select((F.col("id") * 37 % 500).alias("id"))
+    assert sorted((r["id"], r["n"]) for r in models.numbered(df, F.col("id"), "n").collect()) == [(i, i + 1) for i in range(500)]
+
+
 def test_statistics_equal_definitions(spark):
     rng = np.random.default_rng(3)
     s = np.round(rng.uniform(size=300), 2)
