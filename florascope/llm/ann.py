@@ -31,7 +31,7 @@ EVERY = 20
 SAMPLE = 20_000
 BRANCH = 8
 #: Vectors of the whole table a leaf should hold, as far as the sample allows.
-LEAF_ROWS = 250
+LEAF_ROWS = 500
 LEAST_SAMPLE_PER_LEAF = 8
 #: Recall that calibration asks for, and the number of sampled queries that are compared with the whole table for it.
 RECALL = 0.94
