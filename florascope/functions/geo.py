@@ -48,3 +48,31 @@ def tile_bounds(z: int, x: int, y: int) -> tuple[float, float, float, float]:
     """West, south, east and north of a web-mercator tile, in metres."""
     size = 2 * MERCATOR_HALF / 2**z
     return -MERCATOR_HALF + x * size, MERCATOR_HALF - (y + 1) * size, -MERCATOR_HALF + (x + 1) * size, MERCATOR_HALF - y * size
+
+
+def clip(c: Column, low: float, high: float) -> Column:
+    return F.greatest(F.least(c, F.lit(high)), F.lit(low))
+
+
+def wrap_lon(lon: Column) -> Column:
+    """Longitude from -180 up to, not including, 180."""
+    return (((lon + F.lit(180.0)) % F.lit(360.0)) + F.lit(360.0)) % F.lit(360.0) - F.lit(180.0)
+
+
+def tile_count(z: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
+    """Tiles of zoom ``z`` (two columns by one row at zoom 0) that a box covers."""
+    span = F.lit(180.0) / F.pow(F.lit(2.0), z)
+    across = F.least(F.pow(F.lit(2.0), z + 1), F.ceil((clip(east, -180.0, 180.0) + 180.0) / span)) - F.greatest(
+        F.lit(0), F.floor((clip(west, -180.0, 180.0) + 180.0) / span)
+    )
+    down = F.least(F.pow(F.lit(2.0), z), F.ceil((90.0 - clip(south, -90.0, 90.0)) / span)) - F.greatest(
+        F.lit(0), F.floor((90.0 - clip(north, -90.0, 90.0)) / span)
+    )
+    return F.greatest(across, F.lit(0)) * F.greatest(down, F.lit(0))
+
+
+def zoom(west: Column, south: Column, east: Column, north: Column, pixel: float, tile_px: int, most: int, deepest: int) -> Column:
+    """Zoom at which a pixel is at most ``pixel`` degrees wide (``deepest`` at most), lowered until ``most`` tiles are enough."""
+    wanted = next((z for z in range(deepest) if 180.0 / 2**z / tile_px <= pixel), deepest)
+    fits = F.filter(F.sequence(F.lit(0), F.lit(wanted)), lambda z: (z == 0) | (tile_count(z, west, south, east, north) <= most))
+    return F.array_max(fits)

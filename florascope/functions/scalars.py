@@ -47,6 +47,23 @@ def iso_day(c: Column) -> Column:
     return F.to_date(F.try_to_timestamp(F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}$"), head), F.lit("yyyy-MM-dd")))
 
 
+def year_start(c: Column) -> Column:
+    """First day of a year given as a number; null if it is no four-digit year."""
+    return partial_date(c.cast("long").cast("string"))
+
+
+def stale(updated: Column, days: int, now: Column) -> Column:
+    """True if ``updated`` lies more than ``days`` days before ``now``."""
+    return updated < now - F.make_interval(days=F.lit(days))
+
+
+def iso_timestamp(c: Column) -> Column:
+    """ISO 8601 text with a T, microseconds only where there are any."""
+    whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.date_format(c, "SSSSSS")
+    return F.when(micros == "000000", whole).otherwise(F.concat_ws(".", whole, micros))
+
+
 def issue_set(c: Column) -> Column:
     """Distinct upper-case issue codes in order from ``;``-separated text; null stays null, empty text is an empty set."""
     items = F.transform(F.split(c, ";"), lambda x: F.upper(F.trim(x)))
@@ -83,6 +100,12 @@ def number(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit("")).try_cast("double")
 
 
+def integer(c: Column) -> Column:
+    """A whole number, or null if the text is none."""
+    t = F.trim(c)
+    return F.when(t.rlike(r"^[+-]?\d+$"), t).try_cast("long")
+
+
 def finite(c: Column) -> Column:
     """The value, null if it is NaN or infinite."""
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
@@ -113,6 +136,36 @@ def predictor_group(name: Column) -> Column:
     )
 
 
+def tile_label(lat_top: Column, lon_left: Column) -> Column:
+    """Label of a 10 degree tile, such as ``30\u201340\u00b0N, 110\u2013120\u00b0E``."""
+
+    def span(low: Column, high: Column, positive: str, negative: str) -> Column:
+        a, b = (F.round(F.abs(c)).cast("long").cast("string") for c in (low, high))
+        return (
+            F.when(low >= 0, F.concat(a, F.lit("\u2013"), b, F.lit(f"\u00b0{positive}")))
+            .when(high <= 0, F.concat(b, F.lit("\u2013"), a, F.lit(f"\u00b0{negative}")))
+            .otherwise(F.concat(a, F.lit(f"\u00b0{negative}\u2013"), b, F.lit(f"\u00b0{positive}")))
+        )
+
+    return F.concat_ws(", ", span(lat_top - 10, lat_top, "N", "S"), span(lon_left, lon_left + 10, "E", "W"))
+
+
+def flag_list(tests: dict[str, Column]) -> Column:
+    """Names of the tests that a record fails, in the order of ``tests``; an unknown result is no flag."""
+    return F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in tests.items()]))
+
+
+def by_importance(scores: Column) -> Column:
+    """Keys of a map from the largest value down, ties by name."""
+    order = F.array_sort(F.transform(F.map_entries(scores), lambda e: F.struct((-e["value"]).alias("s"), e["key"].alias("k"))))
+    return F.transform(order, lambda e: e["k"])
+
+
+def verified(c: Column, expected: Column) -> Column:
+    """True if the SHA-256 of ``c`` is ``expected``; false if either is missing."""
+    return F.coalesce(F.sha2(c, 256) == expected, F.lit(False))
+
+
 def xml_escape(c: Column) -> Column:
     out = F.replace(c, F.lit("&"), F.lit("&amp;"))
     for a, b in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
