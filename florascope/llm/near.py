@@ -159,13 +159,15 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words:
     for turn in range(STARS + 1):
         # buckets that lie within one component are settled
         placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-        placed = materialize(placed.join(several, "key", "left_semi"), "near-open")
+        several = materialize(placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"), "near-several")
+        open_keys = several.count()
+        placed = materialize(placed.join(broadcast_if_small(several, open_keys), "key", "left_semi"), "near-open")
         if turn < STARS:
             # another member stands in the middle each time
             first = placed.groupBy("key").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn))).alias("first"))
             first = first.select("key", F.col("first.node").alias("v"), F.col("first.n").alias("m"), F.col("first.root").alias("other"))
-            pairs = placed.join(first, "key").where((F.col("root") != F.col("other")) & close).select(*_ordered("node", "v")).distinct()
+            # one row a key: while they fit a broadcast, a large bucket stays spread over its tasks
+            pairs = placed.join(broadcast_if_small(first, open_keys), "key").where((F.col("root") != F.col("other")) & close).select(*_ordered("node", "v")).distinct()
         else:
             pairs = prefix_pairs(placed.select("node", "n", "root").distinct().join(sets, "node"), similarity)
         pairs = materialize(pairs.join(tried, ["u", "v"], "left_anti"), "near-pairs")
