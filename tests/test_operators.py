@@ -175,3 +175,21 @@ def test_plans_push_filters_and_do_not_loop(spark, sf_dir):
     assert "LessThan(event_id,10)" in plan and "ReadSchema: struct<event_id:bigint>" in plan
     join = spatial.within(v.occ, v.gaz, 1.0)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in join and "Cartesian" not in join
+
+
+def test_scalars_at_their_edges(spark):
+    from florascope.functions import geo
+    from florascope.functions import scalars as sc
+
+    texts = spark.createDataFrame([(" 7 ",), ("-3",), ("99999999999999999999",), ("1.0",), ("",), (None,)], "s string")
+    assert [r[0] for r in texts.select(sc.integer(F.col("s"))).collect()] == [7, -3, None, None, None, None]
+    lons = spark.createDataFrame([(180.0,), (-180.0,), (540.5,), (-190.0,)], "x double")
+    assert [r[0] for r in lons.select(geo.wrap_lon(F.col("x"))).collect()] == [-180.0, -180.0, -179.5, 170.0]
+    years = spark.createDataFrame([(2015.0,), (15.0,), (None,)], "y double")
+    assert [str(r[0]) for r in years.select(sc.year_start(F.col("y"))).collect()] == ["2015-01-01", "None", "None"]
+    tops = spark.createDataFrame([(40, 110), (0, -10), (5, -5)], "t int, w int")
+    labels = ["30–40°N, 110–120°E", "0–10°S, 0–10°W", "5°S–5°N, 5°W–5°E"]
+    assert [r[0] for r in tops.select(sc.tile_label(F.col("t"), F.col("w"))).collect()] == labels
+    boxes = spark.createDataFrame([(-180.0, -90.0, 180.0, 90.0), (5.0, 5.0, 6.0, 6.0)], "w double, s double, e double, n double")
+    zoom = geo.zoom(F.col("w"), F.col("s"), F.col("e"), F.col("n"), pixel=1 / 60, tile_px=512, most=64, deepest=6)
+    assert [r[0] for r in boxes.select(zoom).collect()] == [2, 5]
