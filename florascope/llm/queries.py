@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, licenses, line_dedup, packing, quality, secrets, simhash, toxicity, warc
+from . import ann, decontam, jaccard, licenses, line_dedup, negatives, packing, quality, secrets, simhash, toxicity, warc, whitening
 from .common import table
 
 
@@ -65,6 +65,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def _lowered(s: str) -> str:
     return f"translate(coalesce({s}, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 
@@ -164,6 +176,38 @@ with i as (select item_id, w, len(w) as n, least(len(w), 5) as k from (select it
 select doc_id, item_id, similarity, cast(s as int) as window_start from r where rn = 1"""
 
 
+def op11_sql() -> str:
+    k = jaccard.WORDS
+    gram = " || ' ' || ".join(["word", *[f"lead(word, {i}) over w" for i in range(1, k)]])
+    return f"""
+with recursive d as (select row_number() over () as rid, doc_id, list_filter(regexp_split_to_array({_lowered('text')}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+ a as (select rid, unnest(w) as word, unnest(range(len(w))) as pos from d where len(w) >= {k}),
+ g as (select distinct rid, x from (select rid, {gram} as x from a window w as (partition by rid order by pos)) z where x is not null
+  union all select rid, array_to_string(w, ' ') as x from d where len(w) between 1 and {k - 1}),
+ h as (select rid, count(*) as n, md5(string_agg(x, chr(10) order by x)) as h from g group by rid),
+ c as (select h, any_value(n) as n, min(rid) as class, min(doc_id) as first_id, count(*) as copies from h join d using (rid) group by h),
+ t as (select class, n, x from c join g on rid = class),
+ o as (select a.class as u, b.class as v, any_value(a.n) as nu, any_value(b.n) as nv, count(*) as common from t a join t b using (x) where a.class <> b.class and 100 * least(a.n, b.n) >= {jaccard.PERCENT} * greatest(a.n, b.n) group by a.class, b.class),
+ l as (select u, v from o where 100 * common >= {jaccard.PERCENT} * (nu + nv - common)),
+ r as (select class as u, class as v from c union select r.u, l.v from r join l on r.v = l.u),
+ m as (select r.u as class, min(first_id) as component_id from r join c on c.class = r.v group by r.u),
+ p as (select l.u as class, sum(copies) as linked from l join c on c.class = l.v group by l.u)
+select doc_id, cast(coalesce(h.n, 0) as bigint) as n_shingles, case when h.n is null then doc_id else component_id end as component_id, cast(coalesce(copies - 1 + coalesce(linked, 0), 0) as bigint) as n_links
+from d left join h using (rid) left join c on h.h = c.h left join m using (class) left join p using (class)"""
+
+
+def op12_sql() -> str:
+    n = negatives
+    return f"""
+with e as (select vec_id, case when vec_id % {n.RELABEL_EVERY} = 0 then (label + 1) % {n.LABELS} else label end as label, list_transform(embedding, lambda c: floor({n.SCALE} * cast(c as double))) as x
+  from (select distinct vec_id, label, embedding from embeddings) z where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+ s as (select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, cast(list_inner_product(a.x, b.x) as bigint) as score from e a join e b on a.vec_id <> b.vec_id where a.vec_id % {n.ANCHORS_EVERY} = 0),
+ p as (select anchor_id, other_id as positive_id, score as positive_score from (select *, row_number() over (partition by anchor_id order by score desc, other_id) as r from s where same) z where r <= {n.POSITIVES}),
+ g as (select anchor_id, positive_id, other_id as negative_id, positive_score, score as negative_score, row_number() over (partition by anchor_id, positive_id order by score desc, other_id) as rank
+  from s join p using (anchor_id) where not same and {n.LOWER} * positive_score <= 100 * score and 100 * score <= {n.UPPER} * positive_score)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from g where rank <= {n.NEGATIVES}"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
@@ -176,8 +220,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_decontamination": op9_decontamination,
         "op10_line_dedup": op10_line_dedup,
+        "op11_ngram_jaccard_join": op11_ngram_jaccard_join,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_whitening": op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": op3_sql(), "op4_license_scan": op4_sql(), "op7_secret_scan": op7_sql(), "op9_decontamination": op9_sql(), "op10_line_dedup": op10_sql()}
+    return {
+        "op3_warc": op3_sql(),
+        "op4_license_scan": op4_sql(),
+        "op7_secret_scan": op7_sql(),
+        "op9_decontamination": op9_sql(),
+        "op10_line_dedup": op10_sql(),
+        "op11_ngram_jaccard_join": op11_sql(),
+        "op12_hard_negatives": op12_sql(),
+    }
