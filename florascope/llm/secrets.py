@@ -95,9 +95,9 @@ def linked(found: DataFrame) -> DataFrame:
     further evidence. A token needs an access identifier, account or endpoint; an
     account needs a secret; an endpoint needs both.
     """
-    doc = Window.partitionBy("doc_id", "_text").orderBy("start")
-    # ordered by start alone, both range frames include all parts that start here
-    so_far, ahead = doc.rangeBetween(Window.unboundedPreceding, Window.currentRow), doc.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    doc = Window.partitionBy("doc_id", "_text")
+    # ordered by start alone, both range frames include all parts that start here; both begin unbounded, so each is one running value
+    so_far, ahead = (doc.orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc("start"), F.desc("start")))
 
     def meets(which: Column, scope: int) -> Column:
         """Whether a part of ``which`` lies within ``scope`` characters (0: shares one)."""

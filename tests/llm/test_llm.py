@@ -467,3 +467,15 @@ def test_added_tokens_get_the_ids_of_tokenizers(spark):
     want = {k: zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes()) for k, x in enumerate(texts)}
     docs = docs_of(spark, [(k, x, "s") for k, x in enumerate(texts)])
     assert {r["doc_id"]: r["ids_crc32"] for r in corpus_pipeline.pack(spark, docs, "").collect()} == want
+
+
+def test_secrets_of_one_long_text_take_linear_time(spark):
+    """A log of 100000 parts in one document: every one is linked by running values, no part rereads those behind it."""
+    import time
+
+    lines = [f"AKIA{k:016d} token9{k:020d}zz https://h{k}.example/x" for k in range(34_000)]
+    start = time.perf_counter()
+    (r,) = secrets.scan(docs_of(spark, [(1, "\n".join(lines), "a")])).collect()
+    took = time.perf_counter() - start
+    assert r["n_access"] == 34_000 and r["spans"].count("secret:") == 34_000 and r["spans"].count("endpoint:") == 34_000
+    assert took < 90, took
