@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import neighbours
 from .session import cut
 from .stats import covariance, trimmed_max
 
@@ -81,27 +82,19 @@ def nearest_distance(target: DataFrame, reference: DataFrame, id_col: str, vecto
     """``id, distance``: mean Euclidean distance to the ``k`` nearest reference rows; with ``fold``, to those of other folds.
 
     A counted reference of at most REFERENCE_ROWS rows goes to every task once
-    and targets stream past it; a larger one is cut into blocks that meet blocks
-    of targets, each pair of blocks returning the ``k`` smallest distances.
+    and targets stream past it; a larger one is searched by a metric tree (see
+    ``neighbours``). The mean is over those there are, if fewer than ``k``; null
+    if there is none. Ids tell targets apart.
     """
     spark, kind = target.sparkSession, target.schema[id_col].dataType.simpleString()
-    folds = [F.col(fold).cast("long").alias("f")] if fold else []
-    ref = reference.select(_vector(vector).alias("v"), *folds)
-    given = target.select(F.col(id_col).alias("id"), _vector(vector).alias("v"), *folds)
+    folds = F.col(fold).cast("long") if fold else F.lit(0).cast("long")
+    ref = reference.select(_vector(vector).alias("v"), folds.alias("f"))
+    given = target.select(F.col(id_col).alias("id"), _vector(vector).alias("v"), folds.alias("f"))
     n = ref.count()
     if not n:
         return target.select(id_col, F.lit(None).cast("double").alias("distance"))
     if n > REFERENCE_ROWS:
-
-        def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"id": a["id"].iloc[:0], "d": []})
-            d = _nearest(np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy()), k, *((a["f"].to_numpy(), b["f"].to_numpy()) if fold else (None, None)))
-            return pd.DataFrame({"id": a["id"].to_numpy(), "d": list(d)})
-
-        found = _in_blocks(given, ref, n, block, f"id {kind}, d array<double>")
-        best = found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, k).alias("d"))
-        return best.select(F.col("id").alias(id_col), (F.aggregate("d", F.lit(0.0), lambda s, x: s + x) / F.size("d")).alias("distance"))
+        return neighbours.Search(given, ref, n, k, bool(fold)).run().withColumnRenamed("id", id_col)
     rows = ref.toPandas()  # at most REFERENCE_ROWS
     sent = spark.sparkContext.broadcast((np.array(rows["v"].tolist()), rows["f"].to_numpy() if fold else None))
 
@@ -110,7 +103,10 @@ def nearest_distance(target: DataFrame, reference: DataFrame, id_col: str, vecto
         for b in batches:
             x = np.array(b.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(len(b), -1)
             d = _nearest(x, m, k, b.column(2).to_numpy() if fold else None, fm)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d.mean(axis=1) if len(b) else np.empty(0))], [id_col, "distance"])
+            found = np.isfinite(d)
+            count = found.sum(axis=1)
+            mean = np.where(found, d, 0.0).sum(axis=1) / np.maximum(count, 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(mean, mask=count == 0)], [id_col, "distance"])
 
     return given.mapInArrow(run, f"{id_col} {kind}, distance double")
 
@@ -136,8 +132,15 @@ def mean_pair_distance(df: DataFrame, vector: str) -> float:
 
 
 def _threshold(reference: DataFrame, vector: str, fold: str, k: int, divide: float) -> float:
-    d = nearest_distance(reference, reference, "_id", vector, fold, k).withColumn("x", F.col("distance") / divide)
-    return trimmed_max(d, "x").first()[0]
+    """Trimmed largest distance of training rows to those of other folds; rows of a single fold leave out themselves instead."""
+    if reference.select(fold).distinct().limit(2).count() < 2:
+        # the row itself is its nearest, at distance 0: of k + 1 it adds nothing to the sum
+        found = F.least(F.lit(k), F.lit(reference.count() - 1))
+        d = nearest_distance(reference, reference, "_id", vector, None, k + 1).withColumn("x", F.try_divide(F.col("distance") * (found + 1), found) / divide)
+    else:
+        d = nearest_distance(reference, reference, "_id", vector, fold, k).withColumn("x", F.col("distance") / divide)
+    out = trimmed_max(d, "x").first()[0]
+    return float("inf") if out is None else out
 
 
 def distances(target: DataFrame, reference: DataFrame, columns: list[str], fold: str, weights: dict[str, float] | None = None, percentage: float = 1.0) -> DataFrame:

@@ -33,12 +33,24 @@ def similarity(f: Column, t: Column, lo: Column, hi: Column) -> Column:
 
 def mess_one(reference: DataFrame, target: DataFrame, column: str) -> DataFrame:
     """``target`` with ``sim_<column>``: exact counts strictly below, from the ordered union of distinct values in range buckets."""
-    ref = reference.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("m"))
+    ref = _reference_values(reference, column)
     n = ref.agg(F.sum("m").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
-    both = ref.select("v", "m").unionAll(target.where(F.col(column).isNotNull()).select(F.col(column).alias("v"), F.lit(0).cast("long").alias("m"))).groupBy("v").agg(F.sum("m").alias("m"))
+    own = _number(column)
+    both = ref.unionAll(target.where(own.isNotNull()).select(own.alias("v"), F.lit(0).cast("long").alias("m"))).groupBy("v").agg(F.sum("m").alias("m"))
     f = running(both, "v", {"below": F.col("m")}).crossJoin(F.broadcast(n))  # one row
     f = f.select("v", similarity(F.col("below") * 100.0 / F.col("n"), F.col("v"), F.col("mn"), F.col("mx")).alias(f"sim_{column}"))
-    return target.join(f, target[column] == f["v"], "left").drop("v")
+    return target.withColumn("_own", own).join(f, F.col("_own") == F.col("v"), "left").drop("v", "_own")
+
+
+def _number(column: str) -> Column:
+    """A predictor as a double; null and NaN are no value, on the side of the reference and on that of the cells."""
+    v = F.col(column).cast("double")
+    return F.when(~F.isnan(v), v + F.lit(0.0))
+
+
+def _reference_values(reference: DataFrame, column: str) -> DataFrame:
+    """``v, m``: the distinct values of a predictor and their counts."""
+    return reference.select(_number(column).alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("m"))
 
 
 def _mess_looked_up(target: DataFrame, tables: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -65,13 +77,13 @@ def _mess_looked_up(target: DataFrame, tables: dict[str, tuple[np.ndarray, np.nd
 def mess(reference: DataFrame, target: DataFrame, columns: list[str]) -> DataFrame:
     """``target`` with ``mess`` and ``most_dissimilar``, the first predictor of the smallest similarity; null if any predictor is null.
 
-    A predictor whose distinct reference values are counted and few goes to the
-    cells as a sorted table; for others the cells are ordered against it.
+    NaN is null, in the reference and in the cells. A predictor whose distinct
+    reference values are counted and few goes to the cells as a sorted table; for
+    others the cells are ordered against it, with the same result.
     """
     d, tables = target, {}
     for c in columns:
-        values = reference.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))).groupBy(F.col(c).cast("double").alias("v")).agg(F.count("*").alias("m"))
-        few = values.limit(LOOK_UP + 1).toPandas()
+        few = _reference_values(reference, c).limit(LOOK_UP + 1).toPandas()
         if 0 < len(few) <= LOOK_UP:
             few = few.sort_values("v")
             tables[c] = (few["v"].to_numpy(), few["m"].to_numpy())

@@ -19,7 +19,7 @@ from florascope.functions.geo import hav_km
 from florascope.functions.scalars import cloglog
 
 from . import stats
-from .order import quantiles
+from .order import ends, quantiles
 from .sampling import seeded
 from .session import cut
 from .spatial import XY, _sides, nearest_km
@@ -264,10 +264,10 @@ def permutation_importance(df: DataFrame, columns: list[str], score: Callable[[d
 def response_curves(df: DataFrame, model: dict, points: int = 40, rows: int = 400, seed: int = 1) -> DataFrame:
     """``predictor, x, mean``: the mean prediction over a sample with one predictor set to each of a range of values."""
     sample = df.orderBy(seeded(F.col("id"), seed), "id").limit(rows)
-    ends = df.agg(*[F.expr(f"percentile({c}, {p})").alias(f"{c}_{n}") for c in model["columns"] for n, p in (("lo", 0.01), ("hi", 0.99))])
+    limits = ends(df, {c: {f"{c}_lo": 0.01, f"{c}_hi": 0.99} for c in model["columns"]})
     out = None
     for c in model["columns"]:
-        grid = ends.select(F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_k"), f"{c}_lo", f"{c}_hi")
+        grid = limits.select(F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_k"), f"{c}_lo", f"{c}_hi")
         grid = grid.select((F.col(f"{c}_lo") + (F.col(f"{c}_hi") - F.col(f"{c}_lo")) * F.col("_k") / float(points - 1)).alias("x"))
         curve = sample.drop(c).crossJoin(F.broadcast(grid)).withColumn(c, F.col("x"))  # points rows
         part = curve.groupBy("x").agg(F.avg(predict(model)).alias("mean")).select(F.lit(c).alias("predictor"), "x", "mean")

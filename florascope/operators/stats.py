@@ -26,7 +26,7 @@ def auc(pred: DataFrame, by: list[str] = ()) -> DataFrame:
 
 
 def tss(pred: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Largest true positive rate less false positive rate and its threshold: the highest score that reaches it, at most 1."""
+    """Largest true positive rate less false positive rate and its threshold: the highest score that reaches it, at most 1. Null without both classes."""
     by = list(by)
     counts = _score_counts(pred, by)
     whole = counts.groupBy(*[F.col(c).alias(f"_t_{c}") for c in by]).agg(F.sum("n1").alias("p"), F.sum("n0").alias("q"))
@@ -34,8 +34,11 @@ def tss(pred: DataFrame, by: list[str] = ()) -> DataFrame:
     for c in by:
         on = on & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
     t = running(counts, "s", {"b1": F.col("n1"), "b0": F.col("n0")}, by).join(F.broadcast(whole), on)  # a row for each group
-    k = t.withColumn("j", (F.col("p") - F.col("b1")) * 1.0 / F.col("p") - (F.col("q") - F.col("b0")) * 1.0 / F.col("q"))
-    return k.groupBy(*by).agg(F.max("j").alias("tss"), F.least(F.max_by("s", F.struct("j", "s")), F.lit(1.0)).alias("threshold"))
+    rate = lambda below, all_of: F.try_divide((F.col(all_of) - F.col(below)) * 1.0, F.col(all_of))
+    k = t.withColumn("j", rate("b1", "p") - rate("b0", "q"))
+    best = F.max_by("s", F.when(F.col("j").isNotNull(), F.struct("j", "s")))
+    # `least` skips nulls
+    return k.groupBy(*by).agg(F.max("j").alias("tss"), F.when(best.isNotNull(), F.least(best, F.lit(1.0))).alias("threshold"))
 
 
 def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
@@ -82,10 +85,10 @@ def boyce(pred: DataFrame, windows: int = 101, width: float = 0.1) -> DataFrame:
 
 
 def schoener_d(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Niche overlap of two nonnegative surfaces."""
+    """Niche overlap of two nonnegative surfaces; null if one of them is zero everywhere."""
     d = df.select(F.greatest(a, F.lit(0.0)).alias("a"), F.greatest(b, F.lit(0.0)).alias("b"))
     t = d.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    return d.crossJoin(F.broadcast(t)).agg((1 - 0.5 * F.sum(F.abs(F.col("a") / F.col("ta") - F.col("b") / F.col("tb")))).alias("d"))  # t is one row
+    return d.crossJoin(F.broadcast(t)).agg((1 - 0.5 * F.sum(F.abs(F.try_divide("a", "ta") - F.try_divide("b", "tb")))).alias("d"))  # t is one row
 
 
 def kappa(df: DataFrame, a: Column, b: Column) -> DataFrame:
@@ -98,12 +101,16 @@ def kappa(df: DataFrame, a: Column, b: Column) -> DataFrame:
 
 def predictor_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     """Correlation, mean differences and ratio of median sizes; null under three rows."""
+    d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     n = F.count("*") >= 3
-    med = lambda c: F.expr(f"percentile(abs({c}), 0.5)")
-    return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(
+    out = d.agg(
         F.when(n, F.corr(a, b)).alias("pearson_r"), F.when(n, F.avg(F.col(b) - F.col(a))).alias("mean_diff"),
-        F.when(n, F.avg(F.abs(F.col(b) - F.col(a)))).alias("mean_abs_diff"), F.when(n & (med(a) > 0), med(b) / med(a)).alias("scale_ratio"),
+        F.when(n, F.avg(F.abs(F.col(b) - F.col(a)))).alias("mean_abs_diff"), n.alias("_enough"),
     )
+    # three tables of one row each
+    for name, c in (("_ma", a), ("_mb", b)):
+        out = out.crossJoin(F.broadcast(quantiles(d, F.abs(F.col(c)), {name: 0.5})))
+    return out.withColumn("scale_ratio", F.when(F.col("_enough") & (F.col("_ma") > 0), F.col("_mb") / F.col("_ma"))).drop("_enough", "_ma", "_mb")
 
 
 def rates(pred: DataFrame, threshold: Column) -> tuple[Column, Column]:
@@ -114,7 +121,7 @@ def rates(pred: DataFrame, threshold: Column) -> tuple[Column, Column]:
 
 
 def equal_rates_threshold(pred: DataFrame, points: int = 201) -> DataFrame:
-    """The threshold among presence scores and background quantiles where sensitivity and specificity are closest (lowest of equal ones)."""
+    """The threshold among presence scores and background quantiles where sensitivity and specificity are closest (lowest of equal ones); null without both classes."""
     background = quantile_points(pred.where("y = 0"), "s", [i / (points - 1) for i in range(points)])
     grid = background.select(F.col("v").alias("s")).unionAll(pred.where("y = 1").select("s")).distinct()
     # counts below each grid point
@@ -122,8 +129,8 @@ def equal_rates_threshold(pred: DataFrame, points: int = 201) -> DataFrame:
     t = t.groupBy("s").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.max("g").alias("g"))
     whole = pred.agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
     t = running(t, "s", {"b1": F.col("n1"), "b0": F.col("n0")}).crossJoin(F.broadcast(whole))  # one row
-    gap = F.abs((F.col("p") - F.col("b1")) / F.col("p") - F.col("b0") / F.col("q"))
-    return t.where("g = 1").agg(F.min_by("s", F.struct(gap, F.col("s"))).alias("threshold"))
+    gap = F.abs(F.try_divide(F.col("p") - F.col("b1"), F.col("p")) - F.try_divide("b0", "q"))
+    return t.where("g = 1").agg(F.min_by("s", F.when(gap.isNotNull(), F.struct(gap, F.col("s")))).alias("threshold"))
 
 
 def percentiles(df: DataFrame, column: str, at: dict[str, float]) -> DataFrame:

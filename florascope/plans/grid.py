@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from florascope.operators import diagnostics, grid, spatial
+from florascope.operators import diagnostics, grid, order, spatial
 from florascope.plans.spatial import _DISK, _IN_POLYGON
 
 from .catalog import query
@@ -85,6 +85,28 @@ def join9b(v):
     return d.select("vec_id", F.round("distance", 5).alias("distance"))
 
 
+_SPACE = "with r as (select cast(l_extendedprice as double) / 1000e0 as a, cast(l_quantity as double) as b from lineitem), d as (select t.id, row_number() over (partition by t.id order by sqrt((t.a - r.a) * (t.a - r.a) + (t.b - r.b) * (t.b - r.b))) as nth, sqrt((t.a - r.a) * (t.a - r.a) + (t.b - r.b) * (t.b - r.b)) as d, count(*) over (partition by t.id) as n from ({}) t cross join r) select id, round(avg(d), 5) as distance from d where nth <= {} group by id"
+
+
+def _prices(v):
+    return v.lineitem.select(F.array(F.col("l_extendedprice").cast("double") / 1000.0, F.col("l_quantity").cast("double")).alias("v"))
+
+
+@query("JOIN9_metric_tree", _SPACE.format("select p_partkey as id, cast(p_retailprice as double) / 10e0 as a, cast(p_size as double) as b from part", 3))
+def join9c(v):
+    """The three nearest of all line items for each part: a reference beyond the broadcast bound from some 20 000 rows on."""
+    t = v.part.select(F.col("p_partkey").alias("id"), F.array(F.col("p_retailprice").cast("double") / 10.0, F.col("p_size").cast("double")).alias("v"))
+    return diagnostics.nearest_distance(t, _prices(v), "id", "v", k=3).select("id", F.round("distance", 5).alias("distance"))
+
+
+@query("GRD4_nearest_percent", _SPACE.format("select s_suppkey as id, cast(s_acctbal as double) / 100e0 as a, cast(s_nationkey as double) as b from supplier", "greatest(1, round(n / 100e0))"))
+def grd4b(v):
+    """The mean distance to the nearest 1 % of all line items, by shells of counted bins."""
+    t = v.supplier.select(F.col("s_suppkey").alias("id"), F.array(F.col("s_acctbal").cast("double") / 100.0, F.col("s_nationkey").cast("double")).alias("v"))
+    ref = _prices(v)
+    return diagnostics.nearest_distance(t, ref, "id", "v", k=max(1, round(ref.count() / 100))).select("id", F.round("distance", 5).alias("distance"))
+
+
 @query("GRD4_mop_shape_aoa")
 def grd4(v):
     cols = ["bio1", "bio4", "bio12"]
@@ -138,7 +160,7 @@ def agg34(v):
 
 @query("GRD8_envelope", "with e as (select quantile_cont(bio1, 0.05) as a1, quantile_cont(bio1, 0.95) as z1, quantile_cont(bio12, 0.05) as a2, quantile_cont(bio12, 0.95) as z2 from pred where y = 1) select row, col from cells cross join e where bio1 between a1 and z1 and bio12 between a2 and z2")
 def grd8(v):
-    e = v.pred.where("y = 1").agg(*[F.expr(f"percentile({c}, {p})").alias(f"{c}{n}") for c in ("bio1", "bio12") for n, p in (("a", 0.05), ("z", 0.95))])
+    e = order.ends(v.pred.where("y = 1"), {c: {f"{c}a": 0.05, f"{c}z": 0.95} for c in ("bio1", "bio12")})
     return v.cells.crossJoin(F.broadcast(e)).where("bio1 BETWEEN bio1a AND bio1z AND bio12 BETWEEN bio12a AND bio12z").select("row", "col")  # e is one row
 
 

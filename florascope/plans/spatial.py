@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from florascope.functions import scalars as sc
 from florascope.functions.geo import HAV_SQL, cell_area_km2, hav_km, mercator_x, mercator_y
-from florascope.operators import quality, sampling, spatial
+from florascope.operators import order, quality, sampling, spatial
 from florascope.operators.store import first_per_key
 
 from .catalog import query
@@ -219,7 +219,7 @@ def smp5(v):
 @query("SMP5_profile_pseudo_absences", "with e as (select quantile_cont(bio1, 0.025) as a1, quantile_cont(bio1, 0.975) as z1, quantile_cont(bio12, 0.025) as a2, quantile_cont(bio12, 0.975) as z2 from pred where y = 1) select row, col from cells cross join e where not (bio1 between a1 and z1 and bio12 between a2 and z2)")
 def smp5b(v):
     cols = ["bio1", "bio12"]
-    e = v.pred.where("y = 1").agg(*[F.expr(f"percentile({c}, {p})").alias(f"{c}_{n}") for c in cols for n, p in (("lo", 0.025), ("hi", 0.975))])
+    e = order.ends(v.pred.where("y = 1"), {c: {f"{c}_lo": 0.025, f"{c}_hi": 0.975} for c in cols})
     inside = F.col("bio1").between(F.col("bio1_lo"), F.col("bio1_hi")) & F.col("bio12").between(F.col("bio12_lo"), F.col("bio12_hi"))
     return v.cells.crossJoin(F.broadcast(e)).where(~inside).select("row", "col")  # e is one row
 

@@ -104,7 +104,7 @@ def agg24(v):
 @query("AGG25_threshold_candidates", """with k as (select quantile_cont(s, 0.1) as p10, min(s) as mtp from pred where y = 1), c as (select 'p10' as rule, p10 as t from k union all select 'min_training_presence', mtp from k union all select 'fixed', 0.4e0)
 select rule, round(t, 6) as value, round(avg(case when s >= t then 1e0 else 0e0 end) filter (y = 1), 4) as sensitivity, round(avg(case when s < t then 1e0 else 0e0 end) filter (y = 0), 4) as specificity from c cross join pred group by rule, t""")
 def agg25(v):
-    k = v.pred.where("y = 1").agg(F.expr("percentile(s, 0.1)").alias("p10"), F.min("s").alias("m"))
+    k = stats.percentiles(v.pred.where("y = 1"), "s", {"p10": 0.1, "m": 0.0})
     c = k.select(F.explode(F.array(F.struct(F.lit("p10").alias("rule"), F.col("p10").alias("t")), F.struct(F.lit("min_training_presence").alias("rule"), F.col("m").alias("t")), F.struct(F.lit("fixed").alias("rule"), F.lit(0.4).alias("t")))).alias("r")).select("r.*")
     sens, spec = stats.rates(v.pred, F.col("t"))
     return v.pred.crossJoin(F.broadcast(c)).groupBy("rule", "t").agg(_r(sens, 4).alias("sensitivity"), _r(spec, 4).alias("specificity")).select("rule", _r("t").alias("value"), "sensitivity", "specificity")  # three rules

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from florascope.functions import scalars as sc
-from florascope.operators import store
+from florascope.operators import order, store
 
 from .catalog import query
 
@@ -327,7 +327,8 @@ def agg48(v):
 @query("FLT13_effort_filters", "with s as (select basis_of_record, count(*) * 1e0 / sum(count(*)) over () as share from occ group by 1), y as (select cast(quantile_cont(year(event_date), 0.05) as int) as y0, cast(quantile_cont(year(event_date), 0.95) as int) as y1 from occ where event_date is not null) select basis_of_record, round(share, 6) as share, y0, y1 from s cross join y where share >= 0.05e0 and basis_of_record in ('HUMAN_OBSERVATION', 'OBSERVATION', 'PRESERVED_SPECIMEN')")
 def flt13(v):
     s = v.occ.groupBy("basis_of_record").agg(F.count("*").alias("n"))
-    total = v.occ.agg(F.count("*").alias("total"), F.expr("percentile(year(event_date), 0.05)").cast("int").alias("y0"), F.expr("percentile(year(event_date), 0.95)").cast("int").alias("y1"))
+    years = order.quantiles(v.occ, F.year("event_date"), {"y0": 0.05, "y1": 0.95}).select(F.col("y0").cast("int").alias("y0"), F.col("y1").cast("int").alias("y1"))
+    total = v.occ.agg(F.count("*").alias("total")).crossJoin(F.broadcast(years))  # one row
     d = s.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("total"))
     return d.where((F.col("share") >= 0.05) & F.col("basis_of_record").isin("HUMAN_OBSERVATION", "OBSERVATION", "PRESERVED_SPECIMEN")).select("basis_of_record", F.round("share", 6).alias("share"), "y0", "y1")
 

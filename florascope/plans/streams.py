@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
 from florascope.operators.session import ensure_checkpoint_dir
-from florascope.streaming import ingest
+from florascope.streaming import ingest, state
 
 from .catalog import query
 
@@ -53,13 +54,109 @@ def str6b(v):
     return a.select("kind", "n", F.array_join("records", ",").alias("records"))
 
 
+def _root(v, name: str) -> str:
+    ensure_checkpoint_dir(v.spark)
+    return f"{v.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 @query("STR_replayed_ingest", "select source, count(*) as inserted, count(*) * 2 as attempted from occ group by source")
 def str_replay(v):
     """The store as a stream of files that are delivered twice: only the first delivery is new."""
-    ensure_checkpoint_dir(v.spark)
-    root = f"{v.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    root = _root(v, "stream")
     rows = v.occ.select("source", "record_id", "longitude", "latitude", "ingested_ts")
-    for k in range(2):
+    for _ in range(2):
         rows.repartition(2, "record_id").write.mode("append").parquet(f"{root}/in")
     ingest.ingest(ingest.stream_occurrences(v.spark, f"{root}/in", rows.schema, 1), f"{root}/store", f"{root}/state", f"{root}/offsets")
     return ingest.watermarks(v.spark, f"{root}/state").select("source", F.col("inserted"), F.col("attempted"))
+
+
+_DELIVERED = "select 0 as nth, source, record_id, ingested_ts from occ union all select 1, source, record_id, ingested_ts + interval 40 day from occ where record_id % 3 = 0 union all select 1, source, record_id + 100000000, ingested_ts + interval 41 day from occ where record_id % 5 = 0"
+
+
+@query("STR7_restarted_stream", f"with d as ({_DELIVERED}), s as (select source, count(*) as attempted, count(distinct record_id) as inserted, max(ingested_ts) as watermark from d group by source) select s.source, attempted, inserted, watermark, sum(extract(epoch from f.first_ts)) as first_seconds from s join (select source, record_id, cast(min(ingested_ts) as timestamp(0)) as first_ts from d group by 1, 2) f on f.source = s.source group by all")
+def str7b(v):
+    """Two deliveries, the second after a restart: re-delivered rows change nothing, new ones are added, and old rows are not read again."""
+    root = _root(v, "restart")
+    first = v.occ.select("source", "record_id", "ingested_ts")
+    moved = lambda d, days: d.withColumn("ingested_ts", (F.col("ingested_ts") + F.expr(f"INTERVAL {days} DAYS")).cast(first.schema["ingested_ts"].dataType))
+    again = moved(first.where("record_id % 3 = 0"), 40).unionAll(moved(first.where("record_id % 5 = 0").withColumn("record_id", F.col("record_id") + 100000000), 41))
+    for rows in (first, again):
+        rows.repartition(3, "record_id").write.mode("append").parquet(f"{root}/in")
+        ingest.ingest(ingest.stream_occurrences(v.spark, f"{root}/in", first.schema, 2), f"{root}/store", f"{root}/state", f"{root}/offsets")
+    kept = v.spark.read.parquet(f"{root}/store").groupBy("source").agg(F.sum(F.unix_timestamp(F.round(F.col("ingested_ts").cast("timestamp").cast("double")).cast("timestamp"))).cast("double").alias("first_seconds"))
+    return ingest.watermarks(v.spark, f"{root}/state").join(kept, "source").select("source", "attempted", "inserted", "watermark", "first_seconds")
+
+
+_SILENCE = """with o as (select o_custkey, cast(o_orderdate as timestamp) as ts, o_orderkey, concat_ws('|', o_orderstatus, o_orderpriority) as payload from orders),
+ l as (select *, lag(payload) over w as prev, lead(ts) over w as nxt, max(ts) over () as last from o window w as (partition by o_custkey order by ts, o_orderkey))"""
+
+
+@query("STR10_streamed_changes", f"""{_SILENCE} select o_custkey, 'change' as kind, ts as at, o_orderkey as id, payload from l where prev is distinct from payload
+ union all select o_custkey, 'keepalive', t, null, payload from (select *, unnest(generate_series(ts + interval 100 day, least(coalesce(nxt, last), ts + interval 400 day), interval 100 day)) as t from l) k where t < least(coalesce(nxt, last), ts + interval 400 day)
+ union all select o_custkey, 'failed', ts + interval 400 day, null, payload from l where ts + interval 400 day < coalesce(nxt, last)""")
+def str10b(v):
+    """``orders`` replayed in time order: changes of a customer's payload, keepalives each 100 days of silence and a failure after 400."""
+    root = _root(v, "changes")
+    rows = v.orders.select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus", "o_orderpriority").withColumn("part", F.year("o_orderdate"))
+    for year in [r["part"] for r in rows.select("part").distinct().orderBy("part").collect()]:  # a file set for each year, delivered in order
+        rows.where(F.col("part") == year).drop("part").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = v.spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    with state.rocksdb(v.spark):
+        found = state.changes(stream, "o_custkey", "o_orderdate", "o_orderkey", F.concat_ws("|", "o_orderstatus", "o_orderpriority"), timedelta(days=100), timedelta(days=400))
+        found.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return v.spark.read.parquet(f"{root}/out").select(F.col("key").cast("long").alias("o_custkey"), "kind", "at", "id", "payload")
+
+
+#: Days of events that make a batch, and those by which every 50th event is late. A batch's rows are held against the
+#: watermark by which the batch before it closed windows, and that one knows the times of all earlier batches but that.
+_DAYS, _LATE = 5, 10
+_BATCHED = f"""with e as (select *, cast(floor((epoch(ts) - epoch(timestamp '2024-01-01 00:00:00')) / 86400e0 / {_DAYS}e0) as int) + case when event_id % 50 = 7 then {_LATE // _DAYS} else 0 end as batch from events),
+ b as (select batch, max(ts) as most from e group by batch),
+ m as (select batch, coalesce(max(most) over (order by batch rows between unbounded preceding and 2 preceding), timestamp '1970-01-01 00:00:00') - interval 1 day as mark from b),
+ d as (select e.*, mark from e join m using (batch))"""
+
+
+def _streamed_events(v, name: str):
+    """The events in files of five days each, shuffled within; every 50th comes ten days late, and a last row far ahead closes what is open."""
+    root = _root(v, name)
+    day = F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 86400.0 / _DAYS).cast("int")
+    rows = v.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    rows = rows.withColumn("part", day + F.when(F.col("event_id") % 50 == 7, _LATE // _DAYS).otherwise(0))
+    for part in [r["part"] for r in rows.select("part").distinct().orderBy("part").collect()]:  # a row for each batch
+        rows.where(F.col("part") == part).drop("part").orderBy(F.xxhash64("event_id")).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    close = v.spark.sql("SELECT -1L AS event_id, timestamp'2100-01-01 00:00:00' AS ts, -1L AS user_id, 'end' AS event_type, 0D AS value")
+    close.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    return root, v.spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+
+
+def _collected(v, root: str, stream):
+    with state.rocksdb(v.spark):
+        stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return v.spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+@query("STR13_streamed_windows", f"{_BATCHED} select time_bucket(interval 6 hour, ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from d where time_bucket(interval 6 hour, ts) + interval 6 hour > mark group by 1, 2")
+def str13d(v):
+    """Six-hour windows of a watermarked stream: rows behind it are late and not in them."""
+    root, stream = _streamed_events(v, "windows")
+    w = state.windows(stream, "ts", "1 day", "6 hours", ["event_type"], {"n": F.count("*"), "total": F.sum("value")})
+    return _collected(v, root, w).where("event_type <> 'end'").select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("STR13_late_rows", f"{_BATCHED} select event_type, count(*) as delivered, count(*) filter (time_bucket(interval 6 hour, ts) + interval 6 hour <= mark) as late from d group by 1")
+def str13e(v):
+    """Delivered rows less those in closed windows: the late ones of each type."""
+    root, stream = _streamed_events(v, "late")
+    w = state.windows(stream, "ts", "1 day", "6 hours", ["event_type"], {"n": F.count("*")})
+    counted = _collected(v, root, w).groupBy("event_type").agg(F.sum("n").alias("in_windows"))
+    delivered = v.spark.read.parquet(f"{root}/in").where("event_type <> 'end'").groupBy("event_type").agg(F.count("*").alias("delivered"))
+    return delivered.join(counted, "event_type", "left").select("event_type", "delivered", (F.col("delivered") - F.coalesce("in_windows", F.lit(0))).alias("late"))
+
+
+@query("STR13_streamed_sessions", f"""{_BATCHED}, k as (select * from d where ts + interval 2 hour > mark), g as (select user_id, ts, case when lag(ts) over w + interval 2 hour > ts then 0 else 1 end as fresh from k window w as (partition by user_id order by ts)),
+ s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as sid from g) select user_id, min(ts) as session_start, count(*) as n from s group by user_id, sid""")
+def str13f(v):
+    """Sessions of a user with gaps under two hours, closed by the watermark."""
+    root, stream = _streamed_events(v, "sessions")
+    w = state.sessions(stream, "ts", "1 day", "2 hours", ["user_id"], {"n": F.count("*")})
+    return _collected(v, root, w).where("user_id >= 0").select("user_id", "session_start", "n")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from florascope.operators.spatial import nearest_km
 
+from .state import first_deliveries, rocksdb
+
 KEY = ["source", "record_id"]
 MAX_ALERT_RECORDS = 500
 
@@ -20,34 +22,26 @@ def stream_occurrences(spark: SparkSession, folder: str, schema: StructType, fil
 def ingest(stream: DataFrame, store: str, state: str, checkpoint: str):
     """Append only rows with new keys; one writer. Returns the query after it has read what is there.
 
-    Each batch writes its rows and its state row under its number, so that a
-    batch that runs again after a failure replaces its own output.
+    Which keys are known is the stream's own keyed state (see ``state``): a batch
+    reads its own rows, never those stored before. Each batch writes its rows and
+    its state row under its number, so that a batch that runs again after a
+    failure replaces its own output; the keyed state of its first run is not
+    committed then. The first row of a key is the earliest of its first batch.
     """
     spark = stream.sparkSession
-
-    def known() -> DataFrame | None:
-        try:
-            return spark.read.parquet(store).select(*KEY, "batch")
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return None
-            raise
+    # of rows without a time none is the earliest
+    seen = first_deliveries(stream, KEY, ["ingested_ts"])
 
     def write(batch: DataFrame, number: int) -> None:
-        # of a batch's rows with one key the earliest stays, the smallest digest of equally early ones
-        nth = F.row_number().over(Window.partitionBy(*KEY).orderBy("ingested_ts", F.xxhash64(*sorted(batch.columns))))
-        fresh = batch.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
-        old = known()
-        if old is not None:
-            fresh = fresh.join(old.where(F.col("batch") != number).select(*KEY), KEY, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{store}/batch={number}")
-        done = spark.read.parquet(f"{store}/batch={number}")
-        seen = batch.groupBy("source").agg(F.count("*").alias("attempted"), F.max("ingested_ts").alias("watermark"))
-        new = done.groupBy("source").agg(F.count("*").alias("inserted"))
-        seen.join(new, "source", "left").na.fill(0, ["inserted"]).write.mode("overwrite").parquet(f"{state}/batch={number}")
-
-    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+        batch = batch.persist()
+        batch.where("_fresh").drop("_delivered", "_fresh", "_latest").write.mode("overwrite").parquet(f"{store}/batch={number}")
+        per = batch.groupBy("source").agg(F.sum("_delivered").alias("attempted"), F.count_if("_fresh").alias("inserted"), F.max("_latest").alias("watermark"))
+        per.select("source", "attempted", "watermark", "inserted").write.mode("overwrite").parquet(f"{state}/batch={number}")
+        batch.unpersist()
+
+    with rocksdb(spark):
+        q = seen.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
     return q
 
 
@@ -84,9 +78,3 @@ def alerts(detections: DataFrame, most: int = MAX_ALERT_RECORDS) -> DataFrame:
     # the list is capped by definition of an alert, and limited in each task before the shuffle; the count is not
     listed = detections.withColumn("nth", nth).where(F.col("nth") <= most).groupBy("kind").agg(F.array_sort(F.collect_list("record_id")).alias("records"))
     return detections.groupBy("kind").agg(F.count("*").alias("n")).join(listed, "kind")
-
-
-def event_windows(events: DataFrame, length: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
-    """Counts in event-time windows with a watermark for late rows; for streams and tables."""
-    w = F.window("ts", length, slide) if slide else F.window("ts", length)
-    return events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))

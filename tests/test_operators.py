@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from florascope.operators import diagnostics, grid, models, order, sampling, spatial, stats
+from florascope.operators import diagnostics, grid, models, neighbours, order, sampling, spatial, stats
 from florascope.plans.catalog import Views
 from florascope.plans.scalars import tile_bytes
 from florascope.sources import readers, tiles
@@ -85,22 +85,82 @@ def test_percentiles_and_ranks_over_buckets_equal_numpy(spark):
     assert all(ranks[i] == (x < v).sum() + ((x == v).sum() + 1) / 2 for i, v in enumerate(x)) and ranks[9999] is None
 
 
-def test_distances_in_blocks_equal_whole_ones(spark, monkeypatch):
+@pytest.mark.parametrize(("folds", "k"), [(0, 1), (3, 5), (70, 4), (3, 60), (0, 40)])
+def test_distances_by_tree_equal_whole_ones(spark, monkeypatch, folds, k):
     rng = np.random.default_rng(2)
-    x, m = rng.normal(size=(90, 4)), rng.normal(size=(70, 4))
-    target = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "id long, v array<double>, f int")
-    ref = spark.createDataFrame([(v.tolist(), i % 3) for i, v in enumerate(m)], "v array<double>, f int")
+    x, m = rng.normal(size=(90, 4)).round(2), rng.normal(size=(200, 4)).round(2)
+    m[:40] = m[40]  # copies tie
+    x[5] = m[0]
+    target = spark.createDataFrame([(i, v.tolist(), i % max(folds, 1)) for i, v in enumerate(x)], "id long, v array<double>, f int")
+    ref = spark.createDataFrame([(v.tolist(), i % max(folds, 1)) for i, v in enumerate(m)], "v array<double>, f int")
     d = np.sqrt(((x[:, None] - m[None]) ** 2).sum(axis=2))
-    d[np.arange(90)[:, None] % 3 == np.arange(70)[None] % 3] = np.inf
-    want = np.sort(d, axis=1)[:, :5].mean(axis=1)
+    if folds:
+        d[np.arange(90)[:, None] % folds == np.arange(200)[None] % folds] = np.inf
+    want = dict(enumerate(np.sort(d, axis=1)[:, :k].mean(axis=1)))
+    for name, value in (("LEAF_ROWS", 8), ("FEW", 6), ("BINS", 4), ("TILE_ROWS", 10), ("TILE_TARGETS", 7)):
+        monkeypatch.setattr(neighbours, name, value)
+    for rows in (20_000, 16):
+        monkeypatch.setattr(diagnostics, "REFERENCE_ROWS", rows)
+        got = {r["id"]: r["distance"] for r in diagnostics.nearest_distance(target, ref, "id", "v", fold="f" if folds else None, k=k).collect()}
+        assert got == pytest.approx(want)
+
+
+def test_distances_without_other_folds_are_null(spark, monkeypatch):
+    ref = spark.createDataFrame([(i, [float(i), 0.0], 1) for i in range(30)], "id long, v array<double>, f int")
+    for rows in (20_000, 4):
+        monkeypatch.setattr(diagnostics, "REFERENCE_ROWS", rows)
+        assert {r["distance"] for r in diagnostics.nearest_distance(ref, ref, "id", "v", fold="f", k=2).collect()} == {None}
+        ids = ref.withColumnRenamed("id", "_id")
+        # one fold only: each row leaves out itself, so all have a neighbour at 1
+        assert diagnostics._threshold(ids, "v", "f", 1, 1.0) == pytest.approx(1.0)
+
+
+def test_tree_visits_a_falling_share_of_leaves(spark):
+    """Low-dimensional references: the larger they are, the smaller the share of leaves that a target meets."""
+    rng = np.random.default_rng(5)
+    target = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(rng.uniform(size=(200, 2)))], "id long, v array<double>, f long")
+    shares = []
+    for n in (4_000, 40_000):
+        m = rng.uniform(size=(n, 2))
+        search = neighbours.Search(target, spark.createDataFrame([(v.tolist(), 0) for v in m], "v array<double>, f long"), n, 3, False)
+        got = {r["id"]: r["distance"] for r in search.run().collect()}
+        rows = [np.sort(np.sqrt(((np.array(r["v"]) - m) ** 2).sum(axis=1)))[:3].mean() for r in target.orderBy("id").collect()]
+        assert got == pytest.approx(dict(enumerate(rows)))
+        shares.append(sum(search.visited) / search.pairs)
+    assert shares[1] < shares[0] / 2 and shares[1] < 0.2, shares
+
+
+def test_mean_of_all_pairs(spark, monkeypatch):
+    m = np.random.default_rng(2).normal(size=(70, 4))
+    ref = spark.createDataFrame([(v.tolist(),) for v in m], "v array<double>")
     pairs = np.sqrt(((m[:, None] - m[None]) ** 2).sum(axis=2)).sum() / (70 * 69)
     for rows in (20_000, 16):
         monkeypatch.setattr(diagnostics, "REFERENCE_ROWS", rows)
-        got = {r["id"]: r["distance"] for r in diagnostics.nearest_distance(target, ref, "id", "v", fold="f", k=5).collect()}
-        assert got == pytest.approx(dict(enumerate(want)))
         assert diagnostics.mean_pair_distance(ref, "v") == pytest.approx(pairs)
 
 
+def test_statistics_of_an_empty_class_are_null(spark):
+    """A fold without presences, and one without absences: null, not an error."""
+    pred = spark.createDataFrame([(f, y, s) for f, y in ((0, 0), (1, 1), (2, 0), (2, 1)) for s in (0.2, 0.4, 0.9)], "fold int, y int, s double")
+    assert {r["fold"]: (r["tss"] is None, r["threshold"] is None) for r in stats.tss(pred, ["fold"]).collect()} == {0: (True, True), 1: (True, True), 2: (False, False)}
+    assert {r["fold"]: r["auc"] for r in stats.auc(pred, ["fold"]).collect()} == {0: None, 1: None, 2: 0.5}
+    for y in (0, 1):
+        assert stats.equal_rates_threshold(pred.where(f"y = {y}")).first()["threshold"] is None
+    zero = spark.createDataFrame([(0.0, 1.0), (0.0, 2.0)], "a double, b double")
+    assert stats.schoener_d(zero, "a", "b").first()["d"] is None and stats.schoener_d(zero, "b", "b").first()["d"] == pytest.approx(1.0)
+
+
+def test_mess_treats_nan_as_null_on_both_paths(spark, monkeypatch):
+    nan = float("nan")
+    ref = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (nan,), (None,)], "a double")
+    target = spark.createDataFrame([(1, 0.5), (2, 2.5), (3, nan), (4, 9.0), (5, None), (6, -0.0)], "id int, a double")
+    seen = []
+    for most in (200_000, 1):
+        monkeypatch.setattr(grid, "LOOK_UP", most)
+        seen.append({r["id"]: r["mess"] for r in grid.mess(ref, target, ["a"]).collect()})
+    assert seen[0] == seen[1] and seen[0][1] == -25 and seen[0][2] == pytest.approx(200 / 3) and seen[0][3] is None and seen[0][4] == -300
+
+
 def test_mess_looked_up_equals_ordered(spark, monkeypatch):
     rng = np.random.default_rng(4)
     ref = spark.createDataFrame([(float(a), float(b)) for a, b in rng.normal(size=(200, 2)).round(1)], "a double, b double")
