@@ -13,8 +13,10 @@ node, so copies cost nothing. Two sets link at ``100 * common >= percent * union
    a group: its sets pass all filters alike, so groups are joined in their place.
 3. The members of a group are compared with one of them, and so are the groups
    that share a prefix shingle, twice, with another in the middle each time.
-   Pairs of groups that have not met by then pass length and positional filters,
-   are expanded to their members and verified. Pairs within one component say
+   Pairs of groups that have not met by then pass length and positional filters
+   and one on bitmaps: two sets differ at least by the bits in which their bitmaps
+   do, so most sets that are alike but below the limit never become a pair. What
+   is left is expanded to the members and verified. Pairs within one component say
    nothing new about components and are left out, so a large group of near copies
    costs no pairs.
 4. All links are between members of one component, so the links of each text are
@@ -43,7 +45,9 @@ SAMPLE_BITS = 2
 STARS = 2
 #: Shingles (repeats over members included) and sets that one side of a tile holds, about; a single larger text apart.
 TILE_SHINGLES = 1_000_000
-TILE_SETS = 1_000
+TILE_SETS = 250
+#: Bits of a set's bitmap: eight for a shingle up to this many (a power of two); beyond, the bitmap tells less.
+MOST_BITS = 4_096
 
 
 def _bytes(text: pa.Scalar) -> bytes:
@@ -61,6 +65,15 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.uint64).view(np.int64)))
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each shingle by its low hash bits, in 64-bit words."""
+    bits = min(MOST_BITS, max(64, 1 << (8 * max(len(shingles), 1) - 1).bit_length()))
+    at = shingles & np.uint64(bits - 1)
+    out = np.zeros(bits // 64, np.uint64)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
 def _given(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("text_id"), F.col(text_col).alias("text"))
 
@@ -81,18 +94,18 @@ def sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
 
 
 def _read_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``node, n, s``: the shingles of each of ``nodes(node, n, doc_id, text_id)``, from the one row that stands for it."""
+    """``node, n, s, bits``: the shingles and bitmap of each of ``nodes(node, n, doc_id, text_id)``, from the one row that stands for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingle_set(_bytes(t), words) for t in b.column(2).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(found)], ["node", "n", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(found), _lists([bitmap(s) for s in found])], ["node", "n", "s", "bits"])
 
     wanted = nodes.select("node", "n", F.col("doc_id").alias("id2"), F.col("text_id").alias("text_id2"))
     rows = _given(docs, id_col, text_col).join(broadcast_if_small(wanted, wanted.count()), (F.col("text_id") == F.col("text_id2")) & F.col("doc_id").eqNullSafe(F.col("id2")))
     # repeated rows of one id and text all stand for their node
     one = rows.groupBy("node", "n").agg(F.first("text", ignorenulls=True).alias("text"))
-    return one.mapInArrow(run, "node long, n int, s array<long>")
+    return one.mapInArrow(run, "node long, n int, s array<long>, bits array<long>")
 
 
 def most_unshared(n: str, percent: int) -> str:
@@ -144,24 +157,37 @@ def _compatible(percent: int) -> Column:
     return F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")
 
 
+def _folded(bits: str, other: str) -> Column:
+    """A bitmap in as many words as another one of half its size has (sizes of linked sets differ less)."""
+    half = F.size(bits) / 2
+    both = F.zip_with(F.slice(bits, F.lit(1), half.cast("int")), F.slice(bits, half.cast("int") + 1, half.cast("int")), lambda a, b: a.bitwiseOR(b))
+    return F.when(F.size(bits) > F.size(other), both).otherwise(F.col(bits))
+
+
+def _close(percent: int, every: str = "every", some: str = "some") -> Column:
+    """Whether sets with and without ``2`` behind their names may be near enough, by the bits that all of a side have and those that any has."""
+    apart = lambda a, b: F.aggregate(F.zip_with(_folded(a, b), _folded(b, a), lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda n, x: n + x)
+    return apart(every, f"{some}2") + apart(f"{every}2", some) <= F.expr(f"n + n2 - 2 * {least_common('n', 'n2', percent)}")
+
+
 def components(found: DataFrame, percent: int) -> DataFrame:
     """``node, root`` of all sets ``found(node, n, s)`` that link."""
     groups = prefixes(found, percent)
     key = ["n", "own", "x"]
     grouped = groups.withColumn("group", F.xxhash64(*key))
-    members = materialize(grouped.select("group", "node", "n"), "jaccard-members")
+    members = materialize(grouped.select("group", "node", "n").join(found.select("node", "bits"), "node"), "jaccard-members")
     held = grouped.groupBy("group").agg(F.first("n").alias("n"), F.first("own").alias("own"), F.first("x").alias("x"), F.min("node").alias("head"))
     held = materialize(held, "jaccard-groups")
     places = materialize(held.select("group", "n", "own", F.posexplode("x").alias("i", "t")).select("group", "n", (F.col("own") + F.col("i")).alias("i"), "t"), "jaccard-places")
     heads = held.select("group", "head")
-    pairs = materialize(members.join(heads, "group").where("node <> head").select(*_ordered("node", "head")), "jaccard-pairs")
+    pairs = materialize(members.select("group", "node").join(heads, "group").where("node <> head").select(*_ordered("node", "head")), "jaccard-pairs")
     links = materialize(verified(pairs, found, percent), "jaccard-links")
     roots = connected_components(links)
     tried = None
     for turn in range(STARS + 1):
         # members of a group that are in one component stand together
         rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        parts = materialize(rooted.groupBy("group", "root").agg(F.min("node").alias("head")), "jaccard-parts")
+        parts = materialize(_parts(rooted), "jaccard-parts")
         # a shingle whose groups are all of one component is settled
         at = places.join(parts, "group")
         several = materialize(at.groupBy("t").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("t"), "jaccard-several")
@@ -170,11 +196,12 @@ def components(found: DataFrame, percent: int) -> DataFrame:
             break
         at = materialize(at.join(broadcast_if_small(several, count), "t", "left_semi"), "jaccard-open")
         if turn < STARS:
-            middle = at.groupBy("t").agg(F.min_by(F.struct("head", "n", "root"), F.xxhash64("head", F.lit(turn))).alias("m"))
-            middle = middle.select("t", F.col("m.head").alias("head2"), F.col("m.n").alias("n2"), F.col("m.root").alias("root2"))
-            pairs = at.join(broadcast_if_small(middle, count), "t").where((F.col("root") != F.col("root2")) & _compatible(percent)).select(*_ordered("head", "head2")).distinct()
+            middle = at.groupBy("t").agg(F.min_by(F.struct("head", "n", "root", "every", "some"), F.xxhash64("head", F.lit(turn))).alias("m"))
+            middle = middle.select("t", *[F.col(f"m.{c}").alias(f"{c}2") for c in ("head", "n", "root", "every", "some")])
+            on = (F.col("root") != F.col("root2")) & _compatible(percent) & _close(percent)
+            pairs = at.join(broadcast_if_small(middle, count), "t").where(on).select(*_ordered("head", "head2")).distinct()
         else:
-            pairs = _expanded(_group_pairs(at, percent), rooted)
+            pairs = _expanded(_group_pairs(at, percent), rooted, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = materialize(pairs, "jaccard-tried")
@@ -186,20 +213,31 @@ def components(found: DataFrame, percent: int) -> DataFrame:
     return roots
 
 
+def _parts(rooted: DataFrame) -> DataFrame:
+    """``group, root, head, every, some``: of a group's members in one component the first, the bits that all have and those that any has."""
+    words = rooted.select("group", "root", "node", F.posexplode("bits").alias("at", "word")).groupBy("group", "root", "at")
+    words = words.agg(F.min("node").alias("head"), F.bit_and("word").alias("every"), F.bit_or("word").alias("some"))
+    # members of a group have sets of one size, so their bitmaps have as many words
+    listed = words.groupBy("group", "root").agg(F.min("head").alias("head"), F.array_sort(F.collect_list(F.struct("at", "every", "some"))).alias("w"))
+    return listed.select("group", "root", "head", F.col("w.every").alias("every"), F.col("w.some").alias("some"))
+
+
 def _group_pairs(at: DataFrame, percent: int) -> DataFrame:
     """Pairs of groups, each with a root, that share a prefix shingle and pass the filters."""
-    a = at.where(f"i <= n - ceil({2 * percent} * n / {100 + percent})").select("t", "group", "root", "n", "i")
-    b = at.select("t", *[F.col(c).alias(f"{c}2") for c in ("group", "root", "n", "i")])
+    cols = ("group", "root", "n", "i", "every", "some")
+    a = at.where(f"i <= n - ceil({2 * percent} * n / {100 + percent})").select("t", *cols)
+    b = at.select("t", *[F.col(c).alias(f"{c}2") for c in cols])
     room = F.expr(f"1 + least(n - 1 - i, n2 - 1 - i2) >= {least_common('n', 'n2', percent)}")
     # the smaller set's first half of the prefix is enough; groups of one size meet once
     once = F.expr("n < n2 or n = n2 and (group < group2 or group = group2 and root < root2)")
-    return a.join(b, "t").where((F.col("root") != F.col("root2")) & once & _compatible(percent) & room).select("group", "root", "group2", "root2").distinct()
+    on = (F.col("root") != F.col("root2")) & once & _compatible(percent) & room & _close(percent)
+    return a.join(b, "t").where(on).select("group", "root", "group2", "root2").distinct()
 
 
-def _expanded(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
-    left = pairs.join(rooted.select("group", "root", F.col("node").alias("a")), ["group", "root"])
-    both = left.join(rooted.select(F.col("group").alias("group2"), F.col("root").alias("root2"), F.col("node").alias("b")), ["group2", "root2"])
-    return both.select(*_ordered("a", "b")).distinct()
+def _expanded(pairs: DataFrame, rooted: DataFrame, percent: int) -> DataFrame:
+    left = pairs.join(rooted.select("group", "root", F.col("node").alias("a"), "n", "bits"), ["group", "root"])
+    right = rooted.select(*[F.col(c).alias(f"{c}2") for c in ("group", "root", "n", "bits")], F.col("node").alias("b"))
+    return left.join(right, ["group2", "root2"]).where(_close(percent, "bits", "bits")).select(*_ordered("a", "b")).distinct()
 
 
 def _linked(a: pd.DataFrame, b: pd.DataFrame, percent: int) -> np.ndarray:
