@@ -187,7 +187,7 @@ def components(found: DataFrame, percent: int) -> DataFrame:
     for turn in range(STARS + 1):
         # members of a group that are in one component stand together
         rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        parts = materialize(_parts(rooted), "jaccard-parts")
+        parts = materialize(rooted.groupBy("group", "root").agg(F.min("node").alias("head")), "jaccard-parts")
         # a shingle whose groups are all of one component is settled
         at = places.join(parts, "group")
         several = materialize(at.groupBy("t").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("t"), "jaccard-several")
@@ -196,12 +196,13 @@ def components(found: DataFrame, percent: int) -> DataFrame:
             break
         at = materialize(at.join(broadcast_if_small(several, count), "t", "left_semi"), "jaccard-open")
         if turn < STARS:
-            middle = at.groupBy("t").agg(F.min_by(F.struct("head", "n", "root", "every", "some"), F.xxhash64("head", F.lit(turn))).alias("m"))
-            middle = middle.select("t", *[F.col(f"m.{c}").alias(f"{c}2") for c in ("head", "n", "root", "every", "some")])
-            on = (F.col("root") != F.col("root2")) & _compatible(percent) & _close(percent)
-            pairs = at.join(broadcast_if_small(middle, count), "t").where(on).select(*_ordered("head", "head2")).distinct()
+            middle = at.groupBy("t").agg(F.min_by(F.struct("head", "n", "root"), F.xxhash64("head", F.lit(turn))).alias("m"))
+            middle = middle.select("t", F.col("m.head").alias("head2"), F.col("m.n").alias("n2"), F.col("m.root").alias("root2"))
+            pairs = at.join(broadcast_if_small(middle, count), "t").where((F.col("root") != F.col("root2")) & _compatible(percent)).select(*_ordered("head", "head2")).distinct()
         else:
-            pairs = _expanded(_group_pairs(at, percent), rooted, percent)
+            # bitmaps are wide: they are joined to what is still open, and never broadcast
+            bits = materialize(_bits(rooted.join(at.select("group", "root").distinct(), ["group", "root"], "left_semi")), "jaccard-bits")
+            pairs = _expanded(_group_pairs(at.join(bits, ["group", "root"]), percent), rooted, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = materialize(pairs, "jaccard-tried")
@@ -213,13 +214,13 @@ def components(found: DataFrame, percent: int) -> DataFrame:
     return roots
 
 
-def _parts(rooted: DataFrame) -> DataFrame:
-    """``group, root, head, every, some``: of a group's members in one component the first, the bits that all have and those that any has."""
-    words = rooted.select("group", "root", "node", F.posexplode("bits").alias("at", "word")).groupBy("group", "root", "at")
-    words = words.agg(F.min("node").alias("head"), F.bit_and("word").alias("every"), F.bit_or("word").alias("some"))
+def _bits(rooted: DataFrame) -> DataFrame:
+    """``group, root, every, some``: the bits that all of a group's members in one component have, and those that any has."""
+    words = rooted.select("group", "root", F.posexplode("bits").alias("at", "word")).groupBy("group", "root", "at")
+    words = words.agg(F.bit_and("word").alias("every"), F.bit_or("word").alias("some"))
     # members of a group have sets of one size, so their bitmaps have as many words
-    listed = words.groupBy("group", "root").agg(F.min("head").alias("head"), F.array_sort(F.collect_list(F.struct("at", "every", "some"))).alias("w"))
-    return listed.select("group", "root", "head", F.col("w.every").alias("every"), F.col("w.some").alias("some"))
+    listed = words.groupBy("group", "root").agg(F.array_sort(F.collect_list(F.struct("at", "every", "some"))).alias("w"))
+    return listed.select("group", "root", F.col("w.every").alias("every"), F.col("w.some").alias("some"))
 
 
 def _group_pairs(at: DataFrame, percent: int) -> DataFrame:
