@@ -92,7 +92,7 @@ def _prices(v):
     return v.lineitem.select(F.array(F.col("l_extendedprice").cast("double") / 1000.0, F.col("l_quantity").cast("double")).alias("v"))
 
 
-@query("JOIN9_metric_tree", _SPACE.format("select p_partkey as id, cast(p_retailprice as double) / 10e0 as a, cast(p_size as double) as b from part", 3))
+@query("JOIN9_metric_tree", "with r as (select cast(l_extendedprice as double) / 1000e0 as a, cast(l_quantity as double) as b from lineitem), t as (select p_partkey as id, cast(p_retailprice as double) / 10e0 as a, cast(p_size as double) as b from part) select id, round(list_avg(min(sqrt((t.a - r.a) * (t.a - r.a) + (t.b - r.b) * (t.b - r.b)), 3)), 5) as distance from t cross join r group by id")
 def join9c(v):
     """The three nearest of all line items for each part: a reference beyond the broadcast bound from some 20 000 rows on."""
     t = v.part.select(F.col("p_partkey").alias("id"), F.array(F.col("p_retailprice").cast("double") / 10.0, F.col("p_size").cast("double")).alias("v"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from florascope.functions import scalars as sc
 from florascope.operators import order, store
+from florascope.operators.session import ensure_checkpoint_dir
+from florascope.sources.tables import Tables
 
 from .catalog import query
 
@@ -149,6 +153,25 @@ def snk1(v):
     return store.append_fill_once(old, _delta(v), KEY, ["issues_csv"]).select(*KEY, "issues_csv", "inserted")
 
 
+@query("SNK5_committed_versions", f"""with o as (select taxon_key, source, record_id, issues_csv from occ), d as ({DELTA}),
+ m as (select coalesce(o.taxon_key, d.taxon_key) as taxon_key, coalesce(o.issues_csv, d.issues_csv) as issues_csv from o full join d using (source, record_id)),
+ u as (select 1 as version, taxon_key, issues_csv from o union all select 2, taxon_key, issues_csv from m union all select 3, taxon_key, issues_csv from m where taxon_key <> {TAXON})
+select version, count(*) as n, count(issues_csv) as with_issues, count(*) filter (issues_csv = 'late') as late, cast(sum(taxon_key) as bigint) as taxa from u group by version""")
+def snk5b(v):
+    """A stored table through its commits: created, appended to with a filled column, one taxon deleted; each version read back."""
+    ensure_checkpoint_dir(v.spark)
+    tables = Tables(v.spark, f"{v.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables-{uuid.uuid4().hex}")
+    tables.create("occurrences", v.occ.select("taxon_key", "source", "record_id", "longitude", "latitude", "event_date", "issues_csv"), KEY, by=["taxon_key"])
+    tables.append_fill_once("occurrences", _delta(v), ["issues_csv"])
+    tables.delete("taxon_key", TAXON)
+    out = None
+    for version in (1, 2, 3):
+        d = tables.read("occurrences", version)
+        n = d.agg(F.lit(version).alias("version"), F.count("*").alias("n"), F.count("issues_csv").alias("with_issues"), F.count_if(F.col("issues_csv") == "late").alias("late"), F.sum(F.col("taxon_key").cast("long")).alias("taxa"))
+        out = n if out is None else out.unionAll(n)
+    return out
+
+
 @query("SNK2_append_ignore", f"with d as ({DELTA}) select source, record_id from occ union select source, record_id from d")
 def snk2(v):
     return store.append_ignore(v.occ.select(*KEY), _delta(v).select(*KEY), KEY)

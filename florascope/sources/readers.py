@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -144,13 +144,22 @@ def quadrants(points: DataFrame, most: int, levels: int = 30) -> DataFrame:
 
 
 class PagedSource(DataSource):
-    """``spark.read.format("paged")``: result pages of a search, one partition for each range of offsets.
+    """``spark.read.format("paged")``: result pages of a search, one partition for each range of offsets of a slice.
 
     Options: ``url`` with ``{offset}`` and ``{limit}`` (http, https or file),
-    ``total``, ``page`` (300) and ``window`` (9900, the last offset a server
-    answers). A page is JSON with a list under ``results``; rows are its items
-    as JSON text. Failed calls are repeated with growing pauses; client errors
-    are not.
+    ``page`` (300) and ``window`` (9900, the last offset a server answers).
+    Without slices, ``total`` is the number of results; one beyond the window is
+    an error, since the rest could not be read. With ``count_url`` both addresses
+    also have ``{west}``, ``{south}``, ``{east}`` and ``{north}``: boxes with more
+    results than the window are halved along their longer side until each fits,
+    down to ``least`` degrees (0.0001), where more than the window is an error.
+    ``max_records`` reads of each slice a share in proportion to its results,
+    rounded up. Ends of boxes belong to both sides: see ``sliced_search``.
+
+    A page is JSON with a list under ``results``, a count JSON with ``count``;
+    rows are the items as JSON text. Failed calls are repeated with growing
+    pauses, or after the pause that the server names; client errors are not.
+    ``pause`` seconds lie between the calls of one task.
     """
 
     @classmethod
@@ -158,37 +167,109 @@ class PagedSource(DataSource):
         return "paged"
 
     def schema(self) -> str:
-        return "offset long, item string"
+        return "slice int, offset long, item string"
 
     def reader(self, schema) -> DataSourceReader:
         return PagedReader(self.options)
 
 
+Box = tuple[float, float, float, float]
+
+
+def halves(box: Box) -> tuple[Box, Box]:
+    """A box cut in two across its longer side."""
+    west, south, east, north = box
+    if east - west >= north - south:
+        middle = (west + east) / 2
+        return (west, south, middle, north), (middle, south, east, north)
+    middle = (south + north) / 2
+    return (west, south, east, middle), (west, middle, east, north)
+
+
+def slices(count: Callable[[Box], int], window: int, least: float, box: Box = (-180.0, -90.0, 180.0, 90.0)) -> list[tuple[Box, int]]:
+    """Boxes of at most ``window`` results with their counts; boxes without results are left out."""
+    todo, out = [box], []
+    while todo:
+        box = todo.pop()
+        n = count(box)
+        if n > window:
+            if max(box[2] - box[0], box[3] - box[1]) < 2 * least:
+                raise ValueError(f"{n} results lie in {box}, more than the {window} that can be read")
+            todo += reversed(halves(box))
+        elif n:
+            out.append((box, n))
+    return out
+
+
+def quotas(counts: list[int], most: int | None) -> list[int]:
+    """Rows to read of each slice: all, or a share of ``most`` in proportion, rounded up."""
+    total = sum(counts)
+    return list(counts) if most is None or total <= most else [-(-most * n // total) for n in counts]
+
+
+def fetch(url: str, attempts: int, patience: float = 120.0) -> dict:
+    """JSON from an address. Server errors and throttling are tried again, after the named pause if there is one."""
+    import json
+    import time
+    import urllib.error
+    import urllib.request
+
+    for attempt in range(attempts):
+        try:
+            with urllib.request.urlopen(url, timeout=60) as r:
+                return json.load(r)
+        except urllib.error.HTTPError as e:
+            if e.code < 500 and e.code != 429 or attempt == attempts - 1:
+                raise
+            named = e.headers.get("Retry-After", "")
+            time.sleep(min(patience, float(named) if named.replace(".", "", 1).isdigit() else 5.0 * 2**attempt if e.code == 429 else 2.0**attempt))
+        except urllib.error.URLError:
+            if attempt == attempts - 1:
+                raise
+            time.sleep(min(patience, 2.0**attempt))
+    raise ValueError("no attempts")
+
+
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.url, self.page = options["url"], int(options.get("page", 300))
-        self.total = min(int(options["total"]), int(options.get("window", 9900)))
-        self.attempts = int(options.get("attempts", 4))
+        self.url, self.page, self.window = options["url"], int(options.get("page", 300)), int(options.get("window", 9900))
+        self.attempts, self.pause = int(options.get("attempts", 4)), float(options.get("pause", 0))
+        self.count_url, self.least = options.get("count_url"), float(options.get("least", 1e-4))
+        self.most = int(options["max_records"]) if "max_records" in options else None
+        self.total = int(options.get("total", 0))
+
+    def _count(self, box: Box) -> int:
+        return int(fetch(self.count_url.format(**dict(zip(("west", "south", "east", "north"), box, strict=True))), self.attempts)["count"])
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(o) for o in range(0, self.total, self.page)]
+        if self.count_url:
+            found = slices(self._count, self.window, self.least)
+            cut = [(dict(zip(("west", "south", "east", "north"), box, strict=True)), n) for (box, _), n in zip(found, quotas([n for _, n in found], self.most), strict=True)]
+        elif self.total > self.window:
+            raise ValueError(f"{self.total} results, more than the {self.window} that can be read: give count_url to read them by slices")
+        else:
+            cut = [({}, n) for n in quotas([self.total], self.most)]
+        return [InputPartition((k, box, offset, min(self.page, n - offset))) for k, (box, n) in enumerate(cut) for offset in range(0, n, self.page)] or [InputPartition((0, {}, 0, 0))]
 
     def read(self, partition: InputPartition):
         import json
         import time
-        import urllib.error
-        import urllib.request
-
-        limit = min(self.page, self.total - partition.value)
-        url = self.url.format(offset=partition.value, limit=limit)
-        for attempt in range(self.attempts):
-            try:
-                with urllib.request.urlopen(url, timeout=60) as r:
-                    items = json.load(r)["results"]
-                break
-            except urllib.error.HTTPError as e:
-                if e.code < 500 and e.code != 429 or attempt == self.attempts - 1:
-                    raise
-                time.sleep(min(120, 5 * 2**attempt) if e.code == 429 else 2**attempt)
-        for i, item in enumerate(items):
-            yield partition.value + i, json.dumps(item)
+
+        nth, box, offset, limit = partition.value
+        if limit:
+            time.sleep(self.pause)
+            for i, item in enumerate(fetch(self.url.format(offset=offset, limit=limit, **box), self.attempts)["results"][:limit]):
+                yield nth, offset + i, json.dumps(item)
+
+
+def sliced_search(spark: SparkSession, url: str, count_url: str, id_path: str = "$.key", max_records: int | None = None, **options: object) -> DataFrame:
+    """``id, item``: all results of a search over the globe, each once, however many there are.
+
+    What lies on the common side of two slices comes with both and is returned
+    once, by its id. With ``max_records`` about so many are returned, spread over
+    the slices like the results are.
+    """
+    spark.dataSource.register(PagedSource)
+    given = {k: str(x) for k, x in options.items()} | ({"max_records": str(max_records)} if max_records is not None else {})
+    d = spark.read.format("paged").option("url", url).option("count_url", count_url).options(**given).load()
+    return d.select(F.get_json_object("item", id_path).alias("id"), "item").groupBy("id").agg(F.min("item").alias("item"))

@@ -30,7 +30,7 @@ def ingest(stream: DataFrame, store: str, state: str, checkpoint: str):
     """
     spark = stream.sparkSession
     # of rows without a time none is the earliest
-    seen = first_deliveries(stream, KEY, ["ingested_ts"])
+    seen = first_deliveries(stream, KEY, "ingested_ts")
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()

@@ -9,10 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -20,6 +19,8 @@ from pyspark.sql.types import StructType
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
 
 @contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
@@ -35,42 +36,48 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
 class FirstDelivery(StatefulProcessor):
     """The first row of a key, ever, and how many rows of it each batch brings.
 
-    The state of a key is one number, so a store of any size costs a few bytes a key.
+    A row is ``key, columns of the stream..., digest``. The state of a key is one
+    number, so a store of any size costs a few bytes a key.
     """
 
-    def __init__(self, columns: list[str], order: list[str]) -> None:
-        self.columns, self.order = columns, [*order, "_tie"]  # the first of the order is a time
+    def __init__(self, columns: list[str], time: int) -> None:
+        self.columns, self.time = columns, time  # where the time stands by which rows are ordered
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "n long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        best, n, latest = None, 0, pd.NaT
-        for part in rows:
-            if len(part):
-                part = part.set_axis([*self.columns, "_tie"], axis=1)  # Spark renames what is no identifier
-                n += len(part)
-                latest = max([t for t in (latest, part[self.order[0]].max()) if not pd.isna(t)], default=pd.NaT)
-                both = part if best is None else pd.concat([best, part])
-                best = both.sort_values(self.order, kind="stable", na_position="last").iloc[:1]
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        best, n, latest = None, 0, None
+        for row in rows:
+            n += 1
+            rank = (row[self.time] is None, row[self.time] or datetime.min, row[-1])
+            if best is None or rank < best[0]:
+                best = (rank, row)
+            if row[self.time] is not None and (latest is None or row[self.time] > latest):
+                latest = row[self.time]
         if best is not None:
             known = self.seen.exists()
             self.seen.update(((self.seen.get()[0] if known else 0) + n,))
-            yield best[self.columns].assign(_delivered=n, _fresh=not known, _latest=latest)
+            yield Row(**dict(zip(self.columns, best[1][1:-1], strict=True)), _delivered=n, _fresh=not known, _latest=latest)
 
     def close(self) -> None:
         pass
 
 
-def first_deliveries(stream: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """A row for each key of a batch, its first by ``order``, with ``_delivered`` (rows of the key in it), ``_fresh`` (no earlier batch had the key) and ``_latest``.
+def _text_key(columns: list[str]) -> Column:
+    """A key as one text that is never null: state keys with nulls are not reliable."""
+    return F.to_json(F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(columns)]), {"ignoreNullFields": "false"})
+
+
+def first_deliveries(stream: DataFrame, key: list[str], time: str) -> DataFrame:
+    """A row for each key of a batch, its first by ``time``, with ``_delivered`` (rows of the key in it), ``_fresh`` (no earlier batch had the key) and ``_latest`` (time).
 
-    ``order`` begins with a time, whose largest is ``_latest``. Of equally early
-    rows the one with the smallest digest is the first; rows without a time come last.
+    Null keys are keys like others. Of equally early rows the one with the
+    smallest digest is the first; rows without a time come last.
     """
-    schema = StructType(list(stream.schema.fields)).add("_delivered", "long").add("_fresh", "boolean").add("_latest", stream.schema[order[0]].dataType)
-    tied = stream.withColumn("_tie", F.xxhash64(*sorted(stream.columns)))
-    return tied.groupBy(*key).transformWithStateInPandas(FirstDelivery(stream.columns, order), schema, "Update", "None")
+    schema = StructType(list(stream.schema.fields)).add("_delivered", "long").add("_fresh", "boolean").add("_latest", stream.schema[time].dataType)
+    rows = stream.select(_text_key(key).alias("key_text"), *stream.columns, F.xxhash64(*sorted(stream.columns)).alias("row_digest"))
+    return rows.groupBy("key_text").transformWithState(FirstDelivery(stream.columns, 1 + stream.columns.index(time)), schema, "Update", "None")
 
 
 class Changes(StatefulProcessor):
@@ -100,57 +107,58 @@ class Changes(StatefulProcessor):
         out = [("keepalive", t) for t in range(first, min(until, end), self.keepalive)]
         return out + ([("failed", end)] if end < until else [])
 
-    def _emit(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        if rows:
-            kinds, times, ids, payloads = zip(*rows, strict=True)
-            yield pd.DataFrame({"key": key[0], "kind": kinds, "at": pd.to_datetime(list(times), unit="ms"), "id": pd.array(ids, dtype="Int64"), "payload": pd.Series(payloads, dtype="object")})
+    def _row(self, key: tuple, kind: str, at: int, id_: int | None, payload: str) -> Row:
+        return Row(key=key[0], kind=kind, at=EPOCH + timedelta(milliseconds=at), id=id_, payload=payload)
 
     def _set_timer(self, at: int, emitted: int, failed: bool) -> None:
         for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
+            self.handle.deleteTimer(t)
         if not failed:
-            self.handle.registerTimer(min(at + ((emitted - at) // self.keepalive + 1) * self.keepalive, at + self.timeout))
+            self.handle.registerTimer(self._next(at, emitted))
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        parts = [p for p in rows if len(p)]
-        if not parts:
-            return
-        batch = pd.concat(parts).sort_values(["ts", "id"], kind="stable")  # one key's rows of one batch
+    def _next(self, at: int, emitted: int) -> int:
+        return min(at + ((emitted - at) // self.keepalive + 1) * self.keepalive, at + self.timeout)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        # one key's rows of one batch
+        batch = sorted(((r["ms"], r["id"] is None, r["id"] or 0, r["payload"], r["id"]) for r in rows))
         at, payload, emitted, failed = self.last.get() if self.last.exists() else (None, None, 0, False)
-        out: list[tuple] = []
-        for t, i, p in zip((batch["ts"].astype("datetime64[ms]").astype("int64")).tolist(), batch["id"].tolist(), batch["payload"].tolist(), strict=True):
+        for t, _, _, p, i in batch:
             if at is not None and t < at:
-                out.append(("late", t, i, p))
+                yield self._row(key, "late", t, i, p)
                 continue
             if at is not None:
-                out += [(kind, due, None, payload) for kind, due in self._due(at, emitted, failed, t)]
+                for kind, due in self._due(at, emitted, failed, t):
+                    yield self._row(key, kind, due, None, payload)
             if at is None or p != payload:
-                out.append(("change", t, i, p))
+                yield self._row(key, "change", t, i, p)
             at, payload, emitted, failed = t, p, t, False
-        self.last.update((at, payload, emitted, failed))
-        self._set_timer(at, emitted, failed)
-        yield from self._emit(key, out)
+        if batch:
+            self.last.update((at, payload, emitted, failed))
+            self._set_timer(at, emitted, failed)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
         at, payload, emitted, failed = self.last.get()
         due = self._due(at, emitted, failed, timerValues.getCurrentWatermarkInMs() + 1)
         if due:
             emitted, failed = due[-1][1], due[-1][0] == "failed"
             self.last.update((at, payload, emitted, failed))
         if not failed:
-            self.handle.registerTimer(min(at + ((emitted - at) // self.keepalive + 1) * self.keepalive, at + self.timeout))
-        yield from self._emit(key, [(kind, t, None, payload) for kind, t in due])
+            self.handle.registerTimer(self._next(at, emitted))
+        for kind, t in due:
+            yield self._row(key, kind, t, None, payload)
 
     def close(self) -> None:
         pass
 
 
 def changes(stream: DataFrame, key: str, ts: str, id_col: str, payload: Column, keepalive: timedelta, timeout: timedelta, late: str = "1 hour") -> DataFrame:
-    """``key, kind, at, id, payload``: changes, keepalives, failures and late rows of a stream (see ``Changes``). Null payloads are empty texts."""
-    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.col(id_col).cast("long").alias("id"), F.coalesce(payload, F.lit("")).alias("payload"))
+    """``key, kind, at, id, payload``: changes, keepalives, failures and late rows of a stream (see ``Changes``). Null keys and payloads are empty texts; rows without a time are left out."""
+    when = F.col(ts).cast("timestamp")
+    rows = stream.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), when.alias("ts"), F.unix_millis(when).alias("ms"), F.col(id_col).cast("long").alias("id"), F.coalesce(payload, F.lit("")).alias("payload"))
     step, end = (int(d / timedelta(milliseconds=1)) for d in (keepalive, timeout))
     out = "key string, kind string, at timestamp, id long, payload string"
-    return rows.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(Changes(step, end), out, "Append", "EventTime")
+    return rows.where("ts IS NOT NULL").withWatermark("ts", late).groupBy("key").transformWithState(Changes(step, end), out, "Append", "EventTime")
 
 
 def windows(stream: DataFrame, ts: str, late: str, length: str, by: list[str], totals: dict[str, Column]) -> DataFrame:
