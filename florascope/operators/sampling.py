@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from florascope.functions.geo import hav_km
+from florascope.functions.geo import EARTH_KM, hav_km
 
-from .order import quantiles
+from .order import bucketed, quantiles, running
 from .session import cut
-from .spatial import XY, _sides
+from .spatial import XY
 from .stats import covariance
 
 
@@ -44,29 +47,31 @@ def weighted_without_replacement(df: DataFrame, id_col: str, weight: str, n: int
     return df.where(F.col(weight) > 0).orderBy(-F.ln(uniform(F.col(id_col), seed)) / F.col(weight), id_col).limit(n)
 
 
-def weighted_with_replacement(df: DataFrame, id_col: str, weight: str, n: int, seed: int, buckets: int = 256) -> DataFrame:
-    """``n`` draws in proportion to the weights, numbered by ``draw``.
+def weighted_with_replacement(df: DataFrame, id_col: str, weight: str, n: int, seed: int) -> DataFrame:
+    """``n`` draws in proportion to the weights, numbered by ``draw``; ids are numbers, each once.
 
-    Rows are put into hash buckets; a draw first finds its bucket among the
-    buckets' cumulative weights, then its row within the bucket.
+    In the order of their ids rows divide the total weight into intervals, and a
+    draw takes the row in whose interval (start, end] its seeded number falls.
+    Rows and draws are merged by place: range buckets, and in each one pass that
+    carries the last row on, so the work is rows plus draws. Rounding loses no
+    draw: one past the last end takes the last row.
     """
-    spark = df.sparkSession
-    d = df.where(F.col(weight) > 0).withColumn("_b", F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int"))
-    within = Window.partitionBy("_b").orderBy(id_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("_hi", F.sum(weight).over(within))
-    sums = d.groupBy("_b").agg(F.max("_hi").alias("_w"))  # a row for each bucket
-    order = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = sums.withColumn("_end", F.sum("_w").over(order)).withColumn("_all", F.sum("_w").over(Window.partitionBy()))
-    draws = spark.range(n).withColumnRenamed("id", "draw").withColumn("_u", uniform(F.col("draw"), seed))
-    # intervals end where the next begins, so rounding loses no draw: (start, end], the last one open to the right
-    sums = sums.withColumns({"_start": F.lag("_end", 1, 0.0).over(Window.orderBy("_b")), "_last": F.lead("_b").over(Window.orderBy("_b")).isNull()})  # a row for each bucket
-    x = F.col("_u") * F.col("_all")
-    hit = draws.join(F.broadcast(sums), (x > F.col("_start")) & ((x <= F.col("_end")) | F.col("_last")))
-    hit = hit.select("draw", "_b", (x - F.col("_start")).alias("_at"))
-    bounds = Window.partitionBy("_b").orderBy(id_col)
-    d = d.withColumns({"_lo": F.lag("_hi", 1, -1.0).over(bounds), "_end_row": F.lead("_hi").over(bounds).isNull()})
-    # within a bucket draws meet rows by range; both sides are a bucket's share
-    return hit.join(d, "_b").where((F.col("_at") > F.col("_lo")) & ((F.col("_at") <= F.col("_hi")) | F.col("_end_row"))).drop("_b", "_at", "_lo", "_hi", "_end_row")
+    rows = df.where(F.col(weight) > 0)
+    placed = cut(running(rows, id_col, {"_start": F.col(weight)}))
+    total = placed.agg(F.sum(weight).alias("_all"))
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), uniform(F.col("id"), seed).alias("_u")).crossJoin(F.broadcast(total))  # one row
+    # a row begins just behind its start: at equal places draws come first
+    merged = placed.select(F.col("_start").cast("double").alias("_at"), F.lit(1).alias("_kind"), F.struct(*[F.col(c) for c in df.columns]).alias("_row"), F.lit(None).cast("long").alias("draw"))
+    merged = merged.unionAll(draws.select((F.col("_u") * F.col("_all")).cast("double"), F.lit(0), F.lit(None).cast(merged.schema["_row"].dataType), "draw"))
+    bucket = bucketed(cut(merged), "_at")
+    order = [F.col("_at"), F.col("_kind"), F.col(f"_row.{id_col}")]
+    # the last row of each bucket goes on to the next: a row for each bucket
+    ends = bucket.where("_kind = 1").groupBy("_bucket").agg(F.max_by("_row", F.struct("_at", f"_row.{id_col}")).alias("_end"))
+    ends = bucket.select("_bucket").distinct().join(ends, "_bucket", "left")
+    before = ends.select("_bucket", F.last("_end", ignorenulls=True).over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    within = F.last("_row", ignorenulls=True).over(Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    hit = bucket.withColumn("_hit", within).where("_kind = 0").join(F.broadcast(before), "_bucket")
+    return hit.select("draw", F.coalesce("_hit", "_before").alias("_r")).select("draw", "_r.*")
 
 
 def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
@@ -110,31 +115,68 @@ def autocorrelation_ranges(df: DataFrame, id_col: str, values: list[str], least:
     return df.sparkSession.createDataFrame([*found, (None, float(np.median([r for _, r in found])))], "predictor string, range_km double")
 
 
+def _thin_cell(km: float) -> tuple[float, Callable[[Column], Column]]:
+    """Cells in which no two points are ``km`` apart: the height of a band in degrees, and the number of cells around a band."""
+    height = min(180.0, math.degrees(0.49 * km / EARTH_KM))
+
+    def around(band: Column) -> Column:
+        low, high = band * height - 90.0, band * height - 90.0 + height
+        nearest = F.when((low <= 0) & (high >= 0), F.lit(0.0)).otherwise(F.least(F.abs(low), F.abs(high)))
+        return F.greatest(F.ceil(2 * math.pi * EARTH_KM * F.cos(F.radians(nearest)) / (0.49 * km)), F.lit(1)).cast("long")
+
+    return height, around
+
+
+def _own_cell(km: float) -> Column:
+    height, around = _thin_cell(km)
+    band = F.least(F.floor((F.col(XY[1]) + 90.0) / height), F.lit(math.ceil(180.0 / height) - 1)).cast("long")
+    return F.struct(band.alias("band"), F.pmod(F.floor((F.col(XY[0]) + 180.0) / 360.0 * around(band)).cast("long"), around(band)).alias("x"))
+
+
+def _reached_cells(km: float) -> Column:
+    """The cells that a circle of ``km`` around a point can touch."""
+    height, around = _thin_cell(km)
+    lon, lat, reach = F.col(XY[0]), F.col(XY[1]), math.degrees(km / EARTH_KM) * 1.000001
+    ratio = F.sin(F.lit(min(km / EARTH_KM, math.pi / 2))) / F.cos(F.radians(F.least(F.abs(lat), F.lit(89.999999))))
+    # all round once the circle holds a pole
+    wide = F.when(F.abs(lat) + reach >= 89.9, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * 1.000001)
+    last = F.lit(math.ceil(180.0 / height) - 1)
+    bands = F.sequence(F.greatest(F.floor((lat - reach + 90.0) / height), F.lit(0)).cast("long"), F.least(F.floor((lat + reach + 90.0) / height), last).cast("long"))
+
+    def cells(band: Column) -> Column:
+        n = around(band)
+        first, end = (F.floor((lon + side * wide + 180.0) / 360.0 * n).cast("long") for side in (-1, 1))
+        xs = F.when(end - first + 1 >= n, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.transform(F.sequence(first, end), lambda x: F.pmod(x, n)))
+        return F.transform(xs, lambda x: F.struct(band.alias("band"), x.alias("x")))
+
+    return F.flatten(F.transform(bands, cells))
+
+
 def distance_thin(df: DataFrame, id_col: str, km: float, seed: int) -> DataFrame:
-    """Rows such that no two kept ones are under ``km`` apart: greedy in seeded order.
+    """Rows such that no two kept ones are under ``km`` apart: greedy in seeded order; rows without coordinates are kept.
 
-    In parallel: keep every undecided point that comes before all its undecided
-    neighbours, drop the neighbours of kept points, repeat until none is left: the
-    first of the undecided ones is always decided. The neighbour list is made once;
-    each round is joins on ids, cut by a checkpoint.
+    No pair of points is ever listed. Points fall into cells narrower than
+    ``km``, which keep one point at most. In each round the first undecided point
+    of a cell is kept if it comes before the first ones of all cells that its
+    circle can touch, and undecided points meet the kept ones that reach their
+    cell, a bounded number. The first of all undecided points is always decided.
     """
-    points = df.withColumn("_o", seeded(F.col(id_col), seed)).select(F.col(id_col).alias("id"), "_o", *XY)
-    left, right = _sides(points, points, km, ["id", "_o"])
-    near = left.join(right, (left["by"] == right["by"]) & (left["bx"] == right["bx"]) & (left["id"] != right["_id"]))
-    near = near.where(hav_km(F.col(XY[0]), F.col(XY[1]), F.col("_lon"), F.col("_lat")) < km)
-    before = (F.col("__o") < F.col("_o")) | ((F.col("__o") == F.col("_o")) & (F.col("_id") < F.col("id")))
-    edges = near.select("id", F.col("_id").alias("other"), before.alias("after_other"))
-    edges = cut(edges)
-    todo, kept = cut(points.select("id").distinct()), None
+    points = df.where(F.col(XY[0]).isNotNull() & F.col(XY[1]).isNotNull()).select(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(c) for c in XY])
+    todo = cut(points.select("id", *XY, seeded(F.col("id"), seed).alias("o"), _own_cell(km).alias("cell")))
+    kept = None
     while not todo.isEmpty():
-        waits = edges.where("after_other").join(todo.withColumnRenamed("id", "other"), "other", "left_semi").select("id").distinct()
-        keep = cut(todo.join(waits, "id", "left_anti"))
-        gone = edges.join(keep, "id", "left_semi").select(F.col("other").alias("id")).distinct()
-        kept = keep if kept is None else kept.unionAll(keep)
-        todo = cut(todo.join(keep, "id", "left_anti").join(gone, "id", "left_anti"))
+        first = cut(todo.groupBy("cell").agg(F.min(F.struct("o", "id", *XY)).alias("p")).select("cell", "p.*"))
+        reached = first.select("o", "id", *XY, F.explode(_reached_cells(km)).alias("cell"))
+        rivals = reached.join(first.select("cell", F.struct("o", "id").alias("rival")), "cell").groupBy("id").agg(F.min(F.struct("o", "id")).alias("own"), F.min("rival").alias("rival"))
+        keep = cut(first.join(rivals.where("own <= rival").select("id"), "id", "left_semi").select("id", *XY))
+        kept = keep.select("id") if kept is None else kept.unionAll(keep.select("id"))
+        near = keep.select(F.col("id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in XY], F.explode(_reached_cells(km)).alias("_cell"))
+        gone = (F.col("cell") == F.col("_cell")) & ((F.col("id") == F.col("_id")) | (hav_km(F.col(XY[0]), F.col(XY[1]), F.col(f"_{XY[0]}"), F.col(f"_{XY[1]}")) < km))
+        todo = cut(todo.join(near, gone, "left_anti"))
+    bare = F.col(XY[0]).isNull() | F.col(XY[1]).isNull()
     if kept is None:
-        return df.limit(0)
-    return df.join(kept.select(F.col("id").alias(id_col)), id_col, "left_semi")
+        return df.where(bare)
+    return df.where(~bare).join(kept.select(F.col("id").alias(id_col)), id_col, "left_semi").unionByName(df.where(bare))
 
 
 def environmental_thin(df: DataFrame, columns: list[str], id_col: str, bins: int = 20) -> DataFrame:

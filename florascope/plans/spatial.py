@@ -236,7 +236,8 @@ def smp1(v):
     return sampling.weighted_without_replacement(c, "id", "w", 2000, seed=11).select("row", "col")
 
 
-@query("SMP2_effort_weighted_with_replacement")
+@query("SMP2_effort_weighted_with_replacement", """with c as (select px_row * 1000 + px_col as id, px_row, px_col, cast(cnt as double) as w from eff where cnt > 0), h as (select *, sum(w) over (order by id rows unbounded preceding) as fin, sum(w) over () as total from c),
+ d as (select draw, (cast('0x' || substr(md5(concat(draw, ':13')), 1, 13) as bigint) + 0.5e0) / 4503599627370496e0 * (select max(total) from h) as x from (select range as draw from range(2000)) r) select draw, px_row, px_col from d asof join h on d.x <= h.fin""")
 def smp2(v):
     c = v.eff.select((F.col("px_row") * 1000 + F.col("px_col")).cast("long").alias("id"), "px_row", "px_col", F.col("cnt").cast("double").alias("w"))
     return sampling.weighted_with_replacement(c, "id", "w", 2000, seed=13).select("draw", "px_row", "px_col")

@@ -59,6 +59,22 @@ def test_thinning_keeps_distance_and_is_the_greedy_set(points):
     assert kept == {a[0] for a in greedy}
 
 
+def test_thinning_of_a_crowd_wraps_and_lists_no_pairs(spark):
+    """3000 points within a few metres, others around a pole and the date line; repeated places; the greedy set all the same."""
+    rng = np.random.default_rng(6)
+    at = [(10 + a, 50 + b) for a, b in rng.normal(scale=1e-4, size=(3000, 2)).round(6)]
+    at += [(x, 89.9) for x in range(-180, 180, 15)] + [(x, 0.01 * (i % 3)) for i, x in enumerate([-179.99, 179.99, -180.0, 180.0, 179.9])] + [(0.0, -90.0), (120.0, -90.0), (0.0, 90.0)]
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)] + [(9999, None, 1.0)], "record_id long, longitude double, latitude double")
+    for km in (5.0, 30.0):
+        kept = {r[0] for r in sampling.distance_thin(df, "record_id", km, seed=1).select("record_id").collect()}
+        greedy = []
+        for i in sorted(range(len(at)), key=lambda i: hashlib.md5(f"{i}:1".encode()).hexdigest()):
+            if all(hav(at[i], at[k]) >= km for k in greedy):
+                greedy.append(i)
+        assert kept == {*greedy, 9999}
+    assert sampling.distance_thin(df.where("record_id < 0"), "record_id", 5.0, seed=1).count() == 0
+
+
 def test_quota_and_weighted_draws(spark):
     df = spark.range(1000).select(F.col("id"), (F.col("id") % 3).alias("g"), (F.col("id") % 10).cast("double").alias("w"))
     assert {r["g"]: r["n"] for r in sampling.quota(df, ["g"], "id", 100, 1).groupBy("g").agg(F.count("*").alias("n")).collect()} == {0: 34, 1: 34, 2: 34}
@@ -69,7 +85,7 @@ def test_quota_and_weighted_draws(spark):
 
 def test_draws_near_the_ends_are_not_lost(spark):
     df = spark.createDataFrame([(i, 0.1 if i % 2 else 1e-17) for i in range(50)], "id long, w double")
-    drawn = sampling.weighted_with_replacement(df, "id", "w", 3000, 4, buckets=7).toPandas()
+    drawn = sampling.weighted_with_replacement(df, "id", "w", 3000, 4).toPandas()
     assert sorted(drawn["draw"]) == list(range(3000))
 
 
