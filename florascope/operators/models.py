@@ -25,15 +25,39 @@ from .session import cut
 from .spatial import XY, _sides, nearest_km
 
 
-def standardiser(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
-    """Mean and population deviation (1 if zero) of each column."""
-    r = df.agg(*[f(c) for c in columns for f in (F.avg, F.stddev_pop)]).first()
-    return {c: (float(r[2 * i] or 0.0), float(r[2 * i + 1] or 0.0) or 1.0) for i, c in enumerate(columns)}
+#: Knots of a predictor's cubic splines, evenly from its smallest to its largest value.
+KNOTS = 5
 
 
-def features(columns: list[str], scale: dict[str, tuple[float, float]], kinds: str = "lq", knots: int = 5) -> dict[str, Column]:
-    """Linear (l), quadratic (q), product (p) and hinge (h) features of standardised predictors."""
-    z = {c: (F.col(c) - scale[c][0]) / scale[c][1] for c in columns}
+def standardiser(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float, float, float]]:
+    """Mean and population deviation (1 if zero) of each column, and its ends in those units."""
+    r = df.agg(*[f(c) for c in columns for f in (F.avg, F.stddev_pop, F.min, F.max)]).first()
+    out = {}
+    for i, c in enumerate(columns):
+        mean, dev, low, high = (float(x or 0.0) for x in r[4 * i : 4 * i + 4])
+        out[c] = (mean, dev or 1.0, (low - mean) / (dev or 1.0), (high - mean) / (dev or 1.0))
+    return out
+
+
+def _bump(v: Column, degree: int) -> Column:
+    """The cardinal B-spline on [0, degree + 1], by its recursion."""
+    if degree == 0:
+        return F.when((v >= 0) & (v < 1), F.lit(1.0)).otherwise(F.lit(0.0))
+    return (v * _bump(v, degree - 1) + (degree + 1 - v) * _bump(v - 1, degree - 1)) / float(degree)
+
+
+def splines(z: Column, low: float, high: float, knots: int = KNOTS, degree: int = 3) -> list[Column]:
+    """``knots + degree - 1`` B-spline bases between two ends; beyond them each goes on as a straight line."""
+    step = (high - low) / (knots - 1) or 1.0
+    at = F.greatest(F.least(z, F.lit(high)), F.lit(low))
+    u, over = (at - low) / step, (z - at) / step
+    places = [u - i + degree for i in range(knots + degree - 1)]
+    return [_bump(v, degree) + F.when(over != 0, over * (_bump(v, degree - 1) - _bump(v - 1, degree - 1))).otherwise(F.lit(0.0)) for v in places]
+
+
+def features(columns: list[str], scale: dict[str, tuple], kinds: str = "lq", knots: int = KNOTS, hold: dict[str, float] | None = None) -> dict[str, Column]:
+    """Linear (l), quadratic (q), product (p), hinge (h) and cubic spline (s) features of standardised predictors; ``hold`` fixes some of them."""
+    z = {c: ((F.lit(float(hold[c])) if hold and c in hold else F.col(c)) - scale[c][0]) / scale[c][1] for c in columns}
     out: dict[str, Column] = {}
     for c in columns:
         if "l" in kinds:
@@ -44,6 +68,8 @@ def features(columns: list[str], scale: dict[str, tuple[float, float]], kinds: s
             for k in range(1, knots + 1):
                 at = -2.0 + 4.0 * k / (knots + 1)
                 out[f"{c}>{k}"] = F.greatest(z[c] - at, F.lit(0.0))
+        if "s" in kinds:
+            out |= {f"{c}~{k}": b for k, b in enumerate(splines(z[c], *scale[c][2:4], knots))}
     if "p" in kinds:
         out |= {f"{a}*{b}": z[a] * z[b] for i, a in enumerate(columns) for b in columns[i + 1 :]}
     return out
@@ -149,7 +175,7 @@ def fit_maxent(df: DataFrame, columns: list[str], y: str = "y", kinds: str = "lq
 def predict(model: dict, hold: dict[str, float] | None = None) -> Column:
     """Suitability in [0, 1] as a column expression; ``hold`` fixes predictors at given values."""
     scale = model["scale"]
-    feats = _held(model, hold) if hold else features(model["columns"], scale, model["kinds"])
+    feats = features(model["columns"], scale, model["kinds"], hold=hold)
     if model["kind"] == "maxent":
         eta = sum(((f - lo) / span * float(b) for f, b, lo, span in zip(feats.values(), model["beta"], model["lo"], model["span"], strict=True)), F.lit(0.0))
         return cloglog(eta - model["log_z"] + model["entropy"])
@@ -159,24 +185,6 @@ def predict(model: dict, hold: dict[str, float] | None = None) -> Column:
     return cloglog(eta)
 
 
-def _held(model: dict, hold: dict[str, float]) -> dict[str, Column]:
-    z = {c: (F.lit((hold[c] - model["scale"][c][0]) / model["scale"][c][1]) if c in hold else (F.col(c) - model["scale"][c][0]) / model["scale"][c][1]) for c in model["columns"]}
-    flat = {c: (0.0, 1.0) for c in model["columns"]}
-    out = {}
-    for name in features(model["columns"], flat, model["kinds"]):
-        if "*" in name:
-            a, b = name.split("*")
-            out[name] = z[a] * z[b]
-        elif name.endswith("^2"):
-            out[name] = z[name[:-2]] * z[name[:-2]]
-        elif ">" in name:
-            c, k = name.split(">")
-            out[name] = F.greatest(z[c] - (-2.0 + 4.0 * int(k) / 6), F.lit(0.0))
-        else:
-            out[name] = z[name]
-    return out
-
-
 def spatial_blocks(df: DataFrame, k: int, seed: int, rounds: int = 12, anchors: DataFrame | None = None) -> DataFrame:
     """``df`` with ``fold``: nearest of ``k`` centres of ``anchors`` (``df`` itself) on the unit sphere, found by Lloyd rounds (k rows reach the driver)."""
     lon, lat = F.radians(XY[0]), F.radians(XY[1])

@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -195,35 +196,118 @@ def environmental_thin(df: DataFrame, columns: list[str], id_col: str, bins: int
     return d.groupBy(*cell).agg(F.min(id_col).alias(id_col)).select(id_col)
 
 
-def environmental_outliers(df: DataFrame, columns: list[str], least: int = 30, rounds: int = 10) -> DataFrame:
-    """``df`` with ``outlier``: squared robust Mahalanobis distance above the 99.9 % chi-square quantile.
+def chi_square_quantile(p: float, df: int) -> float:
+    """The value that a chi-square variable of ``df`` degrees stays below with probability ``p``, by halving an interval."""
 
-    Concentration steps: mean and covariance of the nearer half of the rows, by
-    aggregation, until the distances settle; then scaled to the median. The
-    quantile follows Wilson and Hilferty.
+    def below(x: float) -> float:  # the regularised lower gamma function as a series
+        a, term, n = df / 2, 1.0 / (df / 2), 0
+        total = term
+        while term > total * 1e-16:
+            n += 1
+            term *= x / 2 / (a + n)
+            total += term
+        return total * math.exp(a * math.log(x / 2) - x / 2 - math.lgamma(a)) if x > 0 else 0.0
+
+    low, high = 0.0, 1.0
+    while below(high) < p:
+        high *= 2
+    for _ in range(200):
+        low, high = (low, (low + high) / 2) if below((low + high) / 2) >= p else ((low + high) / 2, high)
+    return (low + high) / 2
+
+
+#: Robust covariance: rows of a subset, subsets, random starts in each, and candidates that each round hands on.
+SUBSET, SUBSETS, STARTS, CANDIDATES = 300, 5, 100, 10
+
+
+def _moments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return x.mean(axis=0), np.cov(x.T, bias=True).reshape(x.shape[1], -1)
+
+
+def _squares(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,jk,ik->i", x - mean, np.linalg.pinv(cov), x - mean)
+
+
+def concentrate(x: np.ndarray, mean: np.ndarray, cov: np.ndarray, steps: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Determinant, mean and covariance of the nearer half after some concentration steps."""
+    h = (len(x) + x.shape[1] + 1) // 2
+    for _ in range(steps):
+        mean, cov = _moments(x[np.argsort(_squares(x, mean, cov), kind="stable")[:h]])
+    return float(np.linalg.det(cov)), mean, cov
+
+
+def start_candidates(x: np.ndarray, seed: int) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """The best of many concentrations of one subset, each begun from a few rows of it."""
+    rng, p = np.random.default_rng(seed), x.shape[1]
+    found = [concentrate(x, *_moments(x[rng.choice(len(x), min(p + 1, len(x)), replace=False)]), 2) for _ in range(STARTS)]
+    return sorted(found, key=lambda c: c[0])[:CANDIDATES]
+
+
+def robust_covariance(df: DataFrame, id_col: str, columns: list[str], seed: int = 0, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of the half of the rows with the smallest determinant, corrected and reweighted.
+
+    Subsets of a seeded sample (SUBSETS of SUBSET rows) are each searched from
+    many starts in a task of their own; the best candidates go on over the whole
+    sample, and the best two of those over all rows, by aggregations, until their
+    determinant stays. Distances are then scaled to the chi-square median, and
+    mean and covariance taken over all rows within its 97.5 % quantile.
     """
     p = len(columns)
-    whole = df.count()
-    if whole < least:
+    x = df.dropna(subset=columns).select(F.col(id_col).alias("_id"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
+    cols = [f"_x{i}" for i in range(p)]
+    sample = seeded_sample(x, "_id", SUBSET * SUBSETS, seed).withColumn("_k", F.pmod(F.xxhash64("_id"), F.lit(SUBSETS)).cast("int"))
+    sample = cut(sample)
+
+    def search(k: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_id")
+        found = start_candidates(part[cols].to_numpy(), seed + k[0]) if len(part) > p else []
+        return pd.DataFrame({"mean": [m.tolist() for _, m, _ in found], "cov": [c.ravel().tolist() for _, _, c in found]})
+
+    # SUBSETS times CANDIDATES rows, and the bounded sample
+    begun = sample.groupBy("_k").applyInPandas(search, "mean array<double>, cov array<double>").collect()
+    whole = sample.orderBy("_id").select(*cols).toPandas().to_numpy()
+    pooled = sorted((concentrate(whole, np.array(r["mean"]), np.array(r["cov"]).reshape(p, p), 2) for r in begun), key=lambda c: c[0])[:2]
+    pooled = pooled or [(0.0, *_moments(whole))]
+
+    def squares(mean: np.ndarray, cov: np.ndarray) -> Column:
+        inverse = np.linalg.pinv(cov)
+        d = [F.col(c) - float(m) for c, m in zip(cols, mean, strict=True)]
+        return sum((d[i] * d[j] * float(inverse[i, j]) for i in range(p) for j in range(p)), F.lit(0.0))
+
+    def within(mean: np.ndarray, cov: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+        m, c, n = covariance(x.where(squares(mean, cov) <= bound), cols)
+        return np.array(m), np.array(c) * ((n - 1) / n)
+
+    n = x.count()
+    half = {"h": min(1.0, ((n + p + 1) // 2 - 1) / max(n - 1, 1))}
+    ends = []
+    for det, mean, cov in pooled:
+        for _ in range(rounds):
+            bound = quantiles(x.select(squares(mean, cov).alias("d")), "d", half).first()[0]
+            mean, cov = within(mean, cov, bound * (1 + 1e-12))
+            last, det = det, float(np.linalg.det(cov))
+            if abs(last - det) <= 1e-9 * abs(last):
+                break
+        ends.append((det, mean, cov))
+    _, mean, cov = min(ends, key=lambda c: c[0])
+    middle = quantiles(x.select(squares(mean, cov).alias("d")), "d", {"m": 0.5}).first()[0]
+    cov = cov * (middle / chi_square_quantile(0.5, p) or 1.0)
+    return within(mean, cov, chi_square_quantile(0.975, p))
+
+
+def environmental_outliers(df: DataFrame, id_col: str, columns: list[str], least: int = 30, probability: float = 0.999, seed: int = 0) -> DataFrame:
+    """``df`` with ``outlier``: squared robust distance above the chi-square quantile; false for rows with nulls, and for all if fewer than ``least`` have none."""
+    complete = df.dropna(subset=columns)
+    if complete.count() < max(least, len(columns) + 2):
         return df.withColumn("outlier", F.lit(False))
-    mean, cov, _ = covariance(df, columns)
-
-    def distance(mean: list[float], cov: list[list[float]]) -> Column:
-        inverse = np.linalg.pinv(np.array(cov))
-        x = [F.col(c) - m for c, m in zip(columns, mean, strict=True)]
-        return sum((x[i] * x[j] * float(inverse[i, j]) for i in range(p) for j in range(p)), F.lit(0.0))
-
-    last = None
-    for _ in range(rounds):
-        d = distance(mean, cov)
-        half = quantiles(df.select(d.alias("d")), "d", {"m": 0.5}).first()[0]
-        if last is not None and abs(half - last) <= 1e-6 * max(1.0, abs(last)):
-            break
-        last = half
-        mean, cov, _ = covariance(df.where(d <= half), columns)
-    chi = lambda z: p * (1 - 2 / (9 * p) + z * (2 / (9 * p)) ** 0.5) ** 3
-    scale = quantiles(df.select(distance(mean, cov).alias("d")), "d", {"m": 0.5}).first()[0] / chi(0.0)
-    return df.withColumn("outlier", F.coalesce(distance(mean, cov) / float(scale or 1.0) > chi(3.0902), F.lit(False)))
+    r = complete.agg(*[f(F.col(c).cast("double")) for c in columns for f in (F.avg, F.stddev_pop)]).first()
+    z = {c: (F.col(c) - float(r[2 * i])) / float(r[2 * i + 1] or 1.0) for i, c in enumerate(columns)}
+    scaled = complete.select(F.col(id_col).alias("_rid"), *[e.alias(f"_z{i}") for i, e in enumerate(z.values())])
+    mean, cov = robust_covariance(cut(scaled), "_rid", [f"_z{i}" for i in range(len(columns))], seed)
+    inverse = np.linalg.pinv(cov)
+    d = [e - float(m) for e, m in zip(z.values(), mean, strict=True)]
+    square = sum((d[i] * d[j] * float(inverse[i, j]) for i in range(len(d)) for j in range(len(d))), F.lit(0.0))
+    return df.withColumn("outlier", F.coalesce(square > chi_square_quantile(probability, len(columns)), F.lit(False)))
 
 
 def best_thinning(df: DataFrame, id_col: str, km: float, repetitions: int) -> DataFrame:

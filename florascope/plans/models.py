@@ -69,8 +69,8 @@ def mod2b(v):
 
 @query("MOD2_gam")
 def mod2d(v):
-    """Logistic regression on piecewise linear splines of the predictors."""
-    return _predictions(v, models.fit_glm(v.pred, COLS, kinds="lh", ridge=2.0), "gam")
+    """Ridge logistic regression on cubic splines of the predictors."""
+    return _predictions(v, models.fit_glm(v.pred, COLS, kinds="s", ridge=2.0), "gam")
 
 
 @query("MOD2_boosted_trees")
@@ -89,7 +89,7 @@ def mod3(v):
     """Members weighed by their AUC over spatial blocks."""
     d = _folds(v, 2)
     fits = {
-        "glm": lambda x: models.fit_glm(x, COLS, rounds=8), "gam": lambda x: models.fit_glm(x, COLS, kinds="lh", ridge=2.0, rounds=8),
+        "glm": lambda x: models.fit_glm(x, COLS, rounds=8), "gam": lambda x: models.fit_glm(x, COLS, kinds="s", ridge=2.0, rounds=8),
         "ppm": lambda x: models.fit_ppm(x, COLS, area=1000.0, rounds=10),
     }
     scored = [(name, models.cross_validate(d, fit, 2).agg(F.avg("auc")).first()[0]) for name, fit in fits.items()]

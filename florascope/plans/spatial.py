@@ -302,7 +302,7 @@ _dq("DQ19_spatial_isolate", f"not exists (select 1 from occ g where g.record_id
 @query("DQ18_environmental_outlier")
 def dq18(v):
     d = v.occ_cells.join(v.cells.select("row", "col", "bio1", "bio4", "bio12"), ["row", "col"])
-    return sampling.environmental_outliers(d, ["bio1", "bio4", "bio12"]).where("outlier").select(*KEY)
+    return sampling.environmental_outliers(d, "record_id", ["bio1", "bio4", "bio12"]).where("outlier").select(*KEY)
 
 
 _RUN = [t for t in quality.TESTS if t not in (*quality.BUFFERS_KM, "environmental_outlier", "spatial_isolate")]

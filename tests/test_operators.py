@@ -269,3 +269,69 @@ def test_scalars_at_their_edges(spark):
     boxes = spark.createDataFrame([(-180.0, -90.0, 180.0, 90.0), (5.0, 5.0, 6.0, 6.0)], "w double, s double, e double, n double")
     zoom = geo.zoom(F.col("w"), F.col("s"), F.col("e"), F.col("n"), pixel=1 / 60, tile_px=512, most=64, deepest=6)
     assert [r[0] for r in boxes.select(zoom).collect()] == [2, 5]
+
+
+def test_robust_outliers_withstand_masked_contamination(spark):
+    """Three rows in ten lie together far off: a single start may settle on a mixture, many starts find the majority."""
+    rng = np.random.default_rng(12)
+    good = rng.multivariate_normal([0, 0, 0], [[1, 0.8, 0.2], [0.8, 1, 0.1], [0.2, 0.1, 1]], 1400)
+    bad = rng.normal([4, -4, 3], 0.3, size=(600, 3))
+    x = np.vstack([good, bad])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)] + [(9000, None, 0.0, 0.0)], "id long, a double, b double, c double")
+    got = {r["id"] for r in sampling.environmental_outliers(df, "id", ["a", "b", "c"]).where("outlier").collect()}
+    # the same steps over all rows in numpy
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    best = min((sampling.concentrate(z, m, c, 30) for _, m, c in sampling.start_candidates(z, 1)), key=lambda c: c[0])
+    cov = best[2] * np.median(sampling._squares(z, *best[1:])) / sampling.chi_square_quantile(0.5, 3)
+    mean, cov = sampling._moments(z[sampling._squares(z, best[1], cov) <= sampling.chi_square_quantile(0.975, 3)])
+    want = set(np.flatnonzero(sampling._squares(z, mean, cov) > sampling.chi_square_quantile(0.999, 3)).tolist())
+    assert got == want and set(range(1400, 2000)) <= got and len(got) < 620
+
+
+def test_chi_square_quantiles():
+    # fixed values from tables
+    for p, df, want in ((0.5, 1, 0.454936), (0.95, 1, 3.841459), (0.95, 3, 7.814728), (0.975, 5, 12.832502), (0.999, 10, 29.588298)):
+        assert sampling.chi_square_quantile(p, df) == pytest.approx(want, abs=1e-6)
+
+
+def plain_spline(z, low, high, i, degree, order=None):
+    """B-spline ``i`` at a number, by the recursion over evenly spaced knots, with straight lines beyond the ends."""
+    h = (high - low) / 4
+    knot = lambda j: low + (j - 3) * h
+
+    def value(x, i, k):
+        if k == 0:
+            return float(knot(i) <= x < knot(i + 1))
+        return (x - knot(i)) / (k * h) * value(x, i, k - 1) + (knot(i + k + 1) - x) / (k * h) * value(x, i + 1, k - 1)
+
+    at = min(max(z, low), high)
+    slope = (value(at, i, 2) - value(at, i + 1, 2)) / h
+    return value(at, i, 3) + (z - at) * slope
+
+
+def test_spline_bases_and_fit_equal_plain_ones(spark):
+    rng = np.random.default_rng(9)
+    x = rng.uniform(-2, 3, size=400)
+    y = (rng.uniform(size=400) < 1 / (1 + np.exp(3 * np.sin(2 * x)))).astype(int)
+    df = spark.createDataFrame([(int(b), float(a)) for a, b in zip(x, y, strict=True)], "y int, x double")
+    scale = models.standardiser(df, ["x"])
+    probe = np.r_[x[:50], x.min(), x.max(), -4.0, 5.5]
+    bases = models.features(["x"], scale, "s")
+    assert len(bases) == 7
+    got = np.array(spark.createDataFrame([(float(v),) for v in probe], "x double").select(*bases.values()).toPandas())
+    z = (probe - x.mean()) / x.std()
+    low, high = (x.min() - x.mean()) / x.std(), (x.max() - x.mean()) / x.std()
+    want = np.array([[plain_spline(v, low, high, i, 3) for i in range(7)] for v in z])
+    assert np.allclose(got, want, atol=1e-9) and np.allclose(got.sum(axis=1), 1.0)
+    # the fit is the minimum of the plain ridge loss
+    model = models.fit_glm(df, ["x"], kinds="s", ridge=2.0, rounds=60, tol=1e-9)
+    f = np.c_[np.ones(400), [[plain_spline(v, low, high, i, 3) for i in range(7)] for v in (x - x.mean()) / x.std()]]
+    w = np.where(y == 1, 400 / (2 * y.sum()), 400 / (2 * (1 - y).sum()))
+    beta = np.zeros(8)
+    for _ in range(100):
+        mu = 1 / (1 + np.exp(-f @ beta))
+        beta += np.linalg.solve((f.T * (w * mu * (1 - mu))) @ f + np.diag([1e-9] + [2.0] * 7), f.T @ (w * (y - mu)) - np.r_[0, 2.0 * beta[1:]])
+    fitted = np.array([r[0] for r in df.select(models.predict(model)).collect()])
+    assert np.allclose(fitted, 1 / (1 + np.exp(-f @ beta)), atol=1e-6)
+    held = spark.createDataFrame([(0.0,)], "other double").select(models.predict(model, {"x": 1.0})).first()[0]
+    assert held == pytest.approx(spark.createDataFrame([(1.0,)], "x double").select(models.predict(model)).first()[0])
