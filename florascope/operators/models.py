@@ -9,9 +9,10 @@ projection stays inside generated code.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,20 +40,29 @@ def standardiser(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, fl
     return out
 
 
-def _bump(v: Column, degree: int) -> Column:
-    """The cardinal B-spline on [0, degree + 1], by its recursion."""
-    if degree == 0:
-        return F.when((v >= 0) & (v < 1), F.lit(1.0)).otherwise(F.lit(0.0))
-    return (v * _bump(v, degree - 1) + (degree + 1 - v) * _bump(v - 1, degree - 1)) / float(degree)
+def _bump(v: str) -> str:
+    """SQL for the cubic B-spline over the whole numbers 0 to 4: its recursion, written out for each piece."""
+    a, b, c = f"({v} - 1)", f"({v} - 2)", f"(4 - {v})"
+    return (
+        f"CASE WHEN {v} <= 0 OR {v} >= 4 THEN 0D WHEN {v} < 1 THEN {v} * {v} * {v} / 6 WHEN {v} < 2 THEN (1 + {a} * (3 + {a} * (3 - 3 * {a}))) / 6 "
+        f"WHEN {v} < 3 THEN (4 + {b} * {b} * (3 * {b} - 6)) / 6 ELSE {c} * {c} * {c} / 6 END"
+    )
 
 
-def splines(z: Column, low: float, high: float, knots: int = KNOTS, degree: int = 3) -> list[Column]:
-    """``knots + degree - 1`` B-spline bases between two ends; beyond them each goes on as a straight line."""
+def splines(z: str, low: float, high: float, knots: int = KNOTS) -> list[Column]:
+    """``knots + 2`` cubic B-spline bases of a SQL expression between two ends; beyond them each goes on as a straight line."""
     step = (high - low) / (knots - 1) or 1.0
-    at = F.greatest(F.least(z, F.lit(high)), F.lit(low))
-    u, over = (at - low) / step, (z - at) / step
-    places = [u - i + degree for i in range(knots + degree - 1)]
-    return [_bump(v, degree) + F.when(over != 0, over * (_bump(v, degree - 1) - _bump(v - 1, degree - 1))).otherwise(F.lit(0.0)) for v in places]
+    u = f"((greatest(least({z}, {high!r}D), {low!r}D) - {low!r}D) / {step!r}D)"
+    # slopes at an end: of the three bases that do not vanish there only the outer two have one
+    slope = {0: -0.5 / step, 2: 0.5 / step}
+    out = []
+    for i in range(knots + 2):
+        base = _bump(f"({u} + {3 - i}D)")
+        for end, outside, k in ((low, f"{z} < {low!r}D", i), (high, f"{z} > {high!r}D", i - knots + 1)):
+            if k in slope:
+                base += f" + CASE WHEN {outside} THEN ({z} - {end!r}D) * {slope[k]!r}D ELSE 0D END"
+        out.append(F.expr(base))
+    return out
 
 
 def features(columns: list[str], scale: dict[str, tuple], kinds: str = "lq", knots: int = KNOTS, hold: dict[str, float] | None = None) -> dict[str, Column]:
@@ -69,7 +79,9 @@ def features(columns: list[str], scale: dict[str, tuple], kinds: str = "lq", kno
                 at = -2.0 + 4.0 * k / (knots + 1)
                 out[f"{c}>{k}"] = F.greatest(z[c] - at, F.lit(0.0))
         if "s" in kinds:
-            out |= {f"{c}~{k}": b for k, b in enumerate(splines(z[c], *scale[c][2:4], knots))}
+            mean, dev, low, high = scale[c]
+            at = f"(({float(hold[c])!r}D" if hold and c in hold else f"((CAST(`{c}` AS DOUBLE)"
+            out |= {f"{c}~{k}": b for k, b in enumerate(splines(f"{at} - {mean!r}D) / {dev!r}D)", low, high, knots))}
     if "p" in kinds:
         out |= {f"{a}*{b}": z[a] * z[b] for i, a in enumerate(columns) for b in columns[i + 1 :]}
     return out
@@ -79,23 +91,30 @@ def _linear(feats: dict[str, Column], beta: np.ndarray) -> Column:
     return sum((f * float(b) for f, b in zip(feats.values(), beta[1:], strict=True)), F.lit(float(beta[0])))
 
 
-def _newton(df: DataFrame, feats: dict[str, Column], mu: Callable[[Column], Column], variance: Callable[[Column], Column], y: str, weight: Column, offset: Column, ridge: float, rounds: int, tol: float) -> dict:
+def _newton(df: DataFrame, feats: dict[str, Column], mu: Callable[[np.ndarray], np.ndarray], variance: Callable[[np.ndarray], np.ndarray], y: str, weight: Column, offset: Column, ridge: float, rounds: int, tol: float) -> dict:
+    """Ridge Newton steps; a step is one pass in which every task sums its rows' gradient and curvature, merged by an aggregation."""
     names = list(feats)
     p = len(names) + 1
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    # features are made once and kept as plain columns of the scan below the aggregation
-    base = df.select(F.col(y).cast("double").alias("_y"), weight.alias("_w"), offset.alias("_o"), F.lit(1.0).alias("_f0"), *[f.alias(f"_f{i + 1}") for i, f in enumerate(feats.values())])
+    # features are made once; a step reads them as one array
+    base = cut(df.select(F.col(y).cast("double").alias("_y"), weight.cast("double").alias("_w"), offset.cast("double").alias("_o"), F.array(F.lit(1.0), *feats.values()).alias("_f")).dropna())
     beta = np.zeros(p)
     for step in range(rounds):
-        eta = sum((F.col(f"_f{i}") * float(b) for i, b in enumerate(beta)), F.col("_o"))
-        d = base.withColumn("_mu", mu(eta)).withColumn("_v", variance(F.col("_mu")) * F.col("_w")).withColumn("_g", (F.col("_y") - F.col("_mu")) * F.col("_w"))
-        r = d.agg(*[F.sum(F.col(f"_f{i}") * F.col("_g")) for i in range(p)], *[F.sum(F.col(f"_f{i}") * F.col(f"_f{j}") * F.col("_v")) for i, j in pairs]).first()
-        grad = np.array([v or 0.0 for v in r[:p]]) - ridge * np.r_[0, beta[1:]]
-        h = np.diag(np.r_[1e-9, np.full(p - 1, ridge)])
-        for (i, j), v in zip(pairs, r[p:], strict=True):
-            h[i, j] += v or 0.0
-            if i != j:
-                h[j, i] += v or 0.0
+
+        def sums(batches: Iterator[pa.RecordBatch], beta: np.ndarray = beta) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(p + p * p)
+            for b in batches:
+                if len(b):
+                    f = np.array(b.column(3).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(b), p)
+                    seen, w, o = (b.column(k).to_numpy() for k in range(3))
+                    m = mu(f @ beta + o)
+                    total += np.r_[f.T @ ((seen - m) * w), ((f.T * (variance(m) * w)) @ f).ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["at", "v"])
+
+        # p + p * p sums reach the driver
+        r = dict(base.mapInArrow(sums, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect())
+        total = np.array([r.get(k, 0.0) for k in range(p + p * p)])
+        grad = total[:p] - ridge * np.r_[0, beta[1:]]
+        h = total[p:].reshape(p, p) + np.diag(np.r_[1e-9, np.full(p - 1, ridge)])
         move = np.linalg.lstsq(h, grad, rcond=None)[0]
         size = float(np.abs(move).max())
         beta = beta + move * min(1.0, 5.0 / max(size, 1e-12))
@@ -106,12 +125,13 @@ def _newton(df: DataFrame, feats: dict[str, Column], mu: Callable[[Column], Colu
 
 def fit_glm(df: DataFrame, columns: list[str], y: str = "y", kinds: str = "lq", ridge: float = 1e-3, rounds: int = 25, tol: float = 1e-6, balanced: bool = True) -> dict:
     """Logistic regression on features of the predictors; classes have equal weight if ``balanced``."""
+    df = cut(df.select(y, *columns))  # features then refer to plain columns, whatever made them
     scale = standardiser(df, columns)
     feats = features(columns, scale, kinds)
     n = df.agg(F.sum(F.col(y).cast("double")), F.count("*")).first()
     n1, n0 = n[0] or 1.0, (n[1] - (n[0] or 0.0)) or 1.0
     weight = F.when(F.col(y) == 1, n[1] / (2.0 * n1)).otherwise(n[1] / (2.0 * n0)) if balanced else F.lit(1.0)
-    mu = lambda eta: 1.0 / (1.0 + F.exp(-F.greatest(F.least(eta, F.lit(30.0)), F.lit(-30.0))))
+    mu = lambda eta: 1.0 / (1.0 + np.exp(-np.clip(eta, -30.0, 30.0)))
     m = _newton(df, feats, mu, lambda p: p * (1.0 - p), y, weight, F.lit(0.0), ridge, rounds, tol)
     return m | {"kind": "glm", "columns": columns, "scale": scale, "kinds": kinds}
 
@@ -123,7 +143,7 @@ def fit_ppm(df: DataFrame, columns: list[str], y: str = "y", area: float = 1.0,
     q = df.where(F.col(y) == 0).count() or 1
     tiny = 1e-6
     d = df.withColumns({"_rate": F.when(F.col(y) == 1, 1.0 / tiny).otherwise(0.0), "_weight": F.when(F.col(y) == 1, tiny).otherwise(area / q)})
-    mu = lambda eta: F.exp(F.greatest(F.least(eta, F.lit(30.0)), F.lit(-30.0)))
+    mu = lambda eta: np.exp(np.clip(eta, -30.0, 30.0))
     m = _newton(d, feats, mu, lambda v: v, "_rate", F.col("_weight"), F.col(offset).cast("double") if offset else F.lit(0.0), ridge, rounds, tol)
     return m | {"kind": "ppm", "columns": columns, "scale": scale, "kinds": kinds}
 
