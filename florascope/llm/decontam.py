@@ -85,14 +85,16 @@ def _links(docs: DataFrame, items: DataFrame, k: int, similarity: float, radius:
     items = items.select("item_id", "len", "hs", _simhash("hs").alias("ifp"), _tagged("hs").alias("it"))
     items = materialize(items, "bench-items")
     known = materialize(items.select(F.explode("hs").alias("h"), "len").distinct(), "bench-shingles")
-    n_known, n_items = known.count(), items.count()
+    n_known = known.count()
+    # what a broadcast of items weighs is their shingles, not their number
+    n_items, n_shingles = items.agg(F.count("*"), F.coalesce(F.sum(F.size("hs")), F.lit(0))).first()
 
     # places are exploded, not shingles: each is hashed and looked up inside one generated loop
     at = docs.where(F.col("n") >= k).select("doc_id", "_text", "n", "w", F.explode(F.expr(f"sequence(0, n - {k})")).alias("pos"))
     hits = at.select("doc_id", "_text", "n", "pos", F.expr(_shingle("pos", k)).alias("h")).join(broadcast_if_small(known, n_known), "h")
     by_doc = hits.groupBy("doc_id", "_text", "n", "len").agg(F.array_sort(F.collect_set(F.struct("pos", "h"))).alias("a"))
     by_doc = materialize(by_doc.withColumn("m", F.col("len") - (k - 1)), "bench-hits")
-    short = _short_links(by_doc.where("n < len"), items, n_items, k, similarity)
+    short = _short_links(by_doc.where("n < len"), items, n_shingles, k, similarity)
     long = by_doc.where("n >= len")
     # all shingles of the documents that have a window
     keys = materialize(long.select("doc_id", "_text").distinct(), "bench-docs")
@@ -115,7 +117,7 @@ def _links(docs: DataFrame, items: DataFrame, k: int, similarity: float, radius:
     same_block = (F.col("len") == F.col("len2")) & (F.col("block") == F.col("block2")) & (F.col("bits") == F.col("bits2"))
     pairs = probe.join(index, same_block & (F.bit_count(x) <= radius) & (F.col("block") == first))
     pairs = materialize(pairs.select("len", "wfp", "item_id", F.bit_count(x).cast("int").alias("hamming")), "bench-pairs")
-    found = windows.join(broadcast_if_small(pairs, pairs.count(), 100_000), ["len", "wfp"]).join(broadcast_if_small(items.select("item_id", "it"), n_items, 5_000), "item_id")
+    found = windows.join(broadcast_if_small(pairs, pairs.count(), 100_000), ["len", "wfp"]).join(broadcast_if_small(items.select("item_id", "it"), n_shingles), "item_id")
     found = found.withColumn("o", F.size(F.array_intersect(_tagged("ws"), F.col("it"))))
     found = found.withColumn("similarity", F.col("o") / (2 * F.col("m") - F.col("o"))).where(F.col("similarity") >= similarity)
     best = found.groupBy("doc_id", "_text", "item_id").agg(
@@ -124,18 +126,20 @@ def _links(docs: DataFrame, items: DataFrame, k: int, similarity: float, radius:
     return best.unionAll(short)
 
 
-def _short_links(by_doc: DataFrame, items: DataFrame, n_items: int, k: int, similarity: float) -> DataFrame:
+def _short_links(by_doc: DataFrame, items: DataFrame, n_shingles: int, k: int, similarity: float) -> DataFrame:
     """Links of documents shorter than the item, as a whole; every item that shares a shingle is verified.
 
     Their own number of shingles differs from the item's, and fingerprints of
     few and uneven numbers of shingles are too far apart for the radius. Known
     shingles are all that such a document can share, so too few of them end it.
     """
-    index = items.select("item_id", "len", "it", "ifp", F.explode(F.array_distinct("hs")).alias("h"))
+    index = items.select("item_id", "len", F.explode(F.array_distinct("hs")).alias("h"))
     t = similarity / (1 + similarity)
     whole = by_doc.withColumns({"md": F.col("n") - (k - 1), "ws": F.expr("transform(a, x -> x.h)")}).where(F.size("ws") >= F.ceil((F.col("m") + F.col("md")) * t - 1e-9))
     probe = whole.withColumn("h", F.explode(F.array_distinct("ws")))
-    pairs = probe.join(broadcast_if_small(index, n_items, 5_000), ["len", "h"]).groupBy("doc_id", "_text", "item_id").agg(*[F.first(c).alias(c) for c in ("m", "md", "ws", "it", "ifp")])
+    pairs = probe.join(broadcast_if_small(index, n_shingles), ["len", "h"]).groupBy("doc_id", "_text", "item_id", "m").agg(*[F.first(c).alias(c) for c in ("md", "ws")])
+    # an item's own shingles are joined to its candidates once, not carried by each of them in the index
+    pairs = pairs.join(broadcast_if_small(items.select("item_id", F.col("len").alias("len2"), "it", "ifp"), n_shingles), "item_id").where(F.col("m") == F.col("len2") - (k - 1))
     pairs = pairs.withColumn("o", F.size(F.array_intersect(_tagged("ws"), F.col("it")))).withColumn("similarity", F.col("o") / (F.col("m") + F.col("md") - F.col("o"))).where(F.col("similarity") >= similarity)
     hamming = F.bit_count(_simhash("ws").bitwiseXOR(F.col("ifp"))).cast("int")
     return pairs.select("doc_id", "_text", "item_id", "similarity", F.struct(F.lit(0).alias("s"), hamming.alias("hamming")).alias("w"))
