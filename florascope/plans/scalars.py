@@ -124,17 +124,17 @@ def vis1(v):
     return n.select("country_code", F.round(F.least(F.lit(18.0), 2.5 + 1.1 * F.sqrt("n")), 6).alias("radius"), F.round(F.col("i") / F.col("n"), 6).alias("share"))
 
 
-@query("SRC9_tile_cover", "with b as (select * from (values (1, -30e0, -10e0, 40e0, 35e0, 3), (2, 100e0, 5e0, 120e0, 20e0, 2)) v(id, west, south, east, north, z)) select id, z, x, y from (select id, z, 180e0 / pow(2e0, z) as span, unnest(generate_series(cast(floor((west + 180e0) / (180e0 / pow(2e0, z))) as int), cast(ceil((east + 180e0) / (180e0 / pow(2e0, z))) as int) - 1)) as x, north, south from b) t, lateral (select unnest(generate_series(cast(floor((90e0 - north) / span) as int), cast(ceil((90e0 - south) / span) as int) - 1)) as y) l")
+@query("SRC9_tile_cover", "select id, z, x, y from (select id, z, 180e0 / pow(2e0, z) as span, unnest(generate_series(cast(floor((west + 180e0) / (180e0 / pow(2e0, z))) as int), cast(ceil((east + 180e0) / (180e0 / pow(2e0, z))) as int) - 1)) as x, north, south from box_rows where west >= -180e0 and east <= 180e0 and west < east and south < north) t, lateral (select unnest(generate_series(cast(floor((90e0 - north) / span) as int), cast(ceil((90e0 - south) / span) as int) - 1)) as y) l")
 def src9(v):
-    b = v.spark.createDataFrame([(1, -30.0, -10.0, 40.0, 35.0, 3), (2, 100.0, 5.0, 120.0, 20.0, 2)], "id int, west double, south double, east double, north double, z int")
-    return tiles.tile_cover(b).select("id", "z", "x", "y")
+    inside = "west >= -180 AND east <= 180 AND west < east AND south < north"
+    return tiles.tile_cover(v.box_rows.where(inside)).select("id", "z", "x", "y")
 
 
-@query("SRC5_quadrants", """with l as (select unnest(range(31)) as level), w as materialized (select level, 360e0 / pow(2e0, ceil(level / 2e0)) as dx, 180e0 / pow(2e0, floor(level / 2e0)) as dy from l),
- f as materialized (select floor((longitude + 180e0) / (360e0 / 32768e0)) as fx, floor((latitude + 90e0) / (180e0 / 32768e0)) as fy, count(*) as m from occ group by all),
- c as materialized (select level, dx, dy, floor(fx * (360e0 / 32768e0) / dx) as bx, floor(fy * (180e0 / 32768e0) / dy) as b_y, cast(sum(m) as bigint) as n from f cross join w group by all)
- select round(c.bx * c.dx - 180e0, 6) as west, round(c.b_y * c.dy - 90e0, 6) as south, round((c.bx + 1) * c.dx - 180e0, 6) as east, round((c.b_y + 1) * c.dy - 90e0, 6) as north, c.n from c
- left join c p on p.level + 1 = c.level and p.bx = floor((c.bx + 0.5e0) * c.dx / p.dx) and p.b_y = floor((c.b_y + 0.5e0) * c.dy / p.dy) where (c.n <= 500 or c.level = 30) and (p.n is null or p.n > 500)""")
+@query("SRC5_quadrants", """with f as materialized (select cast(floor((longitude + 180e0) / (360e0 / 32768e0)) as bigint) as fx, cast(floor((latitude + 90e0) / (180e0 / 32768e0)) as bigint) as fy, count(*) as m from occ group by all),
+ c as materialized (select level, fx >> (15 - (level + 1) // 2) as bx, fy >> (15 - level // 2) as b_y, cast(sum(m) as bigint) as n from f cross join (select unnest(range(31)) as level) l group by all),
+ p as materialized (select level + 1 as level, bx as px, b_y as py from c where n > 500)
+ select round(bx * (360e0 / (1 << ((level + 1) // 2))) - 180e0, 6) as west, round(b_y * (180e0 / (1 << (level // 2))) - 90e0, 6) as south, round((bx + 1) * (360e0 / (1 << ((level + 1) // 2))) - 180e0, 6) as east, round((b_y + 1) * (180e0 / (1 << (level // 2))) - 90e0, 6) as north, n
+ from c where (n <= 500 or level = 30) and (level = 0 or exists (select 1 from p where p.level = c.level and p.px = c.bx >> (c.level % 2) and p.py = c.b_y >> (1 - c.level % 2)))""")
 def src5(v):
     return readers.quadrants(v.occ, 500).select(*[F.round(c, 6).alias(c) for c in ("west", "south", "east", "north")], "n")
 

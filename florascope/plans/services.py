@@ -53,17 +53,11 @@ CLOSED_V4 = [
     ("224.0.0.0", "255.255.255.255"),
 ]
 CLOSED_V6 = "^(::|f[cdef]|2001:db8:|2002:|64:ff9b:|100:)"
-_URLS = [
-    "https://hooks.example.org/a", "http://hooks.example.org/a", "https://10.0.0.7/x", "https://localhost:8080/", "https://192.168.1.4/x", "https://172.16.0.1/", "https://172.32.0.1/", "https://0.0.0.0/", "https://[::1]/x",
-    "https://[2606:4700::1111]/", "https://224.0.0.5/", "https://250.1.1.1/", "https://8.8.8.8/hook", "https://1.2.3/", "https://app.localhost/", "ftp://example.org/", "https://169.254.169.254/latest", "https://[fe80::1]:443/",
-]
-
-
 def _number(a: str) -> int:
     return sum(int(x) << (24 - 8 * i) for i, x in enumerate(a.split(".")))
 
 
-_FLT19 = f"""with u as (select url, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) as scheme, lower(regexp_extract(url, '^[a-zA-Z]+://(\\[[^\\]]*\\]|[^/:?#]*)', 1)) as host from (values {', '.join(f"('{u}')" for u in _URLS)}) t(url)),
+_FLT19 = f"""with u as (select url, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) as scheme, lower(regexp_extract(url, '^[a-zA-Z]+://(\\[[^\\]]*\\]|[^/:?#]*)', 1)) as host from hook_rows),
  p as (select *, case when regexp_matches(host, '^([0-9]+\\.){{3}}[0-9]+$') then list_transform(string_split(host, '.'), lambda x: cast(x as bigint)) end as q from u),
  n as (select *, q[1] * 16777216 + q[2] * 65536 + q[3] * 256 + q[4] as a from p)
 select url, scheme = 'https' and case when host like '[%' then not regexp_matches(host[2:-2], '{CLOSED_V6}') when q is not null then list_max(q) <= 255 and not ({' or '.join(f'a between {_number(x)} and {_number(y)}' for x, y in CLOSED_V4)})
@@ -73,7 +67,7 @@ select url, scheme = 'https' and case when host like '[%' then not regexp_matche
 @query("FLT19_webhook_targets", _FLT19.replace("\\\\", "\\"))
 def flt19(v):
     """Only https to a name or a public address: loopback, private, link-local, reserved and multicast ones are closed."""
-    u = v.spark.createDataFrame([(x,) for x in _URLS], "url string")
+    u = v.hook_rows
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://(\[[^\]]*\]|[^/:?#]*)", 1))
     u = u.select("url", F.lower(F.regexp_extract("url", r"^([a-zA-Z]+)://", 1)).alias("scheme"), host.alias("host"))
     u = u.withColumn("q", F.when(F.col("host").rlike(r"^([0-9]+\.){3}[0-9]+$"), F.transform(F.split("host", r"\."), lambda x: x.cast("long"))))

@@ -151,13 +151,9 @@ def agg39(v):
     return models.permutation_importance(v.pred, ["bio1", "bio12"], lambda c: 1.0 / (1.0 + ((c["bio1"] - 15.0) / 8.0) ** 2 + ((c["bio12"] - 900.0) / 700.0) ** 2), repeats=3)
 
 
-MEMBERS = "(values ('maxent', 0.81e0), ('glm', 0.66e0), ('rf', 0.74e0), ('brt', 0.49e0)) m(member, auc)"
-
-
-@query("AGG49_ensemble_weights", f"with w as (select member, case when max(auc) over () >= 0.7e0 then case when auc >= 0.7e0 then auc - 0.5e0 else 0e0 end else 1e0 end as w from {MEMBERS}) select member, round(w / sum(w) over (), 6) as weight from w where w > 0")
+@query("AGG49_ensemble_weights", "with w as (select member, case when max(auc) over () >= 0.7e0 then case when auc >= 0.7e0 then auc - 0.5e0 else 0e0 end else 1e0 end as w from member_rows) select member, round(w / sum(w) over (), 6) as weight from w where w > 0")
 def agg49(v):
-    m = v.spark.createDataFrame([("maxent", 0.81), ("glm", 0.66), ("rf", 0.74), ("brt", 0.49)], "member string, auc double")
-    return severity.ensemble_weights(m, 0.7).select("member", _r("weight").alias("weight"))
+    return severity.ensemble_weights(v.member_rows, 0.7).select("member", _r("weight").alias("weight"))
 
 
 @query("AGG50_severity", """with i as (select cast(s_suppkey as int) as id, (s_suppkey % 10) / 10e0 as suit, (s_suppkey % 7) / 20e0 as frac, (s_suppkey % 5) / 4e0 as env, cast(s_suppkey % 13 as double) as spread from supplier),
@@ -204,11 +200,10 @@ def win6(v):
     return v.cells.select("row", "col", F.element_at(names, F.array_position(a, F.array_min(a)).cast("int")).alias("lowest"))
 
 
-@query("WIN12_top_importances", "select array_to_string([x.k for x in list_sort([{v: -30e0, k: 'bio1'}, {v: -55e0, k: 'bio12'}, {v: -15e0, k: 'bio4'}])][1:2], ',') as top")
+@query("WIN12_top_importances", "select id, array_to_string([x.k for x in list_sort([{v: -bio1, k: 'bio1'}, {v: -bio12, k: 'bio12'}, {v: -bio4, k: 'bio4'}])][1:2], ',') as top from importance_rows")
 def win12(v):
-    m = v.spark.createDataFrame([({"bio1": 30.0, "bio12": 55.0, "bio4": 15.0},)], "importance map<string,double>")
-    ranked = F.array_sort(F.transform(F.map_entries("importance"), lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("k"))))
-    return m.select(F.array_join(F.transform(F.slice(ranked, 1, 2), lambda e: e["k"]), ",").alias("top"))
+    named = F.array(*[F.struct((-F.col(c)).alias("v"), F.lit(c).alias("k")) for c in ("bio1", "bio12", "bio4")])
+    return v.importance_rows.select("id", F.array_join(F.transform(F.slice(F.array_sort(named), 1, 2), lambda e: e["k"]), ",").alias("top"))
 
 
 @query("WIN11_best_repetition")

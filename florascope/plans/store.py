@@ -385,55 +385,42 @@ def flt20(v):
     return box.select("poly", "n_edges", "west", "east", ((F.col("s") >= -90) & (F.col("n") <= 90) & (F.col("west") >= -180) & (F.col("east") <= 180)).alias("valid"))
 
 
-@query("FLT21_region_request", "select id, greatest(west, -180e0) as west, least(east, 180e0) as east, west < east and south < north as ordered, cast(round((least(east, 180e0) - greatest(west, -180e0)) * 120) * round((north - south) * 120) as bigint) as cells, round((least(east, 180e0) - greatest(west, -180e0)) * 120) * round((north - south) * 120) <= 16000000 as accepted from (values (1, -200e0, 10e0, -5e0, 20e0), (2, 5e0, 30e0, 10e0, 40e0), (3, 50e0, 20e0, 0e0, 10e0)) r(id, west, east, south, north)")
+@query("FLT21_region_request", "select id, greatest(west, -180e0) as west, least(east, 180e0) as east, west < east and south < north as ordered, cast(round((least(east, 180e0) - greatest(west, -180e0)) * 120) * round((north - south) * 120) as bigint) as cells, round((least(east, 180e0) - greatest(west, -180e0)) * 120) * round((north - south) * 120) <= 1600000 as accepted from box_rows")
 def flt21(v):
-    r = v.spark.createDataFrame([(1, -200.0, 10.0, -5.0, 20.0), (2, 5.0, 30.0, 10.0, 40.0), (3, 50.0, 20.0, 0.0, 10.0)], "id int, west double, east double, south double, north double")
     west, east = F.greatest("west", F.lit(-180.0)), F.least("east", F.lit(180.0))
     cells = F.round((east - west) * 120) * F.round((F.col("north") - F.col("south")) * 120)
-    return r.select("id", west.alias("west"), east.alias("east"), ((F.col("west") < F.col("east")) & (F.col("south") < F.col("north"))).alias("ordered"), cells.cast("long").alias("cells"), (cells <= 16_000_000).alias("accepted"))
+    return v.box_rows.select("id", west.alias("west"), east.alias("east"), ((F.col("west") < F.col("east")) & (F.col("south") < F.col("north"))).alias("ordered"), cells.cast("long").alias("cells"), (cells <= 1_600_000).alias("accepted"))
 
 
-CHOICES = "(values (1, ['bio1', 'bio4', 'bio1', 'zzz']), (2, ['bio12']), (3, ['bio1', 'bio12'])) c(id, wanted)"
-
-
-def _choices(v):
-    return v.spark.createDataFrame([(1, ["bio1", "bio4", "bio1", "zzz"]), (2, ["bio12"]), (3, ["bio1", "bio12"])], "id int, wanted array<string>")
-
-
-@query("FLT14_requested_predictors", f"select id, array_to_string(list_filter(list_sort(list_distinct(wanted)), lambda x: x in ('bio1', 'bio4', 'bio12')), ',') as used, len(list_filter(list_distinct(wanted), lambda x: x in ('bio1', 'bio4', 'bio12'))) < 2 as automatic from {CHOICES}")
+@query("FLT14_requested_predictors", f"select id, array_to_string(list_filter(list_sort(list_distinct(wanted)), lambda x: x in ('bio1', 'bio4', 'bio12')), ',') as used, len(list_filter(list_distinct(wanted), lambda x: x in ('bio1', 'bio4', 'bio12'))) < 2 as automatic from wanted_rows")
 def flt14(v):
     used = F.array_intersect(F.array_distinct("wanted"), F.array(F.lit("bio1"), F.lit("bio4"), F.lit("bio12")))
-    return _choices(v).select("id", F.array_join(F.array_sort(used), ",").alias("used"), (F.size(used) < 2).alias("automatic"))
+    return v.wanted_rows.select("id", F.array_join(F.array_sort(used), ",").alias("used"), (F.size(used) < 2).alias("automatic"))
 
 
-@query("FLT22_environment_choice", f"select id, len(list_filter(wanted, lambda x: x not in ('bio1', 'bio4', 'bio12'))) as unknown, len(list_distinct(wanted)) >= 2 and len(list_filter(wanted, lambda x: x not in ('bio1', 'bio4', 'bio12'))) = 0 as accepted from {CHOICES}")
+@query("FLT22_environment_choice", f"select id, len(list_filter(wanted, lambda x: x not in ('bio1', 'bio4', 'bio12'))) as unknown, len(list_distinct(wanted)) >= 2 and len(list_filter(wanted, lambda x: x not in ('bio1', 'bio4', 'bio12'))) = 0 as accepted from wanted_rows")
 def flt22(v):
     unknown = F.size(F.array_except("wanted", F.array(F.lit("bio1"), F.lit("bio4"), F.lit("bio12"))))
-    return _choices(v).select("id", unknown.cast("long").alias("unknown"), ((F.size(F.array_distinct("wanted")) >= 2) & (unknown == 0)).alias("accepted"))
+    return v.wanted_rows.select("id", unknown.cast("long").alias("unknown"), ((F.size(F.array_distinct("wanted")) >= 2) & (unknown == 0)).alias("accepted"))
 
 
-@query("SET3_offered_and_unavailable", f"select id, array_to_string(list_sort(list_distinct(list_filter(wanted, lambda x: x not in ('bio1', 'bio4', 'bio12')))), ',') as unavailable from {CHOICES}")
+@query("SET3_offered_and_unavailable", f"select id, array_to_string(list_sort(list_distinct(list_filter(wanted, lambda x: x not in ('bio1', 'bio4', 'bio12')))), ',') as unavailable from wanted_rows")
 def set3(v):
-    return _choices(v).select("id", F.array_join(F.array_sort(F.array_except("wanted", F.array(F.lit("bio1"), F.lit("bio4"), F.lit("bio12")))), ",").alias("unavailable"))
+    return v.wanted_rows.select("id", F.array_join(F.array_sort(F.array_except("wanted", F.array(F.lit("bio1"), F.lit("bio4"), F.lit("bio12")))), ",").alias("unavailable"))
 
 
-PREDICTORS = ["bio1", "bio11", "bio12", "bio19", "soil_ph", "hurs_mean", "vpd_max", "sfcWind_mean", "cmi_min", "rsds_max", "ai", "gdd5", "gsl", "elevation"]
 _GROUP_SQL = """case when regexp_matches(name, '^bio[0-9]+$') then case when cast(substr(name, 4) as int) <= 11 then 'temperature' else 'precipitation' end when starts_with(name, 'soil_') then 'soil' when regexp_matches(name, '^(hurs|vpd)_') then 'humidity' when starts_with(name, 'sfcWind_') then 'wind'
  when regexp_matches(name, '^(cmi|pet_penman)_') then 'water_balance' when regexp_matches(name, '^(rsds|clt)_') then 'radiation' when name in ('ai', 'swb') then 'water_balance' when regexp_matches(name, '^(gdd|ngd)') or name in ('gsl', 'gsp', 'gst', 'fcf', 'scd', 'npp') then 'growing_season' else 'other' end"""
 
 
-def _predictors(v):
-    return v.spark.createDataFrame([(p,) for p in PREDICTORS], "name string")
-
-
-@query("FLT15_predictor_groups", f"select {_GROUP_SQL} as grp, string_agg(name, ',' order by name) as names from (select unnest({PREDICTORS!r}) as name) t group by 1")
+@query("FLT15_predictor_groups", f"select {_GROUP_SQL} as grp, string_agg(name, ',' order by name) as names from predictor_rows t group by 1")
 def flt15(v):
-    return _predictors(v).groupBy(sc.predictor_group(F.col("name")).alias("grp")).agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
+    return v.predictor_rows.groupBy(sc.predictor_group(F.col("name")).alias("grp")).agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
 
 
-@query("FLT16_candidate_sets", f"with g as (select {_GROUP_SQL} as grp, name from (select unnest({PREDICTORS!r}) as name) t), s as (select grp as set_name, list(name order by name) as names from g group by 1 union all select 'climate', list(name order by name) from g where grp in ('temperature', 'precipitation') union all select 'all', list(name order by name) from g) select set_name, len(names) as n from s where len(names) >= 2")
+@query("FLT16_candidate_sets", f"with g as (select {_GROUP_SQL} as grp, name from predictor_rows t), s as (select grp as set_name, list(name order by name) as names from g group by 1 union all select 'climate', list(name order by name) from g where grp in ('temperature', 'precipitation') union all select 'all', list(name order by name) from g) select set_name, len(names) as n from s where len(names) >= 2")
 def flt16(v):
-    g = _predictors(v).withColumn("grp", sc.predictor_group(F.col("name")))
+    g = v.predictor_rows.withColumn("grp", sc.predictor_group(F.col("name")))
     sets = g.select(F.explode(F.array(F.col("grp"), F.when(F.col("grp").isin("temperature", "precipitation"), F.lit("climate")), F.lit("all"))).alias("set_name"), "name").where("set_name IS NOT NULL")
     return sets.groupBy("set_name").agg(F.array_sort(F.collect_set("name")).alias("names")).where(F.size("names") >= 2).select("set_name", F.size("names").cast("long").alias("n"))
 
@@ -444,11 +431,10 @@ def flt23(v):
     return v.customer.join(active, "c_custkey", "left_semi").select("c_custkey")
 
 
-@query("FLT24_role_gate", "with u as (select * from (values ('ann', ['staff', 'analysts']), ('bob', ['guests']), ('cy', ['curators', 'analysts'])) v(usr, groups)), m as (select * from (values ('analysts', 1), ('curators', 2)) v(grp, rank)), r as (select usr, max(coalesce(rank, 0)) as rank from (select usr, unnest(groups) as grp from u) t left join m using (grp) group by usr) select usr, case rank when 2 then 'curator' when 1 then 'analyst' else 'viewer' end as role, rank >= 1 as may_run from r")
+@query("FLT24_role_gate", "with m as (select * from (values ('analysts', 1), ('curators', 2)) v(grp, rank)), r as (select usr, max(coalesce(rank, 0)) as rank from (select usr, unnest(grps) as grp from user_rows) t left join m using (grp) group by usr) select usr, case rank when 2 then 'curator' when 1 then 'analyst' else 'viewer' end as role, rank >= 1 as may_run from r")
 def flt24(v):
-    u = v.spark.createDataFrame([("ann", ["staff", "analysts"]), ("bob", ["guests"]), ("cy", ["curators", "analysts"])], "usr string, groups array<string>")
     ranks = v.spark.createDataFrame([("analysts", 1), ("curators", 2)], "grp string, rank int")
-    r = u.select("usr", F.explode("groups").alias("grp")).join(F.broadcast(ranks), "grp", "left").groupBy("usr").agg(F.max(F.coalesce("rank", F.lit(0))).alias("rank"))
+    r = v.user_rows.select("usr", F.explode("grps").alias("grp")).join(F.broadcast(ranks), "grp", "left").groupBy("usr").agg(F.max(F.coalesce("rank", F.lit(0))).alias("rank"))  # two ranks
     return r.select("usr", F.when(F.col("rank") == 2, "curator").when(F.col("rank") == 1, "analyst").otherwise("viewer").alias("role"), (F.col("rank") >= 1).alias("may_run"))
 
 

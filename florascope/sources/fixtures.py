@@ -60,6 +60,14 @@ VIEWS: dict[str, str] = {
  (1, 2, -60.0005e0, 20.0005e0, -100.0005e0, 20.0005e0), (1, 3, -100.0005e0, 20.0005e0, -100.0005e0, -20.0005e0)) v(poly, seq, x1, y1, x2, y2)""",
     "scen": """SELECT row, col, lon, lat, bio12, name, 1e0 / (1e0 + ((b1 - 15e0) / 8e0) * ((b1 - 15e0) / 8e0) + ((bio12 - 900e0) / 700e0) * ((bio12 - 900e0) / 700e0)) AS suitability, b1 > 33e0 AS extrapolated
  FROM (SELECT g.*, v.name, bio1 + v.warm AS b1 FROM {grid} g CROSS JOIN (VALUES ('g1_ssp245_p1', 2e0), ('g2_ssp245_p1', 3e0), ('g1_ssp585_p1', 4e0)) v(name, warm)) s""",
+    "wanted_rows": """SELECT p_partkey AS id, split(concat_ws(',', CASE WHEN p_partkey % 2 = 0 THEN 'bio1' END, CASE WHEN p_partkey % 3 = 0 THEN 'bio4' END, CASE WHEN p_partkey % 5 = 0 THEN 'bio1' END, CASE WHEN p_partkey % 7 = 0 THEN 'zzz' END, 'bio12'), ',') AS wanted FROM {part}""",
+    "box_rows": """SELECT CAST(s_suppkey AS INT) AS id, CAST((s_suppkey * 37) % 400 - 210 AS DOUBLE) AS west, CAST((s_suppkey * 37) % 400 - 210 + s_suppkey % 60 - 5 AS DOUBLE) AS east, CAST((s_suppkey * 11) % 150 - 75 AS DOUBLE) AS south, CAST((s_suppkey * 11) % 150 - 75 + s_suppkey % 15 AS DOUBLE) AS north, CAST(s_suppkey % 4 AS INT) AS z FROM {supplier}""",
+    "member_rows": """SELECT concat('m', CAST(s_suppkey AS STRING)) AS member, 0.4e0 + CAST((s_suppkey * 37) % 60 AS DOUBLE) / 100e0 AS auc FROM {supplier}""",
+    "importance_rows": """SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS bio1, CAST((p_partkey * 13) % 51 AS DOUBLE) AS bio12, CAST((p_partkey * 7) % 37 AS DOUBLE) AS bio4 FROM {part}""",
+    "user_rows": """SELECT c_custkey AS usr, split(concat_ws(',', 'staff', CASE WHEN c_custkey % 3 = 0 THEN 'analysts' END, CASE WHEN c_custkey % 5 = 0 THEN 'curators' END, CASE WHEN c_custkey % 7 = 0 THEN 'guests' END), ',') AS grps FROM {customer}""",
+    "predictor_rows": """SELECT DISTINCT CASE p_partkey % 9 WHEN 0 THEN concat('bio', CAST(1 + p_size % 19 AS STRING)) WHEN 1 THEN concat('soil_', CAST(p_size AS STRING)) WHEN 2 THEN concat('hurs_', CAST(p_size AS STRING)) WHEN 3 THEN concat('cmi_', CAST(p_size AS STRING)) WHEN 4 THEN concat('gdd', CAST(p_size AS STRING)) WHEN 5 THEN 'ai' WHEN 6 THEN concat('sfcWind_', CAST(p_size AS STRING)) WHEN 7 THEN concat('rsds_', CAST(p_size AS STRING)) ELSE concat('layer', CAST(p_size AS STRING)) END AS name FROM {part}""",
+    "hook_rows": """SELECT url FROM {pages} UNION ALL SELECT concat(CASE WHEN page_id % 5 = 0 THEN 'http' ELSE 'https' END, '://', CASE page_id % 4 WHEN 0 THEN '10' WHEN 1 THEN '172' WHEN 2 THEN '192' ELSE CAST(page_id % 256 AS STRING) END, '.', CAST((page_id * 7) % 260 AS STRING), '.', CAST((page_id * 13) % 256 AS STRING), '.', CAST(page_id % 256 AS STRING), '/hook') FROM {pages}
+ UNION ALL SELECT replace(replace(url, 'http://', 'https://'), '.example.', '.localhost.') FROM {pages} UNION ALL SELECT concat('https://[', CASE page_id % 3 WHEN 0 THEN 'fe80::' WHEN 1 THEN '2606:4700::' ELSE '::' END, CAST(page_id AS STRING), ']/x') FROM {pages}""",
 }
 
 _FIXED = {"src": ("range(64800)", "(SELECT range AS id FROM range(64800)) r0")}
