@@ -258,6 +258,21 @@ def cross_validate(df: DataFrame, fit: Callable[[DataFrame], dict], folds: int)
     return out
 
 
+def compare_sets(df: DataFrame, sets: dict[str, list[str]], fit: Callable[[DataFrame, list[str]], dict], folds: int) -> DataFrame:
+    """``set_name, cbi, auc, rank`` of predictor sets: every row is scored by a model of the other folds; the best Boyce index, then AUC, is first, nulls last."""
+    out = None
+    for name, columns in sets.items():
+        scored = None
+        for f in range(folds):
+            part = df.where(F.col("fold") == f).select("y", predict(fit(df.where(F.col("fold") != f), columns)).alias("s"))
+            scored = part if scored is None else scored.unionAll(part)
+        scored = cut(scored)
+        one = stats.boyce(scored).crossJoin(stats.auc(scored)).select(F.lit(name).alias("set_name"), "cbi", "auc")  # one row each
+        out = one if out is None else out.unionAll(one)
+    best = Window.orderBy(F.desc_nulls_last("cbi"), F.desc_nulls_last("auc"), "set_name")  # a row for each set
+    return out.withColumn("rank", F.row_number().over(best))
+
+
 def numbered(df: DataFrame, order: Column, name: str) -> DataFrame:
     """``df`` with row numbers from 1 in ``order``: sorted in range partitions, each of which begins where the one before ends."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -190,12 +190,8 @@ def mod12(v):
 
 @query("MOD13_predictor_sets")
 def mod13(v):
-    out = None
-    for name, cols in (("temperature", ["bio1"]), ("both", COLS)):
-        s = v.pred.select("y", models.predict(models.fit_glm(v.pred, cols, rounds=6)).alias("s"))
-        part = stats.boyce(s).crossJoin(stats.auc(s)).select(F.lit(name).alias("set_name"), "cbi", "auc")  # one row each
-        out = part if out is None else out.unionAll(part)
-    return out
+    """Predictor sets ranked by models that are scored on the spatial blocks they have not seen."""
+    return models.compare_sets(_folds(v, 3), {"temperature": ["bio1"], "both": COLS}, lambda d, cols: models.fit_glm(d, cols, rounds=6), 3)
 
 
 _ABSENT = f"""with e as (select cast(floor(px_row / 2e0) as int) as row, cast(floor(px_col / 2e0) as int) as col from eff group by 1, 2 having sum(cnt) >= 30),

@@ -335,3 +335,12 @@ def test_spline_bases_and_fit_equal_plain_ones(spark):
     assert np.allclose(fitted, 1 / (1 + np.exp(-f @ beta)), atol=1e-6)
     held = spark.createDataFrame([(0.0,)], "other double").select(models.predict(model, {"x": 1.0})).first()[0]
     assert held == pytest.approx(spark.createDataFrame([(1.0,)], "x double").select(models.predict(model)).first()[0])
+
+
+def test_predictor_sets_are_ranked_on_rows_they_have_not_seen(spark):
+    rng = np.random.default_rng(5)
+    x, noise = rng.normal(size=600), rng.normal(size=600)
+    y = (rng.uniform(size=600) < 1 / (1 + np.exp(-2.5 * x))).astype(int)
+    df = spark.createDataFrame([(int(a), float(b), float(c), i % 3) for i, (a, b, c) in enumerate(zip(y, x, noise, strict=True))], "y int, x double, noise double, fold int")
+    got = {r["set_name"]: r for r in models.compare_sets(df, {"noise": ["noise"], "signal": ["x"]}, lambda d, c: models.fit_glm(d, c, rounds=6), 3).collect()}
+    assert got["signal"]["rank"] == 1 and got["noise"]["rank"] == 2 and got["signal"]["auc"] > 0.8 and abs(got["noise"]["auc"] - 0.5) < 0.1
