@@ -59,14 +59,20 @@ def _root(v, name: str) -> str:
     return f"{v.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
+def _files(rows, most: int = 1_000_000) -> int:
+    """By how much a delivery's files are multiplied, so that none holds many more than ``most`` rows; a batch takes that many times more of them."""
+    return max(1, -(-rows.count() // most))
+
+
 @query("STR_replayed_ingest", "select source, count(*) as inserted, count(*) * 2 as attempted from occ group by source")
 def str_replay(v):
     """The store as a stream of files that are delivered twice: only the first delivery is new."""
     root = _root(v, "stream")
     rows = v.occ.select("source", "record_id", "longitude", "latitude", "ingested_ts")
+    times = _files(rows, 2_000_000)
     for _ in range(2):
-        rows.repartition(2, "record_id").write.mode("append").parquet(f"{root}/in")
-    ingest.ingest(ingest.stream_occurrences(v.spark, f"{root}/in", rows.schema, 1), f"{root}/store", f"{root}/state", f"{root}/offsets")
+        rows.repartition(2 * times, "record_id").write.mode("append").parquet(f"{root}/in")
+    ingest.ingest(ingest.stream_occurrences(v.spark, f"{root}/in", rows.schema, times), f"{root}/store", f"{root}/state", f"{root}/offsets")
     return ingest.watermarks(v.spark, f"{root}/state").select("source", F.col("inserted"), F.col("attempted"))
 
 
@@ -80,9 +86,10 @@ def str7b(v):
     first = v.occ.select("source", "record_id", "ingested_ts")
     moved = lambda d, days: d.withColumn("ingested_ts", (F.col("ingested_ts") + F.expr(f"INTERVAL {days} DAYS")).cast(first.schema["ingested_ts"].dataType))
     again = moved(first.where("record_id % 3 = 0"), 40).unionAll(moved(first.where("record_id % 5 = 0").withColumn("record_id", F.col("record_id") + 100000000), 41))
+    times = _files(first, 3_000_000)
     for rows in (first, again):
-        rows.repartition(3, "record_id").write.mode("append").parquet(f"{root}/in")
-        ingest.ingest(ingest.stream_occurrences(v.spark, f"{root}/in", first.schema, 2), f"{root}/store", f"{root}/state", f"{root}/offsets")
+        rows.repartition(3 * times, "record_id").write.mode("append").parquet(f"{root}/in")
+        ingest.ingest(ingest.stream_occurrences(v.spark, f"{root}/in", first.schema, 2 * times), f"{root}/store", f"{root}/state", f"{root}/offsets")
     kept = v.spark.read.parquet(f"{root}/store").groupBy("source").agg(F.sum(F.unix_timestamp(F.round(F.col("ingested_ts").cast("timestamp").cast("double")).cast("timestamp"))).cast("double").alias("first_seconds"))
     return ingest.watermarks(v.spark, f"{root}/state").join(kept, "source").select("source", "attempted", "inserted", "watermark", "first_seconds")
 

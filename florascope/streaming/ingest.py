@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from florascope.operators.spatial import nearest_km
 
-from .state import first_deliveries, rocksdb
+from .state import first_deliveries, per_key, rocksdb
 
 KEY = ["source", "record_id"]
 MAX_ALERT_RECORDS = 500
@@ -29,11 +29,10 @@ def ingest(stream: DataFrame, store: str, state: str, checkpoint: str):
     committed then. The first row of a key is the earliest of its first batch.
     """
     spark = stream.sparkSession
-    # of rows without a time none is the earliest
     seen = first_deliveries(stream, KEY, "ingested_ts")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
+        batch = per_key(batch, KEY, "ingested_ts").persist()
         batch.where("_fresh").drop("_delivered", "_fresh", "_latest").write.mode("overwrite").parquet(f"{store}/batch={number}")
         per = batch.groupBy("source").agg(F.sum("_delivered").alias("attempted"), F.count_if("_fresh").alias("inserted"), F.max("_latest").alias("watermark"))
         per.select("source", "attempted", "watermark", "inserted").write.mode("overwrite").parquet(f"{state}/batch={number}")

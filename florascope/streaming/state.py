@@ -33,51 +33,30 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_PROVIDER, before)
 
 
-class FirstDelivery(StatefulProcessor):
-    """The first row of a key, ever, and how many rows of it each batch brings.
+def first_deliveries(stream: DataFrame, key: list[str], time: str) -> DataFrame:
+    """Each row with ``_delivered`` 1 and its ``_latest`` time, and for each key that no earlier batch had one more row, ``_fresh`` and with ``_delivered`` 0.
 
-    A row is ``key, columns of the stream..., digest``. The state of a key is one
-    number, so a store of any size costs a few bytes a key.
+    Null keys are keys like others. Which keys were there is a keyed state that
+    holds nothing but the keys. ``per_key`` of a batch makes one row for each key.
     """
-
-    def __init__(self, columns: list[str], time: int) -> None:
-        self.columns, self.time = columns, time  # where the time stands by which rows are ordered
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "n long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        best, n, latest = None, 0, None
-        for row in rows:
-            n += 1
-            rank = (row[self.time] is None, row[self.time] or datetime.min, row[-1])
-            if best is None or rank < best[0]:
-                best = (rank, row)
-            if row[self.time] is not None and (latest is None or row[self.time] > latest):
-                latest = row[self.time]
-        if best is not None:
-            known = self.seen.exists()
-            self.seen.update(((self.seen.get()[0] if known else 0) + n,))
-            yield Row(**dict(zip(self.columns, best[1][1:-1], strict=True)), _delivered=n, _fresh=not known, _latest=latest)
-
-    def close(self) -> None:
-        pass
+    seen = stream.dropDuplicates(key)  # the engine's own state
+    mark = lambda d, n, fresh, latest: d.select(*stream.columns, F.lit(n).cast("long").alias("_delivered"), F.lit(fresh).alias("_fresh"), latest.cast(stream.schema[time].dataType).alias("_latest"))
+    return mark(stream, 1, False, F.col(time)).unionAll(mark(seen, 0, True, F.lit(None)))
 
 
-def _text_key(columns: list[str]) -> Column:
-    """A key as one text that is never null: state keys with nulls are not reliable."""
-    return F.to_json(F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(columns)]), {"ignoreNullFields": "false"})
-
-
-def first_deliveries(stream: DataFrame, key: list[str], time: str) -> DataFrame:
-    """A row for each key of a batch, its first by ``time``, with ``_delivered`` (rows of the key in it), ``_fresh`` (no earlier batch had the key) and ``_latest`` (time).
+def per_key(batch: DataFrame, key: list[str], time: str) -> DataFrame:
+    """A batch of ``first_deliveries`` with a row for each key: its first by ``time``, how many there were, whether the key is new, and the latest time.
 
-    Null keys are keys like others. Of equally early rows the one with the
-    smallest digest is the first; rows without a time come last.
+    Of equally early rows the one with the smallest digest is the first; rows
+    without a time come last.
     """
-    schema = StructType(list(stream.schema.fields)).add("_delivered", "long").add("_fresh", "boolean").add("_latest", stream.schema[time].dataType)
-    rows = stream.select(_text_key(key).alias("key_text"), *stream.columns, F.xxhash64(*sorted(stream.columns)).alias("row_digest"))
-    return rows.groupBy("key_text").transformWithState(FirstDelivery(stream.columns, 1 + stream.columns.index(time)), schema, "Update", "None")
+    columns = [c for c in batch.columns if c not in ("_delivered", "_fresh", "_latest")]
+    rest = [c for c in columns if c not in key]
+    # the row that says a key is new is a copy of one that was delivered
+    first = F.min(F.struct(F.col(time).isNull().alias("late"), F.col(time).alias("at"), F.xxhash64(*sorted(columns)).alias("digest"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]))
+    found = batch.groupBy(*key).agg(first.alias("_row"), F.sum("_delivered").alias("_delivered"), F.max("_fresh").alias("_fresh"), F.max("_latest").alias("_latest"))
+    at = {c: f"_row.c{i}" for i, c in enumerate(rest)}
+    return found.select(*[F.col(at.get(c, c)).alias(c) for c in columns], "_delivered", "_fresh", "_latest")
 
 
 class Changes(StatefulProcessor):

@@ -111,3 +111,15 @@ def test_changes_do_not_depend_on_batches_or_restarts(spark, root, cuts):
     got = sorted((tuple(r) for r in spark.read.parquet(f"{root}/out").select("key", "kind", "at", "id", "payload").collect()), key=str)
     assert got == plain_changes(rows, timedelta(days=3), timedelta(days=10), rows[-1][1] - timedelta(minutes=1))
     assert {r[1] for r in got} == {"change", "keepalive", "failed"}
+
+
+def test_first_deliveries_call_no_python_for_a_key(spark, root):
+    """Known keys are the engine's own state; a batch is reduced to a row for each key by the engine, too."""
+    schema = spark.createDataFrame([], SCHEMA).schema
+    rows = spark.range(6000).selectExpr("concat('s', id % 2) source", "id % 3000 record_id", "cast(id as string) value", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id) ingested_ts")
+    rows.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = state.first_deliveries(ingest.stream_occurrences(spark, f"{root}/in", schema, 1), ingest.KEY, "ingested_ts")
+    assert "TransformWithState" not in stream._jdf.queryExecution().analyzed().toString()
+    ingest.ingest(ingest.stream_occurrences(spark, f"{root}/in", schema, 1), f"{root}/store", f"{root}/state", f"{root}/offsets")
+    assert sorted(int(r["value"]) for r in spark.read.parquet(f"{root}/store").collect()) == list(range(3000))
+    assert {r["source"]: (r["attempted"], r["inserted"]) for r in ingest.watermarks(spark, f"{root}/state").collect()} == {"s0": (3000, 1500), "s1": (3000, 1500)}
