@@ -163,7 +163,8 @@ def str13e(v):
 @query("STR13_streamed_sessions", f"""{_BATCHED}, k as (select * from d where ts + interval 2 hour > mark), g as (select user_id, ts, case when lag(ts) over w + interval 2 hour > ts then 0 else 1 end as fresh from k window w as (partition by user_id order by ts)),
  s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as sid from g) select user_id, min(ts) as session_start, count(*) as n from s group by user_id, sid""")
 def str13f(v):
-    """Sessions of a user with gaps under two hours, closed by the watermark."""
+    """Sessions of a user with gaps under two hours, closed by the watermark; rows let in after that are joined to theirs."""
     root, stream = _streamed_events(v, "sessions")
     w = state.sessions(stream, "ts", "1 day", "2 hours", ["user_id"], {"n": F.count("*")})
-    return _collected(v, root, w).where("user_id >= 0").select("user_id", "session_start", "n")
+    whole = state.joined_sessions(_collected(v, root, w).where("user_id >= 0"), ["user_id"], {"n": F.sum("n")})
+    return whole.select("user_id", "session_start", "n")

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -147,6 +147,20 @@ def windows(stream: DataFrame, ts: str, late: str, length: str, by: list[str], t
 
 
 def sessions(stream: DataFrame, ts: str, late: str, gap: str, by: list[str], totals: dict[str, Column]) -> DataFrame:
-    """Closed sessions of a stream: rows of one key less than ``gap`` apart."""
+    """Closed sessions of a stream: rows of one key less than ``gap`` apart.
+
+    A row that the watermark still lets in can belong to a session that it has
+    already closed, and makes one of its own then; ``joined_sessions`` puts such
+    pieces together.
+    """
     w = stream.withWatermark(ts, late).groupBy(*by, F.session_window(ts, gap).alias("w")).agg(*[c.alias(n) for n, c in totals.items()])
-    return w.select(*by, F.col("w.start").alias("session_start"), *totals)
+    return w.select(*by, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *totals)
+
+
+def joined_sessions(pieces: DataFrame, by: list[str], totals: dict[str, Column]) -> DataFrame:
+    """What a stream of ``sessions`` has written, with pieces of a key that overlap as one session; ``totals`` are aggregates of the pieces' totals."""
+    before = Window.partitionBy(*by).orderBy("session_start", "session_end")
+    reach = F.max("session_end").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = pieces.withColumn("_new", F.when(reach > F.col("session_start"), 0).otherwise(1)).withColumn("_nth", F.sum("_new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    out = numbered.groupBy(*by, "_nth").agg(F.min("session_start").alias("session_start"), F.max("session_end").alias("session_end"), *[c.alias(n) for n, c in totals.items()])
+    return out.drop("_nth")

@@ -123,3 +123,18 @@ def test_first_deliveries_call_no_python_for_a_key(spark, root):
     ingest.ingest(ingest.stream_occurrences(spark, f"{root}/in", schema, 1), f"{root}/store", f"{root}/state", f"{root}/offsets")
     assert sorted(int(r["value"]) for r in spark.read.parquet(f"{root}/store").collect()) == list(range(3000))
     assert {r["source"]: (r["attempted"], r["inserted"]) for r in ingest.watermarks(spark, f"{root}/state").collect()} == {"s0": (3000, 1500), "s1": (3000, 1500)}
+
+
+def test_a_row_let_in_after_its_session_closed_joins_it(spark, root):
+    """The third batch closes a session that ends at 12:00; the fourth brings a row of 11:30, whose own session would end after the watermark."""
+    at = lambda h, m=0: datetime(2024, 1, 1, h, m)
+    for rows in ([(1, at(10))], [(2, at(13))], [(2, at(13, 30))], [(1, at(11, 30))], [(3, at(23))]):
+        spark.createDataFrame(rows, "u long, ts timestamp").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema("u long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    w = state.sessions(stream, "ts", "1 hour", "2 hours", ["u"], {"n": F.count("*")})
+    with state.rocksdb(spark):
+        w.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start().awaitTermination()
+    pieces = spark.read.schema(w.schema).parquet(f"{root}/out")
+    assert pieces.where("u = 1").count() == 2
+    whole = state.joined_sessions(pieces, ["u"], {"n": F.sum("n")}).select("u", "session_start", "session_end", "n")
+    assert sorted(tuple(r) for r in whole.collect()) == [(1, at(10), at(13, 30), 2), (2, at(13), at(15, 30), 2)]
