@@ -65,12 +65,14 @@ def join7(v):
 
 @query("JOIN8_nearest_other", f"select a.record_id, round(min({HAV_AB}), 3) as km from occ a join occ b on a.record_id <> b.record_id group by 1")
 def join8(v):
-    return spatial.nearest_km(v.occ, v.occ, ["record_id"], exclude_self=True).select("record_id", F.round("km", 3).alias("km"))
+    occ = v.occ
+    return spatial.nearest_km(occ, occ, ["record_id"], exclude_self=True).select("record_id", F.round("km", 3).alias("km"))
 
 
 @query("JOIN8_third_nearest")
 def join8k(v):
-    return spatial.nearest_km(v.occ, v.occ, ["record_id"], k=3, exclude_self=True).select("record_id", F.round("km", 3).alias("km"))
+    occ = v.occ
+    return spatial.nearest_km(occ, occ, ["record_id"], k=3, exclude_self=True).select("record_id", F.round("km", 3).alias("km"))
 
 
 @query("JOIN10_pairwise_mean", f"with s as (select * from occ order by md5(concat(record_id, ':9')), record_id limit 1000) select count(*) as n_pairs, round(avg({HAV_AB}), 2) as mean_km from s a join s b on a.record_id < b.record_id")
@@ -296,7 +298,7 @@ _dq("DQ10_duplicate_specimen", "(source, record_id) in (select (source, record_i
 _dq("DQ14_before_baseline", "year(event_date) < 1970", lambda v: v.occ.where(quality.before_baseline()))
 _dq("DQ15_cultivation_text", "regexp_matches(locality, '" + quality.CULTIVATION + "')", lambda v: v.occ.where(quality.cultivation_text("locality")))
 _dq("DQ17_weak_identification", "source = 'iNaturalist' and (id_disagreements > 0 or (observer_id_from_vision and id_agreements <= 2))", lambda v: v.occ.where(quality.weak_identification()))
-_dq("DQ19_spatial_isolate", f"not exists (select 1 from occ g where g.record_id <> o.record_id and {HAV_OG} <= 100e0)", lambda v: spatial.nearest_km(v.occ, v.occ, KEY, exclude_self=True).where(F.col("km") > 100.0))
+_dq("DQ19_spatial_isolate", f"not exists (select 1 from occ g where g.record_id <> o.record_id and {HAV_OG} <= 100e0)", lambda v: spatial.nearest_km(occ := v.occ, occ, KEY, exclude_self=True).where(F.col("km") > 100.0))
 
 
 @query("DQ18_environmental_outlier")

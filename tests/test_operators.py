@@ -49,6 +49,26 @@ def test_third_nearest_equals_brute_force(points):
         assert got[a[0]] == pytest.approx(sorted(hav(a[1:], b[1:]) for b in rows if b[0] != a[0])[2], abs=1e-6)
 
 
+def test_nearest_searches_places_not_rows(spark, monkeypatch):
+    """Copies of a place are counted: those that hold enough rows are not searched, others once each; own rows elsewhere are left out too."""
+    rows = [(i, 10.0 + (i % 3) * 0.01, 50.0) for i in range(300)] + [(1000, 10.5, 50.0), (1001, 10.5, 50.0), (1002, None, 1.0), (1003, -0.0, 0.0), (1004, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "record_id long, longitude double, latitude double")
+    searched, sides = [], spatial._sides
+    monkeypatch.setattr(spatial, "_sides", lambda points, *a: (searched.append(points.count()), sides(points, *a))[1])
+    for k, mean, first in ((1, False, 0), (3, False, 2), (3, True, 2)):
+        for refs in (df, df.select("*")):
+            searched.clear()
+            got = {r["record_id"]: r["km"] for r in spatial.nearest_km(df, refs, ["record_id"], k=k, exclude_self=True, mean=mean).collect()}
+            assert searched[:1] == ([first] if first else []) and len(got) == len(rows) and got.pop(1002) is None
+            for a in rows:
+                if a[0] in (0, 299, 1000, 1001, 1003, 1004):
+                    d = sorted(hav(a[1:], b[1:]) for b in rows if b[0] not in (a[0], 1002))[:k]
+                    assert got[a[0]] == pytest.approx(sum(d) / k if mean else d[-1], abs=1e-6)
+    moved = df.withColumn("longitude", F.col("longitude") + 0.001)
+    got = {r["record_id"]: r["km"] for r in spatial.nearest_km(df.where("record_id >= 1000"), moved, ["record_id"], exclude_self=True).collect()}
+    assert got[1000] == pytest.approx(hav((10.5, 50.0), (10.501, 50.0)), abs=1e-6)
+
+
 def test_thinning_keeps_distance_and_is_the_greedy_set(points):
     df, rows = points
     kept = {r[0] for r in sampling.distance_thin(df, "record_id", 1500.0, seed=4).select("record_id").collect()}
