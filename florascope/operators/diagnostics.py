@@ -94,7 +94,7 @@ def nearest_distance(target: DataFrame, reference: DataFrame, id_col: str, vecto
     if not n:
         return target.select(id_col, F.lit(None).cast("double").alias("distance"))
     if n > REFERENCE_ROWS:
-        return neighbours.Search(given, ref, n, k, bool(fold)).run().withColumnRenamed("id", id_col)
+        return _of_distinct(given, ref, k, bool(fold)).withColumnRenamed("id", id_col)
     rows = ref.toPandas()  # at most REFERENCE_ROWS
     sent = spark.sparkContext.broadcast((np.array(rows["v"].tolist()), rows["f"].to_numpy() if fold else None))
 
@@ -111,6 +111,16 @@ def nearest_distance(target: DataFrame, reference: DataFrame, id_col: str, vecto
     return given.mapInArrow(run, f"{id_col} {kind}, distance double")
 
 
+def _of_distinct(given: DataFrame, ref: DataFrame, k: int, folded: bool) -> DataFrame:
+    """``id, distance`` by a metric tree over the distinct references, each with the number of its rows; equal targets are searched once."""
+    counted = cut(ref.groupBy("v", "f").agg(F.count("*").alias("n")))
+    given = cut(given)
+    asked = given.select("v", "f").distinct().select(F.monotonically_increasing_id().alias("id"), "v", "f")
+    search = neighbours.Search(asked, counted, counted.count(), k, folded)
+    told = search.target.select(F.col("id").alias("_nth"), "v", "f").join(search.run().select(F.col("id").alias("_nth"), "distance"), "_nth").select(F.col("v").alias("_v"), F.col("f").alias("_f"), "distance")
+    return given.join(told, F.col("v").eqNullSafe(F.col("_v")) & F.col("f").eqNullSafe(F.col("_f")), "left").select("id", "distance")
+
+
 def mean_pair_distance(df: DataFrame, vector: str) -> float:
     """Mean Euclidean distance of all pairs of rows, from the sums of pairs of blocks."""
     rows = df.select(F.monotonically_increasing_id().alias("id"), _vector(vector).alias("v"))

@@ -108,7 +108,7 @@ def enough(n: np.ndarray, high: np.ndarray, k: np.ndarray) -> tuple[np.ndarray,
 
 
 def plant(reference: DataFrame, n: int, folds: int) -> tuple[Tree, DataFrame]:
-    """The tree over ``reference(v, f)`` and its rows with their ``leaf``."""
+    """The tree over ``reference(v, f, n)``, ``n`` copies each, and its rows with their ``leaf``."""
     spark = reference.sparkSession
     sample = np.array(reference.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("v").toPandas()["v"].tolist(), dtype=np.float64)  # at most SAMPLE rows
     centres = pivots(sample, max(1, min(LEAVES, LEAF_FOLDS // max(1, folds), -(-n // LEAF_ROWS))))
@@ -117,12 +117,12 @@ def plant(reference: DataFrame, n: int, folds: int) -> tuple[Tree, DataFrame]:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             leaf, d = bare.value.leaf_of(_matrix(b.column(0)) if len(b) else np.empty((0, centres.shape[1])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaf.astype(np.int32)), pa.array(d)], ["v", "f", "leaf", "d"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(leaf.astype(np.int32)), pa.array(d)], ["v", "f", "n", "leaf", "d"])
 
-    placed = cut(reference.select("v", "f").mapInArrow(place, "v array<double>, f long, leaf int, d double"))
+    placed = cut(reference.select("v", "f", "n").mapInArrow(place, "v array<double>, f long, n long, leaf int, d double"))
     # a row for each leaf and fold: at most LEAF_FOLDS
-    rows = placed.groupBy("leaf", "f").agg(F.count("*").alias("n"), F.min("d").alias("near"), F.max("d").alias("far")).toPandas()
-    return Tree(centres, *(rows[c].to_numpy() for c in ("leaf", "f", "n", "near", "far"))), placed.select("v", "f", "leaf")
+    rows = placed.groupBy("leaf", "f").agg(F.sum("n").alias("n"), F.min("d").alias("near"), F.max("d").alias("far")).toPandas()
+    return Tree(centres, *(rows[c].to_numpy() for c in ("leaf", "f", "n", "near", "far"))), placed.select("v", "f", "n", "leaf")
 
 
 def _tiles(visits: DataFrame, placed: DataFrame, fn, schema: str) -> DataFrame:
@@ -133,7 +133,7 @@ def _tiles(visits: DataFrame, placed: DataFrame, fn, schema: str) -> DataFrame:
     parts = F.broadcast(sizes.join(asked, "leaf"))  # a row for each leaf
     # equal vectors are spread by a number of their own
     left = placed.withColumn("_nth", F.monotonically_increasing_id()).join(parts, "leaf")
-    left = left.select("leaf", F.pmod(F.xxhash64("_nth"), F.col("rows")).cast("int").alias("r"), to("asks").alias("t"), "v", "f")
+    left = left.select("leaf", F.pmod(F.xxhash64("_nth"), F.col("rows")).cast("int").alias("r"), to("asks").alias("t"), "v", "f", "n")
     right = visits.join(parts, "leaf").select("leaf", to("rows").alias("r"), F.pmod(F.xxhash64("id"), F.col("asks")).cast("int").alias("t"), *[c for c in visits.columns if c != "leaf"])
     return left.groupBy("leaf", "r", "t").cogroup(right.groupBy("leaf", "r", "t")).applyInPandas(fn, schema)
 
@@ -152,29 +152,37 @@ def _shell(a: pd.DataFrame, b: pd.DataFrame, folded: bool) -> Iterator[tuple[pd.
 
 
 def _listed(visits: DataFrame, placed: DataFrame, kind: str, k: int, folded: bool) -> DataFrame:
-    """``id, d``: the ``k`` smallest distances within each target's shell, from each tile."""
+    """``id, d, n``: the ``k`` nearest references within each target's shell, from each tile, and how many copies each is."""
 
     def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        ids, ds = [], []
+        ids, ds, ns = [], [], []
+        copies = a["n"].to_numpy()
         for part, d in _shell(a, b, folded) if len(a) and len(b) else ():
-            few = np.sort(np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k], axis=1)
+            at = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
+            few = np.take_along_axis(d, at, axis=1)
             i, j = np.nonzero(np.isfinite(few))
             ids += part["id"].to_numpy()[i].tolist()
             ds += few[i, j].tolist()
-        return pd.DataFrame({"id": pd.Series(ids, dtype=b["id"].dtype if len(b) else "object"), "d": np.array(ds, dtype=float)})
+            ns += copies[at[i, j]].tolist()
+        return pd.DataFrame({"id": pd.Series(ids, dtype=b["id"].dtype if len(b) else "object"), "d": np.array(ds, dtype=float), "n": np.array(ns, dtype=np.int64)})
 
-    return _tiles(visits, placed, tile, f"id {kind}, d double")
+    return _tiles(visits, placed, tile, f"id {kind}, d double, n long")
 
 
 def _first(found: DataFrame, k: int) -> DataFrame:
-    """The ``k`` smallest of each target, numbered; Spark limits each task's groups before it shuffles."""
-    return found.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("d"))).where(F.col("nth") <= k)
+    """The nearest of each target that together are ``k``, copies counted, the last with as many as are still wanted (``n``); Spark limits each task's groups before it shuffles."""
+    w = Window.partitionBy("id").orderBy("d")
+    few = found.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k)
+    upto = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return few.withColumn("upto", upto).withColumn("n", F.least("n", F.col("n") + k - F.col("upto"))).where("n > 0").drop("upto")
 
 
 class Search:
-    """The mean distance of targets to their ``k`` nearest references; ``visited`` counts the leaf visits of each pass, against ``pairs`` of targets and leaves."""
+    """The mean distance of targets to their ``k`` nearest references; a reference is ``n`` rows (1 without that column); ``visited`` counts the leaf visits of each pass, against ``pairs`` of targets and leaves."""
 
     def __init__(self, target: DataFrame, reference: DataFrame, n: int, k: int, folded: bool) -> None:
+        if "n" not in reference.columns:
+            reference = reference.withColumn("n", F.lit(1).cast("long"))
         folds = reference.select("f").distinct().count() if folded else 1
         self.tree, self.placed = plant(reference, n, folds)
         self.target, self.k, self.folded = cut(target), k, folded
@@ -218,10 +226,10 @@ class Search:
         def others(n, low, high, lo, hi):
             return (n > 0) & (low <= hi[:, None]) & ~enough(n, high, np.full(len(n), k))[0], hi
 
-        first = cut(_first(_listed(self._visits(start, nearest_leaves), self.placed, self.kind, k, folded), k).select("id", "d"))
-        reach = first.groupBy("id").agg(F.max("d").alias("hi"), F.count("*").alias("n")).where(F.col("n") == k).select("id", "hi")
+        first = cut(_first(_listed(self._visits(start, nearest_leaves), self.placed, self.kind, k, folded), k).select("id", "d", "n"))
+        reach = first.groupBy("id").agg(F.max("d").alias("hi"), F.sum("n").alias("n")).where(F.col("n") == k).select("id", "hi")
         rest = _listed(self._visits(start.drop("hi").join(reach, "id"), others), self.placed, self.kind, k, folded)
-        return _first(first.unionAll(rest), k).groupBy("id").agg(F.avg("d").alias("distance"))
+        return _first(first.unionAll(rest), k).groupBy("id").agg((F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("distance"))
 
     def _many(self, start: DataFrame) -> DataFrame:
         k, folded, bins = self.k, self.folded, BINS
@@ -232,14 +240,14 @@ class Search:
             return (n > 0) & (low <= reach[:, None]) & (high >= lo[:, None]), reach
 
         def counted(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            out = []
+            out, copies = [], a["n"].to_numpy()
             for part, d in _shell(a, b, folded) if len(a) and len(b) else ():
                 lo, hi = np.maximum(part["lo"].to_numpy(), 0.0)[:, None], part["hi"].to_numpy()[:, None]
                 i, j = np.nonzero(np.isfinite(d))
-                own = d[i, j]
+                own, many = d[i, j], copies[j]
                 edges = np.clip(np.ceil((own - lo[i, 0]) / np.maximum(hi[i, 0] - lo[i, 0], 1e-300) * bins).astype(np.int64) - 1, 0, bins - 1)
                 at = i * bins + edges
-                c, s = np.bincount(at, minlength=len(part) * bins), np.bincount(at, own, minlength=len(part) * bins)
+                c, s = np.rint(np.bincount(at, many, minlength=len(part) * bins)).astype(np.int64), np.bincount(at, own * many, minlength=len(part) * bins)
                 least = np.full(len(part) * bins, np.inf)
                 most = np.full(len(part) * bins, -np.inf)
                 np.minimum.at(least, at, own)
@@ -275,8 +283,10 @@ class Search:
             thick = state.where(F.col("n") > FEW).count()
             few = state.where(F.col("n") <= FEW).drop("n")
             if not few.isEmpty():
-                listed = _first(_listed(self._visits(few, within), self.placed, self.kind, FEW, folded), FEW).join(few.select("id", "need", "total", "taken"), "id").where(F.col("nth") <= F.col("need"))
-                end = listed.groupBy("id").agg(((F.first("total") + F.sum("d")) / (F.first("taken") + F.count("*"))).alias("distance"))
+                listed = _first(_listed(self._visits(few, within), self.placed, self.kind, FEW, folded), FEW).join(few.select("id", "need", "total", "taken"), "id")
+                before = F.coalesce(F.sum("n").over(Window.partitionBy("id").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+                listed = listed.withColumn("n", F.least(F.col("n"), F.col("need") - before)).where("n > 0")
+                end = listed.groupBy("id").agg(((F.first("total") + F.sum(F.col("d") * F.col("n"))) / (F.first("taken") + F.sum("n"))).alias("distance"))
                 done = done.unionAll(end)
             if not thick:
                 return done

@@ -141,6 +141,22 @@ def test_distances_by_tree_equal_whole_ones(spark, monkeypatch, folds, k):
         assert got == pytest.approx(want)
 
 
+def test_tree_holds_distinct_references_with_their_copies(spark, monkeypatch):
+    """Copies of references and targets are counted, not searched again: for few neighbours and for a share of all."""
+    rng = np.random.default_rng(3)
+    m = np.repeat(rng.uniform(size=(30, 2)), 9, axis=0)
+    x = np.repeat(rng.uniform(size=(4, 2)), 5, axis=0)
+    target = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    ref = spark.createDataFrame([(v.tolist(),) for v in m], "v array<double>")
+    made, before = [], neighbours.Search
+    monkeypatch.setattr(neighbours, "Search", lambda *a: (made.append(before(*a)), made[-1])[1])
+    monkeypatch.setattr(diagnostics, "REFERENCE_ROWS", 50)
+    for k in (4, 200):
+        got = {r["id"]: r["distance"] for r in diagnostics.nearest_distance(target, ref, "id", "v", k=k).collect()}
+        assert got == pytest.approx(dict(enumerate(np.sort(np.sqrt(((x[:, None] - m[None]) ** 2).sum(axis=2)), axis=1)[:, :k].mean(axis=1))))
+        assert made[-1].placed.count() == 30 and made[-1].target.count() == 4
+
+
 def test_distances_without_other_folds_are_null(spark, monkeypatch):
     ref = spark.createDataFrame([(i, [float(i), 0.0], 1) for i in range(30)], "id long, v array<double>, f int")
     for rows in (20_000, 4):
