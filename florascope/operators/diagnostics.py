@@ -16,6 +16,10 @@ from .stats import covariance, trimmed_max
 
 #: Reference rows that go to every task whole; larger references are cut into blocks of about so many.
 REFERENCE_ROWS = 20_000
+#: From so many coordinates on a tree prunes next to nothing: all pairs of blocks are multiplied instead.
+WIDE = 16
+#: Distances that a task holds at once.
+HELD = 2_000_000
 
 
 def nt1(target: DataFrame, reference: DataFrame, columns: list[str]) -> DataFrame:
@@ -51,31 +55,37 @@ def _vector(column: str | list[str]) -> Column:
     return F.transform(F.col(column), lambda x: x.cast("double")) if isinstance(column, str) else F.array(*[F.col(c).cast("double") for c in column])
 
 
-def _nearest(x: np.ndarray, m: np.ndarray, k: int, fx: np.ndarray | None, fm: np.ndarray | None) -> np.ndarray:
-    """Distances from each row of ``x`` to its ``k`` nearest rows of ``m`` in other folds (infinite where there are fewer)."""
-    square, n, out = (m**2).sum(axis=1), min(k, len(m)), []
-    for at in range(0, len(x), 512):
-        part = x[at : at + 512]
-        d = (part**2).sum(axis=1)[:, None] - 2 * part @ m.T + square
+def _nearest(x: np.ndarray, m: np.ndarray, k: int, fx: np.ndarray | None, fm: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distances from each row of ``x`` to its ``k`` nearest rows of ``m`` in other folds (infinite where there are fewer), and which rows these are."""
+    square, n, out, which = (m**2).sum(axis=1), min(k, len(m)), [], []
+    step = max(1, min(512, HELD // len(m)))
+    for at in range(0, len(x), step):
+        part = x[at : at + step]
+        d = part @ m.T
+        d *= -2
+        d += square  # the row's own square changes no order
         if fx is not None:
-            d[fx[at : at + 512, None] == fm] = np.inf
-        near = np.argpartition(d, n - 1, axis=1)[:, :n]
+            d[fx[at : at + step, None] == fm] = np.inf
+        near = d.argmin(axis=1)[:, None] if n == 1 else np.argpartition(d, n - 1, axis=1)[:, :n]
         exact = np.sqrt(((part[:, None, :] - m[near]) ** 2).sum(axis=2))
         exact[np.isinf(np.take_along_axis(d, near, axis=1))] = np.inf
         out.append(exact)
-    return np.concatenate(out) if out else np.empty((0, n))
+        which.append(near)
+    return (np.concatenate(out), np.concatenate(which)) if out else (np.empty((0, n)), np.empty((0, n), np.int64))
 
 
 def _in_blocks(target: DataFrame, reference: DataFrame, n: int, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """``fn`` of each block of targets with each block of the ``n`` references, both dealt by a hash of their rows."""
     blocks = -(-n // REFERENCE_ROWS)
-    parts = max(1, -(-target.count() // (4 * REFERENCE_ROWS)))
+    parts = max(1, -(-target.count() // (2 * REFERENCE_ROWS)))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     own = lambda m: F.pmod(F.xxhash64("v", "_nth"), F.lit(m)).cast("int")
     # equal vectors are spread by a number of their own, kept so that a repeated task deals them alike
     t = target.withColumn("_nth", F.xxhash64("id")).withColumn("_t", own(parts)).withColumn("_r", every(blocks))
     r = cut(reference.withColumn("_nth", F.monotonically_increasing_id())).withColumn("_r", own(blocks)).withColumn("_t", every(parts))
-    return t.groupBy("_t", "_r").cogroup(r.groupBy("_t", "_r")).applyInPandas(fn, schema)
+    # by number, so that blocks of few bytes and much work are not put into one task
+    dealt = lambda d: d.repartition(min(2 * blocks * parts, 2000), "_t", "_r").groupBy("_t", "_r")
+    return dealt(t).cogroup(dealt(r)).applyInPandas(fn, schema)
 
 
 def nearest_distance(target: DataFrame, reference: DataFrame, id_col: str, vector: str | list[str], fold: str | None = None, k: int = 1) -> DataFrame:
@@ -102,7 +112,7 @@ def nearest_distance(target: DataFrame, reference: DataFrame, id_col: str, vecto
         m, fm = sent.value
         for b in batches:
             x = np.array(b.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(len(b), -1)
-            d = _nearest(x, m, k, b.column(2).to_numpy() if fold else None, fm)
+            d, _ = _nearest(x, m, k, b.column(2).to_numpy() if fold else None, fm)
             found = np.isfinite(d)
             count = found.sum(axis=1)
             mean = np.where(found, d, 0.0).sum(axis=1) / np.maximum(count, 1)
@@ -111,13 +121,33 @@ def nearest_distance(target: DataFrame, reference: DataFrame, id_col: str, vecto
     return given.mapInArrow(run, f"{id_col} {kind}, distance double")
 
 
+def _by_blocks(asked: DataFrame, counted: DataFrame, n: int, k: int, folded: bool) -> DataFrame:
+    """``id, distance`` of all targets by all blocks of references: quadratic, in tasks of bounded size."""
+
+    def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": np.empty(0, np.int64), "d": np.empty(0), "n": np.empty(0, np.int64)})
+        d, near = _nearest(np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy()), k, a["f"].to_numpy() if folded else None, b["f"].to_numpy())
+        i, j = np.nonzero(np.isfinite(d))
+        return pd.DataFrame({"id": a["id"].to_numpy()[i], "d": d[i, j], "n": b["n"].to_numpy()[near[i, j]]})
+
+    found = neighbours._first(_in_blocks(asked, counted, n, tile, "id long, d double, n long"), k)
+    means = found.groupBy("id").agg((F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("distance"))
+    return asked.select("id").join(means, "id", "left")
+
+
 def _of_distinct(given: DataFrame, ref: DataFrame, k: int, folded: bool) -> DataFrame:
-    """``id, distance`` by a metric tree over the distinct references, each with the number of its rows; equal targets are searched once."""
+    """``id, distance`` by a metric tree (few coordinates) or all blocks (many) over the distinct references, each with the number of its rows; equal targets are searched once."""
     counted = cut(ref.groupBy("v", "f").agg(F.count("*").alias("n")))
     given = cut(given)
-    asked = given.select("v", "f").distinct().select(F.monotonically_increasing_id().alias("id"), "v", "f")
-    search = neighbours.Search(asked, counted, counted.count(), k, folded)
-    told = search.target.select(F.col("id").alias("_nth"), "v", "f").join(search.run().select(F.col("id").alias("_nth"), "distance"), "_nth").select(F.col("v").alias("_v"), F.col("f").alias("_f"), "distance")
+    asked, n = given.select("v", "f").distinct().select(F.monotonically_increasing_id().alias("id"), "v", "f"), counted.count()
+    if k <= neighbours.FEW and counted.select(F.size("v")).first()[0] >= WIDE:
+        asked = cut(asked)
+        found = _by_blocks(asked, counted, n, k, folded)
+    else:
+        search = neighbours.Search(asked, counted, n, k, folded)
+        asked, found = search.target, search.run()
+    told = asked.select(F.col("id").alias("_nth"), "v", "f").join(found.select(F.col("id").alias("_nth"), "distance"), "_nth").select(F.col("v").alias("_v"), F.col("f").alias("_f"), "distance")
     return given.join(told, F.col("v").eqNullSafe(F.col("_v")) & F.col("f").eqNullSafe(F.col("_f")), "left").select("id", "distance")
 
 

@@ -157,6 +157,21 @@ def test_tree_holds_distinct_references_with_their_copies(spark, monkeypatch):
         assert made[-1].placed.count() == 30 and made[-1].target.count() == 4
 
 
+def test_wide_vectors_are_searched_by_blocks_of_bounded_size(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(60, 20))
+    m[:9] = m[9]
+    df = spark.createDataFrame([(i, v.tolist(), i % 4) for i, v in enumerate(m)], "id long, v array<double>, f int")
+    monkeypatch.setattr(diagnostics, "REFERENCE_ROWS", 10)
+    monkeypatch.setattr(diagnostics, "HELD", 30)
+    monkeypatch.setattr(neighbours, "Search", None)
+    d = np.sqrt(((m[:, None] - m[None]) ** 2).sum(axis=2))
+    d[np.arange(60)[:, None] % 4 == np.arange(60)[None] % 4] = np.inf
+    for k in (1, 5):
+        got = {r["id"]: r["distance"] for r in diagnostics.nearest_distance(df, df, "id", "v", fold="f", k=k).collect()}
+        assert got == pytest.approx(dict(enumerate(np.sort(d, axis=1)[:, :k].mean(axis=1))), abs=1e-6)
+
+
 def test_distances_without_other_folds_are_null(spark, monkeypatch):
     ref = spark.createDataFrame([(i, [float(i), 0.0], 1) for i in range(30)], "id long, v array<double>, f int")
     for rows in (20_000, 4):
