@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from florascope.plans import streams
 from florascope.streaming import ingest, state
 
 SCHEMA = "source string, record_id long, value string, ingested_ts timestamp"
@@ -113,6 +114,36 @@ def test_changes_do_not_depend_on_batches_or_restarts(spark, root, cuts):
     assert {r[1] for r in got} == {"change", "keepalive", "failed"}
 
 
+def test_changes_keep_the_state_of_many_keys_together(spark, root):
+    """A Python call, a state value and a timer belong to a bucket of keys, not to each key; late rows, null ids and large ids stay what they are."""
+    big = 2**60 + 1
+    rows = [(f"k{i}", day(i % 5), big + i, "p") for i in range(400)] + [("k0", day(0), None, "q")]
+    more = [("k0", day(0, 1), 5, "q"), ("k1", day(0, 23), 6, "late"), ("k2", day(30), 7, "q"), (None, day(30), 8, None)]
+    schema = spark.createDataFrame([], "key string, ts timestamp, id long, payload string").schema
+    for part in (rows, more):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    with state.rocksdb(spark, 2):
+        found = state.changes(stream, "key", "ts", "id", F.col("payload"), timedelta(days=20), timedelta(days=50), late="10 days", buckets=8)
+        q = found.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    assert max(sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in q.recentProgress) <= 8 * 4  # with a state for each key: 401 and their timers
+    got = {tuple(r) for r in spark.read.parquet(f"{root}/out").select("key", "kind", "at", "id", "payload").collect()}
+    # the watermark ends at day 20: it has not passed it
+    want = {(f"k{i}", "change", day(i % 5), big + i, "p") for i in range(400)} | {("k0", "change", day(0), None, "q"), ("k1", "late", day(0, 23), 6, "late"), ("k2", "keepalive", day(22), None, "p"), ("k2", "change", day(30), 7, "q"), ("", "change", day(30), 8, "")}
+    assert got == want
+
+
+def test_delivered_files_are_as_many_as_asked(spark, root):
+    """Three rows in five files: a batch of five files is one delivery."""
+    rows = spark.range(3).selectExpr("id", "timestamp'2024-01-01' ts")
+    for _ in range(2):
+        streams._write_files(rows, 5, "id", f"{root}/in")
+    got = spark.read.parquet(f"{root}/in")
+    assert got.select(F.input_file_name()).distinct().count() == 10 and got.where("ts IS NOT NULL").count() == 6
+
+
 def test_first_deliveries_call_no_python_for_a_key(spark, root):
     """Known keys are the engine's own state; a batch is reduced to a row for each key by the engine, too."""
     schema = spark.createDataFrame([], SCHEMA).schema
