@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from florascope.operators import diagnostics, grid, models, neighbours, order, sampling, spatial, stats
+from florascope.plans import registry
 from florascope.plans.catalog import Views
 from florascope.plans.scalars import tile_bytes
-from florascope.sources import readers, tiles
+from florascope.sources import fixtures, readers, tiles
 
 
 def hav(a, b):
@@ -69,6 +70,24 @@ def test_nearest_searches_places_not_rows(spark, monkeypatch):
     assert got[1000] == pytest.approx(hav((10.5, 50.0), (10.501, 50.0)), abs=1e-6)
 
 
+@pytest.mark.parametrize("name", ["DQ19_spatial_isolate"])
+def test_copies_of_events_add_no_search(spark, sf_dir, tmp_path, monkeypatch, name):
+    """Events repeated at the same places: their rows are counted, only places that hold one row are searched, with the result they had before."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 10 < 2")
+    copies = [events.where("event_id % 2 = 0").withColumns({"event_id": F.col("event_id") + 4001 * 1000 * c, "user_id": F.col("user_id") + 300 * c}) for c in (1, 2)]
+    events.write.parquet(f"{tmp_path}/once/events.parquet")
+    events.unionAll(copies[0]).unionAll(copies[1]).write.parquet(f"{tmp_path}/thrice/events.parquet")
+    places = fixtures.view(spark, f"{tmp_path}/thrice", "occ").groupBy("longitude", "latitude").agg(F.count("*").alias("n"))
+    once = registry.QUERIES[name](spark, f"{tmp_path}/once").where("record_id % 2 = 1").toPandas().sort_values("record_id")
+    searched, sides = [], spatial._sides
+    monkeypatch.setattr(spatial, "_sides", lambda points, *a: (searched.append(points.count()), sides(points, *a))[1])
+    got = registry.QUERIES[name](spark, f"{tmp_path}/thrice").toPandas().sort_values("record_id")
+    assert searched[0] == places.where("n = 1").count() > 50
+    odd = got[got["record_id"] % 2 == 1]
+    assert len(odd) > 0 and odd.values.tolist() == once.values.tolist()
+    assert "km" in got or len(got) == len(odd)  # the copied rows are no isolates
+
+
 def test_thinning_keeps_distance_and_is_the_greedy_set(points):
     df, rows = points
     kept = {r[0] for r in sampling.distance_thin(df, "record_id", 1500.0, seed=4).select("record_id").collect()}
