@@ -70,7 +70,7 @@ def test_nearest_searches_places_not_rows(spark, monkeypatch):
     assert got[1000] == pytest.approx(hav((10.5, 50.0), (10.501, 50.0)), abs=1e-6)
 
 
-@pytest.mark.parametrize("name", ["DQ19_spatial_isolate"])
+@pytest.mark.parametrize("name", ["DQ19_spatial_isolate", "JOIN8_nearest_other"])
 def test_copies_of_events_add_no_search(spark, sf_dir, tmp_path, monkeypatch, name):
     """Events repeated at the same places: their rows are counted, only places that hold one row are searched, with the result they had before."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 10 < 2")
