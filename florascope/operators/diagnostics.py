@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import neighbours
+from . import neighbours, shares
 from .session import cut
 from .stats import covariance, trimmed_max
 
@@ -92,8 +92,8 @@ def nearest_distance(target: DataFrame, reference: DataFrame, id_col: str, vecto
     """``id, distance``: mean Euclidean distance to the ``k`` nearest reference rows; with ``fold``, to those of other folds.
 
     A counted reference of at most REFERENCE_ROWS rows goes to every task once
-    and targets stream past it; a larger one is searched by a metric tree (see
-    ``neighbours``). The mean is over those there are, if fewer than ``k``; null
+    and targets stream past it; a larger one is searched by a metric tree or boxes
+    (see ``neighbours`` and ``shares``). The mean is over those there are, if fewer than ``k``; null
     if there is none. Ids tell targets apart.
     """
     spark, kind = target.sparkSession, target.schema[id_col].dataType.simpleString()
@@ -104,7 +104,7 @@ def nearest_distance(target: DataFrame, reference: DataFrame, id_col: str, vecto
     if not n:
         return target.select(id_col, F.lit(None).cast("double").alias("distance"))
     if n > REFERENCE_ROWS:
-        return _of_distinct(given, ref, k, bool(fold)).withColumnRenamed("id", id_col)
+        return _of_distinct(given, ref, n, k, bool(fold)).withColumnRenamed("id", id_col)
     rows = ref.toPandas()  # at most REFERENCE_ROWS
     sent = spark.sparkContext.broadcast((np.array(rows["v"].tolist()), rows["f"].to_numpy() if fold else None))
 
@@ -136,17 +136,34 @@ def _by_blocks(asked: DataFrame, counted: DataFrame, n: int, k: int, folded: boo
     return asked.select("id").join(means, "id", "left")
 
 
-def _of_distinct(given: DataFrame, ref: DataFrame, k: int, folded: bool) -> DataFrame:
-    """``id, distance`` by a metric tree (few coordinates) or all blocks (many) over the distinct references, each with the number of its rows; equal targets are searched once."""
-    counted = cut(ref.groupBy("v", "f").agg(F.count("*").alias("n")))
+def _of_distinct(given: DataFrame, ref: DataFrame, n: int, k: int, folded: bool) -> DataFrame:
+    """``id, distance`` by a metric tree or boxes (few coordinates) or all blocks (many) over the distinct of ``n`` references, each with the number of its rows; equal targets are searched once."""
     given = cut(given)
-    asked, n = given.select("v", "f").distinct().select(F.monotonically_increasing_id().alias("id"), "v", "f"), counted.count()
-    if k <= neighbours.FEW and counted.select(F.size("v")).first()[0] >= WIDE:
-        asked = cut(asked)
-        found = _by_blocks(asked, counted, n, k, folded)
-    else:
-        search = neighbours.Search(asked, counted, n, k, folded)
+    asked = given.select("v", "f").distinct().select(F.monotonically_increasing_id().alias("id"), "v", "f")
+    width = ref.select(F.size("v")).first()[0]
+    if neighbours.by_boxes(k, folded, width):
+        names = [f"x{c}" for c in range(width)]
+        flat = ref.select(*[F.col("v")[c].alias(name) for c, name in enumerate(names)])
+        for name in names:
+            flat = flat.where(F.abs(name) < float("inf"))  # others have no distance
+        sample = flat.sample(min(1.0, shares.SAMPLE / n), 0).toPandas().to_numpy()  # about SAMPLE rows
+        sample = sample if len(sample) else flat.limit(shares.SAMPLE).toPandas().to_numpy()
+        if not len(sample):
+            return given.select("id", F.lit(None).cast("double").alias("distance"))
+        distinct = flat.agg(F.approx_count_distinct(F.xxhash64(*names))).first()[0]
+        # few copies are merged within their blocks, at the price of one shuffle less
+        counted = flat.groupBy(*names).agg(F.count("*").alias("n")) if distinct <= n / 2 else flat.withColumn("n", F.lit(1).cast("long"))
+        search = neighbours.Search(asked, counted, distinct, k, folded, sample)
         asked, found = search.target, search.run()
+    else:
+        counted = cut(ref.groupBy("v", "f").agg(F.count("*").alias("n")))
+        n = counted.count()
+        if k <= neighbours.FEW and width >= WIDE:
+            asked = cut(asked)
+            found = _by_blocks(asked, counted, n, k, folded)
+        else:
+            search = neighbours.Search(asked, counted, n, k, folded)
+            asked, found = search.target, search.run()
     told = asked.select(F.col("id").alias("_nth"), "v", "f").join(found.select(F.col("id").alias("_nth"), "distance"), "_nth").select(F.col("v").alias("_v"), F.col("f").alias("_f"), "distance")
     return given.join(told, F.col("v").eqNullSafe(F.col("_v")) & F.col("f").eqNullSafe(F.col("_f")), "left").select("id", "distance")
 

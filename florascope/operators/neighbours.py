@@ -8,10 +8,11 @@ its nearest:
 
 * few neighbours: first the leaves that surely hold enough of them, which gives
   the true distance of the last one; then those that may hold a nearer one;
-* many (a share of all references): a leaf returns counts and sums over bins of
-  the shell in which the last distance lies. The bin that holds it is the next,
-  thinner shell, until what is in it is few enough to be listed. Leaves within
-  the shell's inner side are settled and not read again.
+* many (a share of all references): in few coordinates and without folds by boxes
+  (see ``shares``). Otherwise a leaf returns counts and sums over bins of the shell
+  in which the last distance lies. The bin that holds it is the next, thinner
+  shell, until what is in it is few enough to be listed. Leaves within the shell's
+  inner side are settled and not read again.
 
 No list of a target's neighbours longer than FEW is ever made.
 """
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import shares
 from .session import cut
 
 #: Rows of the bounded sample that pivots are taken from, and leaves at most (times folds: LEAF_FOLDS).
@@ -177,12 +179,32 @@ def _first(found: DataFrame, k: int) -> DataFrame:
     return few.withColumn("upto", upto).withColumn("n", F.least("n", F.col("n") + k - F.col("upto"))).where("n > 0").drop("upto")
 
 
+def finite(df: DataFrame) -> DataFrame:
+    """The rows whose vector ``v`` has a distance to others."""
+    return df.where(F.forall("v", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))))
+
+
+def by_boxes(k: int, folded: bool, width: int) -> bool:
+    """Whether ``k`` neighbours are a share that ``shares`` finds."""
+    return k > FEW and not folded and width <= shares.COORDINATES
+
+
 class Search:
-    """The mean distance of targets to their ``k`` nearest references; a reference is ``n`` rows (1 without that column); ``visited`` counts the leaf visits of each pass, against ``pairs`` of targets and leaves."""
+    """The mean distance of targets to their ``k`` nearest references; a reference is ``n`` rows (1 without that column); ``visited`` counts the leaf visits of each pass, against ``pairs`` of targets and leaves.
+
+    With ``sample``, some of the references, a share is found by boxes; ``reference`` is then ``x0, x1, ..., n``, and is read once.
+    """
 
-    def __init__(self, target: DataFrame, reference: DataFrame, n: int, k: int, folded: bool) -> None:
+    def __init__(self, target: DataFrame, reference: DataFrame, n: int, k: int, folded: bool, sample: np.ndarray | None = None) -> None:
         if "n" not in reference.columns:
             reference = reference.withColumn("n", F.lit(1).cast("long"))
+        self.shares = None
+        if sample is not None:
+            self.placed, self.target = reference, cut(target)
+            self.shares = shares.Shares(shares.blocks(reference, sample, n), sample.shape[1], k)
+            self.targets = self.target.count()
+            self.visited, self.pairs = self.shares.visited, self.targets * len(self.shares.map.block)
+            return
         folds = reference.select("f").distinct().count() if folded else 1
         self.tree, self.placed = plant(reference, n, folds)
         self.target, self.k, self.folded = cut(target), k, folded
@@ -213,6 +235,8 @@ class Search:
 
     def run(self) -> DataFrame:
         """``id, distance``; null where no reference is of another fold."""
+        if self.shares:
+            return self.target.select("id").join(self.shares.run(finite(self.target), self.targets), "id", "left")
         start = self.target.select("id", "v", "f", F.lit(-1.0).alias("lo"), F.lit(float("inf")).alias("hi"))
         found = self._few(start) if self.k <= FEW else self._many(start)
         return self.target.select("id").join(found, "id", "left").select("id", "distance")

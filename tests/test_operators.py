@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from florascope.operators import diagnostics, grid, models, neighbours, order, sampling, spatial, stats
+from florascope.operators import diagnostics, grid, models, neighbours, order, sampling, shares, spatial, stats
 from florascope.plans import registry
 from florascope.plans.catalog import Views
 from florascope.plans.scalars import tile_bytes
@@ -176,6 +176,58 @@ def test_tree_holds_distinct_references_with_their_copies(spark, monkeypatch):
         assert made[-1].placed.count() == 30 and made[-1].target.count() == 4
 
 
+@pytest.mark.parametrize("width", [1, 2, 3])
+def test_a_share_is_summed_by_boxes(spark, monkeypatch, width):
+    """The nearest share of all references, without a distance to each: copies, lines, ties, rows without a distance, targets far off."""
+    rng = np.random.default_rng(6)
+    m = rng.uniform(size=(3000, width)) * [9.0, 5.0, 3.0][:width]
+    m[:, -1] = np.ceil(m[:, -1] * 4) if width > 1 else m[:, -1]
+    m[:600] = m[600:1200]
+    x = np.concatenate([rng.uniform(-2, 8, size=(12, width)), m[:3], np.full((1, width), 500.0)])
+    target = spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(x)), (98, [None] * width), (99, [float("nan")] * width)], "id long, v array<double>")
+    ref = spark.createDataFrame([*((v.tolist(),) for v in m), ([None] * width,), ([float("nan")] * width,), ([float("inf")] * width,)], "v array<double>").repartition(7)
+    d = np.sort(np.sqrt(((x[:, None] - m[None]) ** 2).sum(axis=2)), axis=1)
+    monkeypatch.setattr(neighbours, "_distances", None)  # no leaf is read whole
+    for name, value in (("BLOCK_ROWS", 400), ("LEAF_ROWS", 4), ("FEW", 3), ("LISTED", 300), ("PARTS", 16), ("PARTS_LEAST", 2), ("TILE_VISITS", 5), ("DEALT", 250), ("TASK_TARGETS", 4)):
+        monkeypatch.setattr(shares, name, value)
+    monkeypatch.setattr(diagnostics, "REFERENCE_ROWS", 100)
+    for k in (140, 9000):
+        got = {r["id"]: r["distance"] for r in diagnostics.nearest_distance(target, ref, "id", "v", k=k).collect()}
+        assert got[98] is None and got[99] is None and len(got) == len(x) + 2
+        assert [got[i] for i in range(len(x))] == pytest.approx(d[:, :k].mean(axis=1), rel=1e-12)
+
+
+def test_a_share_of_equally_far_references(spark, monkeypatch):
+    """Ties that no edge can part, and guesses that the references mislead."""
+    turn = np.linspace(0, 2 * np.pi, 400, endpoint=False)
+    m = np.concatenate([np.stack([np.repeat([3.0, -3.0], 200), np.tile(np.arange(200) % 2 * 8.0 - 4.0, 2)], axis=1) + 0.0, np.round(np.stack([np.cos(turn), np.sin(turn)], axis=1) * 40, 3), np.full((500, 2), 7.0)])
+    m = np.concatenate([m, 1e-7 * np.random.default_rng(1).normal(size=(300, 2))])
+    x = np.array([[0.0, 0.0], [3.0, 4.0], [7.0, 7.0]])
+    df = lambda a: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)], "id long, v array<double>")
+    for name, value in (("BLOCK_ROWS", 300), ("LEAF_ROWS", 4), ("FEW", 3), ("MOST", 60)):
+        monkeypatch.setattr(shares, name, value)
+    monkeypatch.setattr(diagnostics, "REFERENCE_ROWS", 100)
+    d = np.sort(np.sqrt(((x[:, None] - m[None]) ** 2).sum(axis=2)), axis=1)
+    for k in (150, 1100):
+        got = {r["id"]: r["distance"] for r in diagnostics.nearest_distance(df(x), df(m), "id", "v", k=k).collect()}
+        assert [got[i] for i in range(3)] == pytest.approx(d[:, :k].mean(axis=1), rel=1e-12, abs=1e-15)
+
+
+def test_a_share_needs_few_looks_at_references():
+    rng = np.random.default_rng(7)
+    n = 1_000_000
+    m, x = rng.uniform(size=(2, n)), rng.uniform(size=(12, 2))
+    tree = shares.Tree(*shares.plant(m, np.ones(n, np.int64)))
+    d = np.sqrt(((x[:, :, None] - m) ** 2).sum(axis=1))
+    reach = np.sort(d, axis=1)[:, n // 10]
+    edges = np.stack([np.full(12, -1.0), reach], axis=1)
+    kinds, rows, sums = tree.count(x, edges)
+    assert (rows[:, 0] == (d <= reach[:, None]).sum(axis=1)).all() and (kinds == rows).all()
+    assert sums[:, 0] == pytest.approx(np.where(d <= reach[:, None], d, 0.0).sum(axis=1), rel=1e-13)
+    looked = sum(len(q) * (shares.NODES**2 if how == "far" else len(tree.n) >> level) for how, level, q, _, _ in tree.walk(x, edges))
+    assert looked < rows.sum() / 2, looked
+
+
 def test_wide_vectors_are_searched_by_blocks_of_bounded_size(spark, monkeypatch):
     rng = np.random.default_rng(4)
     m = rng.normal(size=(60, 20))
